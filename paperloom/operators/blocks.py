@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.rows import hold
 
 # Block marker, reference headings, look-ahead and thresholds.
 BLOCK_MARK = "**BLOCK**"
@@ -30,7 +31,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 def raw_blocks(blocks: DataFrame) -> DataFrame:
     """Cleans block text and keeps blocks with more than five letters, with their word count."""
-    cleaned = F.trim(T.drop_glyph_marks(T.blank_number_lines(F.col("content"))))
+    cleaned = T.drop_glyph_marks(T.strip(T.blank_number_lines(F.col("content"))))
     return (
         blocks.withColumn("content", cleaned)
         .where(T.enough_letters(F.col("content")))
@@ -70,7 +71,7 @@ def parse_blocks(full_text: Column) -> Column:
     body = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def block(piece: Column) -> Column:
-        parts = F.split(piece, r"\*\*", 8)
+        parts = F.split(piece, r"\*\*", 7)
         number = lambda k: F.trim(F.element_at(F.split(F.get(parts, F.lit(k)), "=="), -1)).try_cast("double")
         content = F.element_at(parts, -1)
         return F.struct(
@@ -101,7 +102,7 @@ def _mode(values: Column, weight) -> Column:
 
 def join_lines(text: Column) -> Column:
     """Line breaks to spaces; a final one is dropped."""
-    return F.regexp_replace(F.regexp_replace(text, rf"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, " ")
+    return F.regexp_replace(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, " ")
 
 
 def body_font(blocks: Column, whole_document: Column) -> Column:
@@ -124,8 +125,9 @@ def total_words(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0).cast("bigint"), lambda s, b: s + b["nwords"])
 
 
-def _year_pattern(as_of_year: int) -> str:
-    return "|".join(str(y) for y in range(FIRST_YEAR, as_of_year))
+def _has_year(text: Column, as_of_year: int) -> Column:
+    years = F.regexp_extract_all(text, F.lit(r"(?=((?:19|20)[0-9][0-9]))"), F.lit(1))
+    return F.exists(years, lambda y: y.cast("int").between(FIRST_YEAR, as_of_year - 1))
 
 
 def _is_heading(line: Column) -> Column:
@@ -133,35 +135,44 @@ def _is_heading(line: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(head, F.lit(m)) for m in REF_HEADINGS])
 
 
-def reference_start(blocks: Column, body: Column, as_of_year: int) -> Column:
-    """(start, small) of the reference section, or null: its 0-based first block and whether small print follows."""
-    years = F.lit(_year_pattern(as_of_year))
-    small = lambda bs: F.forall(bs, lambda b: b["fontsize"] < body)
-    digit_led = lambda bs: F.size(
-        F.filter(bs, lambda b: F.rlike(F.substring(F.regexp_replace(b["content"], "\n", ""), 1, 3), F.lit(r"\p{Nd}")))
-    )
-    with_year = lambda bs: F.size(F.filter(bs, lambda b: F.rlike(b["content"], years)))
-    punctuated = lambda bs: F.size(
-        F.filter(bs, lambda b: F.contains(b["content"], F.lit(".")) & F.contains(b["content"], F.lit(",")))
-    )
-    n = F.size(blocks)
-    seen = lambda i: F.least(F.lit(LOOK_AHEAD), n - i)
+def block_marks(blocks: Column, body: Column, as_of_year: int) -> Column:
+    """What the reference search needs to know of each block, tested once per block."""
 
-    def by_heading(b: Column, i: Column) -> Column:
+    def marks(b: Column) -> Column:
         lines = F.split(F.regexp_replace(b["content"], r"\n\z", ""), "\n")
-        top, bottom = _is_heading(lines[0]), _is_heading(F.element_at(lines, -1))
-        nxt, here = F.slice(blocks, i + 2, F.lit(LOOK_AHEAD)), F.slice(blocks, i + 1, F.lit(LOOK_AHEAD))
-        listed = small(nxt) | (digit_led(nxt) > F.floor(seen(i) / 2)) | (with_year(here) > F.floor(seen(i) / 3))
-        found = F.struct(F.when(top, i).otherwise(i + 1).alias("start"), small(nxt).alias("small"))
-        return F.when((b["content"] != "") & (top | bottom) & listed, found)
-
-    def by_shape(b: Column, i: Column) -> Column:
-        here = F.slice(blocks, i + 1, F.lit(LOOK_AHEAD))
-        listed = small(here) | (digit_led(here) > F.floor(seen(i) / 2))
-        dated = (with_year(here) > F.floor(seen(i) / 3)) & (punctuated(here) > F.floor(seen(i) / 2))
-        return F.when((b["content"] != "") & listed & dated, F.struct(i.alias("start"), small(here).alias("small")))
-
-    first = lambda rule: F.get(F.filter(F.transform(blocks, rule), lambda x: x.isNotNull()), F.lit(0))
+        start = F.substring(F.regexp_replace(b["content"], "\n", ""), 1, 3)
+        return F.struct(
+            (b["content"] != "").alias("filled"),
+            (b["fontsize"] < body).alias("small"),
+            F.rlike(start, F.lit(r"\p{Nd}")).alias("digit"),
+            _has_year(b["content"], as_of_year).alias("year"),
+            (F.contains(b["content"], F.lit(".")) & F.contains(b["content"], F.lit(","))).alias("punctuated"),
+            _is_heading(lines[0]).alias("top"),
+            _is_heading(F.element_at(lines, -1)).alias("bottom"),
+        )
+
+    return F.transform(blocks, marks)
+
+
+def reference_start(marks: Column) -> Column:
+    """(start, small) of the reference section, or null: its 0-based first block and whether small print follows."""
+    small = lambda ms: F.forall(ms, lambda m: m["small"])
+    count = lambda ms, name: F.size(F.filter(ms, lambda m: m[name]))
+    seen = lambda i: F.least(F.lit(LOOK_AHEAD), F.size(marks) - i)
+
+    def by_heading(m: Column, i: Column) -> Column:
+        nxt, here = F.slice(marks, i + 2, F.lit(LOOK_AHEAD)), F.slice(marks, i + 1, F.lit(LOOK_AHEAD))
+        listed = small(nxt) | (count(nxt, "digit") > F.floor(seen(i) / 2)) | (count(here, "year") > F.floor(seen(i) / 3))
+        found = F.struct(F.when(m["top"], i).otherwise(i + 1).alias("start"), small(nxt).alias("small"))
+        return F.when(m["filled"] & (m["top"] | m["bottom"]) & listed, found)
+
+    def by_shape(m: Column, i: Column) -> Column:
+        here = F.slice(marks, i + 1, F.lit(LOOK_AHEAD))
+        listed = small(here) | (count(here, "digit") > F.floor(seen(i) / 2))
+        dated = (count(here, "year") > F.floor(seen(i) / 3)) & (count(here, "punctuated") > F.floor(seen(i) / 2))
+        return F.when(m["filled"] & listed & dated, F.struct(i.alias("start"), small(here).alias("small")))
+
+    first = lambda rule: F.get(F.filter(F.transform(marks, rule), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(first(by_heading), first(by_shape))
 
 
@@ -190,37 +201,48 @@ def main_text(blocks: Column, body: Column) -> Column:
     return join_lines(F.array_join(F.transform(kept, lambda b: b["content"]), " "))
 
 
-def reference_text(blocks: Column, start: Column, end: Column) -> Column:
-    """Reference blocks in the section's usual font, without headings and dots after initials."""
-    section = F.slice(blocks, start + 1, F.greatest(end - start, F.lit(0)))
+def reference_font(section: Column) -> Column:
+    """Most frequent font of the first half of the section's blocks."""
     half = F.slice(section, F.lit(1), F.floor(F.size(section) / 2).cast("int"))
-    font = _mode(half, lambda b: F.lit(1).cast("bigint"))
+    return _mode(half, lambda b: F.lit(1).cast("bigint"))
+
+
+def reference_text(section: Column, start: Column, font: Column) -> Column:
+    """Reference blocks in the section's usual font, without headings and dots after initials.
+
+    Position 0 is not a section start: a document cannot begin with its references.
+    """
     kept = F.filter(section, lambda b: b["fontsize"] == font)
     joined = join_lines(F.array_join(F.transform(kept, lambda b: b["content"]), " "))
     plain = reduce(lambda t, m: F.replace(t, F.lit(m), F.lit("")), REF_HEADINGS, joined)
-    # Position 0 is not a section start: a document cannot begin with its references.
     return F.when((start > 0) & (F.size(section) > MIN_REF_BLOCKS), T.undo_initial_dots(plain))
 
 
 def clean_full_text(docs: DataFrame, with_references: bool, as_of_year: int) -> DataFrame:
     """Adds main_text and ref_text from full_text; text under 100 characters gives empty ones."""
     short = F.coalesce(F.length("full_text"), F.lit(0)) < MIN_DOC_CHARS
-    b, font = F.col("_b"), F.col("_f")
-    d = docs.withColumn("_b", parse_blocks(F.col("full_text")))
+    b = F.col("_b")
+    d = hold(docs, _b=parse_blocks(F.col("full_text")))
     if with_references:
-        guess = body_font(b, total_words(b) > MIN_REF_BLOCKS)
-        d = d.withColumn("_g", guess).withColumn("_r", reference_start(b, F.col("_g"), as_of_year))
-        d = d.withColumn("_s", F.col("_r.start"))
-        d = d.withColumn("_e", reference_end(b, F.col("_s"), F.col("_r.small"), F.col("_g")))
-        many = F.coalesce((F.col("_s") > 0) & (F.col("_e") - F.col("_s") > MIN_REF_BLOCKS), F.lit(False))
-        d = d.withColumn("_f", body_font(b, many))
-        refs = F.when(F.size(b) == 0, "").otherwise(reference_text(b, F.col("_s"), F.col("_e")))
+        d = find_references(d, b, as_of_year)
+        long_section = F.coalesce((F.col("_s") > 0) & (F.col("_e") - F.col("_s") > MIN_REF_BLOCKS), F.lit(False))
+        d = hold(d, _f=body_font(b, long_section), _x=F.slice(b, F.col("_s") + 1, F.greatest(F.col("_e") - F.col("_s"), F.lit(0))))
+        d = hold(d, _rf=reference_font(F.col("_x")))
+        refs = F.when(F.size(b) == 0, "").otherwise(reference_text(F.col("_x"), F.col("_s"), F.col("_rf")))
     else:
-        d = d.withColumn("_f", body_font(b, F.lit(False)))
+        d = hold(d, _f=body_font(b, F.lit(False)))
         refs = F.when(F.size(b) == 0, "").cast("string")
-    d = d.withColumn("main_text", F.when(short, "").otherwise(main_text(b, font)))
-    d = d.withColumn("ref_text", F.when(short, "").otherwise(refs))
-    return d.drop("_b", "_f", "_g", "_r", "_s", "_e")
+    d = d.withColumn("main_text", F.when(short, "").otherwise(main_text(b, F.col("_f"))))
+    return d.withColumn("ref_text", F.when(short, "").otherwise(refs)).select(*docs.columns, "main_text", "ref_text")
+
+
+def find_references(docs: DataFrame, blocks: Column, as_of_year: int) -> DataFrame:
+    """Adds the body font ``_g`` and the reference section's start ``_s`` and end ``_e`` (null when there is none)."""
+    d = hold(docs, _g=body_font(blocks, total_words(blocks) > MIN_REF_BLOCKS))
+    d = hold(d, _m=block_marks(blocks, F.col("_g"), as_of_year))
+    d = hold(d, _r=reference_start(F.col("_m")))
+    end = reference_end(blocks, F.col("_r.start"), F.col("_r.small"), F.col("_g"))
+    return hold(d, _s=F.col("_r.start"), _e=F.when(F.col("_r").isNotNull(), end))
 
 
 def font_modes(blocks: DataFrame, key: str) -> DataFrame:

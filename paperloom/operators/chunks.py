@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paperloom.functions.rows import hold
 from paperloom.functions.text import strip
 
 # Chunking defaults and prompts of the e5 model family.
@@ -101,11 +102,13 @@ def chunk_papers(
     Papers with a single chunk are not embedded and drop out unless ``drop_single`` is off.
     """
     token_lists = split_long(F.transform(sentences(F.col(text_column)), tokenise), chunk_size - prefix_len - SPARE_TOKENS)
-    d = papers.withColumn("_s", F.filter(token_lists, lambda t: F.size(t) >= MIN_SENTENCE_TOKENS))
-    d = d.withColumn("_e", chunk_ends(F.transform("_s", F.size), chunk_size - prefix_len, max_chunks))
-    d = d.withColumn("_w", windows(F.flatten("_s"), F.col("_e"), max_chunks, prefix_len))
+    d = hold(papers, _s=F.filter(token_lists, lambda t: F.size(t) >= MIN_SENTENCE_TOKENS))
+    ends = chunk_ends(F.transform("_s", F.size), chunk_size - prefix_len, max_chunks)
+    d = hold(d, _t=F.flatten("_s"), _e=ends)
+    spans = windows(F.col("_t"), F.col("_e"), max_chunks, prefix_len)
     if drop_single:
-        d = d.where(F.size("_w") > 1)
+        spans = F.when(F.size("_e") > 1, spans)
+    d = d.withColumn("_w", spans)
     return d.select(*papers.columns, F.inline("_w"), F.lit(False).alias("is_ref"))
 
 

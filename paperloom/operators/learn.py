@@ -176,7 +176,9 @@ def pair_loss(positive: Column, negative: Column) -> Column:
 
 def score_triplets(features: DataFrame, temperature: float = 0.01) -> DataFrame:
     """Hard scores and the soft-score loss of each triplet."""
-    q, p, n = (F.col(f"{r}_vectors") for r in ("query", "positive", "negative"))
+    roles = ("query", "positive", "negative")
+    features = features.withColumns({f"_{r}": V.units(F.col(f"{r}_vectors")) for r in roles})
+    q, p, n = (F.col(f"_{r}") for r in roles)
     soft = pair_loss(V.soft_max_sim(q, p, temperature), V.soft_max_sim(q, n, temperature))
     return features.select(
         "query_id",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.operators.search import mean_vector, pack_positions
-from paperloom.session import read_table
+from paperloom.session import read_table, spread
 
 
 def row_count(df: DataFrame):
@@ -178,7 +178,7 @@ FEEDBACK = """fb AS (SELECT 'd' || doc_id AS "paperId", CASE WHEN toxic = 1 THEN
 
 
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    pages = read_table(spark, sf, "pages")
+    pages = spread(read_table(spark, sf, "pages").select("page_id", "html"))
     parts = pages.select("page_id", F.posexplode(F.split("html", "<p")).alias("block_idx", "part"))
     k = F.col("page_id") + F.col("block_idx")
     side = lambda m: F.col("block_idx") * m % 100 / F.lit(100.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that hold on a cluster: AQE sizes shuffles and splits hot join keys
 # at run time, so no operator hard-codes a partition count.
@@ -45,5 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(folder, "paperloom")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Evens out a table with fewer splits than cores before work that is heavy per row.
+
+    A row group is read by one task, so a small table would keep most cores idle. A
+    table with enough splits passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))

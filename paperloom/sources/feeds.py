@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom.functions import text as T
@@ -88,9 +90,9 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def incomplete_pages(pages: DataFrame) -> DataFrame:
-    """One row when the pages end before ``total`` papers were seen, else none."""
-    seen = pages.agg(
+def incomplete_pages(pages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per run (or one in all) whose pages end before ``total`` papers were seen, or end twice."""
+    seen = pages.groupBy(*keys).agg(
         F.coalesce(F.sum(F.size("data")), F.lit(0)).alias("seen"),
         F.max("total").alias("total"),
         F.count_if(F.col("token").isNull()).alias("last_pages"),
