@@ -209,7 +209,8 @@ def loose_id_pattern(paper_id: Column) -> Column:
 def linkify(text: Column, papers: Column, loose: bool = False) -> Column:
     """Replaces paper ids in a text by labelled links, longest id first, repeats collapsed.
 
-    ``papers`` is an array of (paperId, label).
+    ``papers`` is an array of (paperId, label). Ids first become private marks and marks
+    become links, so an id that is part of another id or of a label is never linked twice.
     """
     longest_first = F.array_sort(
         papers,
@@ -217,21 +218,24 @@ def linkify(text: Column, papers: Column, loose: bool = False) -> Column:
         .when(F.length(a["paperId"]) < F.length(b["paperId"]), 1)
         .otherwise(F.when(a["paperId"] < b["paperId"], -1).when(a["paperId"] > b["paperId"], 1).otherwise(0)),
     )
+    mark = lambda i: F.concat(F.lit("\ue000"), F.repeat(F.lit("\ue002"), i), F.lit("\ue001"))
+    marked = F.transform(longest_first, lambda p, i: F.struct(p["paperId"].alias("id"), p["label"].alias("label"), mark(i).alias("mark")))
 
-    def replace_one(t: Column, p: Column) -> Column:
-        pid = p["paperId"]
-        found = F.regexp_replace(t, loose_id_pattern(pid), pid) if loose else t
-        repeats = F.concat(F.lit("(?:"), _quoted(pid), F.lit(r")(?:\s*"), _quoted(pid), F.lit(")*"))
-        link = F.concat(F.lit("["), p["label"], F.lit("](#"), pid, F.lit(")"))
-        return F.regexp_replace(found, repeats, link)
+    def find(t: Column, p: Column) -> Column:
+        pattern = loose_id_pattern(p["id"]) if loose else _quoted(p["id"])
+        repeats = F.concat(F.lit("(?:"), pattern, F.lit(r")(?:\s*(?:"), pattern, F.lit("))*"))
+        return F.regexp_replace(t, repeats, p["mark"])
 
-    return F.aggregate(longest_first, text, replace_one)
+    def link(t: Column, p: Column) -> Column:
+        return F.replace(t, p["mark"], F.concat(F.lit("["), p["label"], F.lit("](#"), p["id"], F.lit(")")))
+
+    return F.aggregate(marked, F.aggregate(marked, text, find), link)
 
 
 def cited_ids(text: Column) -> Column:
     """Ids in bracketed citations: ``[id]``, ``[id1, id2]``; ``unsupported`` is kept as a mark."""
     groups = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    return F.filter(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), F.trim))), lambda x: x != "")
+    return F.filter(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x)))), lambda x: x != "")
 
 
 def fabricated_citations(answers: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> DataFrame:

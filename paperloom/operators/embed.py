@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 BATCH_TEXTS = 64
@@ -47,7 +48,7 @@ def embed_texts(df: DataFrame, text: str, encoder: Callable[[], Encoder], prefix
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, "embedding"])
 
     ordered = df.sortWithinPartitions(F.length(text))
-    schema = df.schema.add("embedding", "array<float>")
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))])
     return ordered.mapInArrow(run, schema)
 
 

@@ -67,16 +67,23 @@ def stream_times(lines: DataFrame, starts: DataFrame, key: str = "stream_id") ->
     )
 
 
-def stalled(starts: DataFrame, finishes: DataFrame, key: str, timeout: str) -> DataFrame:
-    """Starts without a finish of the same key within the timeout. A left outer join, so it also runs on
-    two watermarked streams."""
-    s, f = starts.alias("s"), finishes.alias("f")
-    on = (
-        (F.col(f"s.{key}") == F.col(f"f.{key}"))
-        & (F.col("f.ts") >= F.col("s.ts"))
-        & (F.col("f.ts") <= F.col("s.ts") + F.expr(f"INTERVAL {timeout}"))
+def stalled(starts: DataFrame, finishes: DataFrame, key: str, timeout_seconds: int) -> DataFrame:
+    """Starts without a finish of the same key within the timeout.
+
+    Finishes shrink to their first and last time per (key, slot), slots being one
+    timeout wide. A start in slot b is answered when the last finish of b is not before
+    it, or the first finish of b + 1 is in time: no start meets more than two rows.
+    """
+    micros = F.unix_micros("ts")
+    width = timeout_seconds * 1_000_000
+    slots = finishes.groupBy(F.col(key).alias("_k"), F.floor(micros / width).alias("_slot")).agg(
+        F.min(micros).alias("_first"), F.max(micros).alias("_last")
     )
-    return s.join(f, on, "left_outer").where(F.col(f"f.{key}").isNull()).select("s.*")
+    same = slots.select(F.col("_k").alias(key), F.col("_slot").alias("_b"), "_last")
+    following = slots.select(F.col("_k").alias(key), (F.col("_slot") - 1).alias("_b"), "_first")
+    asked = starts.withColumn("_b", F.floor(micros / width)).join(same, [key, "_b"], "left").join(following, [key, "_b"], "left")
+    answered = (F.col("_last") >= micros) | (F.col("_first") <= micros + width)
+    return asked.where(~F.coalesce(answered, F.lit(False))).select(*starts.columns)
 
 
 def think_segments(tokens: DataFrame, key: str = "stream_id", bin_tokens: int = 1024) -> DataFrame:

@@ -141,6 +141,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("n", n).select(
         conv,
         turn,
+        turn.alias("seq"),
         F.concat(F.lit("u"), (conv % 7).cast("string"), F.lit("/"), conv.cast("string")).alias("task_id"),
         (conv * 1000 + turn).alias("timestamp"),
         F.concat_ws("_", conv.cast("string"), F.floor(turn / 2).cast("string")).alias("query_id"),
@@ -206,8 +207,15 @@ PAGE_BLOCKS = """b AS (
                generate_subscripts(string_split(html, '<p'), 1) - 1 AS block_idx FROM pages))"""
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with ``ts`` as an instant: the files hold UTC times without a zone, whatever the session's zone is."""
+    since_epoch = F.col("ts").cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    instant = F.expr("TIMESTAMP_LTZ '1970-01-01 00:00:00Z'") + since_epoch
+    return read_table(spark, sf, "events").withColumn("ts", instant)
+
+
 def api_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
+    e = events(spark, sf)
     return e.select(
         "event_id",
         "ts",
