@@ -14,8 +14,9 @@ from paperloom.operators import search as S
 DECIMALS = 6
 # Negatives are drawn from this many nearest papers of the cited one.
 NEAR_RANKS = 50
-# Size of one block of (paper, cited) pairs sent to the executors.
-BLOCK_PAIRS = 20_000
+# Size of one block of (paper, cited) pairs sent to the executors: with 65 vectors of
+# 1024 floats per cited paper this stays near 1 GB in the worst case.
+BLOCK_PAIRS = 2_000
 MIN_LABELS = 30
 
 
@@ -32,13 +33,20 @@ def seeded_rank(paper: Column, ref: Column, seed: int, ranks: int = NEAR_RANKS)
     return F.pmod(F.xxhash64(paper, ref, F.lit(seed)), F.lit(ranks)).cast("int")
 
 
-def _pair_blocks(pairs: DataFrame, block_pairs: int) -> list[DataFrame]:
+def _pair_blocks(pairs: DataFrame, block_pairs: int) -> Iterator[list]:
+    """Bounded lists of pairs. One block is tried first; only a larger table is counted and cut."""
+    rows = pairs.limit(block_pairs + 1).collect()
+    if len(rows) <= block_pairs:
+        yield rows
+        return
     # Hashing the whole pair keeps blocks even when one paper is cited by a third of the corpus.
-    n = pairs.count()
-    blocks = max(1, -(-n // block_pairs))
-    if blocks == 1:
-        return [pairs]
-    return [pairs.where(F.pmod(F.xxhash64("paperId", "refId"), F.lit(blocks)) == b) for b in range(blocks)]
+    blocks = -(-pairs.count() // block_pairs)
+    slot = F.pmod(F.xxhash64("paperId", "refId"), F.lit(blocks))
+    for b in range(blocks):
+        rows = pairs.where(slot == b).limit(4 * block_pairs + 1).collect()
+        if len(rows) > 4 * block_pairs:
+            raise ValueError("one block of citation pairs exceeds the broadcast limit; lower block_pairs")
+        yield rows
 
 
 def _negative_task(block_ref, decimals: int) -> Callable:
@@ -74,14 +82,11 @@ def _negative_task(block_ref, decimals: int) -> Callable:
     return run
 
 
-def _collect_pairs(pairs: DataFrame, ref_vectors: DataFrame, hard_limit: int) -> dict | None:
-    rows = pairs.limit(hard_limit + 1).collect()
-    if len(rows) > hard_limit:
-        raise ValueError("one block of citation pairs exceeds the broadcast limit; lower block_pairs")
-    if not rows:
-        return None
-    wanted = pairs.select(F.col("refId").alias("paperId")).distinct()
-    found = {r["paperId"]: r["vectors"] for r in ref_vectors.join(wanted, "paperId", "left_semi").collect()}
+def _stack_pairs(rows: list, papers: DataFrame) -> dict | None:
+    """The pairs of a block with the vectors of their cited papers, of which there are no more than pairs."""
+    spark = papers.sparkSession
+    names = spark.createDataFrame([(r,) for r in sorted({r["refId"] for r in rows})], "paperId string")
+    found = {r["paperId"]: r["vectors"] for r in papers.join(names, "paperId", "left_semi").collect()}
     rows = [r for r in rows if r["refId"] in found]
     if not rows:
         return None
@@ -136,8 +141,8 @@ def mine_triplets(
     candidates = papers.join(dated, "paperId").select("paperId", "vectors", "publicationDate")
     sc = meta.sparkSession.sparkContext
     out = None
-    for part in _pair_blocks(pairs, block_pairs):
-        block = _collect_pairs(part, papers.select("paperId", "vectors"), 4 * block_pairs)
+    for rows in _pair_blocks(pairs, block_pairs):
+        block = _stack_pairs(rows, papers.select("paperId", "vectors")) if rows else None
         if block is None:
             continue
         found = candidates.mapInArrow(

@@ -22,8 +22,8 @@ from paperloom.functions import vectors as V
 
 # Largest block of query vectors sent to every executor: 32 MB of doubles.
 BLOCK_FLOATS = 4_000_000
-# Largest hit list joined by broadcast; larger ones join by shuffle.
-BROADCAST_HITS = 100_000
+# A query table of at most this many rows is fetched without counting it first.
+BLOCK_ROWS = 4096
 # The chunker numbers windows from 0 and stops far below this, so a packed paper is bounded.
 MAX_CHUNK_IDX = 4096
 
@@ -67,26 +67,37 @@ def pack_vectors(chunks: DataFrame, key: str = "paperId", payload: tuple[str, ..
 
 
 def query_blocks(queries: DataFrame, block_floats: int = BLOCK_FLOATS) -> list[QueryBlock]:
-    """Bounded blocks of the query table (query_id, qi, embedding, topK and any filter columns)."""
+    """Bounded blocks of the query table (query_id, qi, embedding, topK and any filter columns).
+
+    A request batch is tried first: one bounded collect, no count. Only a table that does
+    not fit is counted and cut by query id, each block checked again as it is fetched.
+    """
+    rows = queries.limit(BLOCK_ROWS + 1).collect()
+    if len(rows) <= BLOCK_ROWS and sum(len(r["embedding"]) for r in rows) <= block_floats:
+        return [_stack(rows)] if rows else []
     total = queries.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-int(total) // block_floats))
-    if n_blocks == 1:
-        parts = [queries]
-    else:
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        parts = [queries.where(slot == b) for b in range(n_blocks)]
-    return [b for b in (_collect_block(p, 4 * block_floats) for p in parts) if b is not None]
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    blocks = []
+    for b in range(n_blocks):
+        rows = _fetch(queries.where(slot == b), 4 * block_floats)
+        if rows:
+            blocks.append(_stack(rows))
+    return blocks
 
 
-def _collect_block(queries: DataFrame, hard_limit: int) -> QueryBlock | None:
+def _fetch(queries: DataFrame, hard_limit: int) -> list:
     rows, floats = [], 0
-    for row in queries.orderBy("query_id", "qi").toLocalIterator():
+    for row in queries.toLocalIterator():
         floats += len(row["embedding"])
         if floats > hard_limit:
             raise ValueError("one block of queries exceeds the broadcast limit; lower block_floats")
         rows.append(row)
-    if not rows:
-        return None
+    return rows
+
+
+def _stack(rows: list) -> QueryBlock:
+    rows = sorted(rows, key=lambda r: (r["query_id"], r["qi"]))
     ids, top_k, starts, params = [], [], [], []
     for i, row in enumerate(rows):
         if not ids or row["query_id"] != ids[-1]:

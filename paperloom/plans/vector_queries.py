@@ -47,7 +47,8 @@ SELECT query_id, "paperId", retrieval_score, rerank_score, rerank_score AS score
 FROM cut""",
 )
 def search_filtered_rerank(spark, sf):
-    papers = _papers(spark, sf).where(_payload_filter())
+    # The filter runs on chunk rows, below the packing shuffle.
+    papers = S.pack_vectors(X.chunk_vectors(spark, sf).where(_payload_filter()))
     hits = S.top_k(papers, X.label_queries(spark, sf), factor=S.OVERFETCH, rerank=True)
     return S.rerank_and_sort(hits).select(
         "query_id", "paperId", "retrieval_score", "rerank_score", "score", "rank"
