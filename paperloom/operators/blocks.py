@@ -125,9 +125,16 @@ def total_words(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0).cast("bigint"), lambda s, b: s + b["nwords"])
 
 
+def year_pattern(first: int, last: int) -> str:
+    """A pattern for any year of the range, one alternative per decade."""
+    decades: dict[int, list[int]] = {}
+    for y in range(first, last + 1):
+        decades.setdefault(y // 10, []).append(y % 10)
+    return "|".join(f"{d}[{min(ys)}-{max(ys)}]" for d, ys in decades.items())
+
+
 def _has_year(text: Column, as_of_year: int) -> Column:
-    years = F.regexp_extract_all(text, F.lit(r"(?=((?:19|20)[0-9][0-9]))"), F.lit(1))
-    return F.exists(years, lambda y: y.cast("int").between(FIRST_YEAR, as_of_year - 1))
+    return F.rlike(text, F.lit(year_pattern(FIRST_YEAR, as_of_year - 1)))
 
 
 def _is_heading(line: Column) -> Column:

@@ -30,7 +30,8 @@ def sentences(text: Column) -> Column:
 
 
 def whitespace_tokens(sentence: Column) -> Column:
-    return F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+    """Tokens of a trimmed, non-empty sentence."""
+    return F.split(sentence, r"\s+")
 
 
 def split_long(token_lists: Column, max_len: int) -> Column:

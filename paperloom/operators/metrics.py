@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from paperloom.operators.running import running_total
 
@@ -89,28 +89,16 @@ def stalled(starts: DataFrame, finishes: DataFrame, key: str, timeout_seconds: i
 def think_segments(tokens: DataFrame, key: str = "stream_id", bin_tokens: int = 1024) -> DataFrame:
     """Tokens of a stream with ``inside`` (between think marks); the marks themselves drop out.
 
-    A token is inside when the latest mark before it opens. Each mark changes the state
-    outright, so only changes count: the running sum of (new state - old state) is the state.
+    A token is inside when the latest mark before it opens. The latest mark is the running
+    maximum of (position, state), so a long stream is worked on bin by bin.
     """
     opens, closes = F.contains("token", F.lit("<think>")), F.contains("token", F.lit("</think>"))
-    state = F.when(opens, 1).when(closes, 0)
-    marks = tokens.where(opens | closes).select(key, "seq", state.alias("state"))
-    before = running_changes(marks, key, bin_tokens)
-    total = running_total(
-        tokens.join(before, [key, "seq"], "left"),
-        [key],
-        ["seq"],
-        F.coalesce("change", F.lit(0)),
-        F.floor(F.col("seq") / bin_tokens),
-        "_inside",
+    mark = F.when(opens, F.col("seq") * 2 + 1).when(closes, F.col("seq") * 2)
+    latest = running_total(
+        tokens, [key], ["seq"], mark.cast("bigint"), F.floor(F.col("seq") / bin_tokens), "_mark", how="max"
     )
-    return total.where(~(opens | closes)).select(*tokens.columns, (F.col("_inside") > 0).alias("inside"))
-
-
-def running_changes(marks: DataFrame, key: str, bin_tokens: int) -> DataFrame:
-    """State changes at marks. Marks are few and a stream is one model answer, so the window stays small."""
-    prev = F.lag("state", 1, 0).over(Window.partitionBy(key).orderBy("seq"))
-    return marks.select(key, "seq", (F.col("state") - prev).alias("change"))
+    inside = F.coalesce(F.col("_mark") % 2 == 1, F.lit(False))
+    return latest.where(~(opens | closes)).select(*tokens.columns, inside.alias("inside"))
 
 
 def flush_groups(tokens: DataFrame, key: str = "stream_id", flush_chars: int = 100, bin_tokens: int = 1024) -> DataFrame:

@@ -15,21 +15,23 @@ def running_total(
     bin_by: Column,
     name: str,
     newest_first: bool = False,
+    how: str = "sum",
 ) -> DataFrame:
-    """Cumulative sum of ``value`` per key along ``order``.
+    """Cumulative sum (or maximum) of ``value`` per key along ``order``.
 
     ``bin_by`` is a coarse position that grows with the order (an hour, a block of
     turns). Totals per bin are small and give each bin its starting offset; the exact
     sum then runs inside (key, bin) groups, so a hot key is spread over its bins.
     """
+    combine = {"sum": F.sum, "max": F.max}[how]
     flip = (lambda c: F.desc(c)) if newest_first else (lambda c: F.asc(c))
     binned = df.withColumn("_bin", bin_by).withColumn("_v", value)
-    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_v").alias("_s"))
+    sums = binned.groupBy(*keys, "_bin").agg(combine("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy(flip("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_bin").alias("_k_bin"),
-        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"),
+        combine("_s").over(before).alias("_offset"),
     )
     match = F.col("_bin").eqNullSafe(F.col("_k_bin"))
     for k in keys:
@@ -39,8 +41,6 @@ def running_total(
         .orderBy(*[flip(o) for o in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        binned.join(offsets, match, "inner")
-        .withColumn(name, F.col("_offset") + F.sum("_v").over(inside))
-        .select(*df.columns, name)
-    )
+    here = combine("_v").over(inside)
+    total = F.coalesce(F.col("_offset"), F.lit(0)) + here if how == "sum" else F.greatest("_offset", here)
+    return binned.join(offsets, match, "inner").withColumn(name, total).select(*df.columns, name)

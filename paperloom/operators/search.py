@@ -180,7 +180,8 @@ def _top_task(block_ref, keeps: list[int], decimals: int, rerank: bool) -> Calla
                 raise ValueError("query and paper vectors differ in width")
             scores = np.round(max_sim_matrix(q, block.starts, unit_rows(raw), counts) / per_query, decimals)
             if "allowed" in batch.schema.names:
-                allowed = np.array(batch.column("allowed").to_pylist(), dtype=bool).T
+                flags = batch.column("allowed").flatten().to_numpy(zero_copy_only=False).astype(bool)
+                allowed = flags.reshape(len(ids), -1).T
             else:
                 allowed = np.ones(scores.shape, dtype=bool)
             picks = [t.candidates(scores[j], allowed[j]) for j, t in enumerate(tops)]
@@ -390,8 +391,14 @@ def centre_vectors(chunks: DataFrame) -> DataFrame:
 
 
 def question_scores(questions: DataFrame, papers: DataFrame) -> DataFrame:
-    """Mean cosine of each question with the pooled vector of each paper of its task."""
-    pairs = questions.join(papers.withColumnRenamed("embedding", "pooled"), "task_id")
-    return pairs.groupBy("task_id", "question").agg(
-        F.round(F.avg(V.cosine(F.col("pooled"), F.col("embedding"))), DECIMALS).alias("score")
+    """Mean cosine of each question with the pooled vector of each paper of its task.
+
+    The mean of cosines is the dot product with the mean unit vector, so a task's papers
+    shrink to one vector before they meet its questions and no pair is formed.
+    """
+    units = papers.select("task_id", V.unit(F.col("embedding")).alias("embedding"))
+    centre = pack_positions(mean_vector(units, ("task_id",)), ("task_id",)).withColumnRenamed("embedding", "centre")
+    asked = questions.join(centre, "task_id")
+    return asked.select(
+        "task_id", "question", F.round(V.dot(V.unit(F.col("embedding")), F.col("centre")), DECIMALS).alias("score")
     )
