@@ -108,9 +108,13 @@ def author_commas(authors: Column) -> Column:
 
 
 def first_version_date(created: Column) -> Column:
-    """A mail-style date such as 'Mon, 2 Apr 2007 19:18:42 GMT'. The weekday carries no information and is cut."""
-    plain = F.regexp_replace(created, "^[A-Za-z]+, ", "")
-    return F.to_date(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss z")))
+    """The day of a mail-style date such as 'Mon, 2 Apr 2007 19:18:42 GMT'.
+
+    The day is read as written, so the session's time zone cannot move it; the weekday
+    carries no information and is not read.
+    """
+    day = F.regexp_extract(created, r"(\d{1,2} [A-Za-z]{3} \d{4})", 1)
+    return F.to_date(F.try_to_timestamp(day, F.lit("d MMM yyyy")))
 
 
 def default_doi(doi: Column, paper_id: Column) -> Column:

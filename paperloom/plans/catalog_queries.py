@@ -613,13 +613,18 @@ SELECT id AS "paperId", 'Ann, Bo, ' || source AS "authorName",
 )
 def snapshot_normalise(spark, sf):
     """Documents as raw snapshot records."""
+    wanted = ["paperId", "authorName", "fieldsOfStudy", "openAccessPdf", "publicationDate", "publicationYear", "doi"]
+    return feeds.normalise_snapshot(_snapshot(spark, sf)).select(*wanted)
+
+
+def _snapshot(spark, sf):
     i = F.col("doc_id")
     day = F.date_add(F.lit("2007-04-02").cast("date"), (i % 5000).cast("int"))
     created = F.concat(F.date_format(day, "E, d MMM yyyy"), F.lit(" 10:00:00 GMT"))
     version = lambda v, c: F.struct(F.lit(v).alias("version"), c.alias("created"))
     codes = F.array(F.lit("cs.AI stat.ML"), F.lit("physics.geo-ph"), F.lit("q-bio.GN made-up"), F.lit("hep-th cond-mat.str-el"))
     none = F.lit(None).cast("string")
-    raw = read_table(spark, sf, "documents").select(
+    return read_table(spark, sf, "documents").select(
         F.concat(F.lit("d"), i.cast("string")).alias("id"),
         F.col("text").alias("title"), F.col("text").alias("abstract"), none.alias("submitter"), none.alias("comments"),
         none.alias("journal-ref"), none.alias("report-no"), none.alias("license"),
@@ -628,8 +633,34 @@ def snapshot_normalise(spark, sf):
         F.when(i % 3 > 0, F.concat(F.lit("10.1/"), i.cast("string"))).alias("doi"),
         F.array(version("v1", created), version("v2", F.lit("Mon, 1 Jan 2024 00:00:00 GMT"))).alias("versions"),
     )
-    wanted = ["paperId", "authorName", "fieldsOfStudy", "openAccessPdf", "publicationDate", "publicationYear", "doi"]
-    return feeds.normalise_snapshot(raw).select(*wanted)
+
+
+@query(
+    "snapshot_merge",
+    """WITH s AS (SELECT 'd' || doc_id AS pid, text AS title, doc_id % 4 AS k, CASE WHEN doc_id % 3 = 0 THEN '10.48550/arXiv.d' || doc_id ELSE '10.1/' || doc_id END AS doi,
+  year(DATE '2007-04-02' + CAST(doc_id % 5000 AS INT)) AS y, 'gs://arxiv-dataset/arxiv/arxiv/pdf/d' || doc_id || '/d' || doc_id || 'v2.pdf' AS link FROM documents),
+n AS (SELECT doi, s.pid, 'arXiv.org' AS venue, link FROM s JOIN (SELECT title, min(pid) AS pid FROM s WHERE k IN (1, 3) AND y = 2008 GROUP BY title) f ON s.pid = f.pid),
+o AS (SELECT '10.1/' || doc_id AS doi, 's' || doc_id AS pid, 'stored' AS venue, 'http://h/d' || doc_id AS link FROM documents WHERE doc_id % 2 = 1),
+j AS (SELECT coalesce(n.doi, o.doi) AS doi, coalesce(n.pid, o.pid) AS pid, coalesce(n.venue, o.venue) AS venue, coalesce(n.link, o.link) AS link FROM n FULL OUTER JOIN o ON n.doi = o.doi)
+SELECT j.doi, j.pid AS "paperId", j.venue, coalesce(s.link, j.link) AS "openAccessPdf" FROM j LEFT JOIN s ON list_extract(string_split(j.link, '/'), -1) = s.pid""",
+)
+def snapshot_merge(spark, sf):
+    """One year of snapshot papers, in the fields the stored table covers, merged over it."""
+    from paperloom.plans import jobs
+
+    i = F.col("doc_id")
+    key = i.cast("string")
+    stored = read_table(spark, sf, "documents").where(i % 2 == 1).select(
+        F.concat(F.lit("10.1/"), key).alias("doi"),
+        F.concat(F.lit("s"), key).alias("paperId"),
+        F.lit("stored").alias("venue"),
+        F.when(i % 4 == 1, "Geology,x").otherwise("Physics,x").alias("fieldsOfStudy"),
+        F.concat(F.lit("http://h/d"), key).alias("openAccessPdf"),
+        F.lit("t").alias("title"),
+    )
+    snapshot = feeds.normalise_snapshot(_snapshot(spark, sf))
+    meta, _ = jobs.merge_snapshot(snapshot, stored.drop("title"), stored.drop("venue", "fieldsOfStudy"), 2008)
+    return meta.select("doi", "paperId", "venue", "openAccessPdf")
 
 
 @query(

@@ -100,3 +100,14 @@ def test_refresh_vectors_finds_no_new_work_on_its_own_output(spark):
     assert rows(advanced, "paperId", "status") == [("a", "abstract_pushed"), ("b", "pdf_pushed")]
     again, _ = jobs.refresh_vectors(meta, advanced, E.hashed_words(16), chunk_size=30)
     assert again.count() == 0
+
+
+def test_extracted_documents_update_the_text_table(spark):
+    words = "plain body words that go on for a while in this block of text"
+    full = "".join(f"\n**BLOCK**fs== 10.0**p== {i}.0**b== 0.1**t== 0.1**l== 0.1**r== 0.1**\n{words} {i}" for i in range(4))
+    docs = spark.createDataFrame([("1", "a", full)], "doi string, paperId string, full_text string")
+    text = spark.createDataFrame([("1", "a", "t", "None"), ("2", "b", "u", "None")], "doi string, paperId string, title string, status string")
+    meta = spark.createDataFrame([("a",), ("b",)], "paperId string")
+    out = {r["paperId"]: r for r in jobs.extract_text(docs, text, meta, as_of_year=2026).collect()}
+    assert out["a"]["status"] == "extracted" and out["a"]["title"] == "t" and out["a"]["main_text"].count("plain body") == 4
+    assert out["b"]["status"] == "None" and out["b"]["main_text"] is None
