@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from paperloom.operators.search import mean_vector
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
 BATCH_TEXTS = 64
 
@@ -52,7 +54,6 @@ def embed_texts(df: DataFrame, text: str, encoder: Callable[[], Encoder], prefix
     return ordered.mapInArrow(run, schema)
 
 
-def masked_mean(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
-    """Mean of token vectors over the masked-in tokens, as (key, pos, value)."""
-    rows = tokens.select(key, mask, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
-    return rows.groupBy(key, "pos").agg((F.sum(F.col("x") * F.col(mask)) / F.sum(mask)).alias("value"))
+def masked_mean(tokens: DataFrame, key: str, mask: str) -> DataFrame:
+    """Mean of token vectors over the masked-in tokens; ``tokens`` has the key, embedding and mask."""
+    return mean_vector(tokens, (key,), weight=mask)

@@ -10,12 +10,14 @@ Query sets over the limit are answered block by block, each block in its own sca
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import vectors as V
@@ -366,26 +368,17 @@ def page(ranked: DataFrame, rank: str, offset: int, limit: int) -> DataFrame:
     return ranked.where(F.col(rank).between(offset + 1, offset + limit))
 
 
-def mean_vector(chunks: DataFrame, keys: tuple[str, ...] = ("paperId",)) -> DataFrame:
-    """Element-wise mean of a group's vectors, as (keys, pos, value): one partial sum per position before the shuffle."""
-    return (
-        chunks.select(*keys, F.posexplode(V.as_doubles(F.col("embedding"))).alias("pos", "x"))
-        .groupBy(*keys, "pos")
-        .agg(F.avg("x").alias("value"))
-    )
-
-
-def pack_positions(positions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, pos, value) rows to one array per key; the group size is the vector width."""
-    return positions.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda c: c["value"]).alias("embedding")
-    )
+def mean_vector(chunks: DataFrame, keys: Sequence[str] = ("paperId",), weight: str | None = None) -> DataFrame:
+    """The (weighted) mean vector of each group, as (keys, embedding): one running mean per group and task
+    is shuffled, never the vectors."""
+    vector = array_to_vector(V.as_doubles(F.col("embedding")))
+    mean = Summarizer.mean(vector) if weight is None else Summarizer.mean(vector, F.col(weight).cast("double"))
+    return chunks.groupBy(*keys).agg(mean.alias("_m")).select(*keys, vector_to_array("_m").alias("embedding"))
 
 
 def centre_vectors(chunks: DataFrame) -> DataFrame:
     """Vectors minus the corpus mean, then L2-normalised. The mean is one row of vector width."""
-    centroid = pack_positions(mean_vector(chunks.withColumn("_all", F.lit(1)), ("_all",)), ("_all",))
-    mean = centroid.select("embedding").scalar()
+    mean = mean_vector(chunks, ()).scalar()
     shifted = F.zip_with(V.as_doubles(F.col("embedding")), F.col("_mean"), lambda x, m: x - m)
     return chunks.withColumn("_mean", mean).withColumn("embedding", V.unit(shifted)).drop("_mean")
 
@@ -397,7 +390,7 @@ def question_scores(questions: DataFrame, papers: DataFrame) -> DataFrame:
     shrink to one vector before they meet its questions and no pair is formed.
     """
     units = papers.select("task_id", V.unit(F.col("embedding")).alias("embedding"))
-    centre = pack_positions(mean_vector(units, ("task_id",)), ("task_id",)).withColumnRenamed("embedding", "centre")
+    centre = mean_vector(units, ("task_id",)).withColumnRenamed("embedding", "centre")
     asked = questions.join(centre, "task_id")
     return asked.select(
         "task_id", "question", F.round(V.dot(V.unit(F.col("embedding")), F.col("centre")), DECIMALS).alias("score")

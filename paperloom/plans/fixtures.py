@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.operators.search import mean_vector, pack_positions
+from paperloom.operators.search import mean_vector
 from paperloom.session import read_table, spread
 
 
@@ -119,7 +119,7 @@ CHUNK_VECTORS = """v AS (
 def label_queries(spark: SparkSession, sf: str) -> DataFrame:
     """One query per label: its sub-queries are the mean vectors of the label's chunks at each chunk position."""
     v = chunk_vectors(spark, sf).withColumn("query_id", F.col("label").cast("string")).withColumnRenamed("chunk_idx", "qi")
-    means = pack_positions(mean_vector(v, ("query_id", "qi")), ("query_id", "qi"))
+    means = mean_vector(v, ("query_id", "qi"))
     return means.withColumn("topK", (F.lit(3) + F.col("query_id").cast("int") % 3).cast("int"))
 
 

@@ -31,6 +31,13 @@ def _papers(spark, sf):
     return S.pack_vectors(X.chunk_vectors(spark, sf), payload=("publicationYear", "citationCount"))
 
 
+def _positions(vectors, *keys):
+    """One row per vector position."""
+    keys = keys or ("paperId",)
+    rows = vectors.select(*keys, F.posexplode("embedding").alias("pos", "value"))
+    return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
 def _payload_filter():
     return (F.col("publicationYear") >= 2017) & (F.col("citationCount") < 90)
 
@@ -140,7 +147,7 @@ def search_single_vector_topk(spark, sf):
     """The ten nearest single vectors of each label's mean vector."""
     v = X.chunk_vectors(spark, sf)
     keyed = v.withColumn("query_id", F.col("label").cast("string"))
-    queries = S.pack_positions(S.mean_vector(keyed, ("query_id",)), ("query_id",)).select(
+    queries = S.mean_vector(keyed, ("query_id",)).select(
         "query_id", F.lit(0).alias("qi"), "embedding", F.lit(10).alias("topK")
     )
     singles = v.select((F.col("p") * 5 + F.col("chunk_idx")).cast("string").alias("paperId"), F.array("embedding").alias("vectors"))
@@ -246,8 +253,7 @@ def best_chunk_texts(spark, sf):
   SELECT "paperId", unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM v) GROUP BY "paperId", pos""",
 )
 def paper_mean_vector(spark, sf):
-    means = S.mean_vector(X.chunk_vectors(spark, sf))
-    return means.select("paperId", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+    return _positions(S.mean_vector(X.chunk_vectors(spark, sf)))
 
 
 @query(
@@ -260,9 +266,7 @@ u AS (SELECT "paperId", chunk_idx, list_transform(d, lambda x: x / sqrt(list_inn
 SELECT "paperId", chunk_idx, generate_subscripts(u, 1) - 1 AS pos, round(unnest(u), 6) AS value FROM u""",
 )
 def centroid_centering(spark, sf):
-    centred = S.centre_vectors(X.chunk_vectors(spark, sf))
-    rows = centred.select("paperId", "chunk_idx", F.posexplode("embedding").alias("pos", "value"))
-    return rows.select("paperId", "chunk_idx", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+    return _positions(S.centre_vectors(X.chunk_vectors(spark, sf)), "paperId", "chunk_idx")
 
 
 @query(
@@ -299,8 +303,7 @@ def masked_mean_pooling(spark, sf):
     from paperloom.operators.embed import masked_mean
 
     v = X.chunk_vectors(spark, sf).withColumn("mask", F.col("chunk_idx").between(1, 3).cast("int"))
-    pooled = masked_mean(v, "paperId", "embedding", "mask")
-    return pooled.select("paperId", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+    return _positions(masked_mean(v, "paperId", "mask"))
 
 
 @query(
@@ -319,8 +322,8 @@ def question_scores(spark, sf):
     """Labels as open questions, papers spread over seven notebooks."""
     v = X.chunk_vectors(spark, sf).withColumn("question", F.col("label").cast("string"))
     task = lambda c: (c % 7).cast("string").alias("task_id")
-    papers = S.pack_positions(S.mean_vector(v, ("paperId", "p")), ("paperId", "p")).select(task(F.col("p")), "embedding")
-    questions = S.pack_positions(S.mean_vector(v, ("question",)), ("question",)).select(
+    papers = S.mean_vector(v, ("paperId", "p")).select(task(F.col("p")), "embedding")
+    questions = S.mean_vector(v, ("question",)).select(
         task(F.col("question").cast("bigint")), "question", "embedding"
     )
     return S.question_scores(questions, papers)
@@ -344,6 +347,4 @@ def attention_pooling(spark, sf):
     width = 64
     direction = np.array([(i + 1) % 3 - 1 for i in range(width)], dtype=float)
     bias = 0.5 * direction / (direction @ direction)
-    pooled = attention_pool(papers, np.eye(width), bias, direction)
-    rows = pooled.select("paperId", F.posexplode("embedding").alias("pos", "value"))
-    return rows.select("paperId", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+    return _positions(attention_pool(papers, np.eye(width), bias, direction))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.operators.search import mean_vector, pack_positions, pack_vectors
+from paperloom.operators.search import mean_vector, pack_vectors
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "paperId") -> DataFrame:
@@ -39,7 +39,7 @@ def existing_keys(df: DataFrame, key: str = "paperId") -> DataFrame:
 def embedding_documents(chunks: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
     """Per paper its vectors, payloads in chunk order, and mean vector."""
     packed = pack_vectors(chunks)
-    mean = pack_positions(mean_vector(chunks), ("paperId",)).withColumnRenamed("embedding", "mean_embedding")
+    mean = mean_vector(chunks).withColumnRenamed("embedding", "mean_embedding")
     out = packed.withColumnRenamed("vectors", "embeddings").join(mean, "paperId")
     if payload:
         rows = chunks.groupBy("paperId").agg(
