@@ -51,6 +51,9 @@ ANSWER_SCHEMAS: dict[str, dict[str, tuple[tuple[str, ...], str]]] = {
 }
 ALL_PAPER_SECTIONS = ("introduction", "tldr")
 NO_ARTICLES = "No article relevant to the query were found in the database"
+CARD = "--- Article ---\nArticle ID: [%s]\nTitle: %s\nAuthors: %s et al.\nDate: %s\n%sExcerpt:\n%s\n"
+CARD_ABSTRACT = "Abstract:\n%s\n"
+CARD_EXCERPT = "'%s'\n"
 THINK = r"(?s)<think>(.*?)</think>"
 
 
@@ -145,16 +148,13 @@ def build_prompt(template: Column, values: Mapping[str, Column]) -> Column:
 
 def article_card(paper: Mapping[str, Column], include_abstract: bool = False) -> Column:
     """The fixed text card of a paper; ``paper`` maps field names to columns, best_chunks to an array."""
-    parts = [
-        F.lit("--- Article ---\nArticle ID: ["), paper["paperId"], F.lit("]\nTitle: "), paper["title"],
-        F.lit("\nAuthors: "), F.split_part(paper["authorName"], F.lit(","), F.lit(1)), F.lit(" et al.\nDate: "),
-        paper["publicationDate"], F.lit("\n"),
-    ]
-    if include_abstract:
-        parts += [F.lit("Abstract:\n"), paper["abstract"], F.lit("\n")]
-    first = F.get(paper["best_chunks"], F.lit(0))
-    excerpt = F.when(first.isNotNull(), F.concat(F.lit("'"), first, F.lit("'\n"))).otherwise(F.lit(""))
-    return F.concat(*[F.coalesce(p, F.lit("None")) for p in parts], F.lit("Excerpt:\n"), excerpt, F.lit("\n"))
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    author = F.split_part(paper["authorName"], F.lit(","), F.lit(1))
+    abstract = F.format_string(CARD_ABSTRACT, shown(paper["abstract"])) if include_abstract else F.lit("")
+    chunk = F.get(paper["best_chunks"], F.lit(0))
+    excerpt = F.when(chunk.isNotNull(), F.format_string(CARD_EXCERPT, chunk)).otherwise(F.lit(""))
+    fields = [shown(c) for c in (paper["paperId"], paper["title"], author, paper["publicationDate"])]
+    return F.format_string(CARD, *fields, abstract, excerpt)
 
 
 def article_cards(cards: Column) -> Column:

@@ -15,7 +15,8 @@ from paperloom.functions import text as T
 from paperloom.functions.rows import hold
 
 # Block marker, reference headings, look-ahead and thresholds.
-BLOCK_MARK = "**BLOCK**"
+BLOCK_HEAD = "\n**BLOCK**fs==% .1f**p==% .1f**b==% .1f**t==% .1f**l==% .1f**r==% .1f**\n"
+BLOCK_SPLIT = r"\*\*BLOCK\*\*fs=="
 REF_HEADINGS = ("references", "References", "REFERENCES", "Literature Cited")
 LOOK_AHEAD = 20
 FIRST_YEAR = 1950
@@ -56,7 +57,7 @@ def inside_margins(blocks: DataFrame, key: str) -> DataFrame:
 def serialise(blocks: DataFrame, key: str) -> DataFrame:
     """One text per document: a header of size, page and margins before each block."""
     head = F.format_string(
-        "\n**BLOCK**fs==% .1f**p==% .1f**b==% .1f**t==% .1f**l==% .1f**r==% .1f**\n",
+        BLOCK_HEAD,
         *[F.col(c).cast("double") for c in ("fontsize", "page", *MARGINS)],
     )
     rows = blocks.select(key, F.struct("block_idx", F.concat(head, F.col("content")).alias("t")).alias("s"))
@@ -67,7 +68,7 @@ def serialise(blocks: DataFrame, key: str) -> DataFrame:
 
 def parse_blocks(full_text: Column) -> Column:
     """Serialised text as an array of typed blocks; pieces with an unreadable header are skipped."""
-    pieces = F.split(full_text, r"\*\*BLOCK\*\*fs==")
+    pieces = F.split(full_text, BLOCK_SPLIT)
     body = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def block(piece: Column) -> Column:

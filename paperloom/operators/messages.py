@@ -20,6 +20,7 @@ QUESTION_TEXT = "*explore questions*"
 WORKER_MODEL = "search-worker"
 SUMMARY_MODEL = "summarizer"
 HISTORY_WORDS = 1000
+SUMMARY_HEAD, RECENT_HEAD = "- PREVIOUS SUMMARIES:\n", "- RECENT HISTORY:\n"
 # Roles and modes that each mode drops before its turn runs again.
 RESET_RULES = (
     ("reply", "assistant", "reply"),
@@ -409,6 +410,6 @@ def history_text(messages: DataFrame) -> DataFrame:
         .agg(ordered(is_summary).alias("_p"), ordered(~is_summary).alias("_r"))
         .select(
             "task_id",
-            F.concat(F.lit("- PREVIOUS SUMMARIES:\n"), "_p", F.lit("- RECENT HISTORY:\n"), "_r").alias("history"),
+            F.concat(F.lit(SUMMARY_HEAD), "_p", F.lit(RECENT_HEAD), "_r").alias("history"),
         )
     )

@@ -198,3 +198,23 @@ def test_requery_skips_returned_papers_without_losing_ranks(spark):
     assert [r["paperId"] for r in got] == ["b", "c"]
 
 
+
+
+def test_questions_and_blended_search(spark):
+    from paperloom.operators import learn as L
+
+    asked = [{"task_id": "t", "query": {"queries": ["alpha", "gamma"]}, "query_id": "q", "topK": 2, "paperLock": False, "user_id": "u", "notebook_id": "n"}]
+    requests = Q.decode(spark.createDataFrame([(json.dumps(a),) for a in asked], "value string"), schemas.SEARCH_REQUEST)
+    papers = spark.createDataFrame([("p1", "alpha alpha"), ("p2", "alpha beta")], "paperId string, text string")
+    embedded = E.embed_texts(papers, "text", E.hashed_words(32), prefix="query: ")
+    pooled = embedded.select(F.lit("t").alias("task_id"), "embedding")
+    scores = {r["question"]: r["score"] for r in RS.score_questions(requests, pooled, E.hashed_words(32)).collect()}
+    assert set(scores) == {"alpha", "gamma"} and scores["alpha"] > scores["gamma"]
+
+    vectors = embedded.select("paperId", F.array("embedding").alias("vectors"))
+    flipped = lambda hits: hits.withColumn("blended_score", -F.col("rerank_score"))
+    plain = RS.search_requests(requests, vectors, E.hashed_words(32)).orderBy("rank").collect()
+    blended = RS.search_requests(requests, vectors, E.hashed_words(32), blend=flipped).orderBy("rank").collect()
+    assert [r["paperId"] for r in plain] == [r["paperId"] for r in blended][::-1]
+    unlabelled = RS.search_requests(requests, vectors, E.hashed_words(32), blend=lambda h: L.blend(h, None)).orderBy("rank").collect()
+    assert [r["paperId"] for r in unlabelled] == [r["paperId"] for r in plain]
