@@ -209,6 +209,21 @@ def _top_task(block_ref, keeps: list[int], decimals: int, rerank: bool) -> Calla
     return run
 
 
+def _mark_excluded(papers: DataFrame, exclude: DataFrame, block: QueryBlock) -> DataFrame:
+    """Papers with the queries of this block that leave them out, a list no longer than the block."""
+    ids = papers.sparkSession.createDataFrame([(i,) for i in block.ids], "query_id string")
+    marks = exclude.join(ids, "query_id", "left_semi").groupBy("paperId").agg(F.collect_set("query_id").alias("_out"))
+    return papers.join(marks, "paperId", "left")
+
+
+def _condition(query_filter, params: dict, excluded: bool) -> Column | None:
+    wanted = query_filter(params) if query_filter is not None else None
+    if not excluded:
+        return wanted
+    kept = ~F.coalesce(F.array_contains("_out", params["query_id"]), F.lit(False))
+    return kept if wanted is None else wanted & kept
+
+
 _HIT_SCHEMA = "query_id string, paperId string, retrieval_score double, rerank_score double"
 
 
@@ -217,6 +232,7 @@ def top_k(
     queries: DataFrame,
     factor: int = 1,
     query_filter: Callable[[dict], Column | None] | None = None,
+    exclude: DataFrame | None = None,
     rerank: bool = False,
     decimals: int = DECIMALS,
     block_floats: int = BLOCK_FLOATS,
@@ -224,7 +240,8 @@ def top_k(
     """The ``factor * topK`` nearest papers of every query, each query under its own filter.
 
     ``query_filter`` turns a query's parameters into a condition on the paper's
-    payload columns; it is evaluated by Spark, next to the scan. Returns
+    payload columns; it is evaluated by Spark, next to the scan. ``exclude`` holds
+    (query_id, paperId) pairs to leave out before the cut. Returns
     (query_id, paperId, retrieval_score, rerank_score, retrieval_rank, topK).
     """
     spark = papers.sparkSession
@@ -232,13 +249,13 @@ def top_k(
     for block in query_blocks(queries, block_floats):
         keeps = [factor * k for k in block.top_k]
         columns = [F.col("paperId"), F.col("vectors")]
-        if query_filter is not None:
-            conditions = [query_filter(p) for p in block.params]
-            if any(c is not None for c in conditions):
-                flags = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in conditions]
-                columns.append(F.array(*flags).alias("allowed"))
+        source = papers if exclude is None else _mark_excluded(papers, exclude, block)
+        conditions = [_condition(query_filter, p, exclude is not None) for p in block.params]
+        if any(c is not None for c in conditions):
+            flags = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in conditions]
+            columns.append(F.array(*flags).alias("allowed"))
         # A row no query may see is dropped before it is shipped to Python.
-        source = papers.select(*columns)
+        source = source.select(*columns)
         if len(columns) == 3:
             source = source.where(F.array_contains("allowed", True))
         task = _top_task(spark.sparkContext.broadcast(block), keeps, decimals, rerank)

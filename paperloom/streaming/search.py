@@ -90,7 +90,5 @@ def requery_new_papers(new_papers: DataFrame, stored_queries: DataFrame, returne
 
     Papers already returned are taken out before the cut, so they use up no rank.
     """
-    given = returned.groupBy("paperId").agg(F.collect_set("query_id").alias("given_to"))
-    marked = new_papers.join(given, "paperId", "left")
-    unseen = lambda p: ~F.coalesce(F.array_contains("given_to", p["query_id"]), F.lit(False))
-    return S.top_k(marked, stored_queries, query_filter=unseen).select("query_id", "paperId", "retrieval_score", "retrieval_rank")
+    hits = S.top_k(new_papers, stored_queries, exclude=returned)
+    return hits.select("query_id", "paperId", "retrieval_score", "retrieval_rank")
