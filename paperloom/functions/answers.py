@@ -49,6 +49,15 @@ ANSWER_SCHEMAS: dict[str, dict[str, tuple[tuple[str, ...], str]]] = {
         "paperIds": (("paper", "references", "papers"), "array<string>"),
     },
 }
+# Shapes of dates in answers and their formats.
+DATE_FORMS = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d{2}$", "yyyy-MM"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
+    (r"^[A-Za-z]{4,} \d{4}$", "MMMM yyyy"),
+    (r"^\d{4}$", "yyyy"),
+)
 ALL_PAPER_SECTIONS = ("introduction", "tldr")
 NO_ARTICLES = "No article relevant to the query were found in the database"
 CARD = "--- Article ---\nArticle ID: [%s]\nTitle: %s\nAuthors: %s et al.\nDate: %s\n%sExcerpt:\n%s\n"
@@ -124,9 +133,11 @@ def parse_plan(answer: Column) -> Column:
 
 def normal_date(text: Column) -> Column:
     """Full, month-year or year-only dates as yyyy-MM-dd; missing parts are 1."""
-    forms = ("yyyy-MM-dd", "yyyy-MM", "d MMM yyyy", "MMM yyyy", "MMMM yyyy", "yyyy")
     title = F.initcap(F.trim(text))
-    parsed = F.coalesce(*[F.try_to_timestamp(title, F.lit(f)) for f in forms])
+    # A pattern picks the format, so a text is parsed once instead of failing through all of them.
+    parsed = F.coalesce(
+        *[F.when(F.rlike(title, F.lit(shape)), F.try_to_timestamp(title, F.lit(form))) for shape, form in DATE_FORMS]
+    )
     return F.date_format(parsed, "yyyy-MM-dd")
 
 
