@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import substring
+from paperloom.llm import dartminhash, decontaminate, licenses, mixing, substring
 from paperloom.llm.tables import given
 
 QUERIES = {}
@@ -41,3 +41,86 @@ _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]
 )
 def op9(spark, sf_dir):
     return substring.digest(given(spark, sf_dir, "documents"))
+
+
+@query("op7_dart_minhash")
+def op7(spark, sf_dir):
+    return dartminhash.classes(given(spark, sf_dir, "documents"))
+
+
+_SOURCES = """
+    d AS MATERIALIZED (SELECT doc_id, source, len(%s)::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+                 [5, 2, 1][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) %% 3] AS weight
+          FROM d GROUP BY source),
+    r AS (SELECT *, cap / weight AS ratio FROM s),
+    l AS (SELECT ratio, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER before, 0))::DOUBLE
+                 / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS lev
+          FROM r WINDOW before AS (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP)),
+    t AS (SELECT source, source_size, least((SELECT arg_min(lev, ratio) FROM l WHERE lev <= ratio) * weight, cap::DOUBLE) AS target FROM s)
+""" % _WORDS
+
+
+@query(
+    "op6_source_mix",
+    f"""
+    WITH {_SOURCES},
+    p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+                 row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS place,
+                 CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+                 ('0x' || substr(md5(coalesce(d.source, '') || 'mix-1'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS offs
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           ((floor(rate * (place + 1) + offs) - floor(rate * place + offs)) * size)::BIGINT AS taken
+    FROM p
+    """,
+)
+def op6(spark, sf_dir):
+    return mixing.report(given(spark, sf_dir, "documents"))
+
+
+def _held(table: str, key: str, words: str) -> str:
+    """(key, n, sh): distinct shingles of five words, or of all words where they are fewer."""
+    return f"""SELECT {key}, n, len(w) AS words, unnest(list_distinct(list_transform(range(1, len(w) - n + 2),
+               lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS sh
+               FROM (SELECT {key}, w, least(5, len(w)) AS n FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+@query(
+    "op10_benchmark_leaks",
+    f"""
+    WITH b AS MATERIALIZED ({_held("benchmark", "item_id", _WORDS)}),
+    t AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
+    d AS ({_held("documents", "doc_id", _WORDS)})
+    SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles
+    FROM d JOIN b ON d.sh = b.sh AND d.n = b.n JOIN t USING (item_id)
+    GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
+    """,
+)
+def op10(spark, sf_dir):
+    return decontaminate.leaks(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+
+
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
+_PLAIN = _WORDS.replace(
+    "coalesce(text, '')",
+    """regexp_replace(lower(coalesce(text, '')), '[,;:()"“”]|\\.([\\x20\\x09-\\x0D]|$)', '\\1', 'g')""",
+)
+
+
+@query(
+    "op5_license_scan",
+    f"""
+    WITH notices(item_id, license, text) AS (VALUES {_NOTICES}),
+    b AS MATERIALIZED ({_held("notices", "item_id", _PLAIN)}),
+    t AS (SELECT item_id, count(*) AS template_shingles FROM b GROUP BY item_id),
+    w AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
+    d AS (SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS sh
+          FROM w, (VALUES (3), (5)) AS k(n) WHERE len(w) >= n)
+    SELECT doc_id, item_id AS template_id, any_value(license) AS license, count(*) AS shared, any_value(template_shingles) AS template_shingles
+    FROM d JOIN b ON d.sh = b.sh AND d.n = b.n JOIN t USING (item_id) JOIN notices USING (item_id)
+    GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(template_shingles)
+    """,
+)
+def op5(spark, sf_dir):
+    return licenses.scan(given(spark, sf_dir, "documents"), licenses.templates(spark))

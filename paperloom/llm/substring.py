@@ -138,6 +138,7 @@ def copies(profiles: DataFrame) -> DataFrame:
     """Documents with windows whose words are all those of a smaller doc_id, with that id."""
     rows = profiles.where(f"doc_id IS NOT NULL AND n_words >= {WINDOW}").select(*_KEY, "sha")
     groups = rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    groups = stored(groups, "copy-groups")  # apart from the join, so that a hot group can be split there
     return rows.join(groups, "sha").where("doc_id > first").select(*_KEY, "first").distinct()
 
 
