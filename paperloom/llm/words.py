@@ -58,8 +58,11 @@ def _power(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def pieces(column: pa.Array) -> Iterator[Piece]:
-    """Cuts a string column, nulls as empty texts, into pieces with their words found."""
+def pieces(column: pa.Array, folded: np.ndarray | None = None) -> Iterator[Piece]:
+    """Cuts a string column, nulls as empty texts, into pieces with their words found.
+
+    ``folded`` maps each byte to the one that stands for it.
+    """
     column = column.fill_null("").cast(pa.large_string())
     n = len(column)
     if not n:
@@ -72,6 +75,8 @@ def pieces(column: pa.Array) -> Iterator[Piece]:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PIECE, "right")) - 1)
         rows = bounds[first : last + 1] - bounds[first]
         text = data[bounds[first] : bounds[last]]
+        if folded is not None:
+            text = folded[text]
         inside = ~_SPACE[text]
         fresh = np.ones(len(text) + 1, bool)  # a word may start here: a blank or a row bound stands before
         fresh[1:] = ~np.append(inside, False)[:-1]
