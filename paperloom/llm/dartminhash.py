@@ -10,11 +10,12 @@ the rank. A coordinate agrees between two documents with the probability of thei
 similarity. ``BANDS`` bands of ``ROWS`` coordinates meet at similarity 0.8 with probability
 1 - (1 - 0.8^5)^20 > 0.9995.
 
-Documents with equal words are one node. Within a band's bucket nobody is compared with
-everybody: each bucket has centers and the others are compared with those; pairs already in one
-class are skipped. Buckets that still hold several classes get more centers, eight times as many
-in each round, until their members are one class or each pair has been compared. A link needs an
-exact Jaccard similarity of 0.8 of the shingle sets. Classes are connected components.
+Documents with equal words are one node. A bucket's nodes are compared with the smallest node of
+the bucket only, and each node with one such center. What the buckets connect is a family; most
+families are then one class. In a family that is not, the nodes outside its largest class are open:
+they are compared with all nodes of the family, in shares of bounded size and within the tasks, so
+that no pair is ever a row and no link is lost. A link needs an exact Jaccard similarity of 0.8 of
+the shingle sets. Classes are connected components.
 
 Defined results: null and wordless texts are copies of each other; a row with a null doc_id takes
 the class of equal text that has an id, else null; rows with one doc_id are one document; the
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.llm.tables import stored
@@ -38,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
+# Shingles in one share of a family (up to the last text), and columns of a matrix that counts shared ones.
+SHARE, COLUMNS = 1 << 17, 4096
 _THROWS = K * (math.log(K) + 2.5)
 _U = np.uint64
 _CELL, _RANK, _DART, _SPOT = (_U(x) for x in np.random.default_rng(5).integers(1, 2**63, 4) * 2 + 1)
@@ -161,42 +165,68 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _centers(members: DataFrame, parts: int) -> DataFrame:
-    """One center per bucket and hash class: the smallest node of each."""
-    share = F.pmod(F.xxhash64("nid"), F.lit(parts))
-    return members.groupBy("band", share.alias("share")).agg(F.min("nid").alias("center"))
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the open nodes of one share and the nodes of another share of a family.
+
+    Shared shingles of all pairs are counted at once, as a product of 0/1 matrices over the
+    shingles that both sides have, ``COLUMNS`` at a time. One link per pair of labels is enough.
+    """
+    open_side = table.filter(table["open"]).combine_chunks()
+    rest = table.filter(pc.invert(table["open"])).combine_chunks()
+    sizes = [t["set"].combine_chunks().value_lengths().to_numpy() for t in (open_side, rest)]
+    values = [t["set"].combine_chunks().flatten().to_numpy() for t in (open_side, rest)]
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    common = np.intersect1d(*values)
+    shared = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+    places = [np.searchsorted(common, v) for v in values]
+    known = [common[np.minimum(p, len(common) - 1)] == v if len(common) else np.zeros(len(v), bool) for p, v in zip(places, values)]
+    for at in range(0, len(common), COLUMNS):
+        sides = []
+        for n, p, k, row in zip(sizes, places, known, rows):
+            use = k & (p >= at) & (p < at + COLUMNS)
+            side = np.zeros((len(n), min(COLUMNS, len(common) - at)), np.float32)
+            side[row[use], p[use] - at] = 1
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    either = sizes[0][:, None] + sizes[1][None, :] - shared
+    labels = [t["label"].to_numpy() for t in (open_side, rest)]
+    i, j = np.nonzero((shared >= SIMILARITY * either) & (shared > 0) & (labels[0][:, None] != labels[1][None, :]))
+    _, one = np.unique(np.stack([labels[0][i], labels[1][j]]), axis=1, return_index=True)
+    ids = [t["nid"].to_numpy() for t in (open_side, rest)]
+    x, y = ids[0][i[one]], ids[1][j[one]]
+    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
 def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified pairs and their components, from (band, nid) rows of buckets with several nodes."""
     low = members.groupBy("band").agg(F.min("nid").alias("center"))
-    first = members.join(low, "band").groupBy("nid").agg(F.min("center").alias("center")).where("center < nid")
-    tested = stored(first.select(F.col("center").alias("a"), F.col("nid").alias("b")), "pairs")
-    found = stored(_verified(tested, sets), "links")
-    labels, parts = components(found), 1
-    while True:
-        placed = members.join(labels, "nid", "left").select("band", "nid", F.coalesce("label", "nid").alias("label"))
-        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-        members = stored(placed.join(mixed, "band"), "mixed")
-        centers = stored(_centers(members, parts), "centers")
-        heads = members.join(centers.select("band", F.col("center").alias("nid")), ["band", "nid"]).select(
-            "band", F.col("nid").alias("center"), F.col("label").alias("center_label")
-        )
-        cross = members.join(heads, "band").where("label <> center_label")
-        pairs = cross.select(F.least("nid", "center").alias("a"), F.greatest("nid", "center").alias("b")).distinct()
-        new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_verified(new, sets), "links")
-        tested = tested.union(new)
-        if not more.isEmpty():
-            found = found.union(more)
-            labels = components(found)
-        # all pairs of a bucket have been compared once at most one member is no center
-        heads_of = centers.groupBy("band").agg(F.count("*").alias("heads"))
-        sizes = members.groupBy("band").agg(F.count("*").alias("size")).join(heads_of, "band").where("size > heads + 1")
-        members = stored(members.select("band", "nid").join(sizes.select("band"), "band"), "members")
-        if members.isEmpty():
-            return found, labels
-        parts *= 8
+    near = stored(members.join(low, "band").where("center < nid").select("center", "nid").distinct(), "near")
+    first = near.groupBy("nid").agg(F.min("center").alias("a")).select("a", F.col("nid").alias("b"))
+    found = stored(_verified(first, sets), "links")
+    labels = components(found)
+    # families: what the buckets connect, whether or not it is alike
+    family = components(near.toDF("a", "b")).withColumnRenamed("label", "family")
+    placed = family.join(labels, "nid", "left").select("nid", "family", F.coalesce("label", "nid").alias("label"))
+    counts = placed.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    main = stored(main.select("family", "main"), "mixed")
+    mixed = stored(placed.join(main, "family").join(sets, "nid").select("family", "nid", "label", "set", (F.col("label") != F.col("main")).alias("open")), "mixed")
+    # shares of a family, so many that the shingles of one share are bounded
+    size = F.sum(F.size("set"))
+    shares = mixed.groupBy("family").agg(
+        F.ceil(size / SHARE).alias("n_all"), F.ceil(F.sum(F.when(F.col("open"), F.size("set"))) / SHARE).alias("n_open")
+    )
+    shares = stored(shares, "shares")
+    dealt = mixed.join(shares, "family").withColumn("hash", F.xxhash64("nid"))
+    mine = dealt.where("open").select(
+        "family", F.pmod("hash", "n_open").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1)).alias("j"), "nid", "label", "set", F.lit(True).alias("open")
+    )
+    others = dealt.select(
+        "family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_open") - 1)).alias("i"), F.pmod("hash", "n_all").alias("j"), "nid", "label", "set", F.lit(False).alias("open")
+    )
+    more = mine.unionByName(others).groupBy("family", "i", "j").applyInArrow(_compare, "a long, b long")
+    found = stored(found.union(more).distinct(), "links")
+    return found, components(found)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -208,7 +238,8 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("band").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("band")
     members = stored(rows.join(shared, "band", "left_semi").distinct(), "members")
     wanted = members.select("nid").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), "text").join(wanted, "nid", "left_semi")
+    # shuffled at any size, so that the plan is the same for few and for many
+    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), "text").join(wanted.hint("merge"), "nid", "left_semi")
     sets = stored(texts.mapInArrow(_sets, "nid long, set array<long>"), "sets")
     _, labels = links(members, sets)
     return (
