@@ -25,7 +25,6 @@ from paperloom.llm.tables import stored
 
 SHINGLE = 5
 CONTAINED = 0.8
-BLOCK = 4
 SMALLEST = 8
 # Item values that may be sent to every task: 24 bytes each, 24 MB at most. Beyond it both sides are shuffled.
 BROADCAST_VALUES = 1_000_000
@@ -73,9 +72,12 @@ def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]]
         first = F.xxhash64(F.lit(1), F.lit("constant"))
         df = hold(df, one=F.transform("sh", lambda x: x.bitwiseXOR(first)))
         out.append(F.col("one"))
-    if max(classes) > 1:
-        n_blocks = F.ceil(F.size("sh") / BLOCK).cast("int")
-        blocks = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice("sh", b * BLOCK + 1, BLOCK))).otherwise(
+    wide = sorted(classes - {1})
+    if wide:
+        # blocks of half the smallest class; three make its window
+        block = wide[0] // 2
+        n_blocks = F.ceil(F.size("sh") / block).cast("int")
+        blocks = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice("sh", b * block + 1, block))).otherwise(
             F.array().cast("array<array<long>>")
         )
         df = hold(df, blocks=blocks, constants=_constants(hashes)).drop("sh")
@@ -85,21 +87,22 @@ def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]]
         )
         df = hold(df, level=least).drop("blocks", "constants")
         triples = F.transform("level", lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + 1), F.get(m, i + 2))))
-        df = hold(df, at_8=triples).drop("level")
-        size = SMALLEST
-        while size < max(classes):
-            last = F.col(f"at_{size}")
+        size, df = wide[0], hold(df, **{f"at_{wide[0]}": triples}).drop("level")
+        while size < wide[-1]:
             wider = F.transform(
-                last,
-                lambda m: F.transform(
-                    F.filter(m, lambda _, i: i % 2 == 0), lambda x, i: F.least(x, F.get(m, i * 2 + 3))
-                ),
+                f"at_{size}",
+                lambda m: F.when(
+                    F.size(m) > 0,
+                    F.transform(
+                        F.sequence(F.lit(0), F.floor((F.size(m) - 1) / 2).cast("int")), lambda i: F.least(F.get(m, i * 2), F.get(m, i * 2 + 3))
+                    ),
+                ).otherwise(F.array().cast("array<long>")),
             )
             df = hold(df, **{f"at_{size * 2}": wider})
             if size not in classes:
                 df = df.drop(f"at_{size}")
             size *= 2
-        out += [F.flatten(f"at_{u}") for u in sorted(classes - {1})]
+        out += [F.flatten(f"at_{u}") for u in wide]
     return df.select("doc_id", F.array_distinct(F.concat(*out)).alias("values"))
 
 
