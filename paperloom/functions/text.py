@@ -32,7 +32,6 @@ OTHER_FIELD = "Other"
 PDF_PREFIX = "gs://arxiv-dataset/arxiv/arxiv/pdf/"
 DOI_PREFIX = "10.48550/arXiv."
 PUBLIC_LINK_PREFIX = "https://arxiv.org/pdf/"
-LINK_TRIES = 4
 
 
 def strip(c: Column) -> Column:
@@ -135,12 +134,13 @@ def force_https(url: Column) -> Column:
     return F.regexp_replace(url, "^http://", "https://")
 
 
-def version_fallbacks(link: Column) -> Column:
-    """The link, then the same link with lower versions: at most four tries, never below v1."""
+def version_fallbacks(link: Column, tries: int | None = None) -> Column:
+    """The link, then the same link with lower versions down to v1, ``tries`` links at most where that is given."""
     version = F.try_cast(F.regexp_extract(link, r"v(\d+)\.pdf$", 1), "int") if hasattr(F, "try_cast") else (
         F.regexp_extract(link, r"v(\d+)\.pdf$", 1).try_cast("int")
     )
-    steps = F.sequence(F.lit(0), F.least(F.lit(LINK_TRIES - 1), F.greatest(version - 1, F.lit(0))))
+    last = F.greatest(version - 1, F.lit(0))
+    steps = F.sequence(F.lit(0), last if tries is None else F.least(F.lit(tries - 1), last))
     lower = lambda k: F.regexp_replace(link, F.lit(r"v\d+\.pdf$"), F.concat(F.lit("v"), version - k, F.lit(".pdf")))
     return F.when(version.isNull(), F.array(link)).otherwise(F.transform(steps, lower))
 
@@ -177,7 +177,7 @@ def normal_words(text: Column) -> Column:
 
 
 def undo_initial_dots(text: Column) -> Column:
-    return F.regexp_replace(text, r"\b([A-Z][a-z]*)\.", "$1")
+    return F.regexp_replace(text, r"(?<![\p{L}\p{N}_])([A-Z][a-z]*)\.", "$1")
 
 
 def underscore_spaces(title: Column) -> Column:

@@ -24,9 +24,7 @@ MARGINS = ("bottom", "top", "left", "right")
 MARGIN_SHARE = 0.02
 MARGIN_WORDS = 10
 BODY_SHARE = 0.95
-MAX_FONT_SIZES = 1000
 MIN_REF_BLOCKS = 5
-MIN_DOC_CHARS = 100
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -106,10 +104,10 @@ def join_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, " ")
 
 
-def body_font(blocks: Column, whole_document: Column) -> Column:
+def body_font(blocks: Column, whole_document: Column, max_sizes: int | None = None) -> Column:
     """Most frequent font size over normal words in the first half of the pages.
 
-    0 without normal words or with too many sizes. When the first half has none,
+    0 without normal words, or with more than ``max_sizes`` sizes where that is given. When the first half has none,
     the whole document decides if ``whole_document`` holds, else 0.
     """
     worded = F.filter(blocks, lambda b: b["nwords"] > 0)
@@ -119,7 +117,8 @@ def body_font(blocks: Column, whole_document: Column) -> Column:
     mode = _mode(early, lambda b: b["nwords"].cast("bigint"))
     anywhere = F.when(whole_document, _mode(worded, lambda b: b["nwords"].cast("bigint")))
     found = F.coalesce(mode, anywhere, F.lit(0.0))
-    return F.when((F.size(worded) == 0) | (sizes > MAX_FONT_SIZES), F.lit(0.0)).otherwise(found)
+    none = F.size(worded) == 0
+    return F.when(none if max_sizes is None else none | (sizes > max_sizes), F.lit(0.0)).otherwise(found)
 
 
 def total_words(blocks: Column) -> Column:
@@ -226,9 +225,9 @@ def reference_text(section: Column, start: Column, font: Column) -> Column:
     return F.when((start > 0) & (F.size(section) > MIN_REF_BLOCKS), T.undo_initial_dots(plain))
 
 
-def clean_full_text(docs: DataFrame, with_references: bool, as_of_year: int) -> DataFrame:
-    """Adds main_text and ref_text from full_text; text under 100 characters gives empty ones."""
-    short = F.coalesce(F.length("full_text"), F.lit(0)) < MIN_DOC_CHARS
+def clean_full_text(docs: DataFrame, with_references: bool, as_of_year: int, min_chars: int = 0) -> DataFrame:
+    """Adds main_text and ref_text from full_text; null or less than ``min_chars`` of it gives empty ones."""
+    short = F.coalesce(F.length("full_text") < min_chars, F.lit(True))
     b = F.col("_b")
     d = hold(docs, _b=parse_blocks(F.col("full_text")))
     if with_references:
@@ -253,7 +252,7 @@ def find_references(docs: DataFrame, blocks: Column, as_of_year: int) -> DataFra
     return hold(d, _s=F.col("_r.start"), _e=F.when(F.col("_r").isNotNull(), end))
 
 
-def font_modes(blocks: DataFrame, key: str) -> DataFrame:
+def font_modes(blocks: DataFrame, key: str, max_sizes: int | None = None) -> DataFrame:
     """Body font per document from the block table: two aggregations, the first combining before the shuffle."""
     worded = blocks.where(F.col("nwords") > 0)
     last = worded.groupBy(key).agg(
@@ -265,6 +264,7 @@ def font_modes(blocks: DataFrame, key: str) -> DataFrame:
     )
     best = counts.groupBy(key, "_sizes").agg(F.max_by("fontsize", F.struct("n", -F.col("first"))).alias("fs"))
     docs = blocks.select(key).distinct()
+    found = F.coalesce("fs", F.lit(0.0))
     return docs.join(best, key, "left").select(
-        key, F.when(F.col("_sizes") > MAX_FONT_SIZES, 0.0).otherwise(F.coalesce("fs", F.lit(0.0))).alias("body_font")
+        key, (found if max_sizes is None else F.when(F.col("_sizes") > max_sizes, 0.0).otherwise(found)).alias("body_font")
     )

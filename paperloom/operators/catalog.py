@@ -30,7 +30,7 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Column, last: bool = Fal
 
     An aggregate rather than a window: each task keeps one row per key before the
     shuffle, so a key holding a third of the rows costs no more than any other.
-    Null keys count as one key.
+    Null keys count as one key; ``keep_keyed`` leaves rows without a key alone.
     """
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
@@ -38,6 +38,16 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Column, last: bool = Fal
     return best.select(*keys, "_row.*").select(*df.columns)
 
 
+def has_key(key: str) -> Column:
+    """Whether a row has the key at all: neither null nor empty nor the word for missing."""
+    return F.coalesce(~F.trim(key).isin("", MISSING), F.lit(False))
+
+
+def keep_keyed(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row per key, the first by ``order``, and all rows that have no key."""
+    return keep_one(df.where(has_key(key)), [key], order).unionByName(df.where(~has_key(key)))
+
+
 def decode_missing(df: DataFrame) -> DataFrame:
     """The word 'None' in string columns becomes null."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
@@ -54,26 +64,28 @@ def encode_missing(df: DataFrame, counts: Sequence[str] = ()) -> DataFrame:
 def combine_first(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Union of keys and columns; a value comes from ``new`` unless it is null there.
 
-    Keys must be unique per side (``keep_one``). Rows with a null or missing key match
-    nothing: they bypass the join, so they neither merge nor meet in one task.
+    Keys must be unique per side (``keep_keyed``). Rows without a key match nothing: they
+    bypass the join, so they neither merge nor meet in one task.
     """
     columns = list(dict.fromkeys([key, *new.columns, *old.columns]))
-    has_key = F.col(key).isNotNull() & (F.col(key) != MISSING)
-    n, o = new.where(has_key).alias("n"), old.where(has_key).alias("o")
+    n, o = new.where(has_key(key)).alias("n"), old.where(has_key(key)).alias("o")
 
     def pick(c: str) -> Column:
         sides = [F.col(f"{s}.{c}") for s, df in (("n", new), ("o", old)) if c in df.columns]
         return F.coalesce(*sides).alias(c)
 
     joined = n.join(o, F.col(f"n.{key}") == F.col(f"o.{key}"), "full_outer").select(*[pick(c) for c in columns])
-    lone = [df.where(~F.coalesce(has_key, F.lit(False))) for df in (new, old)]
+    lone = [df.where(~has_key(key)) for df in (new, old)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lone, joined)
 
 
 def merge_extracted(extracted: DataFrame, text: DataFrame, meta: DataFrame, order: str) -> DataFrame:
-    """Extracted text over stored text by doi, then back to exactly the papers of ``meta``."""
-    first = lambda df: keep_one(df, ["doi"], F.col(order))
-    merged = combine_first(first(extracted), first(text), "doi")
+    """Extracted text over stored text by doi, or by paper where there is none, then back to exactly
+    the papers of ``meta``."""
+    sides = extracted, text
+    by_doi = [keep_one(df.where(has_key("doi")), ["doi"], F.col(order)) for df in sides]
+    by_paper = [keep_one(df.where(~has_key("doi")), ["paperId"], F.col(order)) for df in sides]
+    merged = combine_first(*by_doi, "doi").unionByName(combine_first(*by_paper, "paperId"))
     return meta.select("paperId").join(merged, "paperId", "left")
 
 

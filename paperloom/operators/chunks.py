@@ -16,9 +16,7 @@ from paperloom.functions.text import strip
 
 # Chunking defaults and prompts of the e5 model family.
 CHUNK_SIZE = 170
-MAX_CHUNKS = 64
 SPARE_TOKENS = 5
-MIN_SENTENCE_TOKENS = 3
 MODEL_MAX_TOKENS = 512
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])"
 ROLE_PREFIXES = {"document": "passage: ", "query": "query: "}
@@ -42,8 +40,11 @@ def split_long(token_lists: Column, max_len: int) -> Column:
     return F.flatten(F.transform(token_lists, lambda t: F.when(F.size(t) > max_len, cut(t)).otherwise(F.array(t))))
 
 
-def chunk_ends(lengths: Column, limit: int, max_chunks: int) -> Column:
-    """Where chunks end in the flat token array: sentences are added while the total stays under ``limit``."""
+def chunk_ends(lengths: Column, limit: int, max_chunks: int | None = None) -> Column:
+    """Where chunks end in the flat token array: sentences are added while the total stays under ``limit``.
+
+    With ``max_chunks`` the search ends two chunks behind it.
+    """
     start = F.struct(
         F.array().cast("array<int>").alias("ends"), F.lit(0).alias("cur"), F.lit(0).alias("pos")
     )
@@ -56,16 +57,18 @@ def chunk_ends(lengths: Column, limit: int, max_chunks: int) -> Column:
             F.when(fits, acc["cur"] + n).otherwise(n).alias("cur"),
             (acc["pos"] + n).alias("pos"),
         )
-        return F.when(F.size(acc["ends"]) > max_chunks + 2, acc).otherwise(grown)
+        return grown if max_chunks is None else F.when(F.size(acc["ends"]) > max_chunks + 2, acc).otherwise(grown)
 
     def close(acc: Column) -> Column:
-        open_chunk = (F.size(acc["ends"]) < max_chunks + 2) & (acc["cur"] > 0)
+        open_chunk = acc["cur"] > 0
+        if max_chunks is not None:
+            open_chunk = open_chunk & (F.size(acc["ends"]) < max_chunks + 2)
         return F.when(open_chunk, F.concat(acc["ends"], F.array(acc["pos"]))).otherwise(acc["ends"])
 
     return F.aggregate(lengths, start, add, close)
 
 
-def windows(tokens: Column, ends: Column, max_chunks: int, prefix_len: int) -> Column:
+def windows(tokens: Column, ends: Column, max_chunks: int | None, prefix_len: int) -> Column:
     """Each chunk with its neighbours: one on both sides, two after the first, two before the last."""
     n = F.size(ends)
     end = lambda i: F.get(ends, i)
@@ -83,7 +86,7 @@ def windows(tokens: Column, ends: Column, max_chunks: int, prefix_len: int) -> C
             F.least(core + end(i) - begin(i), F.lit(MODEL_MAX_TOKENS)).alias("core_end"),
         )
 
-    count = F.least(n, F.lit(max_chunks + 1))
+    count = n if max_chunks is None else F.least(n, F.lit(max_chunks + 1))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), window)).otherwise(
         F.array().cast("array<struct<chunk_idx:int,text:string,core_start:int,core_end:int>>")
     )
@@ -93,17 +96,22 @@ def chunk_papers(
     papers: DataFrame,
     text_column: str = "main_text",
     chunk_size: int = CHUNK_SIZE,
-    max_chunks: int = MAX_CHUNKS,
+    max_chunks: int | None = None,
     prefix_len: int = 0,
-    drop_single: bool = True,
+    drop_single: bool = False,
+    min_sentence_tokens: int = 0,
     tokenise: Callable[[Column], Column] = whitespace_tokens,
 ) -> DataFrame:
     """One row per chunk with all paper fields, the chunk text, its core span and ``is_ref`` = false.
 
-    Papers with a single chunk are not embedded and drop out unless ``drop_single`` is off.
+    By default the chunks hold every token of the text. ``max_chunks`` cuts long texts,
+    ``drop_single`` leaves out papers of one chunk, and shorter sentences than
+    ``min_sentence_tokens`` are left out of the chunks.
     """
     token_lists = split_long(F.transform(sentences(F.col(text_column)), tokenise), chunk_size - prefix_len - SPARE_TOKENS)
-    d = hold(papers, _s=F.filter(token_lists, lambda t: F.size(t) >= MIN_SENTENCE_TOKENS))
+    if min_sentence_tokens > 1:
+        token_lists = F.filter(token_lists, lambda t: F.size(t) >= min_sentence_tokens)
+    d = hold(papers, _s=token_lists)
     ends = chunk_ends(F.transform("_s", F.size), chunk_size - prefix_len, max_chunks)
     d = hold(d, _t=F.flatten("_s"), _e=ends)
     spans = windows(F.col("_t"), F.col("_e"), max_chunks, prefix_len)

@@ -1,49 +1,61 @@
-"""Filter lists compiled to column conditions.
+"""Conditions on paper columns, built from filter lists and from parsed queries.
 
-Every function returns a ``Column``, so filters reach the parquet scan and are
-combined freely with others.
+Every function returns a ``Column``, so filters reach the parquet scan and are combined freely.
+A condition that is null drops its row. What nobody defined is an error, never a filter that is
+silently missing; ``lenient`` skips such entries for callers that want the old behaviour.
 """
 
 from __future__ import annotations
 
-import operator
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_COMPARE: dict[str, Callable] = {
-    "==": operator.eq,
-    "!=": operator.ne,
-    "<": operator.lt,
-    "<=": operator.le,
-    ">": operator.gt,
-    ">=": operator.ge,
-    "in": lambda c, v: c.isin(list(v)),
-    "not in": lambda c, v: ~c.isin(list(v)),
-}
-
 # Payload fields by the way they are matched, and preprint venues.
 KEYWORD_FIELDS = ("paperIdQ", "paperId", "venue", "venue_lower", "fieldsOfStudy")
 TEXT_FIELDS = ("abstract", "main_text", "title", "authorName")
 RANGE_FIELDS = ("publicationYear", "citationCount", "influentialCitationCount")
 DATE_FIELDS = ("publicationDate",)
 PREPRINT_VENUES = ("arxiv.org", "biorxiv")
-RANGE_OPS = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
+
+# A comparison is a Spark function that must hold, or must not hold.
+_COMPARISONS = {
+    **dict.fromkeys(("==", "eq"), ("=", True)),
+    **dict.fromkeys(("!=", "ne"), ("=", False)),
+    **dict.fromkeys(("<", "lt"), ("<", True)),
+    **dict.fromkeys((">=", "gte"), ("<", False)),
+    **dict.fromkeys((">", "gt"), (">", True)),
+    **dict.fromkeys(("<=", "lte"), (">", False)),
+    "in": ("in", True),
+    "not in": ("in", False),
+}
+_ORDERED = ("lt", "lte", "gt", "gte")
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(operator.and_, conditions, F.lit(True))
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def _as_list(value: object) -> list:
+    return list(value) if isinstance(value, (list, tuple, set)) else [value]
+
+
+def compare(column: Column, op: str, value: object) -> Column:
+    """``column op value``; a membership test takes a list of values."""
+    if op not in _COMPARISONS:
+        raise ValueError(f"unsupported operator {op!r}")
+    function, holds = _COMPARISONS[op]
+    values = _as_list(value) if function == "in" else [value]
+    if not values:
+        return F.lit(not holds) & column.isNotNull()
+    found = F.call_function(f"`{function}`", column, *map(F.lit, values))
+    return found if holds else ~found
 
 
 def compile_filters(filters: Sequence[tuple] | None) -> Column:
-    """``[(column, op, value), ...]`` joined by AND. Rows where a comparison is null are dropped."""
-    compiled = []
-    for name, op, value in filters or ():
-        if op not in _COMPARE:
-            raise ValueError(f"unsupported operator {op!r}")
-        compiled.append(_COMPARE[op](F.col(name), value))
-    return all_of(compiled)
+    """``[(column, op, value), ...]`` joined by AND."""
+    return all_of(compare(F.col(name), op, value) for name, op, value in filters or ())
 
 
 def words(text: Column) -> Column:
@@ -54,65 +66,80 @@ def words(text: Column) -> Column:
 def text_match(column: Column, texts: Sequence[str], any_text: bool, mode: str = "substring") -> Column:
     """True when any (or every) text occurs in the column, as a substring or as a set of whole words."""
     if mode == "substring":
-        tests = [F.contains(column, F.lit(t)) for t in texts]
+        found = [F.contains(column, F.lit(t)) for t in texts]
     elif mode == "token":
-        have = words(column)
-        tests = [F.forall(words(F.lit(t)), lambda w: F.array_contains(have, w)) for t in texts]
+        found = [F.size(F.array_except(words(F.lit(t)), words(column))) == 0 for t in texts]
     else:
         raise ValueError(f"unknown text mode {mode!r}")
-    return reduce(operator.or_ if any_text else operator.and_, tests, F.lit(not any_text))
+    if any_text:
+        return ~all_of(~f for f in found)
+    return all_of(found)
+
+
+def _keyword(column: Column, op: str, value: object, mode: str) -> Column | None:
+    membership = {"==": "in", "eq": "in", "in": "in", "!=": "not in", "ne": "not in", "not in": "not in"}.get(op)
+    return compare(column, membership, _as_list(value)) if membership else None
 
 
-def payload_filter(filters: Sequence[Sequence] | None, text_mode: str = "substring") -> Column:
-    """``[[field, op, value], ...]`` joined by AND; what an op means depends on the field.
+def _text(column: Column, op: str, value: object, mode: str) -> Column | None:
+    return text_match(column, _as_list(value), op == "any", mode) if op in ("any", "all", "==", "eq") else None
 
-    Keyword fields match any or none of the values (another op on them is ignored),
-    text fields match by words or substrings, counts and dates by range.
+
+def _number(column: Column, op: str, value: object, mode: str) -> Column | None:
+    return compare(column, op, value) if op in _ORDERED else None
+
+
+def _date(column: Column, op: str, value: object, mode: str) -> Column | None:
+    return compare(F.to_date(column), op, F.to_date(F.lit(value))) if op in _ORDERED else None
+
+
+_MATCHERS = {
+    **dict.fromkeys(KEYWORD_FIELDS, _keyword),
+    **dict.fromkeys(TEXT_FIELDS, _text),
+    **dict.fromkeys(RANGE_FIELDS, _number),
+    **dict.fromkeys(DATE_FIELDS, _date),
+}
+
+
+def payload_filter(filters: Sequence[Sequence] | None, text_mode: str = "substring", lenient: bool = False) -> Column:
+    """``[[field, op, value], ...]`` joined by AND; the field tells how it is matched.
+
+    Keyword fields are one of the values or none of them, text fields hold any or all of them,
+    counts and dates lie in a range. An unknown field, or an op that its field has not, raises.
     """
-    compiled = []
+    found = []
     for field, op, value in filters or ():
-        values = list(value) if isinstance(value, (list, tuple)) else [value]
-        column = F.col(field) if field in (*KEYWORD_FIELDS, *TEXT_FIELDS, *RANGE_FIELDS, *DATE_FIELDS) else None
-        if field in KEYWORD_FIELDS:
-            if op in ("==", "eq"):
-                compiled.append(column.isin(values))
-            elif op == "!=":
-                compiled.append(~column.isin(values))
-        elif field in TEXT_FIELDS:
-            compiled.append(text_match(column, values, op == "any", text_mode))
-        elif field in RANGE_FIELDS:
-            compiled.append(RANGE_OPS[op](column, value))
-        elif field in DATE_FIELDS:
-            compiled.append(RANGE_OPS[op](F.to_date(column), F.to_date(F.lit(value))))
-    return all_of(compiled)
+        matcher = _MATCHERS.get(field)
+        condition = matcher(F.col(field), op, value, text_mode) if matcher else None
+        if condition is not None:
+            found.append(condition)
+        elif not lenient:
+            raise ValueError(f"no filter {op!r} on field {field!r}")
+    return all_of(found)
+
+
+# What each entry of a parsed query asks for: field, op, and the value made of the entry's.
+_REQUESTS = {
+    "authorName": ("authorName", "==", lambda v: v.split(",")),
+    "publicationDate_start": ("publicationDate", "gte", str),
+    "publicationDate_end": ("publicationDate", "lte", str),
+    "search_paperIds": ("paperId", "==", list),
+    "peer_reviewed_only": ("venue_lower", "!=", lambda _: list(PREPRINT_VENUES)),
+    "preprint_only": ("venue_lower", "==", lambda _: list(PREPRINT_VENUES)),
+    "venues": ("venue_lower", "==", lambda v: [name.lower() for name in v]),
+    "citationCount": ("citationCount", "gte", int),
+}
 
 
 def request_filters(parsed: dict) -> list[list]:
-    """The filter list a parsed query asks for. Venues are compared in lower case."""
-    out: list[list] = []
-    if parsed.get("authorName"):
-        out.append(["authorName", "==", parsed["authorName"].split(",")])
-    if parsed.get("publicationDate_start"):
-        out.append(["publicationDate", "gte", parsed["publicationDate_start"]])
-    if parsed.get("publicationDate_end"):
-        out.append(["publicationDate", "lte", parsed["publicationDate_end"]])
-    if parsed.get("search_paperIds"):
-        out.append(["paperId", "==", list(parsed["search_paperIds"])])
-    if parsed.get("peer_reviewed_only"):
-        out.append(["venue_lower", "!=", list(PREPRINT_VENUES)])
-    if parsed.get("preprint_only"):
-        out.append(["venue_lower", "==", list(PREPRINT_VENUES)])
-    if parsed.get("venues"):
-        out.append(["venue_lower", "==", [v.lower() for v in parsed["venues"]]])
-    if parsed.get("citationCount"):
-        out.append(["citationCount", "gte", parsed["citationCount"]])
-    return out
+    """The filter list of a parsed query; empty entries ask for nothing. Venues are compared in lower case."""
+    return [[field, op, value(parsed[entry])] for entry, (field, op, value) in _REQUESTS.items() if parsed.get(entry)]
 
 
 def request_condition(parsed: dict) -> Column | None:
     """The condition of one parsed query, or None when it has no filter."""
-    filters = request_filters(parsed)
-    return payload_filter(filters) if filters else None
+    asked = request_filters(parsed)
+    return payload_filter(asked) if asked else None
 
 
 def lock_to_notebook(candidates: DataFrame, feedback: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import vectors as V
@@ -14,9 +15,8 @@ from paperloom.operators import search as S
 DECIMALS = 6
 # Negatives are drawn from this many nearest papers of the cited one.
 NEAR_RANKS = 50
-# Size of one block of (paper, cited) pairs sent to the executors: with 65 vectors of
-# 1024 floats per cited paper this stays near 1 GB in the worst case.
-BLOCK_PAIRS = 2_000
+# Vector entries in one share of the papers, pairs of one cited paper in one share, and scores held at once.
+SHARE_FLOATS, PAIRS_PER_SHARE, SCORES = 1 << 22, 1000, 1 << 23
 MIN_LABELS = 30
 
 
@@ -33,75 +33,34 @@ def seeded_rank(paper: Column, ref: Column, seed: int, ranks: int = NEAR_RANKS)
     return F.pmod(F.xxhash64(paper, ref, F.lit(seed)), F.lit(ranks)).cast("int")
 
 
-def _pair_blocks(pairs: DataFrame, block_pairs: int) -> Iterator[list]:
-    """Bounded lists of pairs. One block is tried first; only a larger table is counted and cut."""
-    rows = pairs.limit(block_pairs + 1).collect()
-    if len(rows) <= block_pairs:
-        yield rows
-        return
-    # Hashing the whole pair keeps blocks even when one paper is cited by a third of the corpus.
-    blocks = -(-pairs.count() // block_pairs)
-    slot = F.pmod(F.xxhash64("paperId", "refId"), F.lit(blocks))
-    for b in range(blocks):
-        rows = pairs.where(slot == b).limit(4 * block_pairs + 1).collect()
-        if len(rows) > 4 * block_pairs:
-            raise ValueError("one block of citation pairs exceeds the broadcast limit; lower block_pairs")
-        yield rows
-
-
-def _negative_task(block_ref, decimals: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = block_ref.value
-        refs, limits, keep = block["ref"], block["before"], block["rank"] + 1
-        q = S.unit_rows(block["matrix"])
-        tops = [S._TopList(int(k)) for k in keep]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("paperId").to_numpy(zero_copy_only=False)
-            dates = batch.column("publicationDate").to_numpy(zero_copy_only=False)
-            raw, counts = S.vector_matrix(batch.column("vectors"))
-            scores = np.round(S.max_sim_matrix(q, block["starts"], S.unit_rows(raw), counts), decimals)
-            dated = dates.astype(str)
-            for i, top in enumerate(tops):
-                allowed = (dated < limits[i]) & (counts > 0) & ~np.isin(ids, block["skip"][i])
-                rows = top.candidates(scores[refs[i]], allowed)
-                top.add(scores[refs[i]][rows], ids[rows], np.zeros(len(rows)))
-        sizes = [len(t.score) for t in tops]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(block["paper_ids"], sizes), pa.string()),
-                pa.array(np.repeat(block["ref_ids"], sizes), pa.string()),
-                pa.array(np.repeat(block["rank"], sizes).astype(np.int32)),
-                pa.array(np.concatenate([t.ids for t in tops]), pa.string()),
-                pa.array(np.concatenate([t.score for t in tops])),
-            ],
-            names=["paperId", "refId", "rank", "negative_id", "similarity"],
-        )
-
-    return run
-
-
-def _stack_pairs(rows: list, papers: DataFrame) -> dict | None:
-    """The pairs of a block with the vectors of their cited papers, of which there are no more than pairs."""
-    spark = papers.sparkSession
-    names = spark.createDataFrame([(r,) for r in sorted({r["refId"] for r in rows})], "paperId string")
-    found = {r["paperId"]: r["vectors"] for r in papers.join(names, "paperId", "left_semi").collect()}
-    rows = [r for r in rows if r["refId"] in found]
-    if not rows:
-        return None
-    order = {ref: i for i, ref in enumerate(found)}
-    vectors = [v for vs in found.values() for v in vs]
-    return {
-        "paper_ids": np.array([r["paperId"] for r in rows], dtype=object),
-        "ref_ids": np.array([r["refId"] for r in rows], dtype=object),
-        "rank": np.array([r["rank"] for r in rows]),
-        "before": np.array([r["before"] for r in rows]),
-        "skip": [np.array(r["skip"], dtype=object) for r in rows],
-        "ref": [order[r["refId"]] for r in rows],
-        "starts": np.concatenate([[0], np.cumsum([len(vs) for vs in found.values()])]),
-        "matrix": np.array(vectors, dtype=np.float64),
-    }
+def _nearest(key: tuple, table: pa.Table) -> pa.Table:
+    """For the pairs of one share of cited papers, their best papers among one share of all papers."""
+    sides = [table.filter(pc.equal(table["kind"], k)).combine_chunks() for k in range(3)]
+    papers, cited, pairs = sides
+    raw, counts = S.vector_matrix(papers["vectors"].combine_chunks())
+    units, dates = S.unit_rows(raw), papers["date"].to_numpy(zero_copy_only=False).astype(str)
+    ids = papers["paperId"].to_numpy(zero_copy_only=False)
+    order = np.argsort(pairs["refId"].to_numpy(zero_copy_only=False).astype(str), kind="stable")
+    refs = pairs["refId"].to_numpy(zero_copy_only=False).astype(str)[order]
+    names = cited["refId"].to_numpy(zero_copy_only=False).astype(str)
+    before, keep = pairs["date"].to_numpy(zero_copy_only=False).astype(str)[order], pairs["keep"].to_numpy()[order]
+    of, found = [], []
+    step = max(1, SCORES // max(len(ids), 1))
+    for at in range(0, len(names), step):
+        part = cited.slice(at, step)
+        q, n = S.vector_matrix(part["vectors"].combine_chunks())
+        scores = np.round(S.max_sim_matrix(S.unit_rows(q), np.concatenate([[0], np.cumsum(n)]), units, counts), DECIMALS)
+        for i, name in enumerate(names[at : at + step]):
+            for k in range(np.searchsorted(refs, name), np.searchsorted(refs, name, "right")):
+                top = S._TopList(int(keep[k]))
+                rows = top.candidates(scores[i], (dates < before[k]) & (counts > 0))
+                top.add(scores[i][rows], ids[rows], np.zeros(len(rows)))
+                of.append(np.full(len(top.ids), order[k]))
+                found.append(top)
+    at = np.concatenate(of).astype(np.int64) if of else np.zeros(0, np.int64)
+    out = pairs.select(["paperId", "refId", "rank"]).take(pa.array(at))
+    out = out.append_column("negative_id", pa.array(np.concatenate([t.ids for t in found]) if found else [], pa.string()))
+    return out.append_column("similarity", pa.array(np.concatenate([t.score for t in found]) if found else [], pa.float64()))
 
 
 def mine_triplets(
@@ -110,52 +69,64 @@ def mine_triplets(
     rank: Callable[[Column, Column], Column],
     months_before: int = 0,
     for_innovation: bool = False,
-    block_pairs: int = BLOCK_PAIRS,
+    share_floats: int = SHARE_FLOATS,
 ) -> DataFrame:
     """(query_id, positive_id, negative_id) rows from citations.
 
     For each citing paper and cited paper that both have vectors, the negative is the
     paper at a given rank among the nearest of the cited one that were published
     before the citing paper and that it does not cite. ``papers`` has paperId, vectors.
-    The candidates of a pair are never written out: each partition keeps the best
-    ``rank + 1`` per pair. Pairs over ``block_pairs`` run in further scans.
+
+    Cited papers and all papers are dealt into shares of bounded size, and each share of one
+    kind meets each of the other in one group. A group keeps, for each pair, as many papers as
+    its rank and all that it cites could need; what it cites is taken out afterwards by a join.
+    A paper cited very often has its pairs spread over several shares.
     """
-    dated = meta.select("paperId", "publicationDate")
+    has_date = F.col("publicationDate").isNotNull() & (F.col("publicationDate") != "None")
+    dated = meta.select("paperId", "publicationDate").where(has_date)
     edges = citation_edges(meta)
-    cited = edges.groupBy("paperId").agg(F.collect_set("refId").alias("refs"))
-    has_vectors = papers.select("paperId")
     limit = F.date_format(F.add_months(F.to_date("publicationDate"), -months_before), "yyyy-MM-dd")
+    known = papers.select("paperId", "vectors")
     pairs = (
-        edges.join(has_vectors, "paperId", "left_semi")
-        .join(papers.select(F.col("paperId").alias("refId")), "refId", "left_semi")
-        .join(dated.where(F.col("publicationDate").isNotNull() & (F.col("publicationDate") != "None")), "paperId")
-        .join(cited, "paperId")
-        .select(
-            "paperId",
-            "refId",
-            limit.alias("before"),
-            F.concat("refs", F.array("paperId")).alias("skip"),
-            rank(F.col("paperId"), F.col("refId")).alias("rank"),
-        )
+        edges.join(known.select("paperId"), "paperId", "left_semi")
+        .join(known.select(F.col("paperId").alias("refId")), "refId", "left_semi")
+        .join(dated, "paperId")
+        .join(edges.groupBy("paperId").agg(F.count("*").alias("cites")), "paperId")
     )
-    candidates = papers.join(dated, "paperId").select("paperId", "vectors", "publicationDate")
-    sc = meta.sparkSession.sparkContext
-    out = None
-    for rows in _pair_blocks(pairs, block_pairs):
-        block = _stack_pairs(rows, papers.select("paperId", "vectors")) if rows else None
-        if block is None:
-            continue
-        found = candidates.mapInArrow(
-            _negative_task(sc.broadcast(block), DECIMALS),
-            "paperId string, refId string, rank int, negative_id string, similarity double",
-        )
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return meta.sparkSession.createDataFrame([], "query_id string, positive_id string, negative_id string")
+    share = lambda *c: F.xxhash64(*c)
+    spread = pairs.groupBy("refId").agg(F.ceil(F.count("*") / PAIRS_PER_SHARE).alias("parts"))
+    pairs = pairs.join(spread, "refId").withColumn("part", F.pmod(share("paperId"), "parts"))
+    floats = F.coalesce(F.sum(F.size("vectors") * F.size(F.get("vectors", F.lit(0)))), F.lit(0))
+    total = known.agg(floats).first()[0]  # one number, for the count of shares
+    shares = F.lit(max(1, -(-int(total) // share_floats)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), (shares - 1).cast("long")))
+    none = F.lit(None)
+    columns = ("i", "j", "kind", "paperId", "refId", "date", "rank", "keep", "vectors")
+    row = lambda kind, **c: [
+        *[c.get(n, none.cast("string")).cast("string").alias(n) for n in ("paperId", "refId", "date")],
+        *[c.get(n, none).cast("int").alias(n) for n in ("rank", "keep")],
+        F.lit(kind).alias("kind"),
+    ]
+    home = F.pmod(share("refId", "part"), shares)
+    drawn = rank(F.col("paperId"), F.col("refId"))
+    asked = pairs.select(
+        home.alias("i"), every.alias("j"), none.cast("array<array<double>>").alias("vectors"),
+        *row(2, paperId=F.col("paperId"), refId=F.col("refId"), date=limit, rank=drawn, keep=drawn + F.col("cites") + 2),
+    )
+    wide = F.transform("vectors", V.as_doubles)
+    cited = pairs.select("refId", "part").distinct().join(known.withColumnRenamed("paperId", "refId"), "refId")
+    cited = cited.select(home.alias("i"), every.alias("j"), wide.alias("vectors"), *row(1, refId=F.col("refId")))
+    searched = known.join(dated, "paperId").select(
+        every.alias("i"), F.pmod(share("paperId"), shares).alias("j"), wide.alias("vectors"), *row(0, paperId=F.col("paperId"), date=F.col("publicationDate"))
+    )
+    met = searched.select(*columns).unionByName(cited.select(*columns)).unionByName(asked.select(*columns))
+    near = met.groupBy("i", "j").applyInArrow(_nearest, "paperId string, refId string, rank int, negative_id string, similarity double")
+    cites = edges.withColumnRenamed("refId", "negative_id")
+    free = near.where("negative_id <> paperId").join(cites, ["paperId", "negative_id"], "left_anti")
     nearest = Window.partitionBy("paperId", "refId").orderBy(F.desc("similarity"), "negative_id")
-    drawn = out.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") == F.col("rank") + 1)
+    picked = free.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") == F.col("rank") + 1)
     query, positive = ("refId", "paperId") if for_innovation else ("paperId", "refId")
-    return drawn.select(F.col(query).alias("query_id"), F.col(positive).alias("positive_id"), "negative_id")
+    return picked.select(F.col(query).alias("query_id"), F.col(positive).alias("positive_id"), "negative_id")
 
 
 def triplet_features(triplets: DataFrame, papers: DataFrame, first_only: bool = False) -> DataFrame:
@@ -170,8 +141,12 @@ def triplet_features(triplets: DataFrame, papers: DataFrame, first_only: bool =
 
 
 def split_share(ids: Column, seed: int = 123, test_percent: int = 20) -> Column:
-    """True for rows of the test part: a hash split that depends on nothing but the row."""
-    return F.pmod(F.xxhash64(ids, F.lit(seed)), F.lit(100)) < test_percent
+    """True for rows of the test part: a hash split that depends on nothing but the row.
+
+    The hash is one that other engines have too, so that they split alike.
+    """
+    name = F.md5(F.concat_ws(":", ids.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % 100 < test_percent
 
 
 def pair_loss(positive: Column, negative: Column) -> Column:

@@ -10,6 +10,7 @@ from paperloom.operators import catalog as C
 from paperloom.operators import filters as P
 from paperloom.operators import learn as L
 from paperloom.plans import fixtures as X
+from paperloom.plans import jobs
 from paperloom.plans.registry import query
 from paperloom.session import read_table
 from paperloom.sources import feeds, parquet, vector_store
@@ -93,6 +94,28 @@ def merge_full_outer(spark, sf):
     )
 
 
+@query(
+    "merge_missing_keys",
+    """WITH d AS (SELECT doc_id, 'd' || doc_id AS pid, source, 'old ' || source AS old,
+  CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'None' ELSE 'doi/' || (doc_id // 14) END AS doi FROM documents),
+n AS (SELECT doi, min(pid) AS pid, arg_min(source, pid) AS venue FROM d WHERE doc_id % 2 = 0 AND doc_id % 7 > 2 GROUP BY doi),
+o AS (SELECT doi, min(pid) AS pid, arg_min(old, pid) AS venue FROM d WHERE doc_id % 2 = 1 AND doc_id % 7 > 2 GROUP BY doi)
+SELECT doi, coalesce(n.pid, o.pid) AS "paperId", coalesce(n.venue, o.venue) AS venue FROM n FULL JOIN o USING (doi)
+UNION ALL SELECT coalesce(doi, 'None'), pid, CASE WHEN doc_id % 2 = 0 THEN source ELSE old END FROM d WHERE doc_id % 7 <= 2""",
+)
+def merge_missing_keys(spark, sf):
+    """Papers whose doi is null, empty or 'None', on both sides of a merge, next to repeated dois."""
+    i = F.col("doc_id")
+    kind = i % 7
+    doi = F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, "None").otherwise(F.concat(F.lit("doi/"), F.floor(i / 14).cast("string")))
+    docs = read_table(spark, sf, "documents").select(
+        "doc_id", doi.alias("doi"), F.concat(F.lit("d"), i.cast("string")).alias("paperId"), F.col("source").alias("venue")
+    )
+    new = C.keep_keyed(docs.where(i % 2 == 0).drop("doc_id"), "doi", F.col("paperId"))
+    old = docs.where(i % 2 == 1).withColumn("venue", F.concat(F.lit("old "), "venue")).drop("doc_id")
+    return jobs.merge_table(new, old).select("doi", "paperId", "venue")
+
+
 @query(
     "merge_extracted_text",
     _BOTH + """,
@@ -213,7 +236,6 @@ def payload_filter_fields(spark, sf):
             ["publicationDate", "lt", "2023-01-01"],
             ["title", "any", ["e", "zzz"]],
             ["authorName", "==", ["Ann", "Bo"]],
-            ["venue", "gt", "ignored"],
         ]
     )
     return both.where(wanted).select("paperId", "venue", "publicationYear", "citationCount")
@@ -700,7 +722,7 @@ def link_functions(spark, sf):
         T.last_segment(link).alias("segment"),
         T.force_https(link).alias("secure"),
         T.public_link(link).alias("public"),
-        F.array_join(T.version_fallbacks(link), " ").alias("fallbacks"),
+        F.array_join(T.version_fallbacks(link, tries=4), " ").alias("fallbacks"),
     )
 
 

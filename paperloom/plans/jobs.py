@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from paperloom.functions import text as T
 from paperloom.operators import catalog as C
 from paperloom.operators.blocks import clean_full_text
-from paperloom.operators.chunks import MAX_CHUNKS, CHUNK_SIZE, chunk_papers, with_role_prefix
+from paperloom.operators.chunks import CHUNK_SIZE, chunk_papers, with_role_prefix
 from paperloom.operators.embed import Encoder, embed_texts
 from paperloom.operators.filters import compile_filters, work_list
 from paperloom.sources import feeds
@@ -24,16 +24,17 @@ def new_articles(pages: DataFrame, enrichment: DataFrame) -> DataFrame:
         {"publicationYear": F.year(F.to_date("publicationDate")), "source": F.lit("s2"), "status": F.lit(None).cast("string")}
     )
     full = C.enrich(papers, feeds.flatten_enrichment(enrichment), ["influentialCitationCount"], ["openAccessPdf"])
-    return T.clean_strings(C.keep_one(C.readable(full), ["doi"], F.col("paperId")))
+    return T.clean_strings(C.keep_keyed(C.readable(full), "doi", F.col("paperId")))
 
 
 def merge_table(new: DataFrame, stored: DataFrame | None) -> DataFrame:
     """New rows over stored ones by doi, with missing values encoded for storage.
 
-    A stored table may hold a doi twice; its first paper by id is kept.
+    A stored table may hold a doi twice; its first paper by id is kept. Papers without a
+    doi stay, each by itself.
     """
     if stored is not None:
-        old = C.keep_one(C.decode_missing(stored), ["doi"], F.col("paperId"))
+        old = C.keep_keyed(C.decode_missing(stored), "doi", F.col("paperId"))
         new = C.combine_first(new, old, "doi")
     return C.encode_missing(new, COUNTS)
 
@@ -51,7 +52,7 @@ def refresh_catalogue(
 def merge_snapshot(snapshot: DataFrame, stored_meta: DataFrame, stored_text: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
     """Snapshot papers of the year in fields the catalogue already covers, merged; links point to the snapshot."""
     fresh = C.of_year(C.overlaps_fields(snapshot, C.first_fields(stored_meta)), year)
-    fresh = C.keep_one(C.keep_one(fresh, ["title"], F.col("paperId")), ["doi"], F.col("paperId"))
+    fresh = C.keep_keyed(C.keep_keyed(fresh, "title", F.col("paperId")), "doi", F.col("paperId"))
     meta = fresh.drop("title", "abstract", "submitter", "comments", "journal-ref", "report-no", "license", "status")
     text = fresh.select("paperId", "title", "abstract", "openAccessPdf", "isOpenAccess", "status", "doi")
     return (
@@ -71,7 +72,7 @@ def embed_papers(
     text: DataFrame,
     encoder: Callable[[], Encoder],
     chunk_size: int = CHUNK_SIZE,
-    max_chunks: int = MAX_CHUNKS,
+    max_chunks: int | None = None,
 ) -> DataFrame:
     """Chunk vectors of all papers with sufficient text, with their payload columns."""
     chunks = chunk_papers(C.payload_and_text(meta, text), chunk_size=chunk_size, max_chunks=max_chunks)

@@ -22,7 +22,8 @@ def _rank(paper, ref):
 
 _PAIRS = X.with_ctes(X.CHUNK_VECTORS, X.PAPERS_META) + """,
 ed AS (SELECT DISTINCT doc_id, "paperId", r AS ref, "publicationDate" FROM (
-         SELECT doc_id, "paperId", "publicationDate", unnest(string_split("referenceIds", ';')) AS r FROM pm) WHERE r IN (SELECT "paperId" FROM pm)),
+         SELECT doc_id, "paperId", "publicationDate", unnest(['d' || (doc_id * 3 % m), 'd' || ((doc_id * 5 + 1) % m), 'd' || ((doc_id + 7) % m)]) AS r
+         FROM pm, (SELECT count(DISTINCT "paperId") AS m FROM v)) WHERE r IN (SELECT "paperId" FROM pm)),
 pr AS (SELECT *, (doc_id * 7919 + CAST(substr(ref, 2) AS BIGINT) * 31 + 17) % 50 AS k,
               strftime(CAST("publicationDate" AS DATE) - INTERVAL 1 MONTH, '%Y-%m-%d') AS before
        FROM ed WHERE "paperId" IN (SELECT "paperId" FROM v) AND ref IN (SELECT "paperId" FROM v)),
@@ -36,9 +37,17 @@ rk AS (SELECT pr."paperId", pr.ref, pr.k, cand, row_number() OVER (PARTITION BY
 tr AS (SELECT "paperId" AS query_id, ref AS positive_id, cand AS negative_id FROM rk WHERE n = k + 1)"""
 
 
+def _citing(spark, sf):
+    """Papers that cite only papers with vectors."""
+    m = X.row_count(X.chunk_vectors(spark, sf).select("paperId").distinct())
+    i, meta = F.col("doc_id"), X.papers_meta(spark, sf).withColumn("m", m)
+    cited = [F.concat(F.lit("d"), (n % F.col("m")).cast("string")) for n in (i * 3, i * 5 + 1, i + 7)]
+    return meta.withColumn("referenceIds", F.concat_ws(";", *cited)).drop("m")
+
+
 def _triplets(spark, sf, innovation=False):
     papers = S.pack_vectors(X.chunk_vectors(spark, sf))
-    return L.mine_triplets(X.papers_meta(spark, sf), papers, _rank, months_before=1, for_innovation=innovation)
+    return L.mine_triplets(_citing(spark, sf), papers, _rank, months_before=1, for_innovation=innovation)
 
 
 @query("triplet_mining", _PAIRS + "SELECT * FROM tr")
@@ -104,7 +113,10 @@ def cosine_losses(spark, sf):
     return L.cosine_losses(v.select("paperId", F.col("embedding").alias("predicted")).join(first, "paperId"))
 
 
-@query("seeded_split")
+@query(
+    "seeded_split",
+    X.with_ctes(X.PAPERS_META) + """SELECT ('0x' || substr(md5("paperId" || ':123'), 1, 8))::BIGINT % 100 < 20 AS test, count(*) AS n FROM pm GROUP BY 1""",
+)
 def seeded_split(spark, sf):
     """Share of triplet-style rows on each side of the hash split."""
     ids = X.papers_meta(spark, sf).select("paperId", L.split_share(F.col("paperId")).alias("test"))
@@ -170,7 +182,7 @@ def benchmark_nearest(spark, sf):
     """The five nearest documents of every benchmark text, over hashed word vectors of their chunks."""
     encoder = E.hashed_words()
     docs = spread(read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("main_text")))
-    chunks = chunk_papers(docs, drop_single=False).select(
+    chunks = chunk_papers(docs).select(
         F.col("doc_id").cast("string").alias("paperId"), "chunk_idx", with_role_prefix(F.col("text"), "e5", "document").alias("text")
     )
     papers = S.pack_vectors(E.embed_texts(chunks, "text", encoder))

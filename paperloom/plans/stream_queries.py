@@ -104,10 +104,34 @@ def stream_vector_sync(spark, sf):
         stream = _stream(spark, sf, "embeddings").select(
             F.concat(F.lit("d"), p.cast("string")).alias("paperId"), (F.col("vec_id") % 5).alias("chunk_idx"), "label", "embedding"
         )
-        sync.sync_vectors(stream, f"{folder}/table", f"{folder}/state-{run}").awaitTermination()
+        sync.sync_vectors(stream, f"{folder}/table", f"{folder}/state-{run}", run).awaitTermination()
     return vector_store.read_current(spark, f"{folder}/table").select("paperId", "chunk_idx", "label")
 
 
+@query(
+    "stream_vector_sync_files",
+    X.with_ctes(X.CHUNK_VECTORS) + """SELECT "paperId", chunk_idx, label, CASE WHEN hash3 THEN 'second' ELSE 'first' END AS run
+FROM (SELECT *, CAST(substr("paperId", 2) AS BIGINT) % 3 = 0 AS hash3 FROM v) WHERE NOT (hash3 AND chunk_idx = 4)""",
+)
+def stream_vector_sync_files(spark, sf):
+    """Embeddings in five files, one file in a micro-batch, each paper with a chunk in every file. A
+    second run brings every third paper again with its last chunk gone; its first batch is run twice."""
+    folder = new_folder(spark, "vector-files")
+    p = F.floor(F.col("vec_id") / 5)
+    rows = read_table(spark, sf, "embeddings").select(
+        F.concat(F.lit("d"), p.cast("string")).alias("paperId"), (F.col("vec_id") % 5).alias("chunk_idx"), "label", "embedding", p.alias("p")
+    )
+    runs = {"first": rows, "second": rows.where((F.col("p") % 3 == 0) & (F.col("chunk_idx") < 4))}
+    for run, wanted in runs.items():
+        arrived = wanted.withColumn("run", F.lit(run)).drop("p")
+        for k in range(5):
+            arrived.where(F.col("chunk_idx") == k).coalesce(1).write.mode("append").parquet(f"{folder}/{run}")
+        stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{run}")
+        sync.sync_vectors(stream, f"{folder}/table", f"{folder}/state-{run}", run).awaitTermination()
+    vector_store.sync(spark.read.parquet(f"{folder}/second").where("chunk_idx = 0"), f"{folder}/table", "second", 0)
+    return vector_store.read_current(spark, f"{folder}/table").select("paperId", "chunk_idx", "label", "run")
+
+
 @query("stream_distinct_keys", "SELECT DISTINCT 'd' || (vec_id // 5) AS \"paperId\" FROM embeddings")
 def stream_distinct_keys(spark, sf):
     p = F.floor(F.col("vec_id") / 5)
@@ -160,7 +184,7 @@ def _search_requests(spark, sf) -> DataFrame:
 
 def _document_papers(spark, sf) -> DataFrame:
     docs = spread(read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("main_text")))
-    chunks = chunk_papers(docs, drop_single=False).select(
+    chunks = chunk_papers(docs).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("paperId"), "chunk_idx", "text"
     )
     packed = S.pack_vectors(E.embed_texts(chunks, "text", E.hashed_words(), prefix="passage: "))
@@ -228,13 +252,22 @@ def catalogue_refresh(spark, sf):
     return meta.select("doi", "paperId", "venue", "citationCount")
 
 
-@query("vector_refresh")
+@query(
+    "vector_refresh",
+    X.with_ctes(X.PAPERS_META, X.PAPERS_TEXT) + r""",
+t AS (SELECT "paperId", CASE WHEN length(CASE WHEN main_text = 'None' THEN '' ELSE main_text END) < 500
+        THEN coalesce(title, '') || ' ' || coalesce(abstract, '') ELSE main_text END AS t FROM pt WHERE status = 'None')
+SELECT t."paperId", venue, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> ''))::BIGINT AS tokens, 0::BIGINT AS empty_vectors
+FROM t JOIN pm USING ("paperId") WHERE length(t) >= 500""",
+)
 def vector_refresh(spark, sf):
-    """Chunk vectors of every paper still to do, as paper, chunk and the vector's length."""
+    """Chunk vectors of every paper still to do: the tokens of its text that chunks hold, and vectors of length zero."""
     meta = X.papers_meta(spark, sf).drop("doc_id")
     text = X.papers_text(spark, sf).select("paperId", "title", "abstract", "main_text", "status")
-    vectors, _ = jobs.refresh_vectors(meta, spread(text), E.hashed_words(), chunk_size=60, max_chunks=8)
-    return vectors.select("paperId", "chunk_idx", "venue", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 3).alias("words"))
+    vectors, _ = jobs.refresh_vectors(meta, spread(text), E.hashed_words(), chunk_size=60)
+    return vectors.groupBy("paperId", "venue").agg(
+        F.sum(F.col("core_end") - F.col("core_start")).alias("tokens"), F.count_if(F.array_max("embedding") == 0).alias("empty_vectors")
+    )
 
 
 @query(

@@ -63,7 +63,7 @@ FROM wn WHERE n > 1"""
 @query("chunk_context", X.with_ctes(_SENTENCES) + "," + _CHUNKS)
 def chunk_context(spark, sf):
     docs = _docs(spark, sf).select("doc_id", F.col("text").alias("main_text"))
-    rows = K.chunk_papers(docs, chunk_size=60, max_chunks=4, prefix_len=3)
+    rows = K.chunk_papers(docs, chunk_size=60, max_chunks=4, prefix_len=3, drop_single=True, min_sentence_tokens=3)
     return rows.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_idx", "core_start", "core_end")], "text")
 
 
@@ -209,7 +209,7 @@ SELECT page_id, regexp_replace(regexp_replace(t, '\n$', ''), '\r\n|[\n\r\v\f\x{1
 )
 def body_text_assembly(spark, sf):
     """Body text per page, from the serialised form, all inside the page's row."""
-    return B.clean_full_text(_full_text(spark, sf), with_references=False, as_of_year=2026).select("page_id", "main_text")
+    return B.clean_full_text(_full_text(spark, sf), with_references=False, as_of_year=2026, min_chars=100).select("page_id", "main_text")
 
 
 def _reference_docs(spark, sf):
@@ -284,11 +284,11 @@ rf AS (SELECT page_id, fontsize AS ref_fs FROM (SELECT page_id, fontsize, row_nu
        FROM sec WHERE k > 5 AND off < k // 2 GROUP BY page_id, fontsize) WHERE z = 1),
 rt AS (SELECT page_id, string_agg(content, ' ' ORDER BY pos) AS t FROM sec JOIN rf USING (page_id) WHERE fontsize = ref_fs GROUP BY page_id),
 ln AS (SELECT page_id, regexp_replace(regexp_replace(t, '\n$', ''), '\r\n|[\n\r\v\f\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', ' ', 'g') AS t FROM rt)
-SELECT page_id, regexp_replace(replace(replace(replace(replace(t, 'references', ''), 'References', ''), 'REFERENCES', ''), 'Literature Cited', ''),
-  '\b([A-Z][a-z]*)\.', '\1', 'g') AS ref_text FROM ln""",
+SELECT page_id, replace(regexp_replace(regexp_replace(replace(replace(replace(replace(t, 'references', ''), 'References', ''), 'REFERENCES', ''), 'Literature Cited', ''),
+  '\.([A-Z])', '.' || chr(1) || '\1', 'g'), '(^|[^\p{L}\p{N}_])([A-Z][a-z]*)\.', '\1\2', 'g'), chr(1), '') AS ref_text FROM ln""",
 )
 def reference_text(spark, sf):
-    cleaned = B.clean_full_text(_reference_docs(spark, sf), with_references=True, as_of_year=2026)
+    cleaned = B.clean_full_text(_reference_docs(spark, sf), with_references=True, as_of_year=2026, min_chars=100)
     return cleaned.where(F.col("ref_text").isNotNull() & (F.col("ref_text") != "")).select("page_id", "ref_text")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators.catalog import keep_one, plausible_venue
+from paperloom.operators.catalog import keep_keyed, plausible_venue
 from paperloom.sources import schemas
 
 SNAPSHOT_DAYS = 7
@@ -73,9 +73,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
-    """One row per paper: nested authors to lists, papers without authors or a plausible venue dropped."""
+    """One row per paper: nested authors to lists, papers without authors or a plausible venue dropped,
+    one per title."""
     rows = pages.select(F.inline("data")).where(F.col("authors").isNotNull() & (F.size("authors") > 0))
-    rows = plausible_venue(keep_one(rows, ["title"], F.col("paperId")))
+    rows = plausible_venue(keep_keyed(rows, "title", F.col("paperId")))
     return rows.select(
         "paperId",
         "title",

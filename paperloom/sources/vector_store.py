@@ -1,8 +1,10 @@
 """The vector tables: one row per paper with all its vectors, one row per chunk.
 
-A table lives in versioned folders below one root. A write makes the next version and
-then adds its number to the version list, so readers see whole versions only and a
-failed write leaves the last one in place.
+A table is dealt into ``BUCKETS`` by a hash of the paper. A write makes folders for the buckets
+it touches and then adds a line to the version list that names the folder of every bucket, so
+readers see whole versions only, a failed write leaves the last one in place, and untouched
+buckets are not rewritten. Folders that the last ``KEPT`` versions do not name are removed.
+One writer at a time; a batch that is written again finds its line and does nothing.
 """
 
 from __future__ import annotations
@@ -55,30 +57,84 @@ def save_embedding_documents(docs: DataFrame, path: str) -> None:
     docs.write.mode("append").json(path)
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
+BUCKETS = 32
+KEPT = 3
+_LINE = "version bigint, run string, batch bigint, folders array<string>"
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema("version bigint").json(f"{root}/_versions").agg(F.max("version").alias("v")).first()["v"]
+        return spark.read.schema(_LINE).json(f"{root}/_versions")
     except AnalysisException:
         return None
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    version = current_version(spark, root)
-    return None if version is None else spark.read.parquet(f"{root}/v{version}")
+def _latest(spark: SparkSession, root: str, count: int = 1) -> list:
+    """The last version lines, the newest first."""
+    lines = _versions(spark, root)
+    return lines.orderBy(F.desc("version")).limit(count).collect() if lines is not None else []
 
 
-def publish(df: DataFrame, root: str, cluster_by: str = "paperId") -> int:
-    """Writes the next version, sorted by paper inside each file so readers skip row groups by id."""
-    spark = df.sparkSession
-    version = (current_version(spark, root) or 0) + 1
-    df.sortWithinPartitions(cluster_by).write.mode("overwrite").parquet(f"{root}/v{version}")
-    spark.range(1).select(F.lit(version).cast("bigint").alias("version")).write.mode("append").json(f"{root}/_versions")
-    return version
+def current_version(spark: SparkSession, root: str) -> int | None:
+    return next((line["version"] for line in _latest(spark, root)), None)
+
+
+def _read(spark: SparkSession, root: str, folders: Sequence[str | None]) -> DataFrame | None:
+    paths = [f"{root}/{f}" for f in folders if f]
+    return spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
 
-def sync(new: DataFrame, root: str) -> int:
-    """Upserts new rows into the current version and publishes the result."""
-    old = read_current(new.sparkSession, root)
-    return publish(new if old is None else upsert(old, new), root)
+def read_current(spark: SparkSession, root: str) -> DataFrame | None:
+    rows = next((_read(spark, root, line["folders"]) for line in _latest(spark, root)), None)
+    return None if rows is None else rows.drop("_run")
+
+
+def _bucket(key: str = "paperId"):
+    return F.pmod(F.hash(key), F.lit(BUCKETS))
+
+
+def _remove_unnamed(spark: SparkSession, root: str) -> None:
+    """Deletes version folders that no kept version line names."""
+    named = {f.split("/")[0] for line in _latest(spark, root, KEPT) for f in line["folders"] if f}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in files.listStatus(path):
+        name = entry.getPath().getName()
+        if name.startswith("v") and name not in named:
+            files.delete(entry.getPath(), True)
+
+
+def sync(new: DataFrame, root: str, run: str = "", batch: int | None = None) -> int | None:
+    """Upserts chunk rows (paperId, chunk_idx, ...) and publishes the next version.
+
+    A paper's rows of earlier runs are replaced; within a run, rows replace those with the same
+    chunk and stand next to the others. Returns the version, or None for a table still empty.
+    Without a batch number each call is a run of its own.
+    """
+    spark = new.sparkSession
+    lines = _versions(spark, root)
+    if batch is not None and lines is not None and not lines.where((F.col("run") == run) & (F.col("batch") == batch)).isEmpty():
+        return current_version(spark, root)
+    last = next(iter(_latest(spark, root)), None)
+    version = last["version"] + 1 if last else 1
+    run = run if batch is not None else f"{run}#{version}"
+    touched = sorted(r["b"] for r in new.select(_bucket().alias("b")).distinct().collect())  # at most BUCKETS
+    if not touched:
+        return version - 1 or None
+    folders = list(last["folders"]) if last else [None] * BUCKETS
+    rows = new.withColumn("_run", F.lit(run))
+    old = _read(spark, root, [folders[b] for b in touched])
+    if old is not None:
+        came = new.select("paperId", F.lit(True).alias("_came")).distinct()
+        kept = old.join(new.select("paperId", "chunk_idx"), ["paperId", "chunk_idx"], "left_anti").join(came, "paperId", "left")
+        rows = rows.unionByName(kept.where(F.col("_came").isNull() | (F.col("_run") == run)).drop("_came"), allowMissingColumns=True)
+    dealt = rows.withColumn("_b", _bucket()).repartition(len(touched), "_b").sortWithinPartitions("_b", "paperId")
+    dealt.write.mode("overwrite").partitionBy("_b").parquet(f"{root}/v{version}")
+    for b in touched:
+        folders[b] = f"v{version}/_b={b}"
+    line = spark.createDataFrame([(version, run, batch, folders)], _LINE)
+    line.coalesce(1).write.mode("append").json(f"{root}/_versions")
+    _remove_unnamed(spark, root)
+    return version

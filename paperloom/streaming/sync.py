@@ -15,12 +15,16 @@ def new_only(stream: DataFrame, key: str = "paperId", time: str | None = None, w
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark([key])
 
 
-def sync_vectors(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Upserts every waiting file into the vector table, then ends; the end of the run is the done signal."""
+def sync_vectors(stream: DataFrame, root: str, checkpoint: str, run: str) -> StreamingQuery:
+    """Upserts every waiting file into the vector table, then ends; the end of the run is the done signal.
+
+    ``run`` names one arrival of papers: chunks of a paper that come in several batches of a run
+    stand together and replace what earlier runs stored of it. A run that is started again after
+    a failure keeps its name.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.take(1):
-            vector_store.sync(batch, root)
+        vector_store.sync(batch, root, run, batch_id)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

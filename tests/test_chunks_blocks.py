@@ -53,17 +53,24 @@ def test_chunks_equal_brute_force(spark):
         texts.append(rng.choice(["  ", "\n", " "]).join(sentences))
     df = spark.createDataFrame(list(enumerate(texts)), "id int, main_text string")
     got = {}
-    for r in K.chunk_papers(df, chunk_size=24, max_chunks=3, prefix_len=2, drop_single=False).collect():
+    for r in K.chunk_papers(df, chunk_size=24, max_chunks=3, prefix_len=2, min_sentence_tokens=3).collect():
         assert r["is_ref"] is False
         got.setdefault(r["id"], []).append((r["chunk_idx"], r["text"], r["core_start"], r["core_end"]))
     for i, text in enumerate(texts):
         assert sorted(got.get(i, [])) == expected_windows(text, 24, 3, 2)
 
 
-def test_single_chunk_papers_drop_out(spark):
+def test_single_chunk_papers_drop_out_if_asked(spark):
     df = spark.createDataFrame([(1, "Only a few words here.")], "id int, main_text string")
-    assert K.chunk_papers(df).count() == 0
-    assert K.chunk_papers(df, drop_single=False).count() == 1
+    assert K.chunk_papers(df, drop_single=True).count() == 0
+    assert K.chunk_papers(df).count() == 1
+
+
+def test_chunks_hold_every_token(spark):
+    texts = ["Hi. " + "Some words go on. " * 900 + "w " * 700 + "No. A. End", "", "One", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, main_text string")
+    spans = K.chunk_papers(df, chunk_size=24, prefix_len=2).groupBy("id").agg(F.sum(F.col("core_end") - F.col("core_start"))).collect()
+    assert {r[0]: r[1] for r in spans} == {i: len(t.split()) for i, t in enumerate(texts) if t}
 
 
 def test_role_prefixes(one):
@@ -114,7 +121,7 @@ def test_references_are_cut_from_a_document(spark):
 
 def test_short_documents_give_empty_texts(spark):
     docs = spark.createDataFrame([("a", "x" * 99), ("b", None), ("c", "y" * 100)], "doc string, full_text string")
-    out = {r["doc"]: (r["main_text"], r["ref_text"]) for r in B.clean_full_text(docs, False, 2026).collect()}
+    out = {r["doc"]: (r["main_text"], r["ref_text"]) for r in B.clean_full_text(docs, False, 2026, min_chars=100).collect()}
     assert out == {"a": ("", ""), "b": ("", ""), "c": ("", "")}
 
 

@@ -38,7 +38,11 @@ def test_payload_filter_by_field_class(papers):
     keep = lambda f, **kw: ids(papers.where(P.payload_filter(f, **kw)).select("paperId"))
     assert keep([["venue", "==", "Nature"]]) == ["b"]
     assert keep([["venue", "!=", ["Nature"]]]) == ["a"]
-    assert keep([["venue", "gt", "x"], ["citationCount", "gte", 5]]) == ["a", "b"]
+    assert keep([["venue", "gt", "x"], ["citationCount", "gte", 5]], lenient=True) == ["a", "b"]
+    for unknown in (["venue", "gt", "x"], ["venu", "==", "x"], ["citationCount", "==", 5], ["title", "gt", "a"]):
+        with pytest.raises(ValueError):
+            P.payload_filter([unknown])
+    assert keep([["venue", "==", []]]) == [] and keep([["venue", "!=", []]]) == ["a", "b"]
     assert keep([["title", "any", ["nets", "Graph"]]]) == ["a", "b"]
     assert keep([["title", "==", ["deep", "Graph"]]]) == ["b"]
     assert keep([["title", "==", ["NETS deep"]]], text_mode="token") == ["a"]
@@ -61,7 +65,7 @@ def test_query_gate(one):
 
 def test_links_and_versions(one):
     link = F.lit("gs://b/pdf/0704/0704.0001v6.pdf")
-    assert one(T.version_fallbacks(link)) == [f"gs://b/pdf/0704/0704.0001v{v}.pdf" for v in (6, 5, 4, 3)]
+    assert one(T.version_fallbacks(link, 4)) == [f"gs://b/pdf/0704/0704.0001v{v}.pdf" for v in (6, 5, 4, 3)]
     assert one(T.version_fallbacks(F.lit("gs://b/xv2.pdf"))) == ["gs://b/xv2.pdf", "gs://b/xv1.pdf"]
     assert one(T.version_fallbacks(F.lit("http://h/x.pdf"))) == ["http://h/x.pdf"]
     assert one(T.public_link(link)) == "https://arxiv.org/pdf/0704.0001"

@@ -48,8 +48,8 @@ def test_triplets_equal_brute_force_in_one_or_many_blocks(spark):
             k = (len(p) + len(r)) % 4
             if k < len(pool):
                 want.add((p, r, pool[k]))
-    for block in (1000, 10):
-        got = {tuple(r) for r in L.mine_triplets(meta_df, papers, rank, block_pairs=block).collect()}
+    for floats in (1 << 22, 60):
+        got = {tuple(r) for r in L.mine_triplets(meta_df, papers, rank, share_floats=floats).collect()}
         assert got == want and want
 
 

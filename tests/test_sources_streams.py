@@ -100,6 +100,25 @@ def test_upsert_then_delete_restores(spark, tmp_path):
     assert sorted(map(tuple, vector_store.read_current(spark, root).collect())) == [("a", 0), ("b", 0), ("c", 0)]
 
 
+def test_batches_of_a_run_stand_together(spark, tmp_path):
+    root = str(tmp_path / "store")
+
+    def put(rows, run, batch):
+        return vector_store.sync(spark.createDataFrame(rows, "paperId string, chunk_idx int, t string"), root, run, batch)
+
+    put([("a", 0, "x"), ("b", 0, "x")], "r1", 0)
+    put([("a", 1, "x"), ("a", 2, "x")], "r1", 1)
+    assert put([("a", 1, "again")], "r1", 1) == 2
+    put([("a", 0, "y")], "r2", 0)
+    put([("a", 1, "y")], "r2", 1)
+    assert put([], "r2", 2) == 4
+    got = sorted(map(tuple, vector_store.read_current(spark, root).select("paperId", "chunk_idx", "t").collect()))
+    assert got == [("a", 0, "y"), ("a", 1, "y"), ("b", 0, "x")]
+    left = {x for x in os.listdir(root) if x.startswith("v")}
+    named = {f.split("/")[0] for line in vector_store._latest(spark, root, vector_store.KEPT) for f in line["folders"] if f}
+    assert left == named and "v3" not in {f.split("/")[0] for f in vector_store._latest(spark, root)[0]["folders"] if f}
+
+
 def test_payload_update_touches_allowed_fields_only(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "paperId string, citationCount int, title string")
     new = spark.createDataFrame([("a", None, "changed")], "paperId string, citationCount int, title string")
