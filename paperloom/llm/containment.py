@@ -8,15 +8,18 @@ each item has ``hashes`` MinHash values, and an item meets a document where one
 least 0.8 T / (1.5 U + 0.2 T) with it; as T > U / 2 from U = 16 on, that is 0.26, and with 20
 values the chance to meet is over 0.997 (exact runs: over 0.9998). Values of a document count once.
 
-A value is the least of ``hash XOR constant``: hashes are uniform, so each constant ranks
-them by nearness to itself and picks each shingle alike. Minima of blocks give those of windows,
-and windows of one class those of the next.
+The low bits of a shingle's hash put it into one of ``BINS`` bins, and each bin has its own share
+of the values, so a shingle enters only those. A value is the least of ``hash XOR constant``:
+hashes are uniform, so each constant ranks them by nearness to itself and picks each shingle alike.
+Minima of blocks give those of windows, and windows of one class those of the next.
 
 Items of fewer words than a shingle are one run of their own length, met by equality.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions.rows import hold
@@ -26,6 +29,7 @@ from paperloom.llm.tables import stored
 SHINGLE = 5
 CONTAINED = 0.8
 SMALLEST = 8
+BINS = 4
 # Item values that may be sent to every task: 24 bytes each, 24 MB at most. Beyond it both sides are shuffled.
 BROADCAST_VALUES = 1_000_000
 
@@ -34,6 +38,19 @@ def _constants(hashes: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.xxhash64(i, F.lit("constant")))
 
 
+def _bins(blocks: Column) -> Column:
+    """Per bin, the shingles of each block that belong to it."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.transform(blocks, lambda block: F.filter(block, lambda x: x.bitwiseAND(F.lit(BINS - 1)) == b))
+    )
+
+
+def _minima(bins: Column, constants: Column, shape: Callable[[Column], Column]) -> Column:
+    """Per bin and constant, the minimum of each block, null for none."""
+    least = lambda blocks, c: F.transform(blocks, lambda block: F.array_min(F.transform(block, lambda x: x.bitwiseXOR(c))))
+    return F.flatten(F.transform(bins, lambda blocks: F.transform(constants, lambda c: shape(least(blocks, c)))))
+
+
 def _size_class(n: Column) -> Column:
     above = F.greatest(F.lit(SMALLEST), F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int"))
     return F.when(n <= 1, 1).otherwise(above)
@@ -45,7 +62,7 @@ def item_table(items: DataFrame, words: Column, hashes: int) -> DataFrame:
     length = F.least(F.size("h"), F.lit(SHINGLE))
     own_runs = F.coalesce(*[F.when(length == n, run_hashes(n)) for n in range(1, SHINGLE + 1)])
     rows = hold(listed, length=length, sh=own_runs)
-    values = F.transform(_constants(hashes), lambda c: F.array_min(F.transform("sh", lambda x: x.bitwiseXOR(c))))
+    values = F.array_compact(_minima(_bins(F.array("sh")), _constants(hashes // BINS), lambda m: m[0]))
     return stored(
         rows.select(
             "item_id",
@@ -80,12 +97,9 @@ def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]]
         blocks = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice("sh", b * block + 1, block))).otherwise(
             F.array().cast("array<array<long>>")
         )
-        df = hold(df, blocks=blocks, constants=_constants(hashes)).drop("sh")
-        # level[c][i]: the minimum under constant c of the window at step i
-        least = F.transform(
-            "constants", lambda c: F.transform("blocks", lambda b: F.array_min(F.transform(b, lambda x: x.bitwiseXOR(c))))
-        )
-        df = hold(df, level=least).drop("blocks", "constants")
+        df = hold(df, bins=_bins(blocks), constants=_constants(hashes // BINS)).drop("sh")
+        # level[k][i]: minimum k of the block at step i
+        df = hold(df, level=_minima(F.col("bins"), F.col("constants"), lambda m: m)).drop("bins", "constants")
         triples = F.transform("level", lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + 1), F.get(m, i + 2))))
         size, df = wide[0], hold(df, **{f"at_{wide[0]}": triples}).drop("level")
         while size < wide[-1]:
@@ -103,7 +117,7 @@ def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]]
                 df = df.drop(f"at_{size}")
             size *= 2
         out += [F.flatten(f"at_{u}") for u in wide]
-    return df.select("doc_id", F.array_distinct(F.concat(*out)).alias("values"))
+    return df.select("doc_id", F.array_compact(F.array_distinct(F.concat(*out))).alias("values"))
 
 
 def contained(docs: DataFrame, doc_words: Column, items: DataFrame, item_words: Column, hashes: int = 20) -> DataFrame:
