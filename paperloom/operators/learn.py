@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import vectors as V
+from paperloom.functions.rows import hold
 from paperloom.operators import search as S
+from paperloom.session import new_folder
 
 DECIMALS = 6
 # Negatives are drawn from this many nearest papers of the cited one.
@@ -145,8 +147,20 @@ def split_share(ids: Column, seed: int = 123, test_percent: int = 20) -> Column:
 
     The hash is one that other engines have too, so that they split alike.
     """
+    return _split_hash(ids, seed) % 100 < test_percent
+
+
+def _split_hash(ids: Column, seed: int) -> Column:
     name = F.md5(F.concat_ws(":", ids.cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % 100 < test_percent
+    return F.conv(F.substring(name, 1, 8), 16, 10).cast("long")
+
+
+def split_rows(df: DataFrame, key: str, seed: int = 123, test_percent: int = 20) -> DataFrame:
+    """Adds ``test``: the hash split, or the row of the smallest hash where the split finds none."""
+    shared = split_share(F.col(key), seed, test_percent)
+    found = df.agg(F.max(shared)).scalar()
+    least = df.agg(F.min(_split_hash(F.col(key), seed))).scalar()
+    return df.withColumn("test", shared | (~F.coalesce(found, F.lit(False)) & (_split_hash(F.col(key), seed) == least)))
 
 
 def pair_loss(positive: Column, negative: Column) -> Column:
@@ -245,6 +259,81 @@ def blend(scored: DataFrame, model) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
+_FEATURES = ("retrieval_score", "rerank_score")
+
+
+def _blend_terms(scored: DataFrame, weights: DataFrame) -> DataFrame:
+    """Labelled rows with inputs (1, x, y) standardised by task, probability and class-balanced weight."""
+    rows = scored.where(F.col("user_score").isNotNull()).join(weights, "task_id")
+    x = [F.lit(1.0), *[(F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}") for c in _FEATURES]]
+    label = (F.col("user_score") > 0).cast("double")
+    weight = F.col("n") / (2 * F.when(label > 0, F.col("good")).otherwise(F.col("n") - F.col("good")))
+    rows = hold(rows, x0=x[0], x1=x[1], x2=x[2], label=label, w=weight)
+    return rows.withColumn("p", 1 / (1 + F.exp(-(F.col("b0") * F.col("x0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2")))))
+
+
+def _gradients() -> list[Column]:
+    return [F.sum(F.col("w") * (F.col("p") - F.col("label")) * F.col(f"x{i}")).alias(f"g{i}") for i in range(3)]
+
+
+def fit_blend_by_task(scored: DataFrame, min_labels: int = MIN_LABELS, rounds: int = 12) -> DataFrame:
+    """One class-balanced logistic regression of feedback on the two scores per task, as a table of weights.
+
+    ``scored`` has task_id, user_score and the scores. Inputs are standardised by task, with a
+    ridge of one label's weight. All tasks take each Newton step together, in one aggregate of sums;
+    nothing but plans comes to the driver. Tasks under ``min_labels`` or of one class have no row.
+    """
+    labelled = scored.where(F.col("user_score").isNotNull())
+    spread = [f(F.col(c)).alias(f"{n}_{c}") for c in _FEATURES for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
+    start = labelled.groupBy("task_id").agg(F.count("*").alias("n"), F.count_if(F.col("user_score") > 0).alias("good"), *spread)
+    start = start.where((F.col("n") >= min_labels) & (F.col("good") > 0) & (F.col("good") < F.col("n")))
+    start = start.withColumns({f"sd_{c}": F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(1.0) for c in _FEATURES})
+    columns = [*start.columns, "b0", "b1", "b2"]
+    weights = start.withColumns({f"b{i}": F.lit(0.0) for i in range(3)})
+    folder = new_folder(scored.sparkSession, "blend")
+    for turn in range(rounds + 1):
+        weights.write.parquet(f"{folder}/{turn}")
+        weights = scored.sparkSession.read.parquet(f"{folder}/{turn}")
+        if turn == rounds:
+            return weights
+        curve = F.col("w") * F.col("p") * (1 - F.col("p"))
+        sums = _gradients() + [F.sum(curve * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)]
+        step = weights.join(_blend_terms(scored, weights).groupBy("task_id").agg(*sums), "task_id")
+        weights = hold(step, s=_newton_step()).select(*columns[:-3], *[(F.col(f"b{i}") - F.col("s")[i]).alias(f"b{i}") for i in range(3)])
+
+
+def _newton_step() -> Column:
+    """H^-1 g of a symmetric 3 x 3 system with the ridge on both slopes, by cofactors."""
+    h = {(i, j): F.col(f"h{min(i, j)}{max(i, j)}") + (1.0 if i == j and i else 0.0) for i in range(3) for j in range(3)}
+    g = [F.col("g0"), *[F.col(f"g{i}") + F.col(f"b{i}") for i in (1, 2)]]
+
+    def cofactor(i: int, j: int) -> Column:
+        (a, b), (c, d) = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        return (h[a, c] * h[b, d] - h[a, d] * h[b, c]) * (-1) ** (i + j)
+
+    det = sum((h[0, j] * cofactor(0, j) for j in range(1, 3)), h[0, 0] * cofactor(0, 0))
+    return F.array(*[sum((cofactor(i, j) * g[j] for j in range(1, 3)), cofactor(i, 0) * g[0]) / det for i in range(3)])
+
+
+def blend_residuals(scored: DataFrame, weights: DataFrame) -> DataFrame:
+    """(task_id, residual): the largest entry of the fitted objective's gradient, 0 at its optimum."""
+    sums = _blend_terms(scored, weights).groupBy("task_id", "b1", "b2").agg(*_gradients())
+    parts = [F.abs("g0"), F.abs(F.col("g1") + F.col("b1")), F.abs(F.col("g2") + F.col("b2"))]
+    return sums.select("task_id", F.greatest(*parts).alias("residual"))
+
+
+def blend_by_task(scored: DataFrame, weights: DataFrame) -> DataFrame:
+    """Adds blended_score and ``scorer``: the task's fitted probability, or the re-rank score where none is fitted."""
+    x = [(F.col(c) - F.col(f"mean_{c}")) / F.col(f"sd_{c}") for c in _FEATURES]
+    fitted = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * x[0] + F.col("b2") * x[1])))
+    joined = scored.join(weights, "task_id", "left")
+    return joined.select(
+        *[joined[c] if c != "task_id" else F.col("task_id") for c in scored.columns],
+        F.coalesce(fitted, "rerank_score").alias("blended_score"),
+        F.when(F.col("b0").isNotNull(), "fitted").otherwise("rerank").alias("scorer"),
+    )
+
+
 def promote_best(runs: DataFrame, metric: str) -> DataFrame:
     """Best staging or production version becomes production; other production versions lose the tag."""
     tagged = F.lower("status").isin("staging", "production") & F.col(metric).isNotNull()

@@ -21,6 +21,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import vectors as V
+from paperloom.functions.rows import hold
 
 # Largest block of query vectors sent to every executor: 32 MB of doubles.
 BLOCK_FLOATS = 4_000_000
@@ -295,59 +296,30 @@ def rerank_and_sort(hits: DataFrame, truncate: str = "before", blended: Column |
     return ranked.where(F.col("rank") <= F.col("topK"))
 
 
-def _score_task(block_ref, kind: str, temperature: float, decimals: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: QueryBlock = block_ref.value
-        q = centred_rows(block.matrix) if kind == "centred" else unit_rows(block.matrix)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            raw, counts = vector_matrix(batch.column("vectors"))
-            d = centred_rows(raw) if kind == "centred" else unit_rows(raw)
-            if kind == "soft":
-                scores = _soft_matrix(q, block, d, counts, temperature)
-            else:
-                scores = max_sim_matrix(q, block.starts, d, counts)
-            ids = batch.column("paperId")
-            n = len(block.ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array(block.ids, dtype=object), len(ids)), pa.string()),
-                    pa.array(np.tile(ids.to_numpy(zero_copy_only=False), n), pa.string()),
-                    pa.array(np.round(scores, decimals).ravel()),
-                ],
-                names=["query_id", "paperId", "score"],
-            )
-
-    return run
+def query_vectors(queries: DataFrame) -> DataFrame:
+    """(query_id, query_vectors): the sub-query vectors of each query in order."""
+    subs = F.sort_array(F.collect_list(F.struct("qi", "embedding")))
+    return queries.groupBy("query_id").agg(F.transform(subs, lambda s: s["embedding"]).alias("query_vectors"))
 
 
-def _soft_matrix(q, block: QueryBlock, d, counts, temperature: float) -> np.ndarray:
-    filled = np.flatnonzero(counts)
-    out = np.full((len(block.ids), len(counts)), np.nan)
-    if len(filled):
-        first = np.concatenate([[0], np.cumsum(counts[filled])[:-1]])
-        scaled = (q @ d.T) / temperature
-        top = np.maximum.reduceat(scaled, first, axis=1)
-        spread = np.exp(scaled - np.repeat(top, counts[filled], axis=1))
-        lse = top + np.log(np.add.reduceat(spread, first, axis=1))
-        out[:, filled] = np.add.reduceat(lse, block.starts[:-1], axis=0) / block.sub_counts[:, None]
-    return out
-
-
-def score_all(
-    papers: DataFrame, queries: DataFrame, kind: str = "maxsim", temperature: float = 0.01, decimals: int = DECIMALS
+def score_pairs(
+    pairs: DataFrame, papers: DataFrame, queries: DataFrame, kind: str = "maxsim", temperature: float = 0.01, decimals: int = DECIMALS
 ) -> DataFrame:
-    """The score of every (query, paper): ``maxsim``, ``soft`` or ``centred`` (the untrained re-ranker)."""
-    if kind not in ("maxsim", "soft", "centred"):
+    """(query_id, paperId, score) of the given pairs: ``maxsim``, ``soft`` or ``centred`` (the untrained re-ranker).
+
+    Pairs are retrieved candidates, so as many rows leave as came; nothing is scored against all papers.
+    """
+    shape = V.centred if kind == "centred" else lambda v: v
+    q, d = (F.transform(c, lambda v: V.unit(shape(v))) for c in ("query_vectors", "vectors"))
+    if kind in ("maxsim", "centred"):
+        score = V.max_sim(F.col("_q"), F.col("_d"))
+    elif kind == "soft":
+        score = V.soft_max_sim(F.col("_q"), F.col("_d"), temperature)
+    else:
         raise ValueError(f"unknown score {kind!r}")
-    sc = papers.sparkSession.sparkContext
-    out = None
-    for block in query_blocks(queries):
-        task = _score_task(sc.broadcast(block), kind, temperature, decimals)
-        part = papers.select("paperId", "vectors").mapInArrow(task, "query_id string, paperId string, score double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = pairs.select("query_id", "paperId").join(query_vectors(queries), "query_id")
+    both = hold(asked.join(papers.select("paperId", "vectors"), "paperId"), _q=q, _d=d)
+    return both.select("query_id", "paperId", F.round(score, decimals).alias("score"))
 
 
 def best_chunks(

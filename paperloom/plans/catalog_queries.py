@@ -12,7 +12,7 @@ from paperloom.operators import learn as L
 from paperloom.plans import fixtures as X
 from paperloom.plans import jobs
 from paperloom.plans.registry import query
-from paperloom.session import read_table
+from paperloom.session import new_folder, read_table
 from paperloom.sources import feeds, parquet, vector_store
 
 _META = X.with_ctes(X.PAPERS_META)
@@ -39,8 +39,10 @@ def scan_filter_list(spark, sf):
     "WHERE year(o_orderdate) IN (1996, 1998) GROUP BY 1",
 )
 def load_years(spark, sf):
-    orders = read_table(spark, sf, "orders").withColumn("publicationYear", F.year("o_orderdate"))
-    kept = orders.where(F.col("publicationYear").isin(1996, 1998))
+    """Orders saved by year and loaded again, two years of them and one table of all."""
+    folder = new_folder(spark, "orders-by-year")
+    parquet.save_by_year(read_table(spark, sf, "orders").withColumn("publicationYear", F.year("o_orderdate")), folder)
+    kept = parquet.load_years(spark, folder, [1996, 1998])
     return kept.groupBy(F.col("publicationYear").alias("order_year")).agg(
         F.count(F.lit(1)).alias("orders"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("total")
     )
@@ -305,15 +307,25 @@ def citation_threshold(spark, sf):
 
 @query(
     "readable_papers",
-    _TEXT + """SELECT "paperId" FROM pt WHERE "isOpenAccess" OR (abstract IS NOT NULL AND abstract <> '')""",
+    _TEXT + """SELECT "paperId" FROM pt WHERE "isOpenAccess" OR (doc_id % 3 = 0 AND abstract <> '')""",
 )
 def readable_papers(spark, sf):
-    return C.readable(X.papers_text(spark, sf)).select("paperId")
+    """Abstracts are null for a third of the papers and empty for another."""
+    kind = F.col("doc_id") % 3
+    text = X.papers_text(spark, sf).withColumn("abstract", F.when(kind == 0, F.col("abstract")).when(kind == 1, ""))
+    return C.readable(text).select("paperId")
 
 
-@query("plausible_venues", _META + """SELECT "paperId", venue FROM pm WHERE length(venue) > 3""")
+@query(
+    "plausible_venues",
+    _META + """SELECT "paperId", v AS venue FROM (SELECT "paperId", CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN substr(venue, 1, 3) ELSE venue END AS v FROM pm)
+WHERE length(v) > 3""",
+)
 def plausible_venues(spark, sf):
-    return C.plausible_venue(X.papers_meta(spark, sf)).select("paperId", "venue")
+    """Venues are missing for a quarter of the papers and cut to three letters for another."""
+    kind = F.col("doc_id") % 4
+    venue = F.when(kind == 0, F.lit(None)).when(kind == 1, F.substring("venue", 1, 3)).otherwise(F.col("venue"))
+    return C.plausible_venue(X.papers_meta(spark, sf).withColumn("venue", venue)).select("paperId", "venue")
 
 
 @query(
@@ -348,11 +360,11 @@ def article_split(spark, sf):
 @query(
     "field_overlap",
     _META + """SELECT "paperId", "fieldsOfStudy" FROM pm WHERE list_has_any(string_split("fieldsOfStudy", ','),
-  (SELECT list(DISTINCT split_part("fieldsOfStudy", ',', 1)) FROM pm WHERE "citationCount" > 98))""",
+  (SELECT list(DISTINCT split_part("fieldsOfStudy", ',', 1)) FROM pm WHERE "fieldsOfStudy" LIKE 'de%' OR "fieldsOfStudy" LIKE 'fr%'))""",
 )
 def field_overlap(spark, sf):
     meta = X.papers_meta(spark, sf)
-    fields = C.first_fields(meta.where(F.col("citationCount") > 98))
+    fields = C.first_fields(meta.where(F.col("fieldsOfStudy").rlike("^(de|fr)")))
     return C.overlaps_fields(meta, fields).select("paperId", "fieldsOfStudy")
 
 

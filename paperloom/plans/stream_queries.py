@@ -65,7 +65,23 @@ def stream_stalled(spark, sf):
     return _run(spark, sync.stalled_items(starts, finishes, "user_id", "6 HOURS"), "stalled").select("event_id", "user_id")
 
 
-@query("stream_admission")
+@query(
+    "stream_admission",
+    """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS task_id, event_id::VARCHAR AS query_id, event_type AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('view', 'error', 'purchase')),
+st AS (
+  SELECT DISTINCT task_id, 0::BIGINT AS n, NULL::VARCHAR AS running, []::VARCHAR[] AS waiting, []::STRUCT(q VARCHAR, a VARCHAR)[] AS said FROM e
+  UNION ALL
+  SELECT st.task_id, e.n,
+    CASE WHEN kind = 'view' THEN coalesce(running, query_id) WHEN running IS NOT NULL THEN waiting[1] END,
+    CASE WHEN running IS NULL THEN waiting WHEN kind = 'view' THEN list_append(waiting, query_id) ELSE waiting[2:] END,
+    CASE WHEN kind = 'view' THEN [{'q': query_id, 'a': CASE WHEN running IS NULL THEN 'start' ELSE 'wait' END}]
+         WHEN running IS NULL THEN [{'q': query_id, 'a': 'ignored'}]
+         ELSE list_concat([{'q': running, 'a': CASE kind WHEN 'error' THEN 'cancelled' ELSE 'done' END}],
+                          CASE WHEN len(waiting) > 0 THEN [{'q': waiting[1], 'a': 'start'}] ELSE [] END) END
+  FROM st JOIN e ON e.task_id = st.task_id AND e.n = st.n + 1)
+SELECT task_id, x.q AS query_id, x.a AS action FROM (SELECT task_id, unnest(said) AS x FROM st)""",
+)
 def stream_admission(spark, sf):
     """Views as requests, errors as cancels and purchases as ends, one task per user."""
     kind = F.when(F.col("event_type") == "view", "request").when(F.col("event_type") == "error", "cancel").when(
@@ -78,7 +94,41 @@ def stream_admission(spark, sf):
     return _run(spark, state.admit_requests(events.where(F.col("kind").isNotNull())), "admission")
 
 
-@query("stream_token_pieces")
+@query(
+    "stream_request_topics",
+    """SELECT 'u/' || conv_id AS task_id, conv_id || '_' || turn AS query_id, CASE WHEN turn % 2 = 0 THEN 'request' ELSE 'cancel' END AS kind FROM conversations""",
+)
+def stream_request_topics(spark, sf):
+    """Even turns as requests and odd ones as cancels, each in its topic, read back as one stream."""
+    folder = new_folder(spark, "topics")
+    conv = F.col("conv_id").cast("string")
+    rows = read_table(spark, sf, "conversations").select(
+        F.concat(F.lit("u/"), conv).alias("task_id"), F.concat_ws("_", conv, F.col("turn").cast("string")).alias("query_id"), "turn"
+    )
+    for kind, part in (("request", F.col("turn") % 2 == 0), ("cancel", F.col("turn") % 2 == 1)):
+        Q.write_folder(rows.where(part).drop("turn"), f"{folder}/{kind}")
+    requests, cancels = (Q.stream_folder(spark, f"{folder}/{k}", schemas.CANCEL_REQUEST) for k in ("request", "cancel"))
+    return _run(spark, Q.request_events(requests, cancels), "request-events")
+
+
+@query(
+    "stream_token_pieces",
+    """WITH RECURSIVE w AS (SELECT conv_id || '_' || turn AS stream_id,
+    CASE WHEN turn % 2 = 1 THEN list_concat(['<think>'], string_split(text, ' '), ['</think>', 'done']) ELSE string_split(text, ' ') END AS t FROM conversations),
+e AS MATERIALIZED (SELECT stream_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS n, len(t) AS last FROM w),
+st AS (
+  SELECT stream_id, 0::BIGINT AS n, false AS inside, '' AS c, '' AS h, NULL::STRUCT(c VARCHAR, h VARCHAR) AS piece FROM w
+  UNION ALL
+  SELECT stream_id, n, inside, CASE WHEN cut THEN '' ELSE c END, CASE WHEN cut THEN '' ELSE h END,
+         CASE WHEN cut OR (last = n AND (c <> '' OR h <> '')) THEN {'c': c, 'h': h} END
+  FROM (SELECT *, (NOT mark AND (length(c) > 100 OR length(h) > 100)) AS cut
+        FROM (SELECT e.stream_id, e.n, e.last, contains(token, '<think>') OR contains(token, '</think>') AS mark,
+                     CASE WHEN contains(token, '<think>') THEN true WHEN contains(token, '</think>') THEN false ELSE inside END AS inside,
+                     CASE WHEN contains(token, '<think>') OR contains(token, '</think>') OR inside THEN c ELSE c || token END AS c,
+                     CASE WHEN contains(token, '<think>') OR contains(token, '</think>') OR NOT inside THEN h ELSE h || token END AS h
+              FROM st JOIN e ON e.stream_id = st.stream_id AND e.n = st.n + 1)))
+SELECT stream_id, piece.c AS content, piece.h AS think FROM st WHERE piece IS NOT NULL""",
+)
 def stream_token_pieces(spark, sf):
     """Each conversation turn as a token stream; odd turns think first."""
     odd = F.col("turn") % 2 == 1

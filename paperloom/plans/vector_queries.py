@@ -160,33 +160,45 @@ def search_single_vector_topk(spark, sf):
     )
 
 
-@query("maxsim_scores", _SCORED + 'SELECT query_id, "paperId", round(sum(s), 6) AS score FROM best GROUP BY query_id, "paperId"')
+_HITS = """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_score DESC, "paperId") AS n FROM scored),
+hit AS (SELECT query_id, "paperId" FROM ranked WHERE n <= 5 * "topK")"""
+
+
+def _hit_scores(spark, sf, **how):
+    """Scores of the over-fetched hits of every label's query."""
+    papers, queries = S.pack_vectors(X.chunk_vectors(spark, sf)), X.label_queries(spark, sf)
+    return S.score_pairs(S.top_k(papers, queries, factor=S.OVERFETCH), papers, queries, **how)
+
+
+@query(
+    "maxsim_scores",
+    _SCORED + _HITS + 'SELECT query_id, "paperId", round(sum(s), 6) AS score FROM best SEMI JOIN hit USING (query_id, "paperId") GROUP BY query_id, "paperId"',
+)
 def maxsim_scores(spark, sf):
-    return S.score_all(S.pack_vectors(X.chunk_vectors(spark, sf)), X.label_queries(spark, sf))
+    return _hit_scores(spark, sf)
 
 
 @query(
     "soft_maxsim_scores",
-    _BASE + """,
+    _SCORED + _HITS + """,
 c AS (SELECT query_id, qi, "paperId", list_cosine_similarity(qe, e) / 0.05 AS s FROM q, v),
 t AS (SELECT query_id, qi, "paperId", max(s) AS top FROM c GROUP BY ALL),
 l AS (SELECT query_id, qi, "paperId", any_value(top) + ln(sum(exp(s - top))) AS lse FROM c JOIN t USING (query_id, qi, "paperId")
       GROUP BY query_id, qi, "paperId")
-SELECT query_id, "paperId", round(avg(lse), 6) AS score FROM l GROUP BY query_id, "paperId" """,
+SELECT query_id, "paperId", round(avg(lse), 6) AS score FROM l SEMI JOIN hit USING (query_id, "paperId") GROUP BY query_id, "paperId" """,
 )
 def soft_maxsim_scores(spark, sf):
-    papers = S.pack_vectors(X.chunk_vectors(spark, sf))
-    return S.score_all(papers, X.label_queries(spark, sf), kind="soft", temperature=0.05)
+    return _hit_scores(spark, sf, kind="soft", temperature=0.05)
 
 
 @query(
     "rerank_scores",
-    _BASE + _CENTRED + 'SELECT query_id, "paperId", round(sum(s), 6) AS score FROM (SELECT query_id, qi, "paperId", '
-    'max(list_cosine_similarity(qe, e)) AS s FROM qc, vc GROUP BY query_id, qi, "paperId") GROUP BY query_id, "paperId"',
+    _SCORED + _CENTRED + _HITS + 'SELECT query_id, "paperId", round(sum(s), 6) AS score FROM (SELECT query_id, qi, "paperId", '
+    'max(list_cosine_similarity(qe, e)) AS s FROM qc, vc GROUP BY query_id, qi, "paperId") SEMI JOIN hit USING (query_id, "paperId") GROUP BY query_id, "paperId"',
 )
 def rerank_scores(spark, sf):
-    papers = S.pack_vectors(X.chunk_vectors(spark, sf))
-    return S.score_all(papers, X.label_queries(spark, sf), kind="centred")
+    return _hit_scores(spark, sf, kind="centred")
 
 
 @query(

@@ -50,6 +50,12 @@ def stream_folder(spark: SparkSession, path: str, schema: str, files: int = REQU
     return decode(rows, schema)
 
 
+def request_events(requests: DataFrame, cancels: DataFrame) -> DataFrame:
+    """The request and the cancel topic as one stream of (task_id, query_id, kind)."""
+    side = lambda rows, kind: rows.select("task_id", "query_id", F.lit(kind).alias("kind"))
+    return side(requests, "request").unionByName(side(cancels, "cancel"))
+
+
 def stream_batches(spark: SparkSession, path: str, schema: str, files: int = FILES_PER_BATCH) -> DataFrame:
     """Parquet batches of a watched folder, oldest first."""
     return (

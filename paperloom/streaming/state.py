@@ -13,17 +13,27 @@ FLUSH_CHARS = 100
 OPEN_MARK, CLOSE_MARK = "<think>", "</think>"
 
 
-def admit_requests(events: DataFrame) -> DataFrame:
+def _timeout(seconds: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def admit_requests(events: DataFrame, give_up_after: int | None = None) -> DataFrame:
     """Admits one request per task at a time.
 
     Events: task_id, seq, kind ('request', 'cancel' or 'done'), query_id. A request for
     a busy task waits; a cancel drops the running request; the end of one starts the
-    next. Output: task_id, query_id, action ('start', 'wait', 'cancelled', 'done' or
-    'ignored'), in the order of seq inside a micro-batch.
+    next. Output: task_id, query_id, action ('start', 'wait', 'cancelled', 'done',
+    'ignored' or 'expired'), in the order of seq inside a micro-batch. A task without an event
+    for ``give_up_after`` seconds loses its running and waiting requests, so no state stays for ever.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         running, waiting = (lambda r, w: (r, json.loads(w)))(*state.get) if state.exists else (None, [])
+        if state.hasTimedOut:
+            state.remove()
+            lost = [q for q in (running, *waiting) if q is not None]
+            yield pd.DataFrame({"task_id": key[0], "query_id": lost, "action": "expired"})
+            return
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for kind, query_id in zip(rows["kind"], rows["query_id"]):
@@ -45,6 +55,8 @@ def admit_requests(events: DataFrame) -> DataFrame:
             state.remove()
         else:
             state.update((running, json.dumps(waiting)))
+            if give_up_after is not None:
+                state.setTimeoutDuration(give_up_after * 1000)
         if out:
             yield pd.DataFrame({"task_id": key[0], "query_id": [q for q, _ in out], "action": [a for _, a in out]})
 
@@ -53,18 +65,24 @@ def admit_requests(events: DataFrame) -> DataFrame:
         "task_id string, query_id string, action string",
         "running string, waiting string",
         "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(give_up_after),
     )
 
 
-def flush_tokens(tokens: DataFrame) -> DataFrame:
+def flush_tokens(tokens: DataFrame, give_up_after: int | None = None) -> DataFrame:
     """Token streams in pieces: visible and hidden text, sent when either passes 100 characters or the stream ends.
 
-    Tokens: stream_id, seq, token; a null token ends the stream.
+    Tokens: stream_id, seq, token; a null token ends the stream, and so do ``give_up_after``
+    seconds without a token.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         inside, content, think = state.get if state.exists else (False, "", "")
+        if state.hasTimedOut:
+            state.remove()
+            if content or think:
+                yield pd.DataFrame({"stream_id": key[0], "content": [content], "think": [think]})
+            return
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         ended = False
@@ -92,6 +110,8 @@ def flush_tokens(tokens: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update((bool(inside), content, think))
+            if give_up_after is not None:
+                state.setTimeoutDuration(give_up_after * 1000)
         if out:
             yield pd.DataFrame({"stream_id": key[0], "content": [c for c, _ in out], "think": [t for _, t in out]})
 
@@ -100,5 +120,5 @@ def flush_tokens(tokens: DataFrame) -> DataFrame:
         "stream_id string, content string, think string",
         "inside boolean, content string, think string",
         "append",
-        GroupStateTimeout.NoTimeout,
+        _timeout(give_up_after),
     )

@@ -76,6 +76,31 @@ def test_blend_needs_labels_of_two_classes(spark):
     assert means[1] > 0.7 > 0.3 > means[0]
 
 
+def test_blend_by_task_is_newton_on_each_task(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for task, n in (("a", 60), ("b", 35), ("few", 8), ("one", 40)):
+        for i in range(n):
+            y = 1 if task == "one" else int(rng.random() < 0.4)
+            rows.append((task, f"{task}{i}", y, float(y + rng.normal()), float(rng.random())))
+    rows += [("a", "new", None, 0.4, 0.2), ("none", "x", None, 0.1, 0.9)]
+    df = spark.createDataFrame(rows, "task_id string, paperId string, user_score int, retrieval_score double, rerank_score double")
+    weights = L.fit_blend_by_task(df)
+    got = {r["task_id"]: (r["b0"], r["b1"], r["b2"]) for r in weights.collect()}
+    assert set(got) == {"a", "b"}
+    for task, beta in got.items():
+        data = np.array([(r[2], r[3], r[4]) for r in rows if r[0] == task and r[2] is not None], float)
+        y, x = data[:, 0], (data[:, 1:] - data[:, 1:].mean(0)) / data[:, 1:].std(0)
+        x = np.hstack([np.ones((len(y), 1)), x])
+        w = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        p = 1 / (1 + np.exp(-x @ np.array(beta)))
+        gradient = x.T @ (w * (p - y)) + np.array([0, beta[1], beta[2]])
+        assert np.abs(gradient).max() < 1e-8
+    out = {r["paperId"]: r for r in L.blend_by_task(df, weights).collect()}
+    assert out["x"]["scorer"] == "rerank" and out["x"]["blended_score"] == 0.9
+    assert out["new"]["scorer"] == "fitted" and 0 < out["new"]["blended_score"] < 1 and len(out) == len(rows)
+
+
 def test_attention_pooling_is_softmax_weighted(spark):
     rng = np.random.default_rng(9)
     data = {f"p{i}": rng.normal(size=(2 + i, 4)) for i in range(3)}
@@ -134,7 +159,15 @@ def test_citations_cards_messages(one):
     assert one(A.article_cards(F.array().cast("array<string>"))) == [A.NO_ARTICLES]
 
 
-def test_score_all_soft_matches_formula(spark):
-    q = spark.createDataFrame([("q", 0, [1.0, 0.0], 1)], "query_id string, qi int, embedding array<float>, topK int")
+def test_split_has_a_test_row(spark):
+    for n in (1, 2, 3, 50):
+        df = spark.createDataFrame([(f"x{i}",) for i in range(n)], "k string")
+        tests = L.split_rows(df, "k").where("test").count()
+        assert tests == max(1, df.where(L.split_share(F.col("k"))).count())
+    assert L.split_rows(df.where("false"), "k").count() == 0
+
+
+def test_soft_pair_score_matches_formula(spark):
+    q = spark.createDataFrame([("q", 0, [1.0, 0.0], "p")], "query_id string, qi int, embedding array<float>, paperId string")
     p = spark.createDataFrame([("p", [[1.0, 0.0], [0.0, 1.0]])], "paperId string, vectors array<array<float>>")
-    assert abs(S.score_all(p, q, kind="soft", temperature=0.5).first()["score"] - np.log(np.exp(2) + 1)) < 1e-6
+    assert abs(S.score_pairs(q, p, q, kind="soft", temperature=0.5).first()["score"] - np.log(np.exp(2) + 1)) < 1e-6

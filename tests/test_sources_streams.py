@@ -172,6 +172,37 @@ def test_token_pieces_rebuild_the_answer(spark, tmp_path):
     assert max(max(len(r["content"]), len(r["think"])) for r in got) <= 105
 
 
+def test_silent_tasks_and_streams_are_given_up(spark, tmp_path):
+    import time
+
+    def silent(name, schema, rows, step, columns, want):
+        """Runs a stream on one file until it has given up what is open, or for 40 seconds."""
+        src, out = tmp_path / f"{name}-in", str(tmp_path / f"{name}-out")
+        src.mkdir()
+        (src / "0.json").write_text("\n".join(json.dumps(r) for r in rows))
+        made = step(spark.readStream.schema(schema).json(str(src)))
+        writer = made.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").outputMode("append")
+        query = writer.trigger(processingTime="500 milliseconds").start(f"{out}/rows")
+        got, end = [], time.time() + 40
+        while got != want and time.time() < end:
+            time.sleep(1)
+            if os.path.isdir(f"{out}/rows/_spark_metadata"):
+                got = sorted(tuple(r[c] for c in columns) for r in spark.read.schema(made.schema).parquet(f"{out}/rows").collect())
+        query.stop()
+        assert got == want
+
+    event = lambda seq, query: {"task_id": "a", "seq": seq, "kind": "request", "query_id": query}
+    silent(
+        "admit", "task_id string, seq int, kind string, query_id string", [event(0, "q0"), event(1, "q1")],
+        lambda s: state.admit_requests(s, give_up_after=2), ("query_id", "action"),
+        [("q0", "expired"), ("q0", "start"), ("q1", "expired"), ("q1", "wait")],
+    )
+    silent(
+        "flush", "stream_id string, seq int, token string", [{"stream_id": "s", "seq": 0, "token": "left over"}],
+        lambda s: state.flush_tokens(s, give_up_after=2), ("stream_id", "content"), [("s", "left over")],
+    )
+
+
 def test_late_rows_are_dropped_and_duplicates_ignored(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
