@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.llm.nets import Adam, gru, gru_back, sigmoid
+from paperloom.llm.tables import sampled
 from paperloom.llm.words import Piece, hash_words, mix, pieces
 
 WINDOW, STRIDE = 64, 48
@@ -34,7 +35,7 @@ GRAMS = (3, 5)
 ACCEPT = 0.3
 HELD_OUT, FOLDS = 2, 4
 # Documents of each label to learn from, and the longest text among them in characters.
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1000, 0: 2000}
 LONGEST = 6_000
 ROUNDS, BATCH, STEPS = 6, 256, 24
 _U = np.uint64
@@ -76,8 +77,8 @@ def _grams(p: Piece, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], np.searchsorted(word[order], np.arange(len(at) + 1))
 
 
-def features(p: Piece) -> Features:
-    hashes = hash_words(p)
+def features(p: Piece, hashes: np.ndarray | None = None) -> Features:
+    hashes = hash_words(p) if hashes is None else hashes
     names, at, index = np.unique(hashes, return_index=True, return_inverse=True)
     gram, of = _grams(p, at)
     # windows start at 0, STRIDE, ... while words are left beyond the one before
@@ -90,9 +91,18 @@ def features(p: Piece) -> Features:
     return Features((names % _U(BUCKETS)).astype(np.int64), gram, of, windows.astype(np.int32), row)
 
 
-def _sums(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, values.shape[1]), values.dtype), np.cumsum(values, axis=0, dtype=np.float64)])
-    return (total[of[1:]] - total[of[:-1]]).astype(np.float32)
+def _sums(table: np.ndarray, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows for the grams of each word, one column at a time to save memory."""
+    out = np.empty((len(of) - 1, table.shape[1]), np.float32)
+    for k in range(table.shape[1]):
+        total = np.append(0.0, np.cumsum(table[:, k][gram], dtype=np.float64))
+        out[:, k] = total[of[1:]] - total[of[:-1]]
+    return out
+
+
+def _pairs(row: np.ndarray, name: np.ndarray, names: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different (row, name) pairs."""
+    return np.divmod(np.unique(row * np.int64(names) + name), names)
 
 
 class Network:
@@ -116,7 +126,7 @@ class Network:
         self.p["u"] *= self.block
 
     def vectors(self, f: Features) -> np.ndarray:
-        return np.hstack([self.p["word"][f.word], _sums(self.p["gram"][f.gram], f.of)])
+        return np.hstack([self.p["word"][f.word], _sums(self.p["gram"], f.gram, f.of)])
 
     def inputs(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         """Gate inputs of each different word, for either direction, with a row for no word."""
@@ -142,7 +152,7 @@ class Network:
         pooled = np.einsum("tb,tbh->bh", w, h)
         return pooled @ self.p["out"] + self.p["out0"][0], inner, w, pooled
 
-    def logits(self, f: Features, size: int = 2048) -> np.ndarray:
+    def logits(self, f: Features, size: int = 1024) -> np.ndarray:
         ahead, behind = self.inputs(f)
         parts = [self.windows_logits(ahead, behind, f.windows[i : i + size]) for i in range(0, len(f.windows), size)]
         return np.concatenate(parts) if parts else np.zeros(0, np.float32)
@@ -194,19 +204,19 @@ class Network:
 
     def start_from(self, f: Features, y: np.ndarray) -> np.ndarray:
         """Log odds of words and grams become their first coordinate; returns each window's highest word."""
-        rows = np.unique(np.stack([np.repeat(f.row, WINDOW), f.windows.reshape(-1)]), axis=1)
-        row, word = rows[:, rows[1] < len(f.word)]
+        row, word = _pairs(np.repeat(f.row, WINDOW), f.windows.reshape(-1), len(f.word) + 1)
+        row, word = row[word < len(f.word)], word[word < len(f.word)]
         n = [max((y == k).sum(), 1) for k in (0, 1)]
 
-        def odds(of_row: np.ndarray, name: np.ndarray) -> np.ndarray:
-            seen = np.unique(np.stack([of_row, name]), axis=1)
-            c, t = (np.bincount(seen[1], y[seen[0]] == k, BUCKETS) for k in (0, 1))
-            return np.log((t + 2) / (n[1] + 4)) - np.log((c + 2 * n[0] / n[1]) / (n[0] + 4 * n[0] / n[1]))
+        # documents of either kind that hold a word; a gram's are those of its words
+        clean, toxic = (np.bincount(word, y[row] == k, len(f.word)) for k in (0, 1))
+        counts = np.diff(f.of)
+
+        def odds(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return np.log((t + 2) / n[1]) - np.log((c + 2 * n[0] / n[1]) / n[0])
 
-        counts = np.diff(f.of)[word]
-        flat = np.repeat(f.of[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        self.p["word"][:, 0] = odds(row, f.word[word]) * 0.5
-        self.p["gram"][:, 0] = odds(np.repeat(row, counts), f.gram[flat]) * 0.25
+        self.p["word"][:, 0] = odds(*(np.bincount(f.word, m, BUCKETS) for m in (clean, toxic))) * 0.5
+        self.p["gram"][:, 0] = odds(*(np.bincount(f.gram, np.repeat(m, counts), BUCKETS) for m in (clean, toxic))) * 0.25
         x = self.vectors(f)
         score = np.append(x[:, 0] + x[:, EMBED], -9.0)
         return score[f.windows].max(axis=1)
@@ -216,8 +226,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     """Trains on whole texts; the same texts in the same order give the same network."""
     net, rng = Network(), np.random.default_rng(4)
     y = np.asarray(labels, np.float32)
-    p = _one_piece(texts)
-    f = features(p)
+    f = features(*_one_piece(texts))
     height = net.start_from(f, y)
     adam = Adam(net.p, 0.01)
     for turn in range(ROUNDS):
@@ -236,12 +245,13 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     return net
 
 
-def _one_piece(texts: list[str]) -> Piece:
-    """All texts of the training sample as one piece."""
+def _one_piece(texts: list[str]) -> tuple[Piece, np.ndarray]:
+    """All texts of the training sample as one piece, with the hashes of its words."""
     parts = list(pieces(pa.array(texts, pa.string()), _FOLDED))
+    hashes = np.concatenate([hash_words(p) for p in parts])
     at = np.cumsum([0, *[len(p.text) for p in parts]])
     words = np.cumsum([0, *[len(p.start) for p in parts]])
-    return Piece(
+    whole = Piece(
         0,
         np.concatenate([p.text for p in parts]),
         np.concatenate([[0], *[p.rows[1:] + a for p, a in zip(parts, at)]]),
@@ -249,6 +259,7 @@ def _one_piece(texts: list[str]) -> Piece:
         np.concatenate([p.end + a for p, a in zip(parts, at)]),
         np.concatenate([[0], *[p.of[1:] + a for p, a in zip(parts, words)]]),
     )
+    return whole, hashes
 
 
 def _scores(net: Network):
@@ -272,7 +283,7 @@ def remainder() -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, text, label) of at most SAMPLE[k] documents of each label k, in order of a hash of the id."""
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(remainder() != HELD_OUT)
-    ids = [marks.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in SAMPLE.items()]
+    ids = [sampled(marks.where(F.col("label") == k), "doc_id", n) for k, n in SAMPLE.items()]
     chosen = ids[0].unionByName(ids[1])  # a few thousand ids, so they may go to every task
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST)
     return short.join(F.broadcast(chosen), "doc_id").orderBy("label", "doc_id", "text").limit(2 * sum(SAMPLE.values()))
