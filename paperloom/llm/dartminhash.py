@@ -42,6 +42,8 @@ BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 # Shingles in one share of a family (up to the last text), and columns of a matrix that counts shared ones.
 SHARE, COLUMNS = 1 << 17, 4096
+# Bytes of text worked on at a time: each costs some hundred bytes of darts.
+_PIECE = 1 << 18
 _THROWS = K * (math.log(K) + 2.5)
 _U = np.uint64
 _CELL, _RANK, _DART, _SPOT = (_U(x) for x in np.random.default_rng(5).integers(1, 2**63, 4) * 2 + 1)
@@ -113,7 +115,7 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=_PIECE):
             n = len(p.rows) - 1
             keys = _bands(signatures(*shingles(p), n))
             filled = p.n_words > 0
@@ -128,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=_PIECE):
             n = len(p.rows) - 1
             values, rows = shingles(p)
             _, at = np.unique(values ^ mix(rows.astype(np.uint64)), return_index=True)
@@ -232,7 +234,7 @@ def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id and class_id."""
     signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign, "doc_id long, words binary, bands array<long>"), "signed")
-    nodes = signed.groupBy("words").agg(F.min("doc_id").alias("nid"))
+    nodes = stored(signed.groupBy("words").agg(F.min("doc_id").alias("nid")), "nodes")
     owners = signed.join(nodes, "words").where("doc_id = nid")
     rows = stored(owners.select("nid", F.explode("bands").alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("band")

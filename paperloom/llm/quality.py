@@ -79,7 +79,7 @@ def describe(p: Piece) -> np.ndarray:
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=1 << 19):
             n = len(p.rows) - 1
             values = pa.array(describe(p).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * N_STATS), values)

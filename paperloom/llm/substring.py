@@ -36,6 +36,7 @@ from paperloom.llm.words import Piece, covered, hash_runs, hash_words, pieces, w
 WINDOW = 50
 SEED = 8
 _KEY = ["doc_id", "th"]
+_PIECE = 1 << 19  # bytes of text worked on at a time
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ _PROFILE = "doc_id long, th long, n_words long, sha string, seeds array<long>, a
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=_PIECE):
             n = len(p.rows) - 1
             starts, bounds = within(p.of, WINDOW)
             runs = hash_runs(hash_words(p), SEED)
@@ -105,7 +106,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different windows, each at its first place, that a document's ranges name."""
     for batch in batches:
         ranges = batch.column("ranges")
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=_PIECE):
             h, g, _, bounds = _names(p)
             for row in range(len(p.rows) - 1):
                 lo, hi = bounds[row], bounds[row + 1]
@@ -196,7 +197,7 @@ def _removed(p: Piece, spans: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=_PIECE):
             raw = p.text.tobytes()
             for row, gone in _removed(p, batch.column("spans")):
                 words = raw[p.rows[row] : p.rows[row + 1]].split()
@@ -211,7 +212,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, state = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int32)
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), size=_PIECE):
             raw = p.text.tobytes()
             for row, gone in _removed(p, batch.column("spans")):
                 a, at = p.of[row], np.append(p.start[p.of[row] : p.of[row + 1]], p.rows[row + 1])

@@ -58,12 +58,12 @@ def _power(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def pieces(column: pa.Array, folded: np.ndarray | None = None) -> Iterator[Piece]:
+def pieces(column: pa.Array, folded: np.ndarray | None = None, size: int = PIECE) -> Iterator[Piece]:
     """Cuts a string column, nulls as empty texts, into pieces with their words found.
 
-    ``folded`` maps each byte to the one that stands for it.
+    ``folded`` maps each byte to the one that stands for it; ``size`` is that of a piece in bytes.
     """
-    column = column.fill_null("").cast(pa.large_string())
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
     n = len(column)
     if not n:
         return
@@ -72,7 +72,7 @@ def pieces(column: pa.Array, folded: np.ndarray | None = None) -> Iterator[Piece
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PIECE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1)
         rows = bounds[first : last + 1] - bounds[first]
         text = data[bounds[first] : bounds[last]]
         if folded is not None:
