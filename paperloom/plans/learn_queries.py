@@ -175,7 +175,7 @@ def _scored_feedback(spark, sf):
     X.with_ctes(X.FEEDBACK) + """,
 t AS (SELECT 'u/' || (CAST(substr("paperId", 2) AS BIGINT) % 5 % 4) AS task_id, count(*) AS papers, count(user_score) AS labels,
              count_if(user_score > 0) AS good FROM fb GROUP BY 1)
-SELECT task_id, papers, CASE WHEN labels >= 40 AND good > 0 AND good < labels THEN 'fitted' ELSE 'rerank' END AS scorer, 0.0 AS residual, 0::BIGINT AS outside FROM t""",
+SELECT task_id, papers, CASE WHEN labels >= 40 AND good > 0 AND good < labels THEN 'fitted' ELSE 'rerank' END AS scorer, 0.0::DOUBLE AS residual, 0::BIGINT AS outside FROM t""",
 )
 def blend_scores(spark, sf):
     """One scorer per notebook: which one it is, how far its fit is from the optimum, and scores outside 0 to 1."""
