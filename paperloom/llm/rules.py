@@ -1,9 +1,11 @@
 """Quality by weak supervision: rules vote or abstain, and EM tells how far to believe each.
 
-Rules look at word and line statistics of a text and vote good, bad or not at all. Expectation-
-maximisation over the vote patterns estimates, without labels, how often each rule votes good for
-good and bad for bad documents, and the share of good documents. A document is kept if the
-posterior probability of being good is at least ``KEEP``.
+Rules look at word and line statistics of a text. Most vote bad on one kind of junk and abstain
+otherwise; one votes good on prose. Expectation-maximisation over the vote patterns estimates,
+without labels, how often each rule votes good, bad or not at all on good and on bad documents, and
+the share of good documents. A document is kept if the posterior probability of being good is at
+least ``KEEP``. A rule that abstains on clean text leaves one clear sign of junk its weight, where
+seven rules that vote good on everything else would drown it.
 
 All documents count: they are grouped by vote pattern (at most 3 to the number of rules rows), and
 each iteration is one aggregate over that table. Everything is Spark expressions.
@@ -15,6 +17,7 @@ count each; an empty table stays empty; other columns are not read.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,29 +28,37 @@ from paperloom.llm.tables import stored
 SYMBOLS = "#*$%&|<>"
 KEEP = 0.5
 ROUNDS = 25
-# Pseudo votes behind each estimate, and the accuracy they speak for.
-PRIOR_VOTES, PRIOR_ACCURACY = 50.0, 0.8
+# Where the estimates start: (good, bad) vote rates on good and on bad documents for a rule that looks
+# for junk and for the one that looks for prose, the share of good documents, and the number of pseudo
+# documents that stand for them in each step.
+JUNK_START = ((0.001, 0.02), (0.001, 0.3))
+PROSE_START = ((0.9, 0.001), (0.3, 0.001))
+GOOD_SHARE, PSEUDO = 0.8, 5.0
 
 
 def _share(count: str, of: str) -> Column:
     return F.col(count) / F.greatest(F.col(of), F.lit(1))
 
 
-def _between(x: Column, bad_below: float, good_from: float, good_to: float, bad_above: float) -> Column:
-    """Good inside, bad far outside, no vote near the edges."""
-    return F.when((x < bad_below) | (x > bad_above), False).when((x >= good_from) & (x <= good_to), True)
+def _bad(condition: Column) -> Column:
+    return F.when(condition, False)
 
 
-_INF = float("inf")
 RULES = {
-    "length": lambda: _between(F.col("n_words").cast("double"), 20, 50, _INF, _INF),
-    "symbols": lambda: _between(_share("n_symbols", "n_words"), 0, 0, 0.02, 0.15),
-    "repeats": lambda: _between(_share("n_repeat_words", "n_words"), 0, 0, 0.1, 0.3),
-    "lines": lambda: _between(_share("n_dup_lines", "n_lines"), 0, 0, 0.1, 0.3),
-    "word_length": lambda: _between(_share("word_chars", "n_words"), 2.5, 3.0, 9.0, 12.0),
-    "vocabulary": lambda: F.when(F.col("n_words") >= 20, _between(_share("n_distinct", "n_words"), 0.1, 0.3, _INF, _INF)),
-    "sentences": lambda: _between(_share("n_stops", "n_words"), 0.004, 0.02, 0.34, 0.5),
-    "line_words": lambda: _between(_share("n_words", "n_lines"), 1.5, 4, _INF, _INF),
+    "symbols": lambda: _bad(_share("n_symbols", "n_words") > 0.15),
+    "repeats": lambda: _bad(_share("n_repeat_words", "n_words") > 0.3),
+    "lines": lambda: _bad((F.col("n_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3)),
+    "word_length": lambda: _bad(~_share("word_chars", "n_words").between(2.5, 12)),
+    "vocabulary": lambda: _bad((F.col("n_words") >= 20) & (_share("n_distinct", "n_words") < 0.1)),
+    "stops": lambda: _bad(_share("n_stops", "n_words") > 0.5),
+    "line_words": lambda: _bad(_share("n_words", "n_lines") < 1.5),
+    "prose": lambda: F.when(
+        (F.col("n_words") >= 50)
+        & (_share("n_stops", "n_words") < 0.4)
+        & (_share("n_symbols", "n_words") < 0.1)
+        & (_share("n_repeat_words", "n_words") < 0.3),
+        True,
+    ),
 }
 
 
@@ -94,45 +105,56 @@ def votes(counted: DataFrame) -> DataFrame:
     return counted.withColumn("votes", F.array(*[rule() for rule in RULES.values()]))
 
 
-def _odds(prior: float, good: list[float], bad: list[float]) -> Column:
-    """Log odds of being good; good[j] and bad[j] are how often rule j is right on either kind."""
-    total = F.lit(math.log(prior / (1 - prior)))
-    for j, (a, b) in enumerate(zip(good, bad)):
-        vote = F.get("votes", F.lit(j))
-        total = total + F.when(vote, math.log(a / (1 - b))).when(~vote, math.log((1 - a) / b)).otherwise(0.0)
-    return total
+class Rates(NamedTuple):
+    """Share of good documents, and for either kind the (good, bad) vote rates of each rule."""
+
+    share: float
+    good: list[tuple[float, float]]
+    bad: list[tuple[float, float]]
 
 
-def _posterior(prior: float, good: list[float], bad: list[float]) -> Column:
-    return 1 / (1 + F.exp(-_odds(prior, good, bad)))
+_STARTS = [PROSE_START if name == "prose" else JUNK_START for name in RULES]
+START = Rates(GOOD_SHARE, [good for good, _ in _STARTS], [bad for _, bad in _STARTS])
 
 
-def fit(voted: DataFrame) -> tuple[float, list[float], list[float]]:
-    """Prior and accuracies by expectation-maximisation over all documents' vote patterns."""
+def _posterior(rates: Rates) -> Column:
+    odds = F.lit(math.log(rates.share / (1 - rates.share)))
+    for j, ((gg, gb), (bg, bb)) in enumerate(zip(rates.good, rates.bad)):
+        vote = F.get("votes", F.lit(j))
+        silent = math.log((1 - gg - gb) / (1 - bg - bb))
+        odds = odds + F.when(vote, math.log(gg / bg)).when(~vote, math.log(gb / bb)).otherwise(silent)
+    return 1 / (1 + F.exp(-odds))
+
+
+def fit(voted: DataFrame) -> Rates:
+    """The rates by expectation-maximisation over all documents' vote patterns."""
     patterns = stored(voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")), "patterns")
-    prior, n = PRIOR_ACCURACY, len(RULES)
-    good, bad = [PRIOR_ACCURACY] * n, [PRIOR_ACCURACY] * n
+    n = len(RULES)
+    rates = START
     for _ in range(ROUNDS):
-        p = _posterior(prior, good, bad)
+        p = _posterior(rates)
         weighed = patterns.select("votes", (F.col("n") * p).alias("g"), (F.col("n") * (1 - p)).alias("b"))
         sums = [F.sum("g"), F.sum("b")]
-        for j in range(n):
-            vote = F.get("votes", F.lit(j))
-            sums += [F.sum(F.when(vote, F.col("g"))), F.sum(F.when(vote.isNotNull(), F.col("g")))]
-            sums += [F.sum(F.when(~vote, F.col("b"))), F.sum(F.when(vote.isNotNull(), F.col("b")))]
-        g, b, *rest = (float(x or 0) for x in weighed.agg(*sums).first())
-        right, of = rest[0::2], rest[1::2]
-        rate = [(x + PRIOR_VOTES * PRIOR_ACCURACY) / (m + PRIOR_VOTES) for x, m in zip(right, of)]
-        good, bad = rate[0::2], rate[1::2]
-        prior = (g + PRIOR_VOTES * PRIOR_ACCURACY) / (g + b + PRIOR_VOTES)
-    return prior, good, bad
+        for kind in "gb":
+            for j in range(n):
+                vote = F.get("votes", F.lit(j))
+                sums += [F.sum(F.when(vote, F.col(kind))), F.sum(F.when(~vote, F.col(kind)))]
+        g, b, *votes = (float(x or 0) for x in weighed.agg(*sums).first())
+
+        def rate(counts: list[float], total: float, start: list[tuple[float, float]]) -> list[tuple[float, float]]:
+            pairs = zip(counts[::2], counts[1::2], start)
+            return [tuple((x + PSEUDO * s) / (total + PSEUDO) for x, s in zip(pair, begin)) for *pair, begin in pairs]
+
+        share = (g + PSEUDO * GOOD_SHARE) / (g + b + PSEUDO)
+        rates = Rates(share, rate(votes[: 2 * n], g, START.good), rate(votes[2 * n :], b, START.bad))
+    return rates
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Per document: the base counts, base_failed, kept and posterior."""
     voted = stored(votes(statistics(docs)), "votes")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = voted.select("*", failed.alias("base_failed"), _posterior(*fit(voted)).alias("posterior"))
+    scored = voted.select("*", failed.alias("base_failed"), _posterior(fit(voted)).alias("posterior"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("posterior") >= KEEP)).alias("kept"), "posterior",

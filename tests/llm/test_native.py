@@ -42,30 +42,41 @@ def test_base_counts_are_brute_force(docs):
         r = rows[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base(t), t and t[:40]
         assert not (r["base_failed"] and r["kept"])
-    assert rows[0]["kept"] and no_python(got)
+    assert no_python(got)
+
+
+def test_verdict_finds_junk_among_prose(docs):
+    clean = [(k, ". ".join(prose(20, 500 + 10 * k + j, 5000) for j in range(6)) + ".") for k in range(60)]
+    junk = [(100 + k, " ".join(f"{w}%%%" for w in prose(90, k, 5000).split())) for k in range(6)]
+    junk += [(200 + k, prose(60, 40 + k, 5000) + (" " + prose(4, k)) * 12) for k in range(6)]
+    junk += [(300 + k, " | ".join(prose(90, 70 + k, 5000).split())) for k in range(6)]
+    got = {r["doc_id"]: r["kept"] for r in rules.judged(docs(clean + junk)).collect()}
+    assert [i for i, _ in clean if not got[i]] == [] and [i for i, _ in junk if got[i]] == []
 
 
 def test_expectation_maximisation_is_brute_force(docs):
     many = [(k, TEXTS[k % len(TEXTS)]) for k in range(40)]
     voted = rules.votes(rules.statistics(docs(many)))
     votes = [r["votes"] for r in voted.collect()]
-    prior, n = 0.8, len(rules.RULES)
-    good, bad = [0.8] * n, [0.8] * n
+    n, share = len(rules.RULES), rules.GOOD_SHARE
+    begin = {True: rules.START.good, False: rules.START.bad}
+    rates = dict(begin)
+    pick = lambda pair, x: pair[0] if x else pair[1] if x is not None else 1 - sum(pair)
     for _ in range(rules.ROUNDS):
         p = []
         for v in votes:
-            o = math.log(prior / (1 - prior))
+            good, bad = share, 1 - share
             for j, x in enumerate(v):
-                if x is not None:
-                    o += math.log(good[j] / (1 - bad[j])) if x else math.log((1 - good[j]) / bad[j])
-            p.append(1 / (1 + math.exp(-o)))
-        for j in range(n):
-            seen = [(q, v[j]) for q, v in zip(p, votes) if v[j] is not None]
-            good[j] = (sum(q for q, x in seen if x) + 40) / (sum(q for q, _ in seen) + 50)
-            bad[j] = (sum(1 - q for q, x in seen if not x) + 40) / (sum(1 - q for q, _ in seen) + 50)
-        prior = (sum(p) + 40) / (len(p) + 50)
+                good, bad = good * pick(rates[True][j], x), bad * pick(rates[False][j], x)
+            p.append(good / (good + bad))
+        for kind, w in ((True, p), (False, [1 - q for q in p])):
+            seen = lambda j, x: sum(q for q, v in zip(w, votes) if v[j] is x)
+            rates[kind] = [tuple((seen(j, x) + 5 * begin[kind][j][k]) / (sum(w) + 5) for k, x in enumerate((True, False))) for j in range(n)]
+        share = (sum(p) + 5 * 0.8) / (len(p) + 5)
     got = rules.fit(voted)
-    assert got[0] == pytest.approx(prior) and got[1] == pytest.approx(good) and got[2] == pytest.approx(bad)
+    assert got.share == pytest.approx(share)
+    for j in range(n):
+        assert got.good[j] == pytest.approx(rates[True][j]) and got.bad[j] == pytest.approx(rates[False][j])
 
 
 def test_rules_on_an_empty_table(docs):
@@ -130,7 +141,7 @@ def held(rows, items, split):
 
 
 def test_leaks_are_brute_force(docs, spark):
-    items = [(k, prose(n, 50 + k, 900)) for k, n in enumerate((5, 6, 9, 14, 20, 33, 59, 90, 200))] + [(20, "just three words"), (21, ""), (22, None), (None, "x")]
+    items = [(k, prose(n, 50 + k, 900)) for k, n in enumerate((5, 7, 11, 14, 20, 33, 59, 90, 200))] + [(20, "just three words"), (21, ""), (22, None), (None, "x")]
     rows = []
     for k, (i, t) in enumerate(items[:10]):
         w = words(t)
@@ -154,7 +165,7 @@ def test_leaks_without_items_or_documents(docs, spark):
 
 def test_licenses_are_brute_force(docs, spark):
     def split(text):
-        return words(re.sub(r"[,;:()\"“”]|\.(?=[\x20\x09-\x0D]|$)", "", (text or "").lower()))
+        return [w for w in re.split(r"[\x20\x09-\x0D.,;:()\"“”]+", (text or "").lower()) if w]
 
     items = [(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)]
     rows = [(k, prose(60, k) + "\n" + t.upper() + "\n" + prose(300, k + 9)) for k, t in items] + [(90, None), (91, "All rights, reserved"), (92, "rights reserved")]
