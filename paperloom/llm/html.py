@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.llm.nets import Adam, lstm, lstm_back, sigmoid
+from paperloom.llm.tables import sampled
 from paperloom.llm.words import hash_words, pieces
 
 SAMPLE, LONGEST = 300, 60_000
@@ -316,8 +317,8 @@ def _extract(net: Labeller):
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select("page_id", "url", "html")
-    sample = rows.where(F.length("html") <= LONGEST).orderBy(F.xxhash64("page_id"), "page_id", "html").select("html").limit(SAMPLE)
-    net = fit([r["html"] for r in sample.collect()])
+    bounded = F.when(F.length("html") <= LONGEST, F.col("html")).alias("html")
+    net = fit([r["html"] for r in sampled(rows.select("page_id", bounded), "page_id", SAMPLE).collect() if r["html"]])
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     out = rows.mapInArrow(_extract(net), f"{schema}, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
