@@ -1,12 +1,14 @@
 """Finds short texts inside long ones: MinHash over windows, then exact shingle containment.
 
-Everything is Spark expressions. Items (the short texts) fall into size classes: at most 1, 8, 16,
-32, ... shingles. For a class of at most U shingles a document is covered by windows of 1.5 U
+Everything is Spark expressions. Items (the short texts) fall into size classes: at most 16, 32,
+64, ... shingles. For a class of at most U shingles a document is covered by windows of 1.5 U
 shingles, one at every U / 2, so each run of U shingles lies whole in one of them; each window and
 each item has ``hashes`` MinHash values, and an item meets a document where one value is equal
 (bands of one row). An item of T shingles with 0.8 T of them in a window has a similarity of at
-least 0.8 T / (1.5 U + 0.2 T) with it; as T > U / 2 from U = 16 on, that is 0.26, and with 20
-values the chance to meet is over 0.997 (exact runs: over 0.9998). Values of a document count once.
+least 0.8 T / (1.5 U + 0.2 T) with it: 0.26 from T = 9 on, so that with 20 values the chance to meet
+is over 0.997 (exact runs: over 0.9998), and 0.16 at T = 5, the smallest, with 0.97 (exact runs: 0.99).
+Of an item of up to four shingles, 0.8 is all of them: its one value is met by windows of a single
+shingle, for certain. Values of a document count once.
 
 The low bits of a shingle's hash put it into one of ``BINS`` bins, and each bin has its own share
 of the values, so a shingle enters only those. A value is the least of ``hash XOR constant``:
@@ -28,7 +30,7 @@ from paperloom.llm.tables import stored
 
 SHINGLE = 5
 CONTAINED = 0.8
-SMALLEST = 8
+FEW, SMALLEST = 4, 16
 BINS = 4
 # Item values that may be sent to every task: 24 bytes each, 24 MB at most. Beyond it both sides are shuffled.
 BROADCAST_VALUES = 1_000_000
@@ -41,7 +43,8 @@ def _constants(hashes: int) -> Column:
 def _bins(blocks: Column) -> Column:
     """Per bin, the shingles of each block that belong to it."""
     return F.transform(
-        F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.transform(blocks, lambda block: F.filter(block, lambda x: x.bitwiseAND(F.lit(BINS - 1)) == b))
+        F.array(*[F.lit(b).cast("long") for b in range(BINS)]),
+        lambda b: F.transform(blocks, lambda block: F.filter(block, lambda x: x.bitwiseAND(F.lit(BINS - 1).cast("long")) == b)),
     )
 
 
@@ -53,7 +56,7 @@ def _minima(bins: Column, constants: Column, shape: Callable[[Column], Column])
 
 def _size_class(n: Column) -> Column:
     above = F.greatest(F.lit(SMALLEST), F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int"))
-    return F.when(n <= 1, 1).otherwise(above)
+    return F.when(n <= FEW, 1).otherwise(above)
 
 
 def item_table(items: DataFrame, words: Column, hashes: int) -> DataFrame:
@@ -62,6 +65,7 @@ def item_table(items: DataFrame, words: Column, hashes: int) -> DataFrame:
     length = F.least(F.size("h"), F.lit(SHINGLE))
     own_runs = F.coalesce(*[F.when(length == n, run_hashes(n)) for n in range(1, SHINGLE + 1)])
     rows = hold(listed, length=length, sh=own_runs)
+    single = F.array(F.array_min("sh"))
     values = F.array_compact(_minima(_bins(F.array("sh")), _constants(hashes // BINS), lambda m: m[0]))
     return stored(
         rows.select(
@@ -69,26 +73,30 @@ def item_table(items: DataFrame, words: Column, hashes: int) -> DataFrame:
             "length",
             _size_class(F.size("sh")).alias("class"),
             F.array_distinct("sh").alias("set"),
-            F.when(F.col("length") < SHINGLE, F.col("sh")).otherwise(values).alias("values"),
+            F.when(F.col("length") < SHINGLE, F.col("sh")).when(F.size("sh") <= FEW, single).otherwise(values).alias("values"),
         ),
         "items",
     )
 
 
-def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]], hashes: int) -> DataFrame:
-    """(doc_id, values): what the windows of the classes in use can meet."""
+def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]], hashes: int, singles: Column | None) -> DataFrame:
+    """(doc_id, values): what the windows of the classes in use can meet.
+
+    Windows of a single shingle give as many values as there are words; where the items' values of that
+    kind are few, ``singles`` holds them, and only values among them go on.
+    """
+    met = lambda values: values if singles is None else F.array_intersect(values, singles)
     df = hold(docs.select("doc_id", words.alias("w")), h=word_hashes("w")).drop("w")
 
     lists = [run_hashes(length) for length, _ in sorted(kinds) if length < SHINGLE]
     classes = {u for length, u in kinds if length == SHINGLE}
     if not classes:
-        return df.select("doc_id", F.flatten(F.array(*lists)).alias("values")) if lists else df.select("doc_id", F.array().cast("array<long>").alias("values"))
+        return df.select("doc_id", met(F.flatten(F.array(*lists))).alias("values")) if lists else df.select("doc_id", F.array().cast("array<long>").alias("values"))
     df = hold(df, sh=run_hashes(SHINGLE), short=F.flatten(F.array(*lists)) if lists else F.array().cast("array<long>")).drop("h")
-    out = [F.col("short")]
-    if 1 in classes:
-        first = F.xxhash64(F.lit(1), F.lit("constant"))
-        df = hold(df, one=F.transform("sh", lambda x: x.bitwiseXOR(first)))
-        out.append(F.col("one"))
+    out = []
+    if lists or 1 in classes:
+        df = hold(df, single=met(F.concat("short", "sh") if 1 in classes else F.col("short"))).drop("short")
+        out.append(F.col("single"))
     wide = sorted(classes - {1})
     if wide:
         # blocks of half the smallest class; three make its window
@@ -117,7 +125,8 @@ def _document_values(docs: DataFrame, words: Column, kinds: set[tuple[int, int]]
                 df = df.drop(f"at_{size}")
             size *= 2
         out += [F.flatten(f"at_{u}") for u in wide]
-    return df.select("doc_id", F.array_compact(F.array_distinct(F.concat(*out))).alias("values"))
+    # a null, the value of an empty bin, meets nothing
+    return df.select("doc_id", F.array_distinct(F.concat(*out)).alias("values"))
 
 
 def contained(docs: DataFrame, doc_words: Column, items: DataFrame, item_words: Column, hashes: int = 20) -> DataFrame:
@@ -129,10 +138,12 @@ def contained(docs: DataFrame, doc_words: Column, items: DataFrame, item_words:
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     table = item_table(items.select("item_id", "text").where("item_id IS NOT NULL"), item_words, hashes)
     kinds = {(r["length"], r["class"]) for r in table.select("length", "class").distinct().collect()}  # at most 4 + log2 of the longest item
-    values = table.select("item_id", F.explode("values").alias("value")).distinct()
+    values, singles = table.select("item_id", F.explode("values").alias("value")).distinct(), None
     if table.agg(F.coalesce(F.sum(F.size("values")), F.lit(0))).first()[0] <= BROADCAST_VALUES:
         values = F.broadcast(values)
-    met = _document_values(docs, doc_words, kinds, hashes).select("doc_id", F.explode("values").alias("value"))
+        one = table.where((F.col("length") < SHINGLE) | (F.col("class") == 1)).select(F.explode("values").alias("value"))
+        singles = one.agg(F.collect_set("value")).scalar()
+    met = _document_values(docs, doc_words, kinds, hashes, singles).select("doc_id", F.explode("values").alias("value"))
     pairs = stored(met.join(values, "value").select("doc_id", "item_id").distinct(), "met")
     lengths = sorted({length for length, _ in kinds}) or [SHINGLE]
     texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")

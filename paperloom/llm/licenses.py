@@ -2,7 +2,7 @@
 
 Templates are short notices. Documents are cut into overlapping windows whose MinHash values
 retrieve templates, and the exact share of a template's shingles in the document decides (see
-``containment``). Words are compared in lower case and without punctuation at their ends.
+``containment``). Words are compared in lower case; punctuation parts them.
 
 Defined results: a null text holds nothing; documents with a null id are not reported; a template
 is reported once per document, however often it stands there.
@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom.llm.containment import contained
-from paperloom.llm.native import word_list
 
 # The usual short notices, worded as their licenses publish them.
 TEMPLATES = (
@@ -28,13 +27,12 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("reserved", "All rights reserved."),
 )
-HASHES = 16
+BREAK = r"[\x20\x09-\x0D.,;:()\"“”]+"
 
 
 def plain_words(text: str) -> Column:
-    """Words in lower case; punctuation before or after a word is dropped."""
-    tidy = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[,;:()\"“”]|\.(?=[\x20\x09-\x0D]|$)", "")
-    return word_list(tidy)
+    """Words in lower case; punctuation parts them as blanks do."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -43,7 +41,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def scan(docs: DataFrame, notices: DataFrame) -> DataFrame:
     """(doc_id, template_id, license, shared, template_shingles) from ``notices`` (item_id, license, text)."""
-    found = contained(docs, plain_words("text"), notices, plain_words("text"), HASHES)
+    found = contained(docs, plain_words("text"), notices, plain_words("text"))
     return found.join(F.broadcast(notices.select("item_id", "license")), "item_id").select(
         "doc_id", F.col("item_id").alias("template_id"), "license", "shared", F.col("item_shingles").alias("template_shingles")
     )

@@ -105,10 +105,7 @@ def op10(spark, sf_dir):
 
 
 _NOTICES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
-_PLAIN = _WORDS.replace(
-    "coalesce(text, '')",
-    """regexp_replace(lower(coalesce(text, '')), '[,;:()"“”]|\\.([\\x20\\x09-\\x0D]|$)', '\\1', 'g')""",
-)
+_PLAIN = _WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))").replace("[\\x20\\x09-\\x0D]+", licenses.BREAK)
 
 
 @query(
