@@ -1,13 +1,13 @@
 """Near-duplicate classes by DartMinHash signatures, banded joins and exact verification.
 
-A document is the weighted set of its five-word shingles, weight ``1 + ln(count)``; a text of
-one to four words is one shingle. Darts are thrown into the region weight x rank of every
-element: each unit cell of the region holds a Poisson number of darts drawn from a hash of the
-element and the cell, so documents that share an element share its darts. Of the darts below a
+A document is the set of its five-word shingles; a text of one to four words is one shingle. Darts
+are thrown into the region weight x rank of every element: each unit cell of the region holds a
+Poisson number of darts drawn from a hash of the element and the cell, so documents that share an
+element share its darts. Every weight is 1 here, however often a shingle stands in the text, as a
+link is a matter of sets: a text and the same text pasted twice must meet. Of the darts below a
 rank bound, chosen so that about ``K * (ln K + 2.5)`` hit whatever the text's length, each of the
 ``K`` coordinates keeps the earliest; a document with an empty coordinate throws again to twice
-the rank. A coordinate agrees between two documents with the probability of their weighted
-similarity. ``BANDS`` bands of ``ROWS`` coordinates meet at similarity 0.8 with probability
+the rank. A coordinate agrees between two documents with the probability of their similarity. ``BANDS`` bands of ``ROWS`` coordinates meet at similarity 0.8 with probability
 1 - (1 - 0.8^5)^20 > 0.9995.
 
 Documents with equal words are one node. A bucket's nodes are compared with the smallest node of
@@ -88,12 +88,15 @@ def _throw(signature: np.ndarray, element: np.ndarray, weight: np.ndarray, row:
     np.minimum.at(signature.reshape(-1), at, rank[inside].view(np.uint64))
 
 
-def signatures(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """The ``n_rows x K`` signatures; rows without elements keep the largest value everywhere."""
+def signatures(values: np.ndarray, rows: np.ndarray, n_rows: int, counted: bool = True) -> np.ndarray:
+    """The ``n_rows x K`` signatures; rows without elements keep the largest value everywhere.
+
+    ``counted`` gives an element the weight ``1 + ln(count)``, else each has the weight 1.
+    """
     never = np.iinfo(np.uint64).max
     out = np.full((n_rows, K), never, np.uint64)
     _, at, count = np.unique(values ^ mix(rows.astype(np.uint64)), return_index=True, return_counts=True)
-    element, row, weight = values[at], rows[at], 1 + np.log(count)
+    element, row, weight = values[at], rows[at], 1 + np.log(count) if counted else np.ones(len(at))
     total = np.bincount(row, weight, n_rows)
     bound = _THROWS / np.maximum(total, 1)
     while len(element):
@@ -117,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p in pieces(batch.column("text"), size=_PIECE):
             n = len(p.rows) - 1
-            keys = _bands(signatures(*shingles(p), n))
+            keys = _bands(signatures(*shingles(p), n, counted=False))
             filled = p.n_words > 0
             cuts = np.concatenate([[0], np.cumsum(np.where(filled, BANDS, 0))]).astype(np.int32)
             raw = p.text.tobytes()

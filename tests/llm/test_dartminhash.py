@@ -52,6 +52,19 @@ def test_classes_are_brute_force(docs):
     assert got == brute(rows())
 
 
+def test_repeated_text_is_of_the_class_of_the_text(docs):
+    """Nearly the same shingle sets, with other counts."""
+    table = []
+    for k in range(12):
+        text = prose(200, 700 + k, 5000)
+        table += [(100 * k + n, " ".join([text] * n)) for n in (1, 2, 5, 20)]
+        line = " ".join(words(text)[:30])
+        table.append((100 * k + 50, text + (" " + line) * 40))
+    want = brute(table)
+    assert all(c == i // 100 * 100 + 1 for i, c in want.items())
+    assert {r["doc_id"]: r["class_id"] for r in dart.classes(docs(table)).collect()} == want
+
+
 def test_nulls_and_repeated_rows(docs):
     table = docs([(1, "x y z"), (1, "x y z"), (None, "x y z"), (None, "other words"), (2, "x y z")])
     got = sorted((tuple(r) for r in dart.classes(table).collect()), key=str)
