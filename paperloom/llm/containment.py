@@ -5,10 +5,12 @@ Everything is Spark expressions. Items (the short texts) fall into size classes:
 shingles, one at every U / 2, so each run of U shingles lies whole in one of them; each window and
 each item has ``hashes`` MinHash values, and an item meets a document where one value is equal
 (bands of one row). An item of T shingles with 0.8 T of them in a window has a similarity of at
-least 0.8 T / (1.5 U + 0.2 T) with it: 0.26 from T = 9 on, so that with 20 values the chance to meet
-is over 0.997 (exact runs: over 0.9998), and 0.16 at T = 5, the smallest, with 0.97 (exact runs: 0.99).
-Of an item of up to four shingles, 0.8 is all of them: its one value is met by windows of a single
-shingle, for certain. Values of a document count once.
+least 0.8 T / (1.5 U + 0.2 T) with it: over 0.25 from T = 10 on, so that with 20 values the chance to
+meet is over 0.996 (exact runs: over 0.9996).
+Items of up to ``FEW`` distinct shingles are met for certain: at 0.8 none of up to four may be
+missing, and one of five to nine, so a document that holds the item holds one of any one or two of
+its shingles. These are its values, met by windows of a single shingle. Values of a document count
+once.
 
 The low bits of a shingle's hash put it into one of ``BINS`` bins, and each bin has its own share
 of the values, so a shingle enters only those. A value is the least of ``hash XOR constant``:
@@ -30,7 +32,7 @@ from paperloom.llm.tables import stored
 
 SHINGLE = 5
 CONTAINED = 0.8
-FEW, SMALLEST = 4, 16
+FEW, SMALLEST = 9, 16
 BINS = 4
 # Item values that may be sent to every task: 24 bytes each, 24 MB at most. Beyond it both sides are shuffled.
 BROADCAST_VALUES = 1_000_000
@@ -54,9 +56,9 @@ def _minima(bins: Column, constants: Column, shape: Callable[[Column], Column])
     return F.flatten(F.transform(bins, lambda blocks: F.transform(constants, lambda c: shape(least(blocks, c)))))
 
 
-def _size_class(n: Column) -> Column:
+def _size_class(n: Column, distinct: Column) -> Column:
     above = F.greatest(F.lit(SMALLEST), F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int"))
-    return F.when(n <= FEW, 1).otherwise(above)
+    return F.when(distinct <= FEW, 1).otherwise(above)
 
 
 def item_table(items: DataFrame, words: Column, hashes: int) -> DataFrame:
@@ -64,16 +66,17 @@ def item_table(items: DataFrame, words: Column, hashes: int) -> DataFrame:
     listed = hold(items.select("item_id", words.alias("w")), h=word_hashes("w")).where("size(h) > 0")
     length = F.least(F.size("h"), F.lit(SHINGLE))
     own_runs = F.coalesce(*[F.when(length == n, run_hashes(n)) for n in range(1, SHINGLE + 1)])
-    rows = hold(listed, length=length, sh=own_runs)
-    single = F.array(F.array_min("sh"))
+    rows = hold(listed, length=length, sh=own_runs, set=F.array_distinct(own_runs))
+    # one more than may be missing
+    single = F.slice(F.array_sort("set"), 1, F.when(F.size("set") <= 4, 1).otherwise(2))
     values = F.array_compact(_minima(_bins(F.array("sh")), _constants(hashes // BINS), lambda m: m[0]))
     return stored(
         rows.select(
             "item_id",
             "length",
-            _size_class(F.size("sh")).alias("class"),
-            F.array_distinct("sh").alias("set"),
-            F.when(F.col("length") < SHINGLE, F.col("sh")).when(F.size("sh") <= FEW, single).otherwise(values).alias("values"),
+            _size_class(F.size("sh"), F.size("set")).alias("class"),
+            "set",
+            F.when(F.col("length") < SHINGLE, F.col("sh")).when(F.size("set") <= FEW, single).otherwise(values).alias("values"),
         ),
         "items",
     )

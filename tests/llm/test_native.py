@@ -156,6 +156,22 @@ def test_leaks_are_brute_force(docs, spark):
     assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((i for i, _ in rows if i not in {x[0] for x in held(rows, items, words)}), key=str)
 
 
+def test_every_short_leak_is_found(docs, spark):
+    """Items of 9 to 13 words, whole, with an end cut off, and in parts that stand apart."""
+    items = [(k, prose(9 + k % 5, 1000 + k, 10**5)) for k in range(150)]
+    rows = []
+    for k, t in items:
+        w = words(t)
+        parts = [t, " ".join(w[1:]), " ".join(w[:6]) + " x y z " + " ".join(w[2:])]
+        rows += [(10 * k + j, prose(60, 5000 + 10 * k + j, 10**6) + " " + part + " " + prose(60, 9000 + 10 * k + j, 10**6)) for j, part in enumerate(parts)]
+    items.append((500, " ".join(["a b c d e f"] * 5)))  # 26 shingles, 6 of them distinct
+    rows.append((9000, prose(400, 3, 10**6) + " f a b c d e f a b c " + prose(90, 4, 10**6)))
+    got = decontaminate.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    want = held(rows, items, words)
+    assert len(want) > 450 and (9000, 500) in {x[:2] for x in want}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_leaks_without_items_or_documents(docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, prose(20, 1))], "item_id long, text string")
