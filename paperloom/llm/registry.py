@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import chat, dartminhash, decontaminate, html, licenses, mixing, quality, rules, substring, toxicity
+from paperloom.llm import chat, dartminhash, decontaminate, html, licenses, mixing, quality, rules, spelling, substring, toxicity
 from paperloom.llm.tables import given
 
 # Conversation -1, whose texts hold control strings.
@@ -180,3 +180,42 @@ def op3(spark, sf_dir):
 )
 def op4(spark, sf_dir):
     return html.extracted(given(spark, sf_dir, "pages"))
+
+
+_LOWERED = f"translate(run, '{spelling.UPPER}', '{spelling.LOWER}')"
+
+
+@query(
+    "op11_trie_spelling",
+    f"""
+    WITH RECURSIVE
+    -- the table of the checksum: eight steps for each byte
+    t8(b, c, i) AS (SELECT b, b, 0 FROM range(256) AS r(b)
+                    UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM t8 WHERE i < 8),
+    crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS tab FROM t8 WHERE i = 8),
+    r AS (SELECT doc_id, {_LOWERED} AS run, count(*) AS k
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+    x AS (SELECT run, k, hex(encode(doc_id::VARCHAR || ':' || run)) AS hx FROM r),
+    h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                 list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i::INT + 1, 2))::BIGINT)),
+                 lambda a, byte: xor(a >> 8, tab[1 + (xor(a, byte) & 255)]))) AS h
+          FROM x, crc),
+    v AS MATERIALIZED (SELECT w AS word, sum(k)::BIGINT AS n
+          FROM (SELECT k, CASE WHEN h % {spelling.EVERY} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS w FROM h)
+          WHERE length(w) >= {spelling.SHORTEST} GROUP BY w HAVING sum(k) >= {spelling.LEAST}),
+    g AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+          FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM v)),
+    pairs AS MATERIALIZED (
+          SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+          UNION SELECT g.word, g.n, v.word, v.n FROM g JOIN v ON g.rest = v.word
+          UNION SELECT v.word, v.n, g.word, g.n FROM g JOIN v ON g.rest = v.word),
+    best AS (SELECT word, n, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM pairs GROUP BY word, n),
+    f AS MATERIALIZED (SELECT word, near AS form, near_n AS form_n FROM best WHERE near_n >= {spelling.FACTOR} * n),
+    walk(word, last, step) AS (SELECT word, form, 1 FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON walk.last = f.word),
+    ends AS (SELECT word, arg_max(last, step) AS root FROM walk GROUP BY word)
+    SELECT v.word, f.form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, f.form_n
+    FROM v LEFT JOIN best USING (word) LEFT JOIN f USING (word) LEFT JOIN ends USING (word)
+    """,
+)
+def op11(spark, sf_dir):
+    return spelling.variants(given(spark, sf_dir, "documents"))
