@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import chat, dartminhash, decontaminate, html, licenses, mixing, quality, rules, spelling, substring, toxicity
+from paperloom.llm import chat, codes, dartminhash, decontaminate, html, hyperplanes, licenses, mixing, quality, rules, spelling, substring, toxicity
 from paperloom.llm.tables import given
 
 # Conversation -1, whose texts hold control strings.
@@ -219,3 +219,58 @@ _LOWERED = f"translate(run, '{spelling.UPPER}', '{spelling.LOWER}')"
 )
 def op11(spark, sf_dir):
     return spelling.variants(given(spark, sf_dir, "documents"))
+
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(
+    "op12_hyperplane_dedup",
+    f"""
+    WITH RECURSIVE
+    v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+         WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= {hyperplanes.SIMILARITY}),
+    c(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.vec_id, l.b FROM c JOIN l ON c.reached = l.a),
+    low AS (SELECT vec_id, min(reached) AS component_id FROM c GROUP BY vec_id),
+    k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+    SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, e.vec_id) AS component_id,
+           e.vec_id = coalesce(component_id, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN low USING (vec_id) LEFT JOIN k USING (vec_id)
+    """,
+)
+def op12(spark, sf_dir):
+    return hyperplanes.grouped(given(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql() -> str:
+    """Each round as a chain of tables: the nearest entry of each part, and the means of the parts of each entry."""
+    gap = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    steps = []
+    for r in range(1, codes.ROUNDS + 2):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, any_value(v) AS v, arg_min(e, (d, e)) AS e, min(d) AS d
+            FROM (SELECT x.*, e, {gap} AS d FROM x JOIN b{r - 1} USING (p)) GROUP BY vec_id, p)""")
+        steps.append(f"""b{r} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r - 1} b LEFT JOIN (
+            SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+            FROM (SELECT p, e, i, sum(y)::BIGINT AS s, count(*) AS n
+                  FROM (SELECT p, e, unnest(v) AS y, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return ",\n".join(steps[:-1])
+
+
+@query(
+    "op13_dual_tree_codes",
+    f"""
+    WITH x AS MATERIALIZED (
+        SELECT vec_id, label, p, list_transform(embedding[p * len(embedding) // {codes.PARTS} + 1:(p + 1) * len(embedding) // {codes.PARTS}],
+               lambda y: floor({codes.SCALE} * y::DOUBLE)::BIGINT) AS v
+        FROM embeddings, range({codes.PARTS}) AS r(p) WHERE {_FINITE}),
+    b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM x QUALIFY e < {codes.ENTRIES}),
+    {_lloyd_sql()},
+    s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{codes.ROUNDS}),
+    o AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{codes.ROUNDS + 1} GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, s
+    """,
+)
+def op13(spark, sf_dir):
+    return codes.compressed(given(spark, sf_dir, "embeddings"))
