@@ -7,9 +7,13 @@ silently missing; ``lenient`` skips such entries for callers that want the old b
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import operator
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Payload fields by the way they are matched, and preprint venues.
@@ -19,16 +23,22 @@ RANGE_FIELDS = ("publicationYear", "citationCount", "influentialCitationCount")
 DATE_FIELDS = ("publicationDate",)
 PREPRINT_VENUES = ("arxiv.org", "biorxiv")
 
-# A comparison is a Spark function that must hold, or must not hold.
+# Operator names, as they must be written, and what each does to a column and a value.
 _COMPARISONS = {
-    **dict.fromkeys(("==", "eq"), ("=", True)),
-    **dict.fromkeys(("!=", "ne"), ("=", False)),
-    **dict.fromkeys(("<", "lt"), ("<", True)),
-    **dict.fromkeys((">=", "gte"), ("<", False)),
-    **dict.fromkeys((">", "gt"), (">", True)),
-    **dict.fromkeys(("<=", "lte"), (">", False)),
-    "in": ("in", True),
-    "not in": ("in", False),
+    "==": operator.eq,
+    "eq": operator.eq,
+    "!=": operator.ne,
+    "ne": operator.ne,
+    "<": operator.lt,
+    "lt": operator.lt,
+    "<=": operator.le,
+    "lte": operator.le,
+    ">": operator.gt,
+    "gt": operator.gt,
+    ">=": operator.ge,
+    "gte": operator.ge,
+    "in": lambda column, values: column.isin(*values),
+    "not in": lambda column, values: ~column.isin(*values),
 }
 _ORDERED = ("lt", "lte", "gt", "gte")
 
@@ -45,12 +55,10 @@ def compare(column: Column, op: str, value: object) -> Column:
     """``column op value``; a membership test takes a list of values."""
     if op not in _COMPARISONS:
         raise ValueError(f"unsupported operator {op!r}")
-    function, holds = _COMPARISONS[op]
-    values = _as_list(value) if function == "in" else [value]
-    if not values:
-        return F.lit(not holds) & column.isNotNull()
-    found = F.call_function(f"`{function}`", column, *map(F.lit, values))
-    return found if holds else ~found
+    if op not in ("in", "not in"):
+        return _COMPARISONS[op](column, F.lit(value))
+    values = _as_list(value)
+    return _COMPARISONS[op](column, values) if values else F.lit(op == "not in") & column.isNotNull()
 
 
 def compile_filters(filters: Sequence[tuple] | None) -> Column:
@@ -118,6 +126,83 @@ def payload_filter(filters: Sequence[Sequence] | None, text_mode: str = "substri
     return all_of(found)
 
 
+# Filters as data, so that each of many queries brings its own without a plan of its own.
+FILTERS = "array<struct<field:string,op:string,values:array<string>>>"
+# Fields that a request can filter on.
+REQUEST_FIELDS = ("authorName", "publicationDate", "venue_lower", "citationCount")
+
+
+def _iso(value: Column) -> Column:
+    return F.to_date(value).cast("string")
+
+
+def filter_row(field: str, op: str, values: Column) -> Column:
+    """One filter as data: ``values`` is an array; dates are brought to one form."""
+    values = values.cast("array<string>")
+    values = F.transform(values, _iso) if field in DATE_FIELDS else values
+    return F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), values.alias("values"))
+
+
+def filter_payload(papers: DataFrame, fields: Sequence[str]) -> list[Column]:
+    """The payload columns in the form in which ``payload_mask`` compares them."""
+    return [(_iso(F.col(c)) if c in DATE_FIELDS else F.col(c).cast("double") if c in RANGE_FIELDS else F.col(c)).alias(c) for c in fields if c in papers.columns]
+
+
+def comparable(payload: Mapping[str, pa.Array]) -> dict[str, pa.Array | np.ndarray]:
+    """Payload columns of an Arrow batch as ``payload_mask`` reads them: numbers and days in numpy, where a null compares with nothing."""
+    ready = dict(payload)
+    for field, column in payload.items():
+        if field in RANGE_FIELDS:
+            ready[field] = column.to_numpy(zero_copy_only=False).astype(np.float64)
+        elif field in DATE_FIELDS:
+            ready[field] = pc.cast(column, pa.date32()).to_numpy(zero_copy_only=False).astype("datetime64[D]")
+    return ready
+
+
+_NUMPY = {"lt": np.less, "lte": np.less_equal, "gt": np.greater, "gte": np.greater_equal}
+
+
+def payload_mask(filters: Sequence[dict], payload: Mapping[str, pa.Array | np.ndarray], n: int) -> np.ndarray:
+    """Which of ``n`` papers of a batch of ``comparable`` columns pass all filters: what ``payload_filter`` says of columns."""
+    mask = np.ones(n, bool)
+    for f in filters or ():
+        field, op, values = f["field"], f["op"], f["values"]
+        column = payload.get(field)
+        if column is None:
+            raise ValueError(f"no payload field {field!r}")
+        if field in RANGE_FIELDS + DATE_FIELDS and op in _ORDERED:
+            mask &= _NUMPY[op](column, float(values[0]) if field in RANGE_FIELDS else np.datetime64(values[0], "D"))
+            continue
+        if field in KEYWORD_FIELDS and op in ("==", "eq", "in", "!=", "ne", "not in"):
+            found = pc.is_in(column, pa.array(values, pa.string()))
+            found = pc.and_(pc.invert(found) if op in ("!=", "ne", "not in") else found, pc.is_valid(column))
+        elif field in TEXT_FIELDS and op in ("any", "all", "==", "eq"):
+            join, found = (pc.or_, pa.scalar(False)) if op == "any" else (pc.and_, pa.scalar(True))
+            for v in values:
+                found = join(found, pc.match_substring(column, v))
+            found = pc.and_(found, pc.is_valid(column))
+        else:
+            raise ValueError(f"no filter {op!r} on field {field!r}")
+        mask &= pc.fill_null(found, False).to_numpy(zero_copy_only=False).astype(bool)
+    return mask
+
+
+def request_filter_rows(query: Column) -> Column:
+    """The filters of a parsed query (a struct) as data; empty entries ask for nothing."""
+    none, entry = F.array().cast(FILTERS), lambda name: query[name]
+    asked = [
+        (F.length(entry("authorName")) > 0, filter_row("authorName", "==", F.split(entry("authorName"), ","))),
+        (F.length(entry("publicationDate_start")) > 0, filter_row("publicationDate", "gte", F.array(entry("publicationDate_start")))),
+        (F.length(entry("publicationDate_end")) > 0, filter_row("publicationDate", "lte", F.array(entry("publicationDate_end")))),
+        (F.size(entry("search_paperIds")) > 0, filter_row("paperId", "==", entry("search_paperIds"))),
+        (entry("peer_reviewed_only"), filter_row("venue_lower", "!=", F.array(*map(F.lit, PREPRINT_VENUES)))),
+        (entry("preprint_only"), filter_row("venue_lower", "==", F.array(*map(F.lit, PREPRINT_VENUES)))),
+        (F.size(entry("venues")) > 0, filter_row("venue_lower", "==", F.transform(entry("venues"), F.lower))),
+        (entry("citationCount") != 0, filter_row("citationCount", "gte", F.array(entry("citationCount")))),
+    ]
+    return F.flatten(F.array(*[F.when(wanted, F.array(row).cast(FILTERS)).otherwise(none) for wanted, row in asked]))
+
+
 # What each entry of a parsed query asks for: field, op, and the value made of the entry's.
 _REQUESTS = {
     "authorName": ("authorName", "==", lambda v: v.split(",")),

@@ -6,19 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import vectors as V
 from paperloom.functions.rows import hold
-from paperloom.operators import search as S
-from paperloom.session import new_folder
+from paperloom.functions.matrices import vector_matrix, vectors_column
+from paperloom.operators import cells as C
+from paperloom.operators.filters import FILTERS, filter_row
+from paperloom.session import new_folder, stored
 
 DECIMALS = 6
 # Negatives are drawn from this many nearest papers of the cited one.
 NEAR_RANKS = 50
-# Vector entries in one share of the papers, pairs of one cited paper in one share, and scores held at once.
-SHARE_FLOATS, PAIRS_PER_SHARE, SCORES = 1 << 22, 1000, 1 << 23
+# Citing papers of one cited paper in one query row, and cited papers in one query block.
+PAIRS_PER_ROW, CITED_PER_BLOCK = 1000, 512
 MIN_LABELS = 30
 
 
@@ -35,34 +36,52 @@ def seeded_rank(paper: Column, ref: Column, seed: int, ranks: int = NEAR_RANKS)
     return F.pmod(F.xxhash64(paper, ref, F.lit(seed)), F.lit(ranks)).cast("int")
 
 
-def _nearest(key: tuple, table: pa.Table) -> pa.Table:
-    """For the pairs of one share of cited papers, their best papers among one share of all papers."""
-    sides = [table.filter(pc.equal(table["kind"], k)).combine_chunks() for k in range(3)]
-    papers, cited, pairs = sides
-    raw, counts = S.vector_matrix(papers["vectors"].combine_chunks())
-    units, dates = S.unit_rows(raw), papers["date"].to_numpy(zero_copy_only=False).astype(str)
-    ids = papers["paperId"].to_numpy(zero_copy_only=False)
-    order = np.argsort(pairs["refId"].to_numpy(zero_copy_only=False).astype(str), kind="stable")
-    refs = pairs["refId"].to_numpy(zero_copy_only=False).astype(str)[order]
-    names = cited["refId"].to_numpy(zero_copy_only=False).astype(str)
-    before, keep = pairs["date"].to_numpy(zero_copy_only=False).astype(str)[order], pairs["keep"].to_numpy()[order]
-    of, found = [], []
-    step = max(1, SCORES // max(len(ids), 1))
-    for at in range(0, len(names), step):
-        part = cited.slice(at, step)
-        q, n = S.vector_matrix(part["vectors"].combine_chunks())
-        scores = np.round(S.max_sim_matrix(S.unit_rows(q), np.concatenate([[0], np.cumsum(n)]), units, counts), DECIMALS)
-        for i, name in enumerate(names[at : at + step]):
-            for k in range(np.searchsorted(refs, name), np.searchsorted(refs, name, "right")):
-                top = S._TopList(int(keep[k]))
-                rows = top.candidates(scores[i], (dates < before[k]) & (counts > 0))
-                top.add(scores[i][rows], ids[rows], np.zeros(len(rows)))
-                of.append(np.full(len(top.ids), order[k]))
-                found.append(top)
-    at = np.concatenate(of).astype(np.int64) if of else np.zeros(0, np.int64)
-    out = pairs.select(["paperId", "refId", "rank"]).take(pa.array(at))
-    out = out.append_column("negative_id", pa.array(np.concatenate([t.ids for t in found]) if found else [], pa.string()))
-    return out.append_column("similarity", pa.array(np.concatenate([t.score for t in found]) if found else [], pa.float64()))
+def _mining_rows(
+    meta: DataFrame, edges: DataFrame, papers: DataFrame, rank: Callable[[Column, Column], Column], months_before: int
+) -> tuple[DataFrame, DataFrame]:
+    """Query rows of the cited papers, with a cut for each paper that cites them, and the pairs (name, paperId, refId, rank).
+
+    A pair keeps as many papers as its rank and all that it cites could need. The pairs of a paper
+    cited very often are dealt to several rows.
+    """
+    has_date = F.col("publicationDate").isNotNull() & (F.col("publicationDate") != "None")
+    dated = meta.select("paperId", "publicationDate").where(has_date)
+    limit = F.date_format(F.add_months(F.to_date("publicationDate"), -months_before), "yyyy-MM-dd")
+    known = papers.select("paperId", "vectors").where(F.size("vectors") > 0)
+    pairs = (
+        edges.join(known.select("paperId"), "paperId", "left_semi")
+        .join(known.select(F.col("paperId").alias("refId")), "refId", "left_semi")
+        .join(dated, "paperId")
+        .join(edges.groupBy("paperId").agg(F.count("*").alias("cites")), "paperId")
+    )
+    spread = pairs.groupBy("refId").agg(F.ceil(F.count("*") / PAIRS_PER_ROW).alias("parts"))
+    drawn = rank(F.col("paperId"), F.col("refId"))
+    named = pairs.join(spread, "refId").select(
+        F.to_json(F.array("paperId", "refId")).alias("name"), "paperId", "refId", drawn.alias("rank"), "cites", limit.alias("before"),
+        F.pmod(F.xxhash64("paperId"), "parts").alias("part"),
+    )
+    earlier = F.array(filter_row("publicationDate", "lt", F.array("before"))).cast(FILTERS)
+    named = stored(named, "pairs")
+    cut = F.struct("name", (F.col("rank") + F.col("cites") + 2).cast("long").alias("keep"), earlier.alias("filters")).cast(C.CUT)
+    cuts = named.groupBy("refId", "part").agg(F.collect_list(cut).alias("cuts"))
+    wide = F.transform("vectors", V.as_doubles)
+    rows = cuts.join(known.withColumnRenamed("paperId", "refId"), "refId").select(
+        F.to_json(F.array("refId", F.col("part").cast("string"))).alias("query_id"), wide.alias("vectors"), "cuts"
+    )
+    return rows, named.select("name", "paperId", "refId", "rank")
+
+
+def mining_papers(meta: DataFrame, papers: DataFrame) -> DataFrame:
+    """The dated papers among which negatives are looked for: paperId, vectors, publicationDate."""
+    has_date = F.col("publicationDate").isNotNull() & (F.col("publicationDate") != "None")
+    dated = meta.where(has_date).select("paperId", "publicationDate")
+    return papers.select("paperId", "vectors").where(F.size("vectors") > 0).join(dated, "paperId")
+
+
+def mining_index(meta: DataFrame, papers: DataFrame, root: str, cells: int | None = None) -> C.CellIndex:
+    """An index of the dated papers, its cells cut by year, so that pairs visit cells with earlier papers only."""
+    year = F.year(F.to_date("publicationDate"))
+    return C.build(mining_papers(meta, papers), root, ("publicationDate",), cells, by=year)
 
 
 def mine_triplets(
@@ -71,7 +90,7 @@ def mine_triplets(
     rank: Callable[[Column, Column], Column],
     months_before: int = 0,
     for_innovation: bool = False,
-    share_floats: int = SHARE_FLOATS,
+    index: C.CellIndex | None = None,
 ) -> DataFrame:
     """(query_id, positive_id, negative_id) rows from citations.
 
@@ -79,50 +98,21 @@ def mine_triplets(
     paper at a given rank among the nearest of the cited one that were published
     before the citing paper and that it does not cite. ``papers`` has paperId, vectors.
 
-    Cited papers and all papers are dealt into shares of bounded size, and each share of one
-    kind meets each of the other in one group. A group keeps, for each pair, as many papers as
-    its rank and all that it cites could need; what it cites is taken out afterwards by a join.
-    A paper cited very often has its pairs spread over several shares.
+    A cited paper is one query whose pairs are cuts of its ranking: each reads what was published
+    before its citing paper. With an index (``mining_index``) a pair visits only the cells of earlier
+    years whose bound reaches its last kept paper; without one each block of papers meets each
+    block of cited papers once. What a paper cites is taken out afterwards by a join.
     """
-    has_date = F.col("publicationDate").isNotNull() & (F.col("publicationDate") != "None")
-    dated = meta.select("paperId", "publicationDate").where(has_date)
-    edges = citation_edges(meta)
-    limit = F.date_format(F.add_months(F.to_date("publicationDate"), -months_before), "yyyy-MM-dd")
-    known = papers.select("paperId", "vectors")
-    pairs = (
-        edges.join(known.select("paperId"), "paperId", "left_semi")
-        .join(known.select(F.col("paperId").alias("refId")), "refId", "left_semi")
-        .join(dated, "paperId")
-        .join(edges.groupBy("paperId").agg(F.count("*").alias("cites")), "paperId")
-    )
-    share = lambda *c: F.xxhash64(*c)
-    spread = pairs.groupBy("refId").agg(F.ceil(F.count("*") / PAIRS_PER_SHARE).alias("parts"))
-    pairs = pairs.join(spread, "refId").withColumn("part", F.pmod(share("paperId"), "parts"))
-    floats = F.coalesce(F.sum(F.size("vectors") * F.size(F.get("vectors", F.lit(0)))), F.lit(0))
-    total = known.agg(floats).first()[0]  # one number, for the count of shares
-    shares = F.lit(max(1, -(-int(total) // share_floats)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), (shares - 1).cast("long")))
-    none = F.lit(None)
-    columns = ("i", "j", "kind", "paperId", "refId", "date", "rank", "keep", "vectors")
-    row = lambda kind, **c: [
-        *[c.get(n, none.cast("string")).cast("string").alias(n) for n in ("paperId", "refId", "date")],
-        *[c.get(n, none).cast("int").alias(n) for n in ("rank", "keep")],
-        F.lit(kind).alias("kind"),
-    ]
-    home = F.pmod(share("refId", "part"), shares)
-    drawn = rank(F.col("paperId"), F.col("refId"))
-    asked = pairs.select(
-        home.alias("i"), every.alias("j"), none.cast("array<array<double>>").alias("vectors"),
-        *row(2, paperId=F.col("paperId"), refId=F.col("refId"), date=limit, rank=drawn, keep=drawn + F.col("cites") + 2),
-    )
-    wide = F.transform("vectors", V.as_doubles)
-    cited = pairs.select("refId", "part").distinct().join(known.withColumnRenamed("paperId", "refId"), "refId")
-    cited = cited.select(home.alias("i"), every.alias("j"), wide.alias("vectors"), *row(1, refId=F.col("refId")))
-    searched = known.join(dated, "paperId").select(
-        every.alias("i"), F.pmod(share("paperId"), shares).alias("j"), wide.alias("vectors"), *row(0, paperId=F.col("paperId"), date=F.col("publicationDate"))
-    )
-    met = searched.select(*columns).unionByName(cited.select(*columns)).unionByName(asked.select(*columns))
-    near = met.groupBy("i", "j").applyInArrow(_nearest, "paperId string, refId string, rank int, negative_id string, similarity double")
+    edges = stored(citation_edges(meta), "edges")
+    rows, pairs = _mining_rows(meta, edges, papers, rank, months_before)
+    n_blocks = papers.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CITED_PER_BLOCK)).cast("int")).scalar()
+    if index is None:
+        blocks = C.paper_blocks(mining_papers(meta, papers), ("publicationDate",)).withColumn("last", n_blocks - 1)
+        each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("qblock"))
+        hits = C.meet(each, C.query_blocks(rows, n_blocks), rerank=False)
+    else:
+        hits, _ = C.search_cuts(index, rows, n_blocks)
+    near = hits.select(F.col("query_id").alias("name"), F.col("paperId").alias("negative_id"), F.col("retrieval_score").alias("similarity")).join(pairs, "name")
     cites = edges.withColumnRenamed("refId", "negative_id")
     free = near.where("negative_id <> paperId").join(cites, ["paperId", "negative_id"], "left_anti")
     nearest = Window.partitionBy("paperId", "refId").orderBy(F.desc("similarity"), "negative_id")
@@ -212,7 +202,7 @@ def attention_pool(papers: DataFrame, linear: np.ndarray, bias: np.ndarray, quer
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            raw, counts = S.vector_matrix(batch.column("vectors"))
+            raw, counts = vector_matrix(batch.column("vectors"))
             filled = np.flatnonzero(counts)
             first = np.concatenate([[0], np.cumsum(counts[filled])[:-1]]).astype(int)
             scores = raw @ direction + offset
@@ -220,7 +210,7 @@ def attention_pool(papers: DataFrame, linear: np.ndarray, bias: np.ndarray, quer
             weights = spread / np.repeat(np.add.reduceat(spread, first), counts[filled])
             pooled = np.add.reduceat(raw * weights[:, None], first, axis=0)
             ids = batch.column("paperId").take(pa.array(filled))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(list(pooled))], names=["paperId", "embedding"])
+            yield pa.RecordBatch.from_arrays([ids, vectors_column(pooled)], names=["paperId", "embedding"])
 
     return papers.where(F.size("vectors") > 0).select("paperId", "vectors").mapInArrow(
         run, "paperId string, embedding array<double>"

@@ -1,52 +1,29 @@
 """Exact multi-vector search.
 
-A query holds one or more sub-query vectors, a paper holds one vector per chunk,
-and their score is the late-interaction MaxSim. Queries of a request batch are
-few, so they travel to the papers: a size-checked block of query vectors is
-broadcast, every partition of the paper table is scored in one matrix product per
-Arrow batch, and only the best ``keep`` rows of each query leave a partition.
-Query sets over the limit are answered block by block, each block in its own scan.
+A query holds one or more sub-query vectors, a paper holds one vector per chunk, and their score
+is the late-interaction MaxSim. ``top_k`` reads every paper once, in blocks that meet the blocks of
+queries (``operators.cells``); with an index of cells, ``cells.search`` reads what could matter only.
+Both take filters as data: a column ``filters`` of the query table, see ``operators.filters``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import vectors as V
 from paperloom.functions.rows import hold
+from paperloom.operators import cells as C
+from paperloom.operators.filters import DATE_FIELDS, KEYWORD_FIELDS, RANGE_FIELDS, TEXT_FIELDS
 
-# Largest block of query vectors sent to every executor: 32 MB of doubles.
-BLOCK_FLOATS = 4_000_000
-# A query table of at most this many rows is fetched without counting it first.
-BLOCK_ROWS = 4096
 # The chunker numbers windows from 0 and stops far below this, so a packed paper is bounded.
 MAX_CHUNK_IDX = 4096
 
 OVERFETCH = 5
-DECIMALS = 6
-
-
-@dataclass(frozen=True)
-class QueryBlock:
-    """The queries of one scan: vectors stacked in ``matrix``, query ``i`` at rows ``starts[i]:starts[i+1]``."""
-
-    ids: list[str]
-    top_k: list[int]
-    starts: np.ndarray
-    matrix: np.ndarray
-    params: list[dict]
-
-    @property
-    def sub_counts(self) -> np.ndarray:
-        return np.diff(self.starts)
+DECIMALS = C.DECIMALS
 
 
 def pack_vectors(chunks: DataFrame, key: str = "paperId", payload: tuple[str, ...] = ()) -> DataFrame:
@@ -69,212 +46,21 @@ def pack_vectors(chunks: DataFrame, key: str = "paperId", payload: tuple[str, ..
     )
 
 
-def query_blocks(queries: DataFrame, block_floats: int = BLOCK_FLOATS) -> list[QueryBlock]:
-    """Bounded blocks of the query table (query_id, qi, embedding, topK and any filter columns).
-
-    A request batch is tried first: one bounded collect, no count. Only a table that does
-    not fit is counted and cut by query id, each block checked again as it is fetched.
-    """
-    rows = queries.limit(BLOCK_ROWS + 1).collect()
-    if len(rows) <= BLOCK_ROWS and sum(len(r["embedding"]) for r in rows) <= block_floats:
-        return [_stack(rows)] if rows else []
-    total = queries.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-int(total) // block_floats))
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    blocks = []
-    for b in range(n_blocks):
-        rows = _fetch(queries.where(slot == b), 4 * block_floats)
-        if rows:
-            blocks.append(_stack(rows))
-    return blocks
-
-
-def _fetch(queries: DataFrame, hard_limit: int) -> list:
-    rows, floats = [], 0
-    for row in queries.toLocalIterator():
-        floats += len(row["embedding"])
-        if floats > hard_limit:
-            raise ValueError("one block of queries exceeds the broadcast limit; lower block_floats")
-        rows.append(row)
-    return rows
-
-
-def _stack(rows: list) -> QueryBlock:
-    rows = sorted(rows, key=lambda r: (r["query_id"], r["qi"]))
-    ids, top_k, starts, params = [], [], [], []
-    for i, row in enumerate(rows):
-        if not ids or row["query_id"] != ids[-1]:
-            ids.append(row["query_id"])
-            top_k.append(int(row["topK"]))
-            starts.append(i)
-            params.append({k: v for k, v in row.asDict(True).items() if k not in ("qi", "embedding")})
-    matrix = np.array([row["embedding"] for row in rows], dtype=np.float64)
-    return QueryBlock(ids, top_k, np.array([*starts, len(rows)]), matrix, params)
-
-
-def unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def centred_rows(m: np.ndarray) -> np.ndarray:
-    return unit_rows(m - m.mean(axis=1, keepdims=True))
-
-
-def vector_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A list<list<float>> column as (stacked vectors, number of vectors per row)."""
-    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    inner = column.flatten()
-    flat = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(inner), -1) if len(inner) else flat.reshape(0, 0), counts
-
-
-def max_sim_matrix(q: np.ndarray, q_starts: np.ndarray, d: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MaxSim of every query (rows of ``q`` grouped by ``q_starts``) with every paper, shape (queries, papers)."""
-    filled = np.flatnonzero(counts)
-    scores = np.zeros((len(q_starts) - 1, len(counts)))
-    if len(filled):
-        first = np.concatenate([[0], np.cumsum(counts[filled])[:-1]])
-        best = np.maximum.reduceat(q @ d.T, first, axis=1)
-        scores[:, filled] = np.add.reduceat(best, q_starts[:-1], axis=0)
-    return scores
-
-
-class _TopList:
-    """The best ``keep`` papers of one query seen so far in a partition, ties broken by paperId."""
-
-    def __init__(self, keep: int):
-        self.keep = keep
-        self.score = np.empty(0)
-        self.ids = np.empty(0, dtype=object)
-        self.extra = np.empty(0)
-
-    def candidates(self, scores: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        """Positions that can still enter the list."""
-        rows = np.flatnonzero(allowed)
-        s = scores[rows]
-        if len(self.score) >= self.keep:
-            rows = rows[s >= self.score[self.keep - 1]]
-            s = scores[rows]
-        if len(rows) > self.keep:
-            rows = rows[s >= np.partition(s, -self.keep)[-self.keep]]
-        return rows
-
-    def add(self, scores: np.ndarray, ids: np.ndarray, extra: np.ndarray) -> None:
-        score = np.concatenate([self.score, scores])
-        ids = np.concatenate([self.ids, ids])
-        extra = np.concatenate([self.extra, extra])
-        order = np.lexsort((ids.astype(str), -score))[: self.keep]
-        self.score, self.ids, self.extra = score[order], ids[order], extra[order]
-
-
-def _top_task(block_ref, keeps: list[int], decimals: int, rerank: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: QueryBlock = block_ref.value
-        q, per_query = unit_rows(block.matrix), block.sub_counts[:, None]
-        q_centred = centred_rows(block.matrix) if rerank else None
-        tops = [_TopList(k) for k in keeps]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("paperId").to_numpy(zero_copy_only=False)
-            raw, counts = vector_matrix(batch.column("vectors"))
-            if raw.shape[1] not in (0, q.shape[1]):
-                raise ValueError("query and paper vectors differ in width")
-            scores = np.round(max_sim_matrix(q, block.starts, unit_rows(raw), counts) / per_query, decimals)
-            if "allowed" in batch.schema.names:
-                flags = batch.column("allowed").flatten().to_numpy(zero_copy_only=False).astype(bool)
-                allowed = flags.reshape(len(ids), -1).T
-            else:
-                allowed = np.ones(scores.shape, dtype=bool)
-            picks = [t.candidates(scores[j], allowed[j]) for j, t in enumerate(tops)]
-            extra = np.zeros(scores.shape)
-            used = np.unique(np.concatenate(picks)).astype(int)
-            if rerank and len(used):
-                keep_rows = np.repeat(np.isin(np.arange(len(counts)), used), counts)
-                again = max_sim_matrix(q_centred, block.starts, centred_rows(raw[keep_rows]), counts[used])
-                extra[:, used] = np.round(again / per_query, decimals)
-            for j, t in enumerate(tops):
-                t.add(scores[j][picks[j]], ids[picks[j]], extra[j][picks[j]])
-        sizes = [len(t.score) for t in tops]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(block.ids, dtype=object), sizes), pa.string()),
-                pa.array(np.concatenate([t.ids for t in tops]), pa.string()),
-                pa.array(np.concatenate([t.score for t in tops])),
-                pa.array(np.concatenate([t.extra for t in tops])),
-            ],
-            names=["query_id", "paperId", "retrieval_score", "rerank_score"],
-        )
-
-    return run
-
-
-def _mark_excluded(papers: DataFrame, exclude: DataFrame, block: QueryBlock) -> DataFrame:
-    """Papers with the queries of this block that leave them out, a list no longer than the block."""
-    ids = papers.sparkSession.createDataFrame([(i,) for i in block.ids], "query_id string")
-    marks = exclude.join(ids, "query_id", "left_semi").groupBy("paperId").agg(F.collect_set("query_id").alias("_out"))
-    return papers.join(marks, "paperId", "left")
-
-
-def _condition(query_filter, params: dict, excluded: bool) -> Column | None:
-    wanted = query_filter(params) if query_filter is not None else None
-    if not excluded:
-        return wanted
-    kept = ~F.coalesce(F.array_contains("_out", params["query_id"]), F.lit(False))
-    return kept if wanted is None else wanted & kept
-
-
-_HIT_SCHEMA = "query_id string, paperId string, retrieval_score double, rerank_score double"
-
-
 def top_k(
-    papers: DataFrame,
-    queries: DataFrame,
-    factor: int = 1,
-    query_filter: Callable[[dict], Column | None] | None = None,
-    exclude: DataFrame | None = None,
-    rerank: bool = False,
-    decimals: int = DECIMALS,
-    block_floats: int = BLOCK_FLOATS,
+    papers: DataFrame, queries: DataFrame, factor: int = 1, exclude: DataFrame | None = None, rerank: bool = False, decimals: int = DECIMALS
 ) -> DataFrame:
-    """The ``factor * topK`` nearest papers of every query, each query under its own filter.
+    """The ``factor * topK`` nearest papers of every query (query_id, qi, embedding, topK and maybe filters).
 
-    ``query_filter`` turns a query's parameters into a condition on the paper's
-    payload columns; it is evaluated by Spark, next to the scan. ``exclude`` holds
-    (query_id, paperId) pairs to leave out before the cut. Returns
-    (query_id, paperId, retrieval_score, rerank_score, retrieval_rank, topK).
+    A query's own filters read the payload columns of ``papers``. ``exclude`` holds (query_id, paperId)
+    pairs to leave out before the cut: a query keeps that many more, which are taken out of its list.
+    Returns (query_id, paperId, retrieval_score, rerank_score, retrieval_rank, topK).
     """
-    spark = papers.sparkSession
-    parts = []
-    for block in query_blocks(queries, block_floats):
-        keeps = [factor * k for k in block.top_k]
-        columns = [F.col("paperId"), F.col("vectors")]
-        source = papers if exclude is None else _mark_excluded(papers, exclude, block)
-        conditions = [_condition(query_filter, p, exclude is not None) for p in block.params]
-        if any(c is not None for c in conditions):
-            flags = [F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c in conditions]
-            columns.append(F.array(*flags).alias("allowed"))
-        # A row no query may see is dropped before it is shipped to Python.
-        source = source.select(*columns)
-        if len(columns) == 3:
-            source = source.where(F.array_contains("allowed", True))
-        task = _top_task(spark.sparkContext.broadcast(block), keeps, decimals, rerank)
-        hits = source.mapInArrow(task, _HIT_SCHEMA)
-        limits = F.create_map(*[x for i, k in zip(block.ids, block.top_k) for x in (F.lit(i), F.lit(k))])
-        best = Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "paperId")
-        parts.append(
-            hits.withColumn("retrieval_rank", F.row_number().over(best))
-            .where(F.col("retrieval_rank") <= max(keeps))
-            .withColumn("topK", limits[F.col("query_id")])
-            .where(F.col("retrieval_rank") <= F.col("topK") * factor)
-        )
-    if not parts:
-        return spark.createDataFrame([], _HIT_SCHEMA + ", retrieval_rank int, topK int")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    more = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("more"))
+    rows, n_blocks = C.query_rows(queries, factor, more), C.block_count(queries)
+    fields = KEYWORD_FIELDS + TEXT_FIELDS + RANGE_FIELDS + DATE_FIELDS if "filters" in queries.columns else ()
+    blocks = C.paper_blocks(papers, fields).withColumn("last", n_blocks - 1)
+    each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("qblock"))
+    return C.best(C.meet(each, C.query_blocks(rows, n_blocks), rerank, decimals), queries, factor, exclude)
 
 
 def rerank_and_sort(hits: DataFrame, truncate: str = "before", blended: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from paperloom.operators import search as S
 from paperloom.operators.chunks import chunk_papers, with_role_prefix
 from paperloom.plans import fixtures as X
 from paperloom.plans.registry import query
-from paperloom.session import read_table, spread
+from paperloom.session import new_folder, read_table, spread
 
 
 def _rank(paper, ref):
@@ -55,6 +55,14 @@ def triplet_mining(spark, sf):
     return _triplets(spark, sf)
 
 
+@query("triplet_mining_indexed", _PAIRS + "SELECT * FROM tr")
+def triplet_mining_indexed(spark, sf):
+    """The same triplets through a stored index whose cells are cut by year."""
+    papers, citing = S.pack_vectors(X.chunk_vectors(spark, sf)), _citing(spark, sf)
+    index = L.mining_index(citing, papers, new_folder(spark, "index"))
+    return L.mine_triplets(citing, papers, _rank, months_before=1, index=index)
+
+
 @query("triplet_mining_innovation", _PAIRS + "SELECT positive_id AS query_id, query_id AS positive_id, negative_id FROM tr")
 def triplet_mining_innovation(spark, sf):
     return _triplets(spark, sf, innovation=True)

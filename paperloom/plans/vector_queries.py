@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import vectors as V
+from paperloom.operators import cells as C
 from paperloom.operators import search as S
+from paperloom.operators.filters import FILTERS, filter_row
 from paperloom.plans import fixtures as X
 from paperloom.plans.registry import query
+from paperloom.session import new_folder
 
 _BASE = X.with_ctes(X.CHUNK_VECTORS, X.LABEL_QUERIES)
 _SCORED = _BASE + """,
@@ -38,6 +41,12 @@ def _positions(vectors, *keys):
     return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
 
 
+def _filtered_queries(spark, sf):
+    year = filter_row("publicationYear", "gte", F.array(F.lit(2015) + F.col("query_id").cast("int")))
+    cited = filter_row("citationCount", "gte", F.array(10 * F.col("topK")))
+    return X.label_queries(spark, sf).withColumn("filters", F.array(year, cited).cast(FILTERS))
+
+
 def _payload_filter():
     return (F.col("publicationYear") >= 2017) & (F.col("citationCount") < 90)
 
@@ -84,14 +93,36 @@ WHERE rn <= "topK" """,
 )
 def search_filter_per_query(spark, sf):
     """Each query has its own filter: a first year and a least citation count."""
-    from paperloom.operators.filters import payload_filter
+    hits = S.top_k(_papers(spark, sf), _filtered_queries(spark, sf))
+    return hits.select("query_id", "paperId", "retrieval_score", F.col("retrieval_rank").alias("rank"))
 
-    def condition(params):
-        return payload_filter(
-            [["publicationYear", "gte", 2015 + int(params["query_id"])], ["citationCount", "gte", 10 * params["topK"]]]
-        )
 
-    hits = S.top_k(_papers(spark, sf), X.label_queries(spark, sf), query_filter=condition)
+@query(
+    "search_indexed_topk",
+    _SCORED + """
+SELECT query_id, "paperId", retrieval_score, rn AS "rank"
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_score DESC, "paperId") AS rn FROM scored)
+WHERE rn <= "topK" """,
+)
+def search_indexed_topk(spark, sf):
+    """The answer of reading every paper, through a stored index of cells."""
+    index = C.build(_papers(spark, sf), new_folder(spark, "index"))
+    hits, _ = C.search(index, X.label_queries(spark, sf))
+    return hits.select("query_id", "paperId", "retrieval_score", F.col("retrieval_rank").alias("rank"))
+
+
+@query(
+    "search_indexed_filters",
+    _SCORED + """
+SELECT query_id, "paperId", retrieval_score, rn AS "rank"
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_score DESC, "paperId") AS rn
+      FROM scored WHERE "publicationYear" >= 2015 + CAST(query_id AS INT) AND "citationCount" >= 10 * "topK")
+WHERE rn <= "topK" """,
+)
+def search_indexed_filters(spark, sf):
+    """Filters per query through the index: cells cut by year, left out where their values cannot pass."""
+    index = C.build(_papers(spark, sf), new_folder(spark, "index"), ("publicationYear", "citationCount"), by=F.col("publicationYear"))
+    hits, _ = C.search(index, _filtered_queries(spark, sf))
     return hits.select("query_id", "paperId", "retrieval_score", F.col("retrieval_rank").alias("rank"))
 
 
@@ -106,12 +137,10 @@ FROM (SELECT DISTINCT query_id FROM q) q0 LEFT JOIN hits h USING (query_id)""",
 )
 def search_without_hits(spark, sf):
     """Queries whose filter leaves nothing keep one marker row."""
-    queries = X.label_queries(spark, sf)
-
-    def condition(params):
-        return None if int(params["query_id"]) % 2 == 0 else F.col("citationCount") >= 1000
-
-    hits = S.top_k(_papers(spark, sf), queries, query_filter=condition)
+    cited = filter_row("citationCount", "gte", F.array(F.lit(1000)))
+    filters = F.when(F.col("query_id").cast("int") % 2 == 0, F.array()).otherwise(F.array(cited))
+    queries = X.label_queries(spark, sf).withColumn("filters", filters.cast(FILTERS))
+    hits = S.top_k(_papers(spark, sf), queries)
     return S.keep_empty_queries(hits.select("query_id", "paperId", "retrieval_score"), queries)
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators import search as S
+from paperloom.operators.cells import CellIndex, search
 from paperloom.operators.chunks import with_role_prefix
 from paperloom.operators.embed import Encoder, embed_texts
-from paperloom.operators.filters import request_condition
+from paperloom.operators.filters import FILTERS, filter_row, request_filter_rows
 from paperloom.sources.requests import BATCH_PACE
 
 MODEL = "e5"
@@ -19,46 +20,44 @@ MODEL = "e5"
 def sub_queries(requests: DataFrame, encoder: Callable[[], Encoder]) -> DataFrame:
     """One embedded row per sub-query of each request."""
     rows = requests.where(F.coalesce(F.size("query.queries"), F.lit(0)) > 0).select(
-        "task_id", "query_id", "topK", "paperLock", "query", F.posexplode("query.queries").alias("qi", "text")
+        "task_id", "query_id", "topK", "query", *(["filters"] if "filters" in requests.columns else []), F.posexplode("query.queries").alias("qi", "text")
     )
     return embed_texts(rows.withColumn("text", with_role_prefix(F.col("text"), MODEL, "query")), "text", encoder)
 
 
-def mark_papers(papers: DataFrame, requests: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Papers with the queries that trashed or kept them; both lists are bounded by the request batch."""
-    marks = feedback.join(requests.select("task_id", "query_id"), "task_id").groupBy("paperId").agg(
-        F.collect_set(F.when(F.col("user_score") < 0, F.col("query_id"))).alias("trashed_by"),
-        F.collect_set(F.when(F.col("user_score") >= 0, F.col("query_id"))).alias("kept_by"),
-    )
-    return papers.join(marks, "paperId", "left")
+def with_filters(requests: DataFrame, feedback: DataFrame | None) -> DataFrame:
+    """Requests with their filters as data; a locked request may only see the papers its notebook kept."""
+    filters = request_filter_rows(F.col("query"))
+    if feedback is None:
+        return requests.withColumn("filters", filters)
+    kept = feedback.where(F.col("user_score") >= 0).groupBy("task_id").agg(F.collect_set("paperId").alias("_kept"))
+    lock = F.array(filter_row("paperId", "==", F.coalesce("_kept", F.array().cast("array<string>")))).cast(FILTERS)
+    locked = F.when(F.col("paperLock"), F.concat(filters, lock)).otherwise(filters)
+    return requests.join(kept, "task_id", "left").withColumn("filters", locked).drop("_kept")
 
 
 def search_requests(
     requests: DataFrame,
-    papers: DataFrame,
+    papers: DataFrame | CellIndex,
     encoder: Callable[[], Encoder],
     feedback: DataFrame | None = None,
     blend: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked results of a request batch; a request without hits keeps one row with a null paperId.
 
-    ``papers`` has paperId, vectors and the payload columns; ``feedback`` has
-    (task_id, paperId, user_score). ``blend`` adds blended_score from a fitted scorer.
+    ``papers`` has paperId, vectors and the payload columns, or is an index of them; ``feedback`` has
+    (task_id, paperId, user_score), and papers a notebook trashed are never among its hits. ``blend``
+    adds blended_score from a fitted scorer. What a request filters on or leaves out travels with its
+    query, so papers are not joined with anything but queries.
     """
+    queries = sub_queries(with_filters(requests, feedback), encoder)
+    trashed = None
     if feedback is not None:
-        papers = mark_papers(papers, requests, feedback)
-
-    def condition(params: dict) -> Column | None:
-        wanted = request_condition(params["query"] or {})
-        if feedback is None:
-            return wanted
-        listed = lambda c: F.coalesce(F.array_contains(c, params["query_id"]), F.lit(False))
-        allowed = ~listed("trashed_by")
-        if params["paperLock"]:
-            allowed = allowed & listed("kept_by")
-        return allowed if wanted is None else wanted & allowed
-
-    hits = S.top_k(papers, sub_queries(requests, encoder), S.OVERFETCH, condition, rerank=True)
+        trashed = feedback.where(F.col("user_score") < 0).join(requests.select("task_id", "query_id"), "task_id").select("query_id", "paperId").distinct()
+    if isinstance(papers, CellIndex):
+        hits, _ = search(papers, queries, S.OVERFETCH, trashed, rerank=True)
+    else:
+        hits = S.top_k(papers, queries, S.OVERFETCH, trashed, rerank=True)
     if blend is None:
         ranked = S.rerank_and_sort(hits)
     else:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom.functions import answers as A
+from paperloom.operators import cells as C
 from paperloom.operators import learn as L
 from paperloom.operators import search as S
 
@@ -31,7 +32,7 @@ def graph(spark):
     return meta, vectors, spark.createDataFrame(meta, "paperId string, publicationDate string, referenceIds string"), papers
 
 
-def test_triplets_equal_brute_force_in_one_or_many_blocks(spark):
+def test_triplets_equal_brute_force_in_many_blocks_and_through_an_index(spark, tmp_path, monkeypatch):
     meta, vectors, meta_df, papers = graph(spark)
     rank = lambda p, r: (F.length(p) + F.length(r)) % 4
     dates = {p: d for p, d, _ in meta}
@@ -48,9 +49,13 @@ def test_triplets_equal_brute_force_in_one_or_many_blocks(spark):
             k = (len(p) + len(r)) % 4
             if k < len(pool):
                 want.add((p, r, pool[k]))
-    for floats in (1 << 22, 60):
-        got = {tuple(r) for r in L.mine_triplets(meta_df, papers, rank, share_floats=floats).collect()}
-        assert got == want and want
+    assert want and {tuple(r) for r in L.mine_triplets(meta_df, papers, rank).collect()} == want
+    monkeypatch.setattr(L, "CITED_PER_BLOCK", 8)
+    monkeypatch.setattr(C, "PAPERS_PER_BLOCK", 2)
+    monkeypatch.setattr(L, "PAIRS_PER_ROW", 2)  # a paper cited often is several rows
+    assert {tuple(r) for r in L.mine_triplets(meta_df, papers, rank).collect()} == want
+    index = L.mining_index(meta_df, papers, str(tmp_path / "index"), cells=3)
+    assert {tuple(r) for r in L.mine_triplets(meta_df, papers, rank, index=index).collect()} == want
 
 
 def test_triplet_scores_and_metrics(spark):

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.operators import cells as C
 from paperloom.operators import search as S
 from paperloom.operators.embed import embed_texts, hashed_words
+from paperloom.operators.filters import FILTERS, filter_row
 
 RNG = np.random.default_rng(5)
 DIM = 6
@@ -32,8 +34,8 @@ def expected(qid, k, allowed=lambda p: True):
 
 @pytest.fixture(scope="module")
 def papers(spark):
-    rows = [(p, d.tolist(), i) for i, (p, d) in enumerate(PAPERS.items())]
-    return spark.createDataFrame(rows, "paperId string, vectors array<array<float>>, n int").repartition(3)
+    rows = [(p, d.tolist(), i, 2000 + i % 9) for i, (p, d) in enumerate(PAPERS.items())]
+    return spark.createDataFrame(rows, "paperId string, vectors array<array<float>>, citationCount int, publicationYear int").repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -54,18 +56,100 @@ def test_top_k_is_exact(papers, queries):
     assert got == {q: expected(q, 2 + len(v)) for q, v in QUERIES.items()}
 
 
-def test_blocks_do_not_change_the_answer(papers, queries):
-    assert len(S.query_blocks(queries, block_floats=20)) > 1
-    assert ranked(S.top_k(papers, queries, block_floats=20)) == ranked(S.top_k(papers, queries))
+def test_blocks_do_not_change_the_answer(papers, queries, monkeypatch):
+    want = ranked(S.top_k(papers, queries))
+    monkeypatch.setattr(C, "VECTORS_PER_BLOCK", 3)
+    assert ranked(S.top_k(papers, queries)) == want
 
 
-def test_each_query_has_its_own_filter(papers, queries):
+def filtered(queries):
+    """The first query sees all papers, query k those cited at least 3 k times from before 2007."""
+    k = F.substring("query_id", 2, 9).cast("int")
+    rows = F.array(filter_row("citationCount", "gte", F.array(3 * k)), filter_row("publicationYear", "lt", F.array(F.lit(2007))))
+    return queries.withColumn("filters", F.when(k > 0, rows).otherwise(F.array()).cast(FILTERS))
+
+
+def allowed(q):
     number = {p: i for i, p in enumerate(PAPERS)}
-    condition = lambda p: None if p["query_id"] == "q0" else F.col("n") % 7 == int(p["query_id"][1])
-    got = ranked(S.top_k(papers, queries, query_filter=condition))
-    for q, v in QUERIES.items():
-        allowed = (lambda p: True) if q == "q0" else (lambda p, q=q: number[p] % 7 == int(q[1]))
-        assert got[q] == expected(q, 2 + len(v), allowed)
+    return lambda p: q == "q0" or number[p] >= 3 * int(q[1]) and number[p] % 9 < 7
+
+
+def test_each_query_has_its_own_filter(papers, queries):
+    got = ranked(S.top_k(papers, filtered(queries)))
+    assert got == {q: expected(q, 2 + len(v), allowed(q)) for q, v in QUERIES.items()}
+
+
+def test_excluded_papers_use_up_no_rank(spark, papers, queries):
+    out = {q: expected(q, 3) for q in ("q1", "q4")}
+    pairs = spark.createDataFrame([(q, p) for q, ps in out.items() for p in ps] + [("q9", "p1")], "query_id string, paperId string")
+    got = ranked(S.top_k(papers, queries, exclude=pairs))
+    assert got == {q: expected(q, 2 + len(v), lambda p, q=q: p not in out.get(q, ())) for q, v in QUERIES.items()}
+
+
+def test_the_index_gives_the_answer_of_reading_all(spark, papers, queries, tmp_path, monkeypatch):
+    index = C.build(papers, str(tmp_path / "plain"), cells=6)
+    assert ranked(C.search(index, queries)[0]) == {q: expected(q, 2 + len(v)) for q, v in QUERIES.items()}
+    monkeypatch.setattr(C, "PAPERS_PER_BLOCK", 1)
+    monkeypatch.setattr(C, "VECTORS_PER_BLOCK", 3)
+    index = C.build(papers, str(tmp_path / "years"), ("citationCount", "publicationYear"), cells=4, by=F.col("publicationYear"))
+    assert index.header.select(F.size("cells")).first()[0] > 9 and index.blocks.where("part > 0").count() > 0
+    hits, read = C.search(index, filtered(queries), rerank=True)
+    assert ranked(hits) == {q: expected(q, 2 + len(v), allowed(q)) for q, v in QUERIES.items()}
+    plain = {tuple(r) for r in S.top_k(papers, filtered(queries), rerank=True).collect()}
+    assert {tuple(r) for r in hits.collect()} == plain
+    # cells whose years or citations cannot pass are not read
+    cells = {r["name"]: r["cells_read"] for r in read.collect()}
+    assert set(cells) == set(QUERIES) and all(cells[q] < read.first()["cells"] for q in cells if q != "q0")
+    out = {q: expected(q, 3) for q in ("q1", "q4")}
+    pairs = spark.createDataFrame([(q, p) for q, ps in out.items() for p in ps], "query_id string, paperId string")
+    assert ranked(C.search(index, queries, exclude=pairs)[0]) == ranked(S.top_k(papers, queries, exclude=pairs))
+
+
+def test_queries_near_a_cell_leave_far_cells_unread(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    centres = unit(rng.normal(size=(30, 32)))
+    of = rng.integers(0, 30, 600)
+    vectors = centres[of] + 0.02 * rng.normal(size=(600, 32))
+    rows = [(f"p{i}", [v.tolist()]) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "paperId string, vectors array<array<double>>")
+    index = C.build(frame, str(tmp_path / "near"), cells=30)
+    asked = spark.createDataFrame([(f"q{i}", 0, (centres[i] + 0.01 * rng.normal(size=32)).tolist(), 5) for i in range(30)], "query_id string, qi int, embedding array<double>, topK int")
+    hits, read = C.search(index, asked)
+    assert ranked(hits) == ranked(S.top_k(frame, asked))
+    shares = [r["cells_read"] / r["cells"] for r in read.collect()]
+    assert len(shares) == 30 and np.median(shares) < 0.4
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        centre = unit(rng.normal(size=(1, 8)))
+        members = centre + rng.uniform(0.05, 2) * rng.normal(size=(40, 8))
+        radius = np.arccos(np.clip(unit(members) @ centre.T, -1, 1)).max()
+        q = rng.normal(size=(3, 8))
+        score = (unit(q) @ unit(members).T).max(axis=1).mean()
+        assert C.bounds(q, np.array([3]), centre, np.array([radius]))[0, 0] >= score - 1e-12
+
+
+def test_search_moves_no_vector_and_knows_no_query_in_its_plan(spark, papers, queries, tmp_path):
+    path = str(tmp_path / "papers")
+    papers.write.parquet(path)
+    stored = spark.read.parquet(path)
+    many = queries.crossJoin(spark.range(50)).withColumn("query_id", F.concat("query_id", F.lit("x"), F.col("id").cast("string"))).drop("id")
+    plans = []
+    for name, asked in (("few", queries), ("many", many)):
+        asked.write.parquet(str(tmp_path / name))
+        plans.append(S.top_k(stored, spark.read.parquet(str(tmp_path / name)))._jdf.queryExecution().executedPlan().toString())
+    few, many = plans
+    assert few.count("MapInArrow") == many.count("MapInArrow") == 2 and len(few.splitlines()) == len(many.splitlines())
+    assert not any("vectors" in x for x in few.splitlines() if "Exchange hashpartitioning(paperId" in x)
+
+
+def test_empty_papers_and_queries_through_the_index(spark, papers, queries, tmp_path):
+    index = C.build(papers, str(tmp_path / "some"), cells=3)
+    assert C.search(index, queries.where("false"))[0].count() == 0
+    none = C.build(papers.where("false"), str(tmp_path / "none"))
+    assert C.search(none, queries)[0].count() == 0
 
 
 def test_rerank_never_promotes_from_the_tail_before_truncation(papers, queries):
@@ -90,7 +174,8 @@ def test_top_k_over_the_corpus_size_and_user_score_zero(spark, papers, queries):
 
 def test_no_queries_and_empty_markers(papers, queries):
     assert S.top_k(papers, queries.where(F.lit(False))).count() == 0
-    none = S.top_k(papers, queries, query_filter=lambda p: F.lit(False))
+    cited = F.array(filter_row("citationCount", "gt", F.array(F.lit(1000)))).cast(FILTERS)
+    none = S.top_k(papers, queries.withColumn("filters", cited))
     marked = S.keep_empty_queries(none, queries).collect()
     assert len(marked) == len(QUERIES) and all(r["paperId"] is None for r in marked)
 
