@@ -12,6 +12,7 @@ from paperloom.functions import vectors as V
 from paperloom.functions.rows import hold
 from paperloom.functions.matrices import vector_matrix, vectors_column
 from paperloom.operators import cells as C
+from paperloom.operators.encoder import Weights, encode
 from paperloom.operators.filters import FILTERS, filter_row
 from paperloom.session import new_folder, stored
 
@@ -185,6 +186,12 @@ def triplet_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
+def evaluate(features: DataFrame, weights: Weights, temperature: float = 0.01) -> DataFrame:
+    """Metrics of a re-rank model on triplets with the vectors of their three papers."""
+    encoded = encode(features, weights, ("query_vectors", "positive_vectors", "negative_vectors"))
+    return triplet_metrics(score_triplets(encoded, temperature))
+
+
 def cosine_losses(pairs: DataFrame, margin: float = 0.2) -> DataFrame:
     """Mean cosine loss and mean margin loss of (predicted, target) vectors."""
     cos = V.cosine(F.col("predicted"), F.col("target"))

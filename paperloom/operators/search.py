@@ -10,13 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.functions import vectors as V
-from paperloom.functions.rows import hold
+from paperloom.functions.matrices import centred_rows, starts_of, unit_rows, vector_matrix
 from paperloom.operators import cells as C
+from paperloom.operators.encoder import Weights, encode
 from paperloom.operators.filters import DATE_FIELDS, KEYWORD_FIELDS, RANGE_FIELDS, TEXT_FIELDS
 
 # The chunker numbers windows from 0 and stops far below this, so a packed paper is bounded.
@@ -88,24 +92,55 @@ def query_vectors(queries: DataFrame) -> DataFrame:
     return queries.groupBy("query_id").agg(F.transform(subs, lambda s: s["embedding"]).alias("query_vectors"))
 
 
+def _pair_scores(kind: str, temperature: float, decimals: int):
+    """Scores of rows with a query's and a paper's vectors, as one matrix product per row."""
+
+    def score(q: np.ndarray, d: np.ndarray) -> float:
+        sims = q @ d.T
+        if kind != "soft":
+            return float(sims.max(axis=1).sum()) if len(d) else 0.0
+        top = sims.max(axis=1, keepdims=True)
+        return float(((top[:, 0] + temperature * np.log(np.exp((sims - top) / temperature).sum(axis=1))) / temperature).mean())
+
+    def run(batches):
+        shape = centred_rows if kind == "centred" else unit_rows
+        for batch in batches:
+            sides = [vector_matrix(batch.column(c)) for c in ("query_vectors", "vectors")]
+            (q, q_counts), (d, d_counts) = [(shape(m) if len(m) else m, n) for m, n in sides]
+            q_at, d_at = starts_of(q_counts), starts_of(d_counts)
+            scores = [
+                score(q[q_at[i] : q_at[i + 1]], d[d_at[i] : d_at[i + 1]].reshape(-1, q.shape[1])) if kind != "soft" or d_counts[i] else None
+                for i in range(batch.num_rows)
+            ]
+            scores = [None if x is None else round(x, decimals) for x in scores]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("paperId"), pa.array(scores, pa.float64())], names=["query_id", "paperId", "score"])
+
+    return run
+
+
 def score_pairs(
-    pairs: DataFrame, papers: DataFrame, queries: DataFrame, kind: str = "maxsim", temperature: float = 0.01, decimals: int = DECIMALS
+    pairs: DataFrame,
+    papers: DataFrame,
+    queries: DataFrame,
+    kind: str = "maxsim",
+    temperature: float = 0.01,
+    decimals: int = DECIMALS,
+    encoder: Weights | None = None,
 ) -> DataFrame:
     """(query_id, paperId, score) of the given pairs: ``maxsim``, ``soft`` or ``centred`` (the untrained re-ranker).
 
     Pairs are retrieved candidates, so as many rows leave as came; nothing is scored against all papers.
+    With an encoder both sides are encoded first, each query and each candidate paper once.
     """
-    shape = V.centred if kind == "centred" else lambda v: v
-    q, d = (F.transform(c, lambda v: V.unit(shape(v))) for c in ("query_vectors", "vectors"))
-    if kind in ("maxsim", "centred"):
-        score = V.max_sim(F.col("_q"), F.col("_d"))
-    elif kind == "soft":
-        score = V.soft_max_sim(F.col("_q"), F.col("_d"), temperature)
-    else:
+    if kind not in ("maxsim", "soft", "centred"):
         raise ValueError(f"unknown score {kind!r}")
-    asked = pairs.select("query_id", "paperId").join(query_vectors(queries), "query_id")
-    both = hold(asked.join(papers.select("paperId", "vectors"), "paperId"), _q=q, _d=d)
-    return both.select("query_id", "paperId", F.round(score, decimals).alias("score"))
+    sides, known = query_vectors(queries), papers.select("paperId", "vectors")
+    if encoder is not None:
+        known = encode(known.join(pairs.select("paperId").distinct(), "paperId", "left_semi"), encoder)
+        sides = encode(sides, encoder, ("query_vectors",))
+    asked = pairs.select("query_id", "paperId").join(sides, "query_id").join(known, "paperId")
+    schema = StructType([asked.schema["query_id"], asked.schema["paperId"], *StructType.fromDDL("score double").fields])
+    return asked.select("query_id", "paperId", "query_vectors", "vectors").mapInArrow(_pair_scores(kind, temperature, decimals), schema)
 
 
 def best_chunks(

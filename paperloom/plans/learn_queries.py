@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import vectors as V
 from paperloom.operators import embed as E
+from paperloom.operators import encoder
 from paperloom.operators import learn as L
 from paperloom.operators import search as S
 from paperloom.operators.chunks import chunk_papers, with_role_prefix
@@ -90,6 +91,14 @@ def triplet_scores(spark, sf):
     return _scored(spark, sf)
 
 
+@query("triplet_metrics_encoder")
+def triplet_metrics_encoder(spark, sf):
+    """The evaluation of a model: triplets encoded with its weights, their scores, losses and metrics."""
+    papers = S.pack_vectors(X.chunk_vectors(spark, sf))
+    features = L.triplet_features(_triplets(spark, sf), papers)
+    return L.evaluate(features, encoder.seeded(64, seed=3), temperature=0.05)
+
+
 @query(
     "triplet_metrics",
     _PAIRS + _SCORES + """SELECT count(*) AS triplets, round(avg(CASE WHEN positive_score > negative_score THEN 1 ELSE 0 END), 6) AS accuracy,

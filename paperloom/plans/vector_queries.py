@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import vectors as V
 from paperloom.operators import cells as C
+from paperloom.operators import encoder
 from paperloom.operators import search as S
 from paperloom.operators.filters import FILTERS, filter_row
 from paperloom.plans import fixtures as X
@@ -230,6 +231,22 @@ def rerank_scores(spark, sf):
     return _hit_scores(spark, sf, kind="centred")
 
 
+@query(
+    "rerank_scores_untrained_encoder",
+    _SCORED + _CENTRED + _HITS + 'SELECT query_id, "paperId", round(sum(s), 6) AS score FROM (SELECT query_id, qi, "paperId", '
+    'max(list_cosine_similarity(qe, e)) AS s FROM qc, vc GROUP BY query_id, qi, "paperId") SEMI JOIN hit USING (query_id, "paperId") GROUP BY query_id, "paperId"',
+)
+def rerank_scores_untrained_encoder(spark, sf):
+    """The encoder with the weights a training starts from: all four heads and both layers run."""
+    return _hit_scores(spark, sf, encoder=encoder.untrained(64))
+
+
+@query("rerank_scores_encoder")
+def rerank_scores_encoder(spark, sf):
+    """The encoder with fixed drawn weights."""
+    return _hit_scores(spark, sf, encoder=encoder.seeded(64, seed=3))
+
+
 @query(
     "search_truncate_after_rerank",
     _SCORED + _CENTRED + """,
