@@ -6,13 +6,16 @@ names, words of class, id and role), the mean of hashed word vectors, and a few
 bidirectional long short-term memory reads all blocks of the page and labels every one, so each
 label knows the whole page. Blocks labelled as text are joined in page order.
 
-The network is trained in numpy on the driver on a bounded sample of pages (``SAMPLE``). Nothing
+The network is trained in numpy on the driver on a bounded sample of pages (``SAMPLE``; of a page of
+more than ``LONGEST`` characters it learns from the first and the last half as many). Nothing
 marks the truth there, so pages teach by their plain cases: blocks under ``article`` or ``main``
 are text unless a part of the page with a name like those in ``ASIDE`` holds them. Besides, their
 paragraphs are set anew into generated pages with other containers and parts around and between.
 
 Defined results: null or empty html gives an empty text; a page without text blocks too; unclosed
-elements end where HTML ends them, an unclosed script, style or comment at the end of the page;
+elements end where HTML ends them, an unclosed script, style, comment or tag at the end of the page; a
+quote that does not follow an equals sign, or that no other follows, is a character like any; of
+paths deeper than ``OUTER + INNER`` elements the labeller reads both ends;
 repeated rows are treated alike; an empty table stays empty; other columns are not read.
 """
 
@@ -21,7 +24,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -50,12 +55,14 @@ ASIDE = frozenset(
     "signup copyright legal widget popup modal toolbar tags meta".split()
 )
 _TEXT = frozenset("article main".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
-    re.S | re.I,
-)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_NAME, _EQUALS, _VALUE = re.compile(r"[\s/]*(=?[^\s/>=]*)"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_MARKS = frozenset(("class", "id", "role"))
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in _RAW.split("|")}
+# Elements that hold no markup and end with the page if not before.
+_ENDLESS = frozenset(("script", "style"))
+# Open elements that a block's path names, outermost and innermost, and words of one element's marks.
+OUTER, INNER, MARKS = 16, 16, 16
 _PART = re.compile(r"[a-z]+")
 
 
@@ -65,10 +72,73 @@ class Block(NamedTuple):
     links: int
 
 
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[int, list[str]]:
+    """Where the tag ends whose attributes begin at ``at``, and the values of its class, id and role.
+
+    A quote opens a string right after an equals sign only, and only if another one follows in the
+    page (``last`` has the place of each kind's last one); else a value ends at white space or ``>``.
+    """
+    marks: list[str] = []
+    while at < len(page):
+        m = _NAME.match(page, at)
+        at, name = m.end(), m[1]
+        if page.startswith(">", at):
+            return at + 1, marks
+        equals = _EQUALS.match(page, at) if name else None
+        if equals:
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in last and last[quote] > at:
+                end = page.index(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                value = _VALUE.match(page, at)[0]
+                at += len(value)
+            if name.lower() in _MARKS:
+                marks.append(value)
+        elif not name:
+            at += 1  # an equals sign that no name precedes is part of one, so this is the page's end
+    return len(page), marks
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, list[str]]]:
+    """(start, end, name, closing, marks) of all markup in page order, without a name for what is no element.
+
+    One pass: what an unclosed comment, quote or element looks for is looked for once.
+    """
+    last = {quote: page.rfind(quote) for quote in "\"'"}
+    unclosed: set[str] = set()
+    at = 0
+    while m := _OPEN.search(page, at):
+        start, at = m.start(), m.end()
+        if m[1]:
+            end = page.find("-->", start + 2)
+            at = len(page) if end < 0 else end + 3
+        elif m[2]:
+            end = page.find(">", at)
+            at = len(page) if end < 0 else end + 1
+        else:
+            name, closing = m[4].lower(), bool(m[3])
+            at, marks = _attributes(page, at, last)
+            if name not in _CLOSE:
+                yield start, at, name, closing, marks
+                continue
+            if not closing and page[at - 2 : at] != "/>" and name not in unclosed:
+                end = _CLOSE[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in _ENDLESS:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+        yield start, at, "", False, []
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page that hold text, references decoded and white space made single."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    is_open: Counter[str] = Counter()
     held: list[str] = []
     linked, in_link = 0, False
 
@@ -77,11 +147,14 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(Block(text, tuple(w for _, words in stack for w in words), min(linked, len(text))))
+            near = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+            out.append(Block(text, tuple(w for _, words in near for w in words), min(linked, len(text))))
         linked = 0
 
     def shut(k: int) -> None:
         flush()
+        for name, _ in stack[k:]:
+            is_open[name] -= 1
         del stack[k:]
 
     def add(text: str) -> None:
@@ -91,28 +164,30 @@ def blocks(page: str | None) -> list[Block]:
             linked += len(text) if in_link else 0
 
     page, at = page or "", 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, name, closing, marks in tags(page):
+        add(page[at:start])
+        at = end
         if not name:
             continue
         if name in _INLINE:
             if name in ("br", "wbr", "img"):
                 held.append(" " if name != "wbr" else "")
             elif name == "a":
-                in_link = not m[2]
+                in_link = not closing
             continue
-        if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            flush() if k is None else shut(k)
+        if closing:
+            if is_open[name]:
+                shut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            else:
+                flush()
             continue
         flush()
         while stack and (stack[-1][0] in _CLOSES_ITSELF.get(name, ()) or stack[-1][0] == "p"):
-            stack.pop()
+            is_open[stack.pop()[0]] -= 1
         if name not in _VOID:
-            marks = " ".join(next(filter(None, g), "") for g in _NAMES.findall(m[4])).lower()
-            stack.append((name, (name, *("." + w for w in _PART.findall(marks)))))
+            words = islice(_PART.finditer(" ".join(marks).lower()), MARKS)
+            stack.append((name, (name, *("." + w[0] for w in words))))
+            is_open[name] += 1
     add(page[at:])
     flush()
     return out
@@ -317,7 +392,8 @@ def _extract(net: Labeller):
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     rows = pages.select("page_id", "url", "html")
-    bounded = F.when(F.length("html") <= LONGEST, F.col("html")).alias("html")
+    ends = F.concat(F.substring("html", 1, LONGEST // 2), F.right("html", F.lit(LONGEST // 2)))
+    bounded = F.when(F.length("html") <= LONGEST, F.col("html")).otherwise(ends).alias("html")
     net = fit([r["html"] for r in sampled(rows.select("page_id", bounded), "page_id", SAMPLE).collect() if r["html"]])
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     out = rows.mapInArrow(_extract(net), f"{schema}, text string")

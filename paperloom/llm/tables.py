@@ -30,6 +30,9 @@ def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     be ordered is a few times ``n`` rows, however many tasks read the table.
     """
     total, slots = df.count(), 1 << 30
+    hashed = F.pmod(F.xxhash64(key), F.lit(slots))
     if total > 4 * n:
-        df = df.where(F.pmod(F.xxhash64(key), F.lit(slots)) < F.lit(int(slots * 4 * n / total)))
-    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(slots)), *df.columns).limit(n)
+        share = df.where(hashed < F.lit(int(slots * 4 * n / total)))
+        # rows of few keys may all lie outside the share
+        df = share if share.count() >= n else df
+    return df.orderBy(hashed, *df.columns).limit(n)

@@ -141,6 +141,54 @@ def test_html_blocks():
     assert [(b.text, b.path, b.links) for b in found] == [("a", ("ul", "li"), 0), ("b", ("ul", "li"), 1), ("cd e", ("div", ".main", ".box"), 0)]
 
 
+def texts(page):
+    return [b.text for b in html.blocks(page)]
+
+
+def test_html_quotes_open_strings_after_equals_signs_only():
+    stray = "<article><p>It is 5 o'clock <a href=it's>link</a> and more.</p><p>Next isn't cut.</p></article><footer>f</footer>"
+    assert texts(stray) == ["It is 5 o'clock link and more.", "Next isn't cut.", "f"]
+    assert [b.path for b in html.blocks(stray)] == [("article", "p"), ("article", "p"), ("footer",)]
+    assert texts("<p title=don't>First para.<p class=\"a>b\">second<p id='x' class = y>third") == ["First para.", "second", "third"]
+    assert html.blocks("<div class = 'A b' ID=\"c\"data-x='>' role=main>t")[0].path == ("div", ".a", ".b", ".c", ".main")
+    assert texts('<p "odd>kept</p><p =x>too</p><p a="never closed>and this</p>') == ["kept", "too", "and this"]
+    assert texts("<!-->a<!--x-->b<!doctype x>c<?y?>d</>e< f <3") == ["abcd</>e< f <3"]
+    assert texts("<script>if (a<b) '</p>'</SCRIPT >x<svg/>y<svg><p>no</svg>z<canvas>w<p>v") == ["xyzw", "v"]
+
+
+def test_html_broken_pages_take_time_in_proportion():
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        html.blocks(page)
+        return time.perf_counter() - start
+
+    for one in ("<p ", "<p a='", "<!-- ", "<svg>", "<div class=a>x", "</b></i></em></x>", "<a href=it's>", "<p class", "=", "<p = = "):
+        n = 120_000 // len(one)
+        seconds(one * n)
+        assert seconds(one * 8 * n + "don't") < 8 * 4 * max(seconds(one * n + "don't"), 0.05), one
+
+
+def test_html_long_pages_only(spark):
+    def long_page(k):
+        return page(k)[0].replace("<p> </p>", "<p>more words here.</p>" * 4000)
+
+    rows = [(k, "u", long_page(k)) for k in range(30)]
+    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        want = page(r["page_id"])[1].split("\n\n") + ["more words here."] * 4000
+        assert r["text"].split("\n\n") == want
+
+
+def test_sample_of_rows_with_one_key(spark):
+    from paperloom.llm.tables import sampled
+
+    rows = spark.range(500).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v"))
+    assert sampled(rows, "k", 20).count() == 20
+    assert sampled(spark.range(5000).withColumnRenamed("id", "k"), "k", 20).count() == 20
+
+
 def test_html_parts_that_were_not_generated():
     net = html.fit([page(k)[0] for k in range(30)])
     rng = np.random.default_rng(77)
