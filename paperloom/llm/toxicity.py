@@ -5,9 +5,14 @@ three and five characters, so unseen forms of known stems are recognised. The ne
 overlapping windows of a text (``WINDOW`` words, every ``STRIDE``); attention pools the states of a
 window into one logit, and a text's score is that of its highest window.
 
-It is trained in numpy on the driver on a bounded sample of labelled documents (``SAMPLE``); labels
+It is trained in numpy on the driver on a bounded sample of labelled documents (``SAMPLE``, and
+``LONG_SAMPLE`` of more than ``LONGEST`` characters, which give their first ``LONGEST_WHOLE``); labels
 are for whole documents, so each round learns from the window that the network holds highest, and
-from others of clean documents. Word and character vectors start from smoothed log odds.
+from others of clean documents. What would be learned by heart is kept out: word and character
+vectors start from log odds that count each document less one, so that what one document holds alone
+says nothing, and only rows that ``HELD_BY`` documents of the sample share are learned. A fourth of the
+sample is kept back: of two strengths of decay (``DECAYS``) and of all rounds, that is used which serves
+it best, and a logistic curve fitted on it makes scores probabilities.
 
 Words are runs of letters, digits and non-ASCII bytes, ASCII letters in lower case.
 
@@ -19,6 +24,7 @@ never learned from; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.llm.nets import Adam, gru, gru_back, sigmoid
-from paperloom.llm.tables import sampled
+from paperloom.llm.tables import sampled, stored
 from paperloom.llm.words import Piece, hash_words, mix, pieces
 
 WINDOW, STRIDE = 64, 48
@@ -34,9 +40,16 @@ HIDDEN, EMBED, BUCKETS = 8, 8, 1 << 14
 GRAMS = (3, 5)
 ACCEPT = 0.3
 HELD_OUT, FOLDS = 2, 4
-# Documents of each label to learn from, and the longest text among them in characters.
+# Documents of each label to learn from: up to LONGEST characters, and longer ones with their first LONGEST_WHOLE.
 SAMPLE = {1: 1000, 0: 2000}
-LONGEST = 6_000
+LONG_SAMPLE, LONGEST, LONGEST_WHOLE = 40, 6_000, 120_000
+# Documents that must share a word or a run of characters for its vector to be learned, and the share kept back.
+HELD_BY, KEPT_BACK, LEAST_BACK = 3, 4, 4
+# How far each step draws the tables back to their log odds, and the other weights to zero: a large
+# sample is served best by the first, a small or noisy one by the second; the part kept back decides.
+DECAYS = ((0.002, 0.0), (1.0, 0.01))
+# Documents whose worth the log odds start with, of both kinds as in the sample.
+PRIOR = 4.0
 ROUNDS, BATCH, STEPS = 6, 256, 24
 _U = np.uint64
 _FOLDED = np.full(256, 32, np.uint8)
@@ -116,14 +129,16 @@ class Network:
             return rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
 
         self.p = {
-            "word": rng.normal(0, 0.1, (BUCKETS, EMBED)).astype(np.float32),
-            "gram": rng.normal(0, 0.02, (BUCKETS, EMBED)).astype(np.float32),
+            "word": np.zeros((BUCKETS, EMBED), np.float32), "gram": np.zeros((BUCKETS, EMBED), np.float32),
             "ahead": draw(e, 3 * h), "behind": draw(e, 3 * h), "bias": np.zeros(6 * h, np.float32), "u": draw(2 * h, 6 * h),
             "a": draw(2 * h, h), "a0": np.zeros(h, np.float32), "v": draw(h), "out": draw(2 * h), "out0": np.array([-2.0], np.float32),
         }
         side = np.arange(2 * h) // h
         self.block = (side[:, None] == np.tile(side, 3)[None, :]).astype(np.float32)
         self.p["u"] *= self.block
+        # which rows of the two tables are learned, and the curve that makes logits probabilities
+        self.shared = {"word": np.ones(BUCKETS, bool), "gram": np.ones(BUCKETS, bool)}
+        self.curve = (1.0, 0.0)
 
     def vectors(self, f: Features) -> np.ndarray:
         return np.hstack([self.p["word"][f.word], _sums(self.p["gram"], f.gram, f.of)])
@@ -200,49 +215,112 @@ class Network:
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         np.add.at(g["word"], sub.word, d_word[:, :EMBED])
         np.add.at(g["gram"], gram, np.repeat(d_word[:, EMBED:], counts, axis=0))
+        for name, shared in self.shared.items():
+            g[name][~shared] = 0
         return g
 
-    def start_from(self, f: Features, y: np.ndarray) -> np.ndarray:
-        """Log odds of words and grams become their first coordinate; returns each window's highest word."""
-        row, word = _pairs(np.repeat(f.row, WINDOW), f.windows.reshape(-1), len(f.word) + 1)
-        row, word = row[word < len(f.word)], word[word < len(f.word)]
-        n = [max((y == k).sum(), 1) for k in (0, 1)]
-
-        # documents of either kind that hold a word; a gram's are those of its words
-        clean, toxic = (np.bincount(word, y[row] == k, len(f.word)) for k in (0, 1))
-        counts = np.diff(f.of)
+    def scores(self, logits: np.ndarray) -> np.ndarray:
+        slope, offset = self.curve
+        return sigmoid(slope * logits + offset)
 
-        def odds(c: np.ndarray, t: np.ndarray) -> np.ndarray:
-            return np.log((t + 2) / n[1]) - np.log((c + 2 * n[0] / n[1]) / n[0])
+    def start_from(self, f: Features, y: np.ndarray, learn: np.ndarray) -> np.ndarray:
+        """Log odds of words and grams among the documents to ``learn`` from become their first coordinate.
 
-        self.p["word"][:, 0] = odds(*(np.bincount(f.word, m, BUCKETS) for m in (clean, toxic))) * 0.5
-        self.p["gram"][:, 0] = odds(*(np.bincount(f.gram, np.repeat(m, counts), BUCKETS) for m in (clean, toxic))) * 0.25
+        Returns each window's highest word.
+        """
+        row, word = _pairs(np.repeat(f.row, WINDOW), f.windows.reshape(-1), len(f.word) + 1)
+        use = (word < len(f.word)) & learn[row]
+        row, word = row[use], word[use]
+        counts = np.diff(f.of)[word]
+        grams = f.gram[np.repeat(f.of[word] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        n = [max((y[learn] == k).sum(), 1) for k in (0, 1)]
+        for name, rows, slots, weight in (("word", row, f.word[word], 0.5), ("gram", np.repeat(row, counts), grams, 0.25)):
+            rows, slots = _pairs(rows, slots, BUCKETS)
+            # documents of either kind that hold it; each says only what the others say as well
+            clean, toxic = (np.bincount(slots, y[rows] == k, BUCKETS) for k in (0, 1))
+            self.shared[name] = clean + toxic >= HELD_BY
+            clean, toxic = np.maximum(clean - 1, 0), np.maximum(toxic - 1, 0)
+            prior = PRIOR / sum(n)
+            self.p[name][:, 0] = weight * (np.log((toxic + prior * n[1]) / (clean + prior * n[0])) - np.log(n[1] / n[0]))
         x = self.vectors(f)
         score = np.append(x[:, 0] + x[:, EMBED], -9.0)
         return score[f.windows].max(axis=1)
 
 
+def kept_back(y: np.ndarray) -> np.ndarray:
+    """Every fourth document of each label; none where a label has too few to tell anything."""
+    back = np.zeros(len(y), bool)
+    for k in (0, 1):
+        back[np.flatnonzero(y == k)[KEPT_BACK - 1 :: KEPT_BACK]] = True
+    return back if min((back & (y == k)).sum() for k in (0, 1)) >= LEAST_BACK else np.zeros(len(y), bool)
+
+
+def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through the logits; targets are drawn in as if each kind had one more of the other."""
+    n = [(y == k).sum() for k in (0, 1)]
+    target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    slope, offset = 1.0, 0.0
+    for _ in range(50):
+        q = sigmoid(slope * logits + offset)
+        w, gap = q * (1 - q) + 1e-6, q - target
+        h = np.array([[(w * logits**2).sum() + 1e-3, (w * logits).sum()], [(w * logits).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(h, np.array([(gap * logits).sum(), gap.sum()]))
+        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        slope, offset = max(slope - step[0], 0.05), offset - step[1]
+    return float(slope), float(offset)
+
+
+def _tops(net: Network, f: Features, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """The logits of all windows, and of each document's highest."""
+    height = net.logits(f)
+    top = np.full(documents, -np.inf, height.dtype)
+    np.maximum.at(top, f.row, height)
+    return height, top
+
+
 def fit(texts: list[str], labels: np.ndarray) -> Network:
     """Trains on whole texts; the same texts in the same order give the same network."""
-    net, rng = Network(), np.random.default_rng(4)
     y = np.asarray(labels, np.float32)
+    back = kept_back(y)
     f = features(*_one_piece(texts))
-    height = net.start_from(f, y)
-    adam = Adam(net.p, 0.01)
+    tried = [_trained(f, y, back, *decay) for decay in (DECAYS if back.any() else DECAYS[-1:])]
+    return min(tried, key=lambda x: x[0])[1]
+
+
+def _trained(f: Features, y: np.ndarray, back: np.ndarray, for_tables: float, for_weights: float) -> tuple[float, Network]:
+    """The network of the round that serves the documents kept back best, and its loss on them."""
+    net, rng = Network(), np.random.default_rng(4)
+    height = net.start_from(f, y, ~back)
+    start = {name: net.p[name].copy() for name in net.shared}
+    adam, best_loss, best = Adam(net.p, 0.01), np.inf, None
     for turn in range(ROUNDS):
         order = np.lexsort((height, f.row))
-        best = order[np.append(f.row[order][1:] != f.row[order][:-1], True)]
+        highest = order[np.append(f.row[order][1:] != f.row[order][:-1], True)]
+        highest = highest[~back[f.row[highest]]]
         other = rng.permutation(len(f.row))
-        other = other[y[f.row[other]] == 0][: len(best) // 2]
-        chosen = np.concatenate([best, other])
+        other = other[(y[f.row[other]] == 0) & ~back[f.row[other]]][: len(highest) // 2]
+        chosen = np.concatenate([highest, other])
         # a small sample is read more often and in smaller batches, STEPS at least in a round
         size = int(np.clip(len(chosen) // 6, 32, BATCH))
         chosen = np.concatenate([rng.permutation(chosen) for _ in range(-(-STEPS * size // len(chosen)))])
         for i in range(0, len(chosen), size):
             part = chosen[i : i + size]
             adam.step(net.gradients(f, f.windows[part], y[f.row[part]]), 0.01 if turn < ROUNDS // 2 else 0.003)
-        height = net.logits(f)
-    return net
+            for name, values in net.p.items():
+                if name in start:
+                    values += for_tables * (start[name] - values)
+                elif name not in ("bias", "a0", "out0"):
+                    values *= 1 - for_weights
+        height, top = _tops(net, f, len(y))
+        if back.any():
+            curve = platt(top[back].astype(np.float64), y[back])
+            q = np.clip(sigmoid(curve[0] * top[back] + curve[1]), 1e-6, 1 - 1e-6)
+            loss = -np.where(y[back] == 1, np.log(q), np.log(1 - q)).mean()
+            if loss < best_loss:
+                best_loss, best = loss, ({k: v.copy() for k, v in net.p.items()}, curve)
+    if best:
+        net.p, net.curve = best
+    return best_loss, net
 
 
 def _one_piece(texts: list[str]) -> tuple[Piece, np.ndarray]:
@@ -270,7 +348,8 @@ def _scores(net: Network):
                 n = len(p.rows) - 1
                 top = np.full(n, -np.inf)
                 np.maximum.at(top, f.row, net.logits(f))
-                score = np.where(p.n_words > 0, sigmoid(top), np.minimum(sigmoid(top), 0.01))
+                score = net.scores(top)
+                score = np.where(p.n_words > 0, score, np.minimum(score, 0.01))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p.first, n), pa.array(score)], names=["doc_id", "score"])
 
     return run
@@ -281,12 +360,17 @@ def remainder() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of at most SAMPLE[k] documents of each label k, in order of a hash of the id."""
-    marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(remainder() != HELD_OUT)
-    ids = [sampled(marks.where(F.col("label") == k), "doc_id", n) for k, n in SAMPLE.items()]
-    chosen = ids[0].unionByName(ids[1])  # a few thousand ids, so they may go to every task
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= LONGEST)
-    return short.join(F.broadcast(chosen), "doc_id").orderBy("label", "doc_id", "text").limit(2 * sum(SAMPLE.values()))
+    """(doc_id, text, label) of at most SAMPLE[k] documents and LONG_SAMPLE longer ones of each label k, by a hash of the id."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(remainder() != HELD_OUT)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    sized = texts.select("doc_id", (F.length("text") > LONGEST).alias("long")).join(marks.where(F.col("label").isin(0, 1)), "doc_id").distinct()
+    sized = stored(sized, "sized")
+    kinds = [(k, long, LONG_SAMPLE if long else n) for k, n in SAMPLE.items() for long in (False, True)]
+    ids = [sampled(sized.where((F.col("label") == k) & (F.col("long") == long)), "doc_id", n) for k, long, n in kinds]
+    chosen = reduce(DataFrame.unionByName, ids)  # a few thousand ids, so they may go to every task
+    found = texts.withColumn("long", F.length("text") > LONGEST).join(F.broadcast(chosen), ["doc_id", "long"])
+    cut = found.select("doc_id", F.substring("text", 1, LONGEST_WHOLE).alias("text"), "label")
+    return cut.orderBy("label", "doc_id", "text").limit(2 * (sum(SAMPLE.values()) + 2 * LONG_SAMPLE))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -105,6 +105,119 @@ def test_toxicity_on_held_out_documents(docs, spark):
     assert by[900]["score"] <= 0.01 and by[902]["predicted"] == 1
 
 
+def lexicon(rng, n):
+    """Made-up prose of few common and many rare words; a third of the documents holds words of a short list."""
+    common, bad = [f"w{i}" for i in range(80)], ["grobu", "snarlik", "vexot", "plimf", "drazzen", "quobbish"]
+    out = []
+    for k in range(n):
+        words = [rng.choice(common) if rng.random() < 0.7 else f"r{rng.integers(4000)}x" for _ in range(rng.integers(30, 300))]
+        if k % 3 == 0:
+            for _ in range(rng.integers(1, 5)):
+                words.insert(rng.integers(len(words)), rng.choice(bad))
+        out.append((" ".join(words), int(k % 3 == 0)))
+    return out
+
+
+@pytest.mark.parametrize("n, share", [(90, 0.75), (500, 0.85)])
+def test_toxicity_of_unseen_documents(n, share):
+    """Also from few documents, a sixth of them with the wrong label."""
+    rng = np.random.default_rng(n)
+    texts, y = zip(*lexicon(rng, n))
+    noisy = [1 - v if v and rng.random() < 0.17 else v for v in y]
+    net = toxicity.fit(list(texts), np.array(noisy))
+    unseen, truth = zip(*lexicon(rng, 300))
+    f = toxicity.features(*toxicity._one_piece(list(unseen)))
+    said = net.scores(toxicity._tops(net, f, 300)[1]) >= toxicity.ACCEPT
+    truth = np.array(truth, bool)
+    assert said[truth].mean() > share and truth[said].mean() > share
+
+
+def plain_logit(net, words):
+    """The network one word at a time, from the formulas."""
+    p, h, e = net.p, toxicity.HIDDEN, toxicity.EMBED
+    x = []
+    for w in words:
+        f = toxicity.features(*toxicity._one_piece([w]))
+        x.append(np.concatenate([p["word"][f.word[0]], p["gram"][f.gram].sum(axis=0)]))
+
+    def run(vectors, side, name):
+        state, out, cut = np.zeros(h), [], np.arange(6 * h).reshape(3, 2, h)[:, side]
+        u, bias = p["u"][side * h : (side + 1) * h], p["bias"]
+        for v in vectors:
+            gate = (v @ p[name]).reshape(3, h)
+            own = [state @ u[:, c] for c in cut]
+            z, r = (1 / (1 + np.exp(-(gate[k] + bias[cut[k]] + own[k]))) for k in (0, 1))
+            new = np.tanh(gate[2] + bias[cut[2]] + r * own[2])
+            state = z * state + (1 - z) * new
+            out.append(state)
+        return out
+
+    states = [np.concatenate(pair) for pair in zip(run(x, 0, "ahead"), run(x[::-1], 1, "behind")[::-1])]
+    weight = np.exp([np.tanh(s @ p["a"] + p["a0"]) @ p["v"] for s in states])
+    return sum(w * s for w, s in zip(weight / weight.sum(), states)) @ p["out"] + p["out0"][0]
+
+
+def wild():
+    net, rng = toxicity.Network(), np.random.default_rng(8)
+    for k, v in net.p.items():
+        net.p[k] = (v + 0.3 * rng.normal(size=v.shape)).astype(np.float64)
+    net.p["u"] *= net.block
+    return net
+
+
+def test_toxicity_score_is_that_of_the_highest_window():
+    net, words = wild(), prose(150, 4, 60).split()
+    f = toxicity.features(*toxicity._one_piece([" ".join(words), "one two"]))
+    want = max(plain_logit(net, words[a : a + toxicity.WINDOW]) for a in (0, 48, 96))
+    assert f.row.tolist() == [0, 0, 0, 1]
+    assert toxicity._tops(net, f, 2)[1] == pytest.approx([want, plain_logit(net, ["one", "two"])], abs=1e-4)
+
+
+def test_toxicity_gradients_of_all_parameters():
+    net, rng = wild(), np.random.default_rng(3)
+    f = toxicity.features(*toxicity._one_piece([prose(70, 1, 30), prose(9, 2, 30)]))
+    y = np.array([1.0, 0.0, 1.0])
+    g = net.gradients(f, f.windows, y[: len(f.windows)])
+
+    def loss():
+        z = net.logits(f).astype(np.float64)
+        return np.mean(np.log1p(np.exp(z)) - y[: len(z)] * z)
+
+    for name, d in g.items():
+        flat, slope = net.p[name].reshape(-1), d.reshape(-1)
+        for i in rng.choice(np.flatnonzero(slope), 4) if np.any(slope) else []:
+            old, eps = flat[i], 1e-3
+            flat[i] = old + eps
+            high = loss()
+            flat[i] = old - eps
+            low = loss()
+            flat[i] = old
+            assert slope[i] == pytest.approx((high - low) / (2 * eps), rel=0.05, abs=2e-5), name
+
+
+def test_toxicity_learns_from_long_documents_only(docs, spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, (t + " ") * (1 + 7000 // len(t))) for k, (t, _) in enumerate(lexicon(rng, 120))]
+    assert min(len(t) for _, t in rows) > toxicity.LONGEST
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(docs(rows), labels).collect()}
+    held = [k for k in got if got[k]["held_out"]]
+    assert np.mean([got[k]["predicted"] == (k % 3 == 0) for k in held]) > 0.8
+
+
+@pytest.mark.parametrize("folder, recall", [("sf0.01", 0.6), ("sf0.1", 0.9)])
+def test_toxicity_of_the_given_tables(spark, folder, recall):
+    import os
+
+    path = os.path.join("/root/testdata", folder)
+    if not os.path.isdir(path):
+        pytest.skip("the given tables are not here")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    got = toxicity.scored(spark.read.parquet(f"{path}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    caught = sum(r["predicted"] and r["toxic"] for r in got)
+    assert caught >= recall * sum(r["toxic"] for r in got) and caught >= 0.8 * sum(r["predicted"] for r in got)
+
+
 def test_toxicity_without_labels_or_rows(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.scored(docs([(1, "a")]), none).collect()] == [0.0]
