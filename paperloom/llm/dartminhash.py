@@ -12,9 +12,11 @@ the rank. A coordinate agrees between two documents with the probability of thei
 
 Documents with equal words are one node. A bucket's nodes are compared with the smallest node of
 the bucket only, and each node with one such center. What the buckets connect is a family; most
-families are then one class. In a family that is not, the nodes outside its largest class are open:
-they are compared with all nodes of the family, in shares of bounded size and within the tasks, so
-that no pair is ever a row and no link is lost. A link needs an exact Jaccard similarity of 0.8 of
+families are then one class. In a family that is not, the nodes outside its largest class are open.
+Of its nodes only those stay that share one of their rarest shingles with a node of another class, as
+any two that are alike do, and such shingles part the family anew. The open nodes are then compared
+with all nodes of their part, in shares bounded in shingles and in nodes and within the tasks, so that
+no pair is ever a row and no link is lost. A link needs an exact Jaccard similarity of 0.8 of
 the shingle sets. Classes are connected components.
 
 Defined results: null and wordless texts are copies of each other; a row with a null doc_id takes
@@ -42,10 +44,13 @@ BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 # Shingles in one share of a family (up to the last text), and columns of a matrix that counts shared ones.
 SHARE, COLUMNS = 1 << 17, 4096
+# Nodes in one share of a family, and slots that count how common a shingle is.
+SHARE_NODES, SLOTS = 1 << 11, 1 << 18
 # Bytes of text worked on at a time: each costs some hundred bytes of darts.
 _PIECE = 1 << 18
 _THROWS = K * (math.log(K) + 2.5)
 _U = np.uint64
+_SLOT = _U(64 - SLOTS.bit_length() + 1)
 _CELL, _RANK, _DART, _SPOT = (_U(x) for x in np.random.default_rng(5).integers(1, 2**63, 4) * 2 + 1)
 # Poisson(1): how many darts a hash stands for.
 _POISSON = np.array([min(sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)), 1 - 2**-53) * 2**64 for n in range(18)], np.uint64)
@@ -202,6 +207,52 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of each slot stand in the sets of a partition."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        values = batch.column("set").flatten().to_numpy().view(np.uint64)
+        counts += np.bincount((values >> _SLOT).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def _prefixes(counts: np.ndarray):
+    """The rarest shingles of each set, so many that two sets of the similarity share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("set").value_lengths().to_numpy().astype(np.int64)
+            values = batch.column("set").flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            # one order for all sets: rare slots first, then the values
+            order = np.lexsort((values, counts[(values.view(np.uint64) >> _SLOT).astype(np.int64)], row))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            first = order[place < np.repeat(n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1, n)]
+            of = pa.array(row[first])
+            columns = [batch.column(c).take(of) for c in ("family", "nid", "label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values[first])], names=["family", "nid", "label", "shingle"])
+
+    return run
+
+
+def _narrowed(mixed: DataFrame) -> DataFrame:
+    """The nodes of mixed families that share a rare shingle with a node of another label, in families of such.
+
+    Two sets of the similarity share one of the first ``n - 0.8 n + 1`` shingles of each, in any one order
+    of all shingles; here the rarest come first, by counts in ``SLOTS`` slots. Texts that are alike for their
+    common words only, such as notices with a number each, so leave no pair to compare.
+    """
+    counts = np.zeros(SLOTS, np.int64)
+    for r in mixed.select("set").mapInArrow(_common, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        counts[r["slot"]] = r["n"]
+    rare = stored(mixed.select("family", "nid", "label", "set").mapInArrow(_prefixes(counts), "family long, nid long, label long, shingle long"), "rare")
+    shared = rare.groupBy("family", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("nid").alias("center")).where("lo < hi")
+    met = rare.join(shared.select("family", "shingle", "center"), ["family", "shingle"]).where("center < nid").select("center", "nid").distinct()
+    within = components(met.toDF("a", "b")).withColumnRenamed("label", "part")
+    return mixed.join(within, "nid").select(F.col("part").alias("family"), "nid", "label", "set", "open")
+
+
 def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified pairs and their components, from (band, nid) rows of buckets with several nodes."""
     low = members.groupBy("band").agg(F.min("nid").alias("center"))
@@ -216,11 +267,11 @@ def links(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     main = counts.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     main = stored(main.select("family", "main"), "mixed")
     mixed = stored(placed.join(main, "family").join(sets, "nid").select("family", "nid", "label", "set", (F.col("label") != F.col("main")).alias("open")), "mixed")
-    # shares of a family, so many that the shingles of one share are bounded
-    size = F.sum(F.size("set"))
-    shares = mixed.groupBy("family").agg(
-        F.ceil(size / SHARE).alias("n_all"), F.ceil(F.sum(F.when(F.col("open"), F.size("set"))) / SHARE).alias("n_open")
-    )
+    mixed = stored(_narrowed(mixed), "narrowed")
+    # shares of a family, so many that the shingles and the nodes of one share are bounded
+    nodes, opened = F.lit(True), F.col("open")
+    parts = lambda who: F.greatest(F.ceil(F.sum(F.when(who, F.size("set"))) / SHARE), F.ceil(F.count(F.when(who, 1)) / SHARE_NODES))
+    shares = mixed.groupBy("family").agg(parts(nodes).alias("n_all"), parts(opened).alias("n_open")).where("n_open > 0")
     shares = stored(shares, "shares")
     dealt = mixed.join(shares, "family").withColumn("hash", F.xxhash64("nid"))
     mine = dealt.where("open").select(

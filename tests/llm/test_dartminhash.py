@@ -109,3 +109,43 @@ def test_no_link_of_a_mixed_family_is_lost(spark, monkeypatch, share):
     members = spark.createDataFrame([(9, k) for k, _ in sets], "band long, nid long")
     found, _ = dart.links(members, spark.createDataFrame(sets, "nid long, set array<long>"))
     assert sorted((r["a"], r["b"]) for r in found.collect()) == [(2, 3), (39, 40)]
+
+
+def test_short_notices_of_one_family_leave_nothing_to_compare(docs, monkeypatch):
+    """Boilerplate with a number each: no two are alike, all of them meet in some bucket."""
+    seen = []
+    narrowed = dart._narrowed
+    monkeypatch.setattr(dart, "_narrowed", lambda mixed: seen.append((mixed.count(), narrowed(mixed).count())) or narrowed(mixed))
+    rows = [(k, f"this page was taken down by the staff on request {k} today") for k in range(3000)]
+    rows += [(5000 + k, "this page was taken down by the staff on request soon today") for k in range(5)]
+    got = {r["doc_id"]: r["class_id"] for r in dart.classes(docs(rows)).collect()}
+    assert got == {k: 5000 if k >= 5000 else k for k, _ in rows}
+    assert seen[0][0] > 2000 and seen[0][1] < 100
+
+
+def test_open_nodes_find_all_links_in_small_shares(docs, monkeypatch):
+    monkeypatch.setattr(dart, "SHARE_NODES", 3)
+    got = {r["doc_id"]: r["class_id"] for r in dart.classes(docs(rows())).collect()}
+    assert got == brute(rows())
+    base = prose(60, 5, 900)
+    near = [(k, edited(base, [k % 60, (k * 7 + 3) % 60][: 1 + k % 2])) for k in range(60)]  # around the threshold
+    got = {r["doc_id"]: r["class_id"] for r in dart.classes(docs(near)).collect()}
+    assert got == brute(near)
+
+
+def test_sets_of_the_similarity_share_a_rare_shingle():
+    rng = np.random.default_rng(2)
+    import pyarrow as pa
+
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        a = rng.choice(5000, n, replace=False)
+        shared = int(np.ceil(2 * 0.8 / 1.8 * n - 1e-9)) if n > 1 else n
+        b = np.concatenate([a[:shared], 5000 + rng.choice(5000, n - shared, replace=False)])
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        sets = pa.array([a * 2**40, b * 2**40], pa.list_(pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 0]), pa.array([1, 2]), pa.array([1, 2]), sets], names=["family", "nid", "label", "set"])
+        counts = rng.integers(0, 9, dart.SLOTS)
+        out = next(dart._prefixes(counts)([batch])).to_pandas()
+        assert set(out[out.nid == 1].shingle) & set(out[out.nid == 2].shingle)
