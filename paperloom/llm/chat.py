@@ -4,7 +4,7 @@
     turn         := OPEN role "\\n" text CLOSE "\\n"
 
 A text goes in as it is if it holds no control string and its turn, parsed alone, gives it back;
-else its control strings are escaped: a backslash is put behind their first character, before any
+else its control strings are escaped, and the turn is parsed and compared again: a backslash is put behind their first character, before any
 backslashes that stand there already, and reading takes one away. So nothing between OPEN and
 CLOSE can be a mark, and each text comes back letter for letter. Roles are percent-encoded.
 
@@ -59,8 +59,12 @@ def render(conversations: DataFrame) -> DataFrame:
     )
     head = F.concat(F.lit(OPEN), F.url_encode("role"), F.lit("\n"))
     plain = F.concat(head, F.col("text"), F.lit(CLOSE + "\n"))
-    same = turns_of(plain) == F.array(F.struct("role", "text"))
-    tried = source.withColumn("body", F.when(same & ~F.col("text").rlike(CONTROL), F.col("text")).otherwise(escape("text")))
+    said = F.array(F.struct("role", "text"))
+    # what the parser does not give back is escaped and parsed again; a turn that still differs fails the job
+    escaped = F.concat(head, escape("text"), F.lit(CLOSE + "\n"))
+    failed = F.raise_error(F.lit("a turn cannot be read back")).cast("string")
+    body = F.when((turns_of(plain) == said) & ~F.col("text").rlike(CONTROL), F.col("text")).when(turns_of(escaped) == said, escape("text")).otherwise(failed)
+    tried = source.withColumn("body", body)
     shown = tried.select("*", F.length(head).alias("lead"), F.concat(head, "body", F.lit(CLOSE + "\n")).alias("shown"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = shown.withColumn("at", F.coalesce(F.sum(F.length("shown")).over(order), F.lit(0)))
@@ -76,19 +80,30 @@ def render(conversations: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Digests of what the parser and the loss mask find in rendered conversations."""
+    """Digests of what the parser and the loss mask find in rendered conversations.
+
+    The mask's (start, length) cut each learned text out of ``formatted``: a turn's piece begins where
+    the pieces before it end, and the mask is read from there.
+    """
     pieces = F.split("formatted", r"<\|im_end\|>\n")
-    found = rendered.select("conv_id", "formatted", "turns", turns_of("formatted").alias("parsed"), F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces"))
-    said = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    # a text ends where its piece ends, so the mask's length cuts it out
-    learned = F.array_join(
-        F.zip_with("pieces", "turns", lambda p, t: F.when(t["loss"], unescape(F.right(p, t["length"]))).otherwise("")), ""
+    pieces = F.slice(pieces, 1, F.size(pieces) - 1)
+    rows = rendered.select(
+        "conv_id", F.length("formatted").alias("chars"), F.posexplode_outer(F.arrays_zip(pieces.alias("piece"), F.col("turns").alias("mask"))).alias("nth", "t")
+    ).select("conv_id", "chars", "nth", "t.piece", "t.mask")
+    before = Window.partitionBy("conv_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum(F.length("piece") + len(CLOSE) + 1).over(before), F.lit(0)))
+    cut = unescape(F.substr(F.col("piece"), F.col("mask.start") - F.col("at") + 1, F.col("mask.length")))
+    learned = F.when(F.col("mask.loss"), cut).otherwise("")
+    turn = F.struct("nth", F.concat(_role(F.col("piece")), F.lit("\n"), _text(F.col("piece")), F.lit("\n")).alias("said"), learned.alias("learned"))
+    gathered = placed.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), turn))).alias("turns"), F.first("chars").alias("chars")
     )
-    return found.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), said.alias("said"), learned.alias("learned"), "formatted").select(
+    texts = lambda name: F.array_join(F.transform("turns", lambda t: t[name]), "")
+    return gathered.select("conv_id", F.size("turns").cast("long").alias("n_turns"), texts("said").alias("said"), texts("learned").alias("learned"), "chars").select(
         "conv_id",
         "n_turns",
         F.sha2(F.encode("said", "UTF-8"), 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2(F.encode("learned", "UTF-8"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").cast("long").alias("formatted_chars"),
     )

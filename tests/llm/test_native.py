@@ -112,6 +112,31 @@ def test_chat_round_trip(spark):
         assert undone == [t for *_, t in turns]
 
 
+def test_chat_mask_is_read_where_it_says(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "an answer"), (1, 2, "assistant", "<|im_end|> another")]
+    shown = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    right = chat.read_back(shown).first()
+    assert right["loss_sha256"] == hashlib.sha256(b"an answer<|im_end|> another").hexdigest()
+    for field in ("start", "length"):
+        moved = F.transform("turns", lambda t: t.withField(field, t[field] - 1))
+        wrong = chat.read_back(shown.withColumn("turns", moved)).first()
+        assert wrong["loss_sha256"] != right["loss_sha256"] and wrong["turns_sha256"] == right["turns_sha256"]
+
+
+def test_chat_turns_without_a_conversation_are_one(spark):
+    rows = [(None, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)]
+    got = chat.read_back(chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert len(got) == 1 and got[0]["n_turns"] == 3000
+    assert got[0]["loss_sha256"] == hashlib.sha256("".join(f"t{k}" for k in range(1, 3000, 2)).encode()).hexdigest()
+
+
+def test_chat_that_cannot_be_read_back_fails(spark, monkeypatch):
+    monkeypatch.setattr(chat, "escape", lambda text: F.col(text) if isinstance(text, str) else text)
+    table = spark.createDataFrame([(1, 0, "user", "a <|im_end|>\n b")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="cannot be read back"):
+        chat.render(table).collect()
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.render(empty)).count() == 0
