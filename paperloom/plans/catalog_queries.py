@@ -9,6 +9,7 @@ from paperloom.functions import text as T
 from paperloom.operators import catalog as C
 from paperloom.operators import filters as P
 from paperloom.operators import learn as L
+from paperloom.operators import text_index
 from paperloom.plans import fixtures as X
 from paperloom.plans import jobs
 from paperloom.plans.registry import query
@@ -259,6 +260,29 @@ def fulltext_all_tokens(spark, sf):
     return docs.where(P.text_match(F.col("text"), ["The of", "and"], any_text=False, mode="token")).select("doc_id")
 
 
+def _indexed_filter(spark, sf, texts, any_text, mode):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    index = text_index.build(docs, new_folder(spark, "texts"), "text", "doc_id", mode)
+    filters = spark.createDataFrame([(1, texts, any_text)], "query_id int, texts array<string>, any boolean")
+    return text_index.search(index, filters)[0].select("doc_id")
+
+
+@query("fulltext_any_indexed", "SELECT doc_id FROM documents WHERE contains(text, 'ing the') OR contains(text, 'tion') OR contains(text, 'und')")
+def fulltext_any_indexed(spark, sf):
+    """The filter through a stored index of trigrams."""
+    return _indexed_filter(spark, sf, ["ing the", "tion", "und"], True, "substring")
+
+
+@query(
+    "fulltext_all_tokens_indexed",
+    r"""SELECT doc_id FROM documents
+WHERE list_has_all(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), ['the', 'of']) AND list_has_all(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), ['and'])""",
+)
+def fulltext_all_tokens_indexed(spark, sf):
+    """The filter through a stored index of words."""
+    return _indexed_filter(spark, sf, ["The of", "and"], False, "token")
+
+
 @query(
     "request_filters",
     _META + """SELECT "paperId", venue FROM pm WHERE contains("authorName", 'Ann') AND "publicationDate" >= '2016-01-01'
