@@ -68,11 +68,12 @@ def paper_blocks(papers: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
 CUT = "struct<name:string,keep:bigint,filters:" + FILTERS + ">"
 
 
-def query_rows(queries: DataFrame, factor: int = 1, more: DataFrame | None = None) -> DataFrame:
+def query_rows(queries: DataFrame, factor: int = 1, more: DataFrame | None = None, floors: DataFrame | None = None) -> DataFrame:
     """(query_id, vectors, cuts): the sub-queries of each query in order, and what is kept of its ranking.
 
     A cut is a named list of the ``keep`` best papers that pass some filters; a query has one cut of
-    its own name here. ``more`` has (query_id, more): how many further papers a query must keep.
+    its own name here. ``more`` has (query_id, more): how many further papers a query must keep;
+    ``floors`` has (query_id, floor): papers that score less are not wanted.
     """
     filters = F.first("filters") if "filters" in queries.columns else F.array().cast(FILTERS)
     subs = F.sort_array(F.collect_list(F.struct("qi", "embedding")))
@@ -82,8 +83,10 @@ def query_rows(queries: DataFrame, factor: int = 1, more: DataFrame | None = Non
     keep = F.col("topK") * factor
     if more is not None:
         rows, keep = rows.join(more, "query_id", "left"), keep + F.coalesce("more", F.lit(0))
-    cut = F.struct(F.col("query_id").cast("string").alias("name"), keep.alias("keep"), "filters")
-    return rows.select("query_id", "vectors", F.array(cut.cast(CUT)).alias("cuts"))
+    cut = F.struct(F.col("query_id").cast("string").alias("name"), keep.alias("keep"), "filters").cast(CUT)
+    if floors is not None:
+        rows, cut = rows.join(floors, "query_id", "left"), cut.withField("floor", F.col("floor").cast("double"))
+    return rows.select("query_id", "vectors", F.array(cut).alias("cuts"))
 
 
 def block_count(queries: DataFrame):
@@ -112,6 +115,22 @@ def cut_rows(asked: pa.StructArray) -> tuple[pa.StructArray, np.ndarray]:
     return cuts.flatten(), np.repeat(np.arange(len(asked)), cuts.value_lengths().to_numpy())
 
 
+def _hopeful(cuts: pa.StructArray, asked: pa.StructArray, of_query: np.ndarray, vectors: pa.Array) -> tuple[pa.StructArray, pa.StructArray, np.ndarray]:
+    """The cuts whose floor a block may reach, by the bound of all its vectors as one cell, with their queries."""
+    units = unit_rows(vector_matrix(vectors)[0])
+    units = units[units.any(axis=1)]
+    most = np.zeros(len(asked))
+    sub, sizes = vector_matrix(asked.field("vectors"))
+    if len(units) and units.shape[1] == sub.shape[1]:
+        centre = unit_rows(units.mean(axis=0, keepdims=True))
+        radius = np.arccos(np.clip(units @ centre.T, -1, 1)).max() if centre.any() else np.pi
+        most = bounds(sub, sizes, centre, np.array([radius]))[:, 0]
+    floors = np.array([-np.inf if f is None else f for f in cuts.field("floor").to_pylist()])
+    at = np.flatnonzero(most[of_query] + 10.0**-DECIMALS >= floors)
+    live, spot = np.unique(of_query[at], return_inverse=True)
+    return cuts.take(pa.array(at)), asked.take(pa.array(live)), spot
+
+
 def _scored(rerank: bool, decimals: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,6 +143,10 @@ def _scored(rerank: bool, decimals: int) -> Callable:
                     live, of_query = np.unique(of_query[wanted.to_numpy()], return_inverse=True)
                     cuts, asked = cuts.take(wanted), asked.take(pa.array(live))
                 payload = {f.name: members.field(i) for i, f in enumerate(members.type)}
+                if "floor" in cuts.type.names:
+                    cuts, asked, of_query = _hopeful(cuts, asked, of_query, payload["vectors"])
+                    if not len(cuts):
+                        continue
                 ids = payload["paperId"].to_numpy(zero_copy_only=False).astype(str)
                 raw, counts = vector_matrix(payload["vectors"])
                 sub, sizes = vector_matrix(asked.field("vectors"))
@@ -138,6 +161,9 @@ def _scored(rerank: bool, decimals: int) -> Callable:
                     if key not in masks:
                         masks[key] = np.flatnonzero(payload_mask(filters, ready, len(ids)))
                     picks.append(_top(scores[i], masks[key], ids, keep))
+                if "floor" in cuts.type.names:
+                    floors = [-np.inf if f is None else f for f in cuts.field("floor").to_pylist()]
+                    picks = [p[scores[i, p] >= f] for i, p, f in zip(of_query, picks, floors)]
                 n = np.array([len(p) for p in picks], np.int64)
                 if not n.sum():
                     continue

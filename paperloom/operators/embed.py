@@ -36,6 +36,15 @@ def hashed_words(width: int = 256) -> Callable[[], Encoder]:
     return factory
 
 
+def letter_counts(letters: str = "abcdefghijklmnop") -> Callable[[], Encoder]:
+    """An encoder that any engine can repeat: how often each of some letters stands in the text."""
+
+    def factory() -> Encoder:
+        return lambda texts: np.array([[t.count(c) for c in letters] for t in texts], np.float64).reshape(len(texts), len(letters))
+
+    return factory
+
+
 def embed_texts(df: DataFrame, text: str, encoder: Callable[[], Encoder], prefix: str = "", suffix: str = "") -> DataFrame:
     """Adds ``embedding``. Rows are sorted by length inside a partition so model batches pad little."""
 

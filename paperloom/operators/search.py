@@ -51,16 +51,23 @@ def pack_vectors(chunks: DataFrame, key: str = "paperId", payload: tuple[str, ..
 
 
 def top_k(
-    papers: DataFrame, queries: DataFrame, factor: int = 1, exclude: DataFrame | None = None, rerank: bool = False, decimals: int = DECIMALS
+    papers: DataFrame,
+    queries: DataFrame,
+    factor: int = 1,
+    exclude: DataFrame | None = None,
+    rerank: bool = False,
+    decimals: int = DECIMALS,
+    floors: DataFrame | None = None,
 ) -> DataFrame:
     """The ``factor * topK`` nearest papers of every query (query_id, qi, embedding, topK and maybe filters).
 
     A query's own filters read the payload columns of ``papers``. ``exclude`` holds (query_id, paperId)
     pairs to leave out before the cut: a query keeps that many more, which are taken out of its list.
+    ``floors`` (query_id, floor) leaves out papers that score less, and with them whole blocks.
     Returns (query_id, paperId, retrieval_score, rerank_score, retrieval_rank, topK).
     """
     more = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("more"))
-    rows, n_blocks = C.query_rows(queries, factor, more), C.block_count(queries)
+    rows, n_blocks = C.query_rows(queries, factor, more, floors), C.block_count(queries)
     fields = KEYWORD_FIELDS + TEXT_FIELDS + RANGE_FIELDS + DATE_FIELDS if "filters" in queries.columns else ()
     blocks = C.paper_blocks(papers, fields).withColumn("last", n_blocks - 1)
     each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("qblock"))

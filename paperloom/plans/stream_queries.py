@@ -275,6 +275,59 @@ def requery_new_papers(spark, sf):
     return RS.requery_new_papers(S.pack_vectors(chunks), X.label_queries(spark, sf), returned)
 
 
+@query(
+    "stream_requery",
+    X.with_ctes(X.CHUNK_VECTORS, X.LABEL_QUERIES) + """,
+sc AS (SELECT query_id, "topK", "paperId", p, round(sum(s) / count(*), 6) AS retrieval_score FROM (
+   SELECT query_id, "topK", qi, "paperId", p, max(list_cosine_similarity(qe, e)) AS s FROM q, v GROUP BY ALL) GROUP BY query_id, "topK", "paperId", p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_score DESC, "paperId") AS n FROM sc
+      WHERE "paperId" NOT IN (SELECT "paperId" FROM v WHERE CAST(label AS VARCHAR) = query_id))
+SELECT query_id, "paperId", retrieval_score, n AS retrieval_rank FROM r WHERE n <= "topK" """,
+)
+def stream_requery(spark, sf):
+    """Papers arriving in four files, one in a micro-batch, over each label's stored query; the stream is stopped and started again between."""
+    folder = new_folder(spark, "standing")
+    chunks = X.chunk_vectors(spark, sf)
+    returned = chunks.select(F.col("label").cast("string").alias("query_id"), "paperId").distinct()
+    queries = X.label_queries(spark, sf)
+    papers = S.pack_vectors(chunks)
+    for part in ((0, 1), (2, 3)):
+        for k in part:
+            arrived = papers.where(F.pmod(F.crc32("paperId"), F.lit(4)) == k)
+            arrived.coalesce(1).write.mode("append").parquet(f"{folder}/new")
+        stream = spark.readStream.schema(papers.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/new")
+        RS.requery_stream(stream, queries, returned, f"{folder}/lists", f"{folder}/state", once=True).awaitTermination()
+    return RS.standing_lists(spark, f"{folder}/lists").select("query_id", "paperId", "retrieval_score", "retrieval_rank")
+
+
+_LETTERS = "abcdefghijklmnop"
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+
+
+@query(
+    "stream_questions",
+    f"""WITH q AS (SELECT item_id % 7 AS t, text AS question, {_letters_sql("('query: ' || text)")} AS e FROM benchmark),
+d AS (SELECT doc_id % 7 AS t, {_letters_sql("coalesce(text, '')")} AS e FROM documents)
+SELECT 'u/' || t AS task_id, question, round(avg(CASE WHEN list_sum(d.e) > 0 AND list_sum(q.e) > 0 THEN list_cosine_similarity(q.e, d.e) ELSE 0 END), 6) AS score
+FROM q JOIN d USING (t) GROUP BY t, question""",
+)
+def stream_questions(spark, sf):
+    """Every benchmark text as a question request of one of seven notebooks, answered from a topic folder over the notebook's documents."""
+    folder = new_folder(spark, "questions")
+    task = lambda c: F.concat(F.lit("u/"), (c % 7).cast("string"))
+    asked = _search_requests(spark, sf).withColumn("task_id", task(F.col("query_id").cast("int")))
+    Q.write_folder(asked, f"{folder}/topic")
+    encoder = E.letter_counts(_LETTERS)
+    docs = read_table(spark, sf, "documents").select(task(F.col("doc_id")).alias("task_id"), "text")
+    pooled = E.embed_texts(docs, "text", encoder).select("task_id", "embedding")
+    stream = Q.stream_folder(spark, f"{folder}/topic", schemas.SEARCH_REQUEST)
+    RS.answer_stream(stream, lambda batch: RS.score_questions(batch, pooled, encoder), f"{folder}/results", f"{folder}/state", once=True).awaitTermination()
+    return spark.read.schema("task_id string, question string, score double").json(f"{folder}/results").select("task_id", "question", "score")
+
+
 @query(
     "catalogue_refresh",
     """WITH d AS (SELECT doc_id, 'd' || doc_id AS pid, source, split_part(text, chr(10), 1) AS title, text, doc_id % 2 = 0 AS oa FROM documents),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from paperloom.operators import search as S
@@ -91,3 +92,50 @@ def requery_new_papers(new_papers: DataFrame, stored_queries: DataFrame, returne
     """
     hits = S.top_k(new_papers, stored_queries, exclude=returned)
     return hits.select("query_id", "paperId", "retrieval_score", "retrieval_rank")
+
+
+_STANDING = "query_id string, paperId string, retrieval_score double, retrieval_rank int, topK int"
+
+
+def _standing(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The lists of the last batch, or of the last one before a batch."""
+    try:
+        lists = spark.read.schema(_STANDING + ", batch long").parquet(root)
+    except AnalysisException:  # nothing is written yet
+        return spark.createDataFrame([], _STANDING)
+    lists = lists if before is None else lists.where(F.col("batch") < before)
+    return lists.where(F.col("batch") == lists.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def standing_lists(spark: SparkSession, root: str) -> DataFrame:
+    """The best papers of every stored query so far: query_id, paperId, retrieval_score, retrieval_rank, topK."""
+    return _standing(spark, root)
+
+
+def requery_stream(stream: DataFrame, stored_queries: DataFrame, returned: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keeps each stored query's best papers up to date with a stream of new papers (paperId, vectors).
+
+    The state is the list of every query, a table below ``root`` for each batch: the score of a full
+    list's last paper is the query's floor. New papers meet a query only where the bound of their block
+    reaches its floor, and what scores less is not returned. A batch reads the lists of the batch before
+    it and writes its own, so a batch that is run again replaces itself, and a stream that is started
+    again goes on from the last. A paper that comes again replaces its earlier score where it still is
+    in a list.
+    """
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = _standing(spark, root, batch_id)
+        full = old.groupBy("query_id").agg(F.min("retrieval_score").alias("floor"), F.count("*").alias("n"), F.first("topK").alias("k"))
+        floors = full.where("n >= k").select("query_id", "floor")
+        # nothing arrives twice in one batch as far as lists go: one row per paper
+        papers = batch.dropDuplicates(["paperId"])
+        hits = S.top_k(papers, stored_queries, exclude=returned, floors=floors)
+        kept = old.join(papers.select("paperId"), "paperId", "left_anti")
+        both = kept.select("query_id", "paperId", "retrieval_score", "topK").unionByName(hits.select("query_id", "paperId", "retrieval_score", "topK"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "paperId")
+        ranked = both.withColumn("retrieval_rank", F.row_number().over(order)).where("retrieval_rank <= topK")
+        ranked.select("query_id", "paperId", "retrieval_score", "retrieval_rank", "topK").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=BATCH_PACE)).start()

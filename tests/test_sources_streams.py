@@ -268,3 +268,27 @@ def test_questions_and_blended_search(spark):
     assert [r["paperId"] for r in plain] == [r["paperId"] for r in blended][::-1]
     unlabelled = RS.search_requests(requests, vectors, E.hashed_words(32), blend=lambda h: L.blend(h, None)).orderBy("rank").collect()
     assert [r["paperId"] for r in unlabelled] == [r["paperId"] for r in plain]
+
+
+def test_standing_queries_keep_their_lists_over_restarts(spark, tmp_path):
+    import numpy as np
+
+    from paperloom.operators import search as S
+
+    rng = np.random.default_rng(4)
+    vectors = {f"p{i}": rng.normal(size=(1 + i % 2, 5)).tolist() for i in range(60)}
+    asked = [(f"q{i}", 0, rng.normal(size=5).tolist(), 3) for i in range(6)]
+    queries = spark.createDataFrame(asked, "query_id string, qi int, embedding array<double>, topK int")
+    returned = spark.createDataFrame([("q0", "p3"), ("q1", "p9")], "query_id string, paperId string")
+    schema = "paperId string, vectors array<array<double>>"
+    papers = spark.createDataFrame(list(vectors.items()), schema)
+    src, root = str(tmp_path / "new"), str(tmp_path / "lists")
+    for k in range(5):  # each batch in a run of its own; one paper comes again in the last
+        ids = [f"p{i}" for i in range(60) if i % 5 == k] + (["p0"] if k == 4 else [])
+        spark.createDataFrame([(i, vectors[i]) for i in ids], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        RS.requery_stream(stream, queries, returned, root, str(tmp_path / "state"), once=True).awaitTermination()
+        seen = papers.where(F.substring("paperId", 2, 9).cast("int") % 5 <= k)
+        want = {tuple(r) for r in S.top_k(seen, queries, exclude=returned).select("query_id", "paperId", "retrieval_score", "retrieval_rank").collect()}
+        assert {tuple(r)[:4] for r in RS.standing_lists(spark, root).collect()} == want
+    assert len(want) == 18
