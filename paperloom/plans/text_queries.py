@@ -9,6 +9,7 @@ from paperloom.functions import text as T
 from paperloom.functions.rows import hold
 from paperloom.operators import blocks as B
 from paperloom.operators import chunks as K
+from paperloom.operators.links import linkify_texts
 from paperloom.plans import fixtures as X
 from paperloom.plans.registry import query
 from paperloom.session import read_table, spread
@@ -484,8 +485,32 @@ def citation_linkify(spark, sf):
     d = X.papers_meta(spark, sf).select("paperId", stem.alias("a"), long.alias("b"))
     text = F.concat(F.lit("See "), "b", F.lit(" "), "b", F.lit(", then "), "a", F.lit("."))
     papers = F.array(paper(F.col("a"), "Short et al., 2002"), paper(F.col("b"), "Long et al., 2001"))
-    # The shorter id also occurs inside the longer link, so it is matched against the marked text only.
-    return d.select("paperId", A.linkify(text, papers).alias("linked"))
+    # The shorter id also occurs inside the longer one and inside its link.
+    return linkify_texts(d, text, papers).select("paperId", "linked")
+
+
+@query(
+    "citation_linkify_many",
+    X.with_ctes(X.CHUNK_VECTORS) + r""", p AS (SELECT DISTINCT label, "paperId" FROM v),
+l AS (SELECT label, list("paperId" ORDER BY "paperId") AS ids FROM p GROUP BY label)
+SELECT CAST(label AS VARCHAR) AS answer, list_sum(list_transform(ids, lambda i: length(i) * 2 + 12))::BIGINT AS chars, len(ids)::BIGINT AS links,
+       sha256(array_to_string(list_transform(ids, lambda i: 'see [L ' || i || '](#' || i || ').'), ' ')) AS digest FROM l""",
+)
+def citation_linkify_many(spark, sf):
+    """One answer per label that cites all papers of the label, hundreds of them, ids within ids among them."""
+    v = X.chunk_vectors(spark, sf).select("label", "paperId").distinct()
+    own = F.sort_array(F.collect_list("paperId"))
+    answers = v.groupBy("label").agg(own.alias("ids"))
+    text = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("see "), i, F.lit(" "), i, F.lit("."))), " ")
+    papers = F.transform("ids", lambda i: F.struct(i.alias("paperId"), F.concat(F.lit("L "), i).alias("label")))
+    linked = linkify_texts(answers, text, papers)
+    links = F.size(F.split("linked", r"\]\(#")) - 1
+    return linked.select(
+        F.col("label").cast("string").alias("answer"),
+        (F.length("linked") - F.size("ids") + 1).cast("long").alias("chars"),
+        links.cast("long").alias("links"),
+        F.sha2("linked", 256).alias("digest"),
+    )
 
 
 @query(
