@@ -10,9 +10,13 @@ A window of ``WINDOW`` consecutive words is an edge of the graph, from its first
 2. Documents with a repeated seed give the 128-bit names of the windows under it. An aggregate
    that combines before the shuffle finds for each edge the smallest document and its place
    there: the source coordinate.
-3. Edges join their source. Neighbouring edges whose sources are neighbours too form a path
-   that does not branch; each path becomes one row (document, start, length, source, source
-   start). Where the source changes the graph branches and the path ends.
+3. Edges join their source. An edge whose predecessor has the predecessor of its source goes on
+   the same path; where it has not the graph branches. Joins of the edges with themselves, one
+   place on and one place back, leave the first and the last edge of each path, which become one
+   row (document, start, length, source, source start).
+4. A path's words are compared with those at its source coordinates, by a digest of the whole span
+   that has nothing to do with the names; a path whose words differ is dropped. Inside a document
+   windows of both names equal to a path's are repeats of it.
 
 Documents with equal words have equal edges; only the one with the smallest id enters the graph.
 
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.llm.tables import stored
 from paperloom.llm.words import Piece, covered, hash_runs, hash_words, pieces, within
@@ -152,46 +157,73 @@ def candidates(docs: DataFrame, profiles: DataFrame, same: DataFrame) -> DataFra
     return stored(keyed(docs).join(ranges, _KEY).select(*_KEY, "text", "ranges"), "candidates")
 
 
+_PATH = ["doc_id", "th", "source", "source_th", "lag"]
+
+
 def paths(chosen: DataFrame) -> DataFrame:
-    """Repeated unbranched paths: (doc_id, th, start, n, source, source_start), n in windows."""
+    """Repeated unbranched paths: (doc_id, th, start, n, source, source_th, source_start), n in windows."""
     edges = chosen.mapInArrow(_edges, _EDGE)
-    sources = (
-        edges.groupBy("h", "g")
-        .agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("source_pos"))
-        .where("source < last")
-        .drop("last")
-    )
-    walk = Window.partitionBy(*_KEY).orderBy("pos")
-    steps = edges.join(sources, ["h", "g"]).where("doc_id > source").select(*_KEY, "pos", "source", "source_pos")
-    same_path = (
-        (F.col("pos") - F.lag("pos").over(walk)).isin(0, 1)
-        & (F.lag("source").over(walk) == F.col("source"))
-        & (F.col("pos") - F.lag("pos").over(walk) == F.col("source_pos") - F.lag("source_pos").over(walk))
-    )
-    return (
-        steps.withColumn("opens", F.coalesce((~same_path).cast("int"), F.lit(1)))
-        .withColumn("path", F.sum("opens").over(walk))
-        .groupBy(*_KEY, "path")
-        .agg(
-            F.min("pos").alias("start"),
-            (F.max("pos") - F.min("pos") + 1).alias("n"),
-            F.min("source").alias("source"),
-            F.min("source_pos").alias("source_start"),
-        )
-        .drop("path")
+    place = F.struct(F.col("doc_id").alias("source"), F.col("th").alias("source_th"), F.col("pos").alias("source_pos"))
+    sources = edges.groupBy("h", "g").agg(F.min(place).alias("s"), F.max("doc_id").alias("last")).where("s.source < last").select("h", "g", "s.*")
+    met = edges.join(sources, ["h", "g"]).where("doc_id > source")
+    steps = stored(met.select("doc_id", "th", "source", "source_th", (F.col("pos") - F.col("source_pos")).alias("lag"), "pos"), "steps")
+    ends = []
+    for side, step in (("start", 1), ("last", -1)):
+        # an edge one place before (or behind) on the same path
+        beside = steps.withColumn("pos", F.col("pos") + step)
+        order = F.row_number().over(Window.partitionBy(*_PATH).orderBy("pos"))
+        ends.append(steps.join(beside, [*_PATH, "pos"], "left_anti").withColumn("nth", order).withColumnRenamed("pos", side))
+    whole = ends[0].join(ends[1], [*_PATH, "nth"])
+    return whole.select(
+        *_KEY, "start", (F.col("last") - F.col("start") + 1).alias("n"), "source", "source_th", (F.col("start") - F.col("lag")).alias("source_start")
     )
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of the words of each span that is asked for."""
+    for batch in batches:
+        out: list[tuple] = []
+        for p in pieces(batch.column("text"), size=_PIECE):
+            raw = p.text.tobytes()
+            for row in range(len(p.rows) - 1):
+                own = batch.column("asked")[p.first + row].values
+                words = raw[p.rows[row] : p.rows[row + 1]].split()
+                key = [batch.column(c)[p.first + row].as_py() for c in _KEY]
+                for start, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist()):
+                    span = b" ".join(words[start : start + n + WINDOW - 1])
+                    out.append((*key, start, n, hashlib.blake2b(span, digest_size=16).digest()))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*_KEY, "at", "n", "words"])
+
+
+def verified(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The paths whose words are those at their source coordinates."""
+    found = stored(found, "paths")
+    mine = found.select(*_KEY, F.col("start").alias("at"), "n")
+    theirs = found.select(F.col("source").alias("doc_id"), F.col("source_th").alias("th"), F.col("source_start").alias("at"), "n")
+    asked = mine.unionByName(theirs).distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("at", "n")).alias("asked"))
+    texts = chosen.select(*_KEY, "text").join(asked, _KEY)
+    said = stored(texts.mapInArrow(_spans, "doc_id long, th long, at int, n int, words binary"), "spans").distinct()
+    own = said.select(*_KEY, F.col("at").alias("start"), "n", "words")
+    source = said.select(F.col("doc_id").alias("source"), F.col("th").alias("source_th"), F.col("at").alias("source_start"), "n", F.col("words").alias("meant"))
+    both = found.join(own, [*_KEY, "start", "n"]).join(source, ["source", "source_th", "source_start", "n"])
+    return both.where("words = meant").drop("words", "meant")
+
+
 def _removed(p: Piece, spans: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """For each row with spans, which of its words go; windows equal to one of a path's go wherever they stand."""
-    h, _, _, bounds = _names(p)
+    h, g, _, bounds = _names(p)
     for row in range(len(p.rows) - 1):
         own = spans[p.first + row].values
         if own is None or not len(own):
             continue
-        names = h[bounds[row] : bounds[row + 1]]
-        gone = np.unique(np.concatenate([names[a : a + n] for a, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist())]))
-        yield row, covered(np.flatnonzero(np.isin(names, gone)), WINDOW, int(p.n_words[row]))
+        first, second = (x[bounds[row] : bounds[row + 1]] for x in (h, g))
+        places = np.concatenate([np.arange(a, a + n) for a, n in zip(own.field(0).to_pylist(), own.field(1).to_pylist())])
+        gone, at = np.unique(first[places], return_index=True)
+        like = np.minimum(np.searchsorted(gone, first), len(gone) - 1)
+        same = (gone[like] == first) & (second[places[at]][like] == second)
+        yield row, covered(np.flatnonzero(same), WINDOW, int(p.n_words[row]))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +261,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     profiles = profile(docs)
     same = stored(copies(profiles), "copies")
     chosen = candidates(docs, profiles, same)
-    spans = paths(chosen).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = verified(paths(chosen), chosen).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return profiles, same, chosen, spans
 
 
@@ -266,11 +298,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     marks = spans.withColumn("whole", F.lit(False)).unionByName(
         same.select(*_KEY, nothing.alias("spans"), F.lit(True).alias("whole"))
     )
-    row = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     th = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
     packed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), th, "text")
     left = packed.join(marks, _KEY, "left").where("whole IS NULL OR NOT whole").select("row", "text", "spans")
-    schema = f"row {left.schema['row'].dataType.simpleString()}, text string, state int"
+    schema = StructType([left.schema["row"], *StructType.fromDDL("text string, state int").fields])
     out = left.mapInArrow(_cut, schema).where("state < 2")
 
     def column(c: str) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import substring
 from tests.llm.conftest import prose, words
@@ -68,3 +69,30 @@ def test_cut_keeps_columns_and_drops_emptied(docs):
 def test_empty_table(docs):
     assert substring.digest(docs([])).count() == 0
     assert substring.cut_repeats(docs([])).count() == 0
+
+
+def test_paths_with_other_words_than_their_source_remove_nothing(spark):
+    """What a collision of names would make: a path whose words are not those at its source."""
+    a, b, c = prose(120, 1), prose(120, 2), prose(30, 3) + " " + prose(120, 1) + " " + prose(20, 4)
+    chosen = substring.keyed(spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string"))
+    th = {r["doc_id"]: r["th"] for r in chosen.collect()}
+    rows = [(2, th[2], 0, 71, 1, th[1], 0), (3, th[3], 30, 71, 1, th[1], 0), (3, th[3], 30, 70, 1, th[1], 1)]
+    found = spark.createDataFrame(rows, "doc_id long, th long, start int, n int, source long, source_th long, source_start int")
+    assert [(r["doc_id"], r["start"], r["n"]) for r in substring.verified(found, chosen).collect()] == [(3, 30, 71)]
+
+
+def test_paths_are_the_longest_runs(spark):
+    a, other = prose(200, 1), prose(200, 2)
+    w, o = a.split(), other.split()
+    c = " ".join(["x"] * 5 + w[20:90] + ["y"] + o[0:60] + w[100:160])
+    chosen = substring.keyed(spark.createDataFrame([(1, a), (2, other), (3, c)], "doc_id long, text string"))
+    full = F.array(F.struct(F.lit(0).alias("at"), (F.size(F.split("text", " ")) - 49).alias("span"))).alias("ranges")
+    got = sorted((r["doc_id"], r["start"], r["n"], r["source"], r["source_start"]) for r in substring.paths(chosen.select("*", full)).collect())
+    assert got == [(3, 5, 21, 1, 20), (3, 76, 11, 2, 0), (3, 136, 11, 1, 100)]
+
+
+def test_any_column_names_pass(spark):
+    text = prose(80, 9)
+    table = spark.createDataFrame([(1, text, 1, 2), (2, text + " more words", 3, 4)], "doc_id long, text string, `my col` int, `a-b:c` int")
+    got = {r["doc_id"]: (r["text"], r["my col"], r["a-b:c"]) for r in substring.cut_repeats(table).collect()}
+    assert got == {1: (text, 1, 2), 2: ("more words", 3, 4)}
