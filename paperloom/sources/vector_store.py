@@ -3,14 +3,19 @@
 A table is dealt into ``BUCKETS`` by a hash of the paper. A write makes folders for the buckets
 it touches and then adds a line to the version list that names the folder of every bucket, so
 readers see whole versions only, a failed write leaves the last one in place, and untouched
-buckets are not rewritten. Folders that the last ``KEPT`` versions do not name are removed.
-One writer at a time; a batch that is written again finds its line and does nothing.
+buckets are not rewritten. A version's line is a file that only one writer can create: who finds
+it taken removes what it wrote and starts again from the version that came between, so that writers
+at one time lose nothing. Folders that only versions before the last ``KEPT`` name are removed.
+A batch that is written again finds its line and does nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.operators.search import mean_vector, pack_vectors
@@ -59,6 +64,7 @@ def save_embedding_documents(docs: DataFrame, path: str) -> None:
 
 BUCKETS = 32
 KEPT = 3
+ATTEMPTS = 20
 _LINE = "version bigint, run string, batch bigint, folders array<string>"
 
 
@@ -95,15 +101,35 @@ def _bucket(key: str = "paperId"):
     return F.pmod(F.hash(key), F.lit(BUCKETS))
 
 
-def _remove_unnamed(spark: SparkSession, root: str) -> None:
-    """Deletes version folders that no kept version line names."""
-    named = {f.split("/")[0] for line in _latest(spark, root, KEPT) for f in line["folders"] if f}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in files.listStatus(path):
-        name = entry.getPath().getName()
-        if name.startswith("v") and name not in named:
-            files.delete(entry.getPath(), True)
+def _files(spark: SparkSession, root: str):
+    """The file system of the table, and what makes a path of a name below it."""
+    jvm = spark.sparkContext._jvm
+    path = lambda name="": jvm.org.apache.hadoop.fs.Path(f"{root}/{name}" if name else root)
+    return path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _publish(spark: SparkSession, root: str, line: dict) -> bool:
+    """Creates the line of a version, or tells that another writer has."""
+    files, path = _files(spark, root)
+    target = path(f"_versions/{line['version']:012d}.json")
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as e:
+        if files.exists(target):
+            return False
+        raise e
+    out.write(bytearray(json.dumps(line).encode()))
+    out.close()
+    return True
+
+
+def _remove_old(spark: SparkSession, root: str) -> None:
+    """Deletes the folders that older versions name and no kept one; what another writer is at work on has no name yet."""
+    lines = _latest(spark, root, 2 * KEPT)
+    named = lambda some: {f.split("/")[0] for line in some for f in line["folders"] if f}
+    files, path = _files(spark, root)
+    for name in named(lines[KEPT:]) - named(lines[:KEPT]):
+        files.delete(path(name), True)
 
 
 def sync(new: DataFrame, root: str, run: str = "", batch: int | None = None) -> int | None:
@@ -113,16 +139,25 @@ def sync(new: DataFrame, root: str, run: str = "", batch: int | None = None) ->
     chunk and stand next to the others. Returns the version, or None for a table still empty.
     Without a batch number each call is a run of its own.
     """
+    for _ in range(ATTEMPTS):
+        done, version = _try_sync(new, root, run, batch)
+        if done:
+            return version
+    raise RuntimeError(f"{ATTEMPTS} versions of {root} were taken by other writers")
+
+
+def _try_sync(new: DataFrame, root: str, run: str, batch: int | None) -> tuple[bool, int | None]:
+    """Whether the next version could be published, and which is the current one then."""
     spark = new.sparkSession
     lines = _versions(spark, root)
     if batch is not None and lines is not None and not lines.where((F.col("run") == run) & (F.col("batch") == batch)).isEmpty():
-        return current_version(spark, root)
+        return True, current_version(spark, root)
     last = next(iter(_latest(spark, root)), None)
     version = last["version"] + 1 if last else 1
     run = run if batch is not None else f"{run}#{version}"
     touched = sorted(r["b"] for r in new.select(_bucket().alias("b")).distinct().collect())  # at most BUCKETS
     if not touched:
-        return version - 1 or None
+        return True, version - 1 or None
     folders = list(last["folders"]) if last else [None] * BUCKETS
     rows = new.withColumn("_run", F.lit(run))
     old = _read(spark, root, [folders[b] for b in touched])
@@ -131,10 +166,13 @@ def sync(new: DataFrame, root: str, run: str = "", batch: int | None = None) ->
         kept = old.join(new.select("paperId", "chunk_idx"), ["paperId", "chunk_idx"], "left_anti").join(came, "paperId", "left")
         rows = rows.unionByName(kept.where(F.col("_came").isNull() | (F.col("_run") == run)).drop("_came"), allowMissingColumns=True)
     dealt = rows.withColumn("_b", _bucket()).repartition(len(touched), "_b").sortWithinPartitions("_b", "paperId")
-    dealt.write.mode("overwrite").partitionBy("_b").parquet(f"{root}/v{version}")
+    own = f"v{version}-{uuid.uuid4().hex[:12]}"
+    dealt.write.partitionBy("_b").parquet(f"{root}/{own}")
     for b in touched:
-        folders[b] = f"v{version}/_b={b}"
-    line = spark.createDataFrame([(version, run, batch, folders)], _LINE)
-    line.coalesce(1).write.mode("append").json(f"{root}/_versions")
-    _remove_unnamed(spark, root)
-    return version
+        folders[b] = f"{own}/_b={b}"
+    if not _publish(spark, root, {"version": version, "run": run, "batch": batch, "folders": folders}):
+        files, path = _files(spark, root)
+        files.delete(path(own), True)
+        return False, None
+    _remove_old(spark, root)
+    return True, version

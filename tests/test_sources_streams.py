@@ -292,3 +292,29 @@ def test_standing_queries_keep_their_lists_over_restarts(spark, tmp_path):
         want = {tuple(r) for r in S.top_k(seen, queries, exclude=returned).select("query_id", "paperId", "retrieval_score", "retrieval_rank").collect()}
         assert {tuple(r)[:4] for r in RS.standing_lists(spark, root).collect()} == want
     assert len(want) == 18
+
+
+def test_writers_at_one_time_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "table")
+    schema = "paperId string, chunk_idx int, value int"
+    make = lambda who: spark.createDataFrame([(f"p{who}-{i}", c, who) for i in range(20) for c in range(2)] + [("both", who, who)], schema)
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda who: vector_store.sync(make(who), root, f"run{who}", 0), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4]
+    rows = vector_store.read_current(spark, root).collect()
+    assert sum(r["paperId"] != "both" for r in rows) == 4 * 40
+    # the paper that all bring is that of the last one
+    assert [r["value"] for r in rows if r["paperId"] == "both"] == [versions.index(4)]
+    assert vector_store.sync(make(0), root, "run0", 0) == 4  # a batch that is there does nothing
+    line = {"version": 4, "run": "x", "batch": 0, "folders": []}
+    assert not vector_store._publish(spark, root, line)
+
+
+def test_old_folders_go_and_kept_versions_stay(spark, tmp_path):
+    root = str(tmp_path / "table")
+    for k in range(7):
+        vector_store.sync(spark.createDataFrame([("p", 0, k)], "paperId string, chunk_idx int, value int"), root)
+    assert sum(f.startswith("v") for f in os.listdir(root)) == vector_store.KEPT
+    assert [r["value"] for r in vector_store.read_current(spark, root).collect()] == [6]
