@@ -89,12 +89,18 @@ def _held(table: str, key: str, words: str) -> str:
                FROM (SELECT {key}, w, least(5, len(w)) AS n FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
 
 
+def _runs(words: str) -> str:
+    """(doc_id, n, sh): the distinct runs of every document, of each length that an item's shingles (b) have."""
+    return f"""SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS sh
+               FROM (SELECT doc_id, {words} AS w FROM documents), (SELECT DISTINCT n FROM b) WHERE len(w) >= n"""
+
+
 @query(
     "op10_benchmark_leaks",
     f"""
     WITH b AS MATERIALIZED ({_held("benchmark", "item_id", _WORDS)}),
     t AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
-    d AS ({_held("documents", "doc_id", _WORDS)})
+    d AS ({_runs(_WORDS)})
     SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles
     FROM d JOIN b ON d.sh = b.sh AND d.n = b.n JOIN t USING (item_id)
     GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
@@ -114,9 +120,7 @@ _PLAIN = _WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))").repla
     WITH notices(item_id, license, text) AS (VALUES {_NOTICES}),
     b AS MATERIALIZED ({_held("notices", "item_id", _PLAIN)}),
     t AS (SELECT item_id, count(*) AS template_shingles FROM b GROUP BY item_id),
-    w AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
-    d AS (SELECT doc_id, n, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS sh
-          FROM w, (VALUES (3), (5)) AS k(n) WHERE len(w) >= n)
+    d AS ({_runs(_PLAIN)})
     SELECT doc_id, item_id AS template_id, any_value(license) AS license, count(*) AS shared, any_value(template_shingles) AS template_shingles
     FROM d JOIN b ON d.sh = b.sh AND d.n = b.n JOIN t USING (item_id) JOIN notices USING (item_id)
     GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(template_shingles)
