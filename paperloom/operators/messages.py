@@ -281,15 +281,15 @@ def update_queries(messages: DataFrame) -> DataFrame:
     ).select("task_id", "query_id", "search_query", (F.col("_n") - 1).alias("prefix"))
 
 
-def running_words(messages: DataFrame) -> DataFrame:
-    """Assistant words from the newest turn back."""
+def running_words(messages: DataFrame, bin_turns: int | None = BIN_TURNS) -> DataFrame:
+    """Assistant words from the newest turn back, in bins of turns or, without ``bin_turns``, in ranges of like size."""
     turns = messages.where(F.col("role") == "assistant").withColumn("words", F.size(F.split("content", " ")))
     return running_total(
         turns,
         ["task_id"],
         ["timestamp", "seq"],
         F.col("words"),
-        F.floor(F.col("seq") / BIN_TURNS),
+        None if bin_turns is None else F.floor(F.col("seq") / bin_turns),
         "words_so_far",
         newest_first=True,
     )

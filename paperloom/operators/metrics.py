@@ -32,8 +32,11 @@ def latency_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def in_progress(events: DataFrame, keys: list[str], bin_seconds: int = 3600) -> DataFrame:
-    """Open requests after every start and end. At one instant starts count before ends."""
+def in_progress(events: DataFrame, keys: list[str], bin_seconds: int | None = 3600) -> DataFrame:
+    """Open requests after every start and end. At one instant starts count before ends.
+
+    Bins are spans of time; without ``bin_seconds`` they are ranges of like size, for keys that are hot in one span.
+    """
     micros = F.unix_micros("ts")
     length = F.round(F.col("latency") * 1_000_000).cast("bigint")
     point = lambda at, delta: F.struct(at.alias("at"), F.lit(delta).alias("delta"))
@@ -45,7 +48,7 @@ def in_progress(events: DataFrame, keys: list[str], bin_seconds: int = 3600) ->
         keys,
         ["at", "last", "event_id"],
         F.col("delta"),
-        F.floor(F.col("at") / (bin_seconds * 1_000_000)),
+        None if bin_seconds is None else F.floor(F.col("at") / (bin_seconds * 1_000_000)),
         "open_requests",
     ).drop("last")
 

@@ -282,16 +282,25 @@ def last_message_per_role(spark, sf):
     return M.last_message(X.messages(spark, sf), ["task_id", "query_id", "role"], ["content"])
 
 
-@query(
-    "running_words",
+_RUNNING = (
     _M + """SELECT task_id, turn, len(string_split(content, ' ')) AS words, CAST(sum(len(string_split(content, ' '))) OVER (
-  PARTITION BY task_id ORDER BY "timestamp" DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS words_so_far FROM m WHERE role = 'assistant'""",
+  PARTITION BY task_id ORDER BY "timestamp" DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS words_so_far FROM m WHERE role = 'assistant'"""
 )
+
+
+@query("running_words", _RUNNING)
 def running_words(spark, sf):
     rows = M.running_words(X.messages(spark, sf))
     return rows.select("task_id", "turn", F.col("words").cast("bigint").alias("words"), "words_so_far")
 
 
+@query("running_words_ranged", _RUNNING)
+def running_words_ranged(spark, sf):
+    """The same sums in ranges of like size."""
+    rows = M.running_words(X.messages(spark, sf), bin_turns=None)
+    return rows.select("task_id", "turn", F.col("words").cast("bigint").alias("words"), "words_so_far")
+
+
 @query(
     "summary_cut",
     _M + """, w AS (SELECT task_id, sum(len(string_split(content, ' '))) OVER (PARTITION BY task_id ORDER BY "timestamp" DESC ROWS UNBOUNDED PRECEDING) AS c FROM m WHERE role = 'assistant'),

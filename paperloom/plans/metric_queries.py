@@ -53,16 +53,24 @@ def latency_summary(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("seconds", "mean")})
 
 
-@query(
-    "requests_in_progress",
+_IN_PROGRESS = (
     X.with_ctes(X.API_EVENTS) + """, s AS (SELECT method, event_id, epoch_us(ts) AS at_us, 1 AS delta FROM ev
 UNION ALL SELECT method, event_id, epoch_us(ts) + CAST(round(latency * 1000000) AS BIGINT), -1 FROM ev)
-SELECT method, event_id, at_us AS "at", delta, CAST(sum(delta) OVER (PARTITION BY method ORDER BY at_us, delta DESC, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_requests FROM s""",
+SELECT method, event_id, at_us AS "at", delta, CAST(sum(delta) OVER (PARTITION BY method ORDER BY at_us, delta DESC, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open_requests FROM s"""
 )
+
+
+@query("requests_in_progress", _IN_PROGRESS)
 def requests_in_progress(spark, sf):
     return R.in_progress(X.api_events(spark, sf), ["method"])
 
 
+@query("requests_in_progress_ranged", _IN_PROGRESS)
+def requests_in_progress_ranged(spark, sf):
+    """All requests of a method, in bins of like size wherever they lie in time."""
+    return R.in_progress(X.api_events(spark, sf), ["method"], bin_seconds=None)
+
+
 @query(
     "scrape_windows",
     X.with_ctes(X.API_EVENTS) + """SELECT epoch_us(time_bucket(INTERVAL 30 SECOND, ts)) // 1000000 AS window_start, endpoint, count(*) AS requests, round(sum(latency), 6) AS seconds FROM ev GROUP BY ALL""",

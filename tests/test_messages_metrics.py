@@ -24,6 +24,24 @@ def keys(df):
     return sorted((r["task_id"], r["seq"]) for r in df.collect())
 
 
+def test_running_total_over_ranges_spreads_a_hot_key(spark):
+    rows = [("hot", i // 3, i, i % 7 - 3) for i in range(400)] + [(None, 5, 1, 2), ("b", 1, 1, 5), ("b", 1, 2, 6), (None, None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, j int, v int").repartition(3)
+    for flip in (False, True):
+        for how in ("sum", "max"):
+            out = running_total(df, ["k"], ["i", "j"], F.col("v"), None, "s", newest_first=flip, how=how)
+            got = {(r["k"], r["i"], r["j"]): r["s"] for r in out.collect()}
+            for k in ("hot", "b", None):
+                own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1], r[2]), reverse=flip)
+                for n, r in enumerate(own):
+                    part = [x[3] for x in own[: n + 1]]
+                    assert got[r[:3]] == (sum(part) if how == "sum" else max(part)), (flip, how, r)
+    from paperloom.operators.running import ranged
+
+    sizes = [r["n"] for r in ranged(df, ["k"], ["i", "j"]).groupBy("_bin").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 2 and max(sizes) < 250
+
+
 def test_running_total_over_bins_equals_one_pass(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.randint(-5, 5)) for i in range(400)]
