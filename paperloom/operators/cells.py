@@ -46,7 +46,7 @@ GROUPS = 10_000
 FIRST = 4
 # Query blocks stand in so many copies, so that a join by shuffle spreads the papers of one query block.
 COPIES = 8
-HITS = "query_id string, paperId string, retrieval_score double, rerank_score double"
+HITS = "query_id string, paperId string, retrieval_score double, rerank_score double, topK int"
 
 
 def paper_blocks(papers: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
@@ -65,14 +65,14 @@ def paper_blocks(papers: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-CUT = "struct<name:string,keep:bigint,filters:" + FILTERS + ">"
+CUT = "struct<name:string,keep:bigint,filters:" + FILTERS + ",topK:int>"
 
 
 def query_rows(queries: DataFrame, factor: int = 1, more: DataFrame | None = None, floors: DataFrame | None = None) -> DataFrame:
     """(query_id, vectors, cuts): the sub-queries of each query in order, and what is kept of its ranking.
 
     A cut is a named list of the ``keep`` best papers that pass some filters; a query has one cut of
-    its own name here. ``more`` has (query_id, more): how many further papers a query must keep;
+    its own name here. Its hits carry ``topK``, so that they are ranked without the queries. ``more`` has (query_id, more): how many further papers a query must keep;
     ``floors`` has (query_id, floor): papers that score less are not wanted.
     """
     filters = F.first("filters") if "filters" in queries.columns else F.array().cast(FILTERS)
@@ -83,7 +83,7 @@ def query_rows(queries: DataFrame, factor: int = 1, more: DataFrame | None = Non
     keep = F.col("topK") * factor
     if more is not None:
         rows, keep = rows.join(more, "query_id", "left"), keep + F.coalesce("more", F.lit(0))
-    cut = F.struct(F.col("query_id").cast("string").alias("name"), keep.alias("keep"), "filters").cast(CUT)
+    cut = F.struct(F.col("query_id").cast("string").alias("name"), keep.alias("keep"), "filters", "topK").cast(CUT)
     if floors is not None:
         rows, cut = rows.join(floors, "query_id", "left"), cut.withField("floor", F.col("floor").cast("double"))
     return rows.select("query_id", "vectors", F.array(cut).alias("cuts"))
@@ -177,8 +177,8 @@ def _scored(rerank: bool, decimals: int) -> Callable:
                     again = np.round(close[of, np.searchsorted(used, at)], decimals)
                 names = cuts.field("name").take(pa.array(of_cut))
                 yield pa.RecordBatch.from_arrays(
-                    [names, payload["paperId"].take(pa.array(at)), pa.array(scores[of, at]), pa.array(again)],
-                    names=["query_id", "paperId", "retrieval_score", "rerank_score"],
+                    [names, payload["paperId"].take(pa.array(at)), pa.array(scores[of, at]), pa.array(again), cuts.field("topK").take(pa.array(of_cut))],
+                    names=["query_id", "paperId", "retrieval_score", "rerank_score", "topK"],
                 )
 
     return run
@@ -193,14 +193,12 @@ def meet(blocks: DataFrame, asked: DataFrame, rerank: bool, decimals: int = DECI
     return met.select(*wanted).mapInArrow(_scored(rerank, decimals), HITS)
 
 
-def best(hits: DataFrame, queries: DataFrame, factor: int, excluded: DataFrame | None = None) -> DataFrame:
+def best(hits: DataFrame, factor: int, excluded: DataFrame | None = None) -> DataFrame:
     """The ``factor * topK`` best hits of each query with their rank, without the (query_id, paperId) rows of ``excluded``."""
     if excluded is not None:
         hits = hits.join(excluded.select("query_id", "paperId"), ["query_id", "paperId"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "paperId")
-    wanted = queries.groupBy("query_id").agg(F.first("topK").cast("int").alias("topK"))
-    ranked = hits.withColumn("retrieval_rank", F.row_number().over(order)).join(wanted, "query_id")
-    ranked = ranked.where(F.col("retrieval_rank") <= F.col("topK") * factor)
+    ranked = hits.withColumn("retrieval_rank", F.row_number().over(order)).where(F.col("retrieval_rank") <= F.col("topK") * factor)
     return ranked.select("query_id", "paperId", "retrieval_score", "rerank_score", "retrieval_rank", "topK")
 
 
@@ -380,7 +378,7 @@ def search_cuts(index: CellIndex, rows: DataFrame, n_blocks, rerank: bool = Fals
     nth = first.withColumn("r", F.row_number().over(order)).join(keeps, "query_id").where("r = keep")
     floors = cuts.join(nth.select(F.col("query_id").alias("name"), F.col("retrieval_score").alias("floor")), F.col("cut.name") == F.col("name"), "left")
     floored = floors.groupBy("qblock", "at").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("nth", F.struct("cut.name", "cut.keep", "cut.filters", "floor").alias("cut")))), lambda c: c["cut"]).alias("cuts")
+        F.transform(F.sort_array(F.collect_list(F.struct("nth", F.struct("cut.name", "cut.keep", "cut.filters", "cut.topK", "floor").alias("cut")))), lambda c: c["cut"]).alias("cuts")
     )
     again = asked.select("qblock", F.posexplode("queries").alias("at", "q")).join(floored, ["qblock", "at"])
     rows_again = again.groupBy("qblock").agg(F.sort_array(F.collect_list(F.struct("at", "q.query_id", "q.vectors", "cuts"))).alias("queries"))
@@ -400,4 +398,4 @@ def search(
     """The hits of ``search.top_k`` through the index, and (name, cells_read, cells) for each query."""
     more = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("more"))
     hits, report = search_cuts(index, query_rows(queries, factor, more), block_count(queries), rerank)
-    return best(hits, queries, factor, exclude), report
+    return best(hits, factor, exclude), report

@@ -63,7 +63,7 @@ def _mining_rows(
     )
     earlier = F.array(filter_row("publicationDate", "lt", F.array("before"))).cast(FILTERS)
     named = stored(named, "pairs")
-    cut = F.struct("name", (F.col("rank") + F.col("cites") + 2).cast("long").alias("keep"), earlier.alias("filters")).cast(C.CUT)
+    cut = F.struct("name", (F.col("rank") + F.col("cites") + 2).cast("long").alias("keep"), earlier.alias("filters"), F.lit(None).cast("int").alias("topK")).cast(C.CUT)
     cuts = named.groupBy("refId", "part").agg(F.collect_list(cut).alias("cuts"))
     wide = F.transform("vectors", V.as_doubles)
     rows = cuts.join(known.withColumnRenamed("paperId", "refId"), "refId").select(
