@@ -20,9 +20,12 @@ from paperloom.streaming import state, sync
 
 
 def _stream(spark, sf, table: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table as a file stream, be it one file or a folder of part files.
+
+    Streams take a plain path for a folder that partition columns start from, so the table is named as a pattern.
+    """
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{table}}}.parquet")
 
 
 def _run(spark, stream: DataFrame, name: str) -> DataFrame:

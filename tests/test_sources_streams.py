@@ -318,3 +318,17 @@ def test_old_folders_go_and_kept_versions_stay(spark, tmp_path):
         vector_store.sync(spark.createDataFrame([("p", 0, k)], "paperId string, chunk_idx int, value int"), root)
     assert sum(f.startswith("v") for f in os.listdir(root)) == vector_store.KEPT
     assert [r["value"] for r in vector_store.read_current(spark, root).collect()] == [6]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_given_tables_stream_as_one_file_or_as_a_folder_of_parts(spark, tmp_path, parts):
+    from paperloom.plans import QUERIES
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(12)], "vec_id long, embedding array<float>, label int")
+    rows.repartition(parts or 1).write.parquet(str(tmp_path / "embeddings.parquet" if parts else tmp_path / "made"))
+    if not parts:
+        made = next(f for f in os.listdir(tmp_path / "made") if f.endswith(".parquet"))
+        os.rename(tmp_path / "made" / made, tmp_path / "embeddings.parquet")
+    got = QUERIES["stream_vector_sync"](spark, str(tmp_path)).collect()
+    assert sorted((r["paperId"], r["chunk_idx"], r["label"]) for r in got) == sorted((f"d{i // 5}", i % 5, i % 2) for i in range(12))
+    assert QUERIES["stream_distinct_keys"](spark, str(tmp_path)).count() == 3
