@@ -187,10 +187,17 @@ def page(ranked: DataFrame, rank: str, offset: int, limit: int) -> DataFrame:
 
 def mean_vector(chunks: DataFrame, keys: Sequence[str] = ("paperId",), weight: str | None = None) -> DataFrame:
     """The (weighted) mean vector of each group, as (keys, embedding): one running mean per group and task
-    is shuffled, never the vectors."""
+    is shuffled, never the vectors. The mean of a group without weight is NaN at every place."""
     vector = array_to_vector(V.as_doubles(F.col("embedding")))
-    mean = Summarizer.mean(vector) if weight is None else Summarizer.mean(vector, F.col(weight).cast("double"))
-    return chunks.groupBy(*keys).agg(mean.alias("_m")).select(*keys, vector_to_array("_m").alias("embedding"))
+    if weight is None:
+        means = chunks.groupBy(*keys).agg(Summarizer.mean(vector).alias("_m"))
+        return means.select(*keys, vector_to_array("_m").alias("embedding"))
+    # a Summarizer fails on a group without weight, so that such groups go beside it
+    weighed = chunks.withColumn("_w", F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
+    means = weighed.where("_w <> 0").groupBy(*keys).agg(Summarizer.mean(vector, F.col("_w")).alias("_m"))
+    sizes = weighed.groupBy(*keys).agg(F.max(F.abs("_w")).alias("_most"), F.max(F.size("embedding")).alias("_size")).where("_most = 0")
+    nothing = F.array_repeat(F.lit(float("nan")), F.col("_size")).alias("embedding")
+    return means.select(*keys, vector_to_array("_m").alias("embedding")).unionByName(sizes.select(*keys, nothing))
 
 
 def centre_vectors(chunks: DataFrame) -> DataFrame:

@@ -199,3 +199,13 @@ def test_default_encoder_counts_words(spark):
     df = spark.createDataFrame([("a", "x y x"), ("b", "")], "id string, text string")
     out = {r["id"]: r["embedding"] for r in embed_texts(df, "text", hashed_words(8)).collect()}
     assert sum(out["a"]) == 3 and max(out["a"]) >= 2 and sum(out["b"]) == 0
+
+
+def test_a_mean_without_weight_is_nan_and_leaves_the_other_groups(spark):
+    from paperloom.operators.embed import masked_mean
+
+    rows = [("a", [1.0, 2.0], 1), ("a", [5.0, 4.0], 3), ("a", [9.0, float("inf")], 0), ("b", [1.0, 1.0], 0), ("b", [2.0, 2.0], None)]
+    tokens = spark.createDataFrame(rows, "paperId string, embedding array<double>, mask int")
+    got = {r["paperId"]: r["embedding"] for r in masked_mean(tokens, "paperId", "mask").collect()}
+    assert got["a"] == [4.0, 3.5]
+    assert len(got["b"]) == 2 and all(np.isnan(x) for x in got["b"])
