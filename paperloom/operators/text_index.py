@@ -2,10 +2,13 @@
 
 Papers are dealt into blocks. The index has, for each gram, bitmaps of the blocks that hold it: byte
 trigrams of the text for substring filters, hashed words for filters on whole words. A filter's text can
-stand only where all its grams do, so its bitmaps are brought together by AND, and only papers of the
+stand only where all its grams do, so its bitmaps are unpacked and brought together by AND, and only papers of the
 blocks that are left are read and tested by ``filters.text_match``'s rule. A text of fewer than three
 bytes has no trigram: the gram that every block holds leaves all of them. The answer is that of reading every paper.
 
+A bitmap has 4,096 bytes, however few blocks hold its gram, so no shuffle or sort holds bitmaps: pairs of
+gram and block are sorted and become bitmaps one after the other, and a stored one with few blocks is packed.
+
 Filters are rows, so that one search answers any number of them: (query_id, texts, any), where ``any``
 asks for one of the texts and else for all. Papers with a null text pass no filter.
 """
@@ -21,16 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom.functions.matrices import listed
 from paperloom.operators.filters import words
+from paperloom.session import stored
 
 PAPERS_PER_BLOCK = 64
 MODES = ("substring", "token")
 # The gram that every block holds, for texts that have none.
 EVERY = -1
+BITMAP_BYTES = 4096
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``papers`` has the columns of the indexed table and ``block``; ``grams`` has (gram, bucket, bits)."""
+    """``papers`` has the columns of the indexed table and ``block``; ``grams`` has (gram, bucket, bits), the bits packed."""
 
     papers: DataFrame
     grams: DataFrame
@@ -60,6 +65,28 @@ def _with_grams(rows: DataFrame, mode: str) -> DataFrame:
     return rows.mapInArrow(_trigrams, f"{fields}, grams array<bigint>")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps in fewer bytes: the places of the set bits, two bytes each, where that is shorter."""
+    for batch in batches:
+        bits = []
+        for raw in batch.column("bits").to_pylist():
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little"))
+            bits.append(raw if 2 * len(at) >= BITMAP_BYTES else at.astype("<u2").tobytes())
+        yield batch.set_column(batch.schema.get_field_index("bits"), "bits", pa.array(bits, pa.binary()))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bits = []
+        for raw in batch.column("bits").to_pylist():
+            if len(raw) < BITMAP_BYTES:
+                whole = np.zeros(8 * BITMAP_BYTES, np.uint8)
+                whole[np.frombuffer(raw, "<u2")] = 1
+                raw = np.packbits(whole, bitorder="little").tobytes()
+            bits.append(raw)
+        yield batch.set_column(batch.schema.get_field_index("bits"), "bits", pa.array(bits, pa.binary()))
+
+
 def build(papers: DataFrame, root: str, text: str, key: str = "paperId", mode: str = "substring") -> TextIndex:
     """Writes the index of a text column below ``root`` and opens it."""
     spark = papers.sparkSession
@@ -69,8 +96,10 @@ def build(papers: DataFrame, root: str, text: str, key: str = "paperId", mode: s
     dealt.repartitionByRange("block").sortWithinPartitions("block").write.mode("overwrite").parquet(f"{root}/papers")
     dealt = spark.read.schema(dealt.schema).parquet(f"{root}/papers")
     rows = _with_grams(dealt.select("block", F.col(text).alias("text")), mode).select("block", F.explode(F.concat("grams", F.array(F.lit(EVERY).cast("bigint")))).alias("gram")).distinct()
-    bits = rows.groupBy("gram", F.bitmap_bucket_number("block").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("block")).alias("bits"))
-    bits.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{root}/grams")
+    # small rows are dealt and sorted; a partition then builds its bitmaps one after the other
+    placed = rows.withColumn("bucket", F.bitmap_bucket_number("block")).repartitionByRange("gram", "bucket").sortWithinPartitions("gram", "bucket")
+    bits = placed.groupBy("gram", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("block")).alias("bits"))
+    bits.mapInArrow(_packed, bits.schema).write.mode("overwrite").parquet(f"{root}/grams")
     return open_index(spark, root, text, mode)
 
 
@@ -95,7 +124,9 @@ def candidates(index: TextIndex, filters: DataFrame) -> DataFrame:
     grams = _with_grams(asked, index.mode)
     grams = grams.withColumn("grams", F.when(F.size("grams") == 0, F.array(F.lit(EVERY).cast("bigint"))).otherwise(F.col("grams")))
     wanted = grams.select("query_id", "nth", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    met = wanted.join(index.grams, "gram").groupBy("query_id", "nth", "bucket").agg(
+    # written, so that the planner knows its size and does not shuffle the index for a few filters
+    hit = stored(wanted, "wanted").join(index.grams, "gram")
+    met = hit.mapInArrow(_unpacked, hit.schema).groupBy("query_id", "nth", "bucket").agg(
         F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"), F.first("n_grams").alias("n_grams")
     )
     whole = met.where("n = n_grams").select("query_id", "nth", "bucket", "bits")
@@ -114,8 +145,8 @@ def passes(text: Column, texts: Column, any_text: Column, mode: str) -> Column:
 
 def search(index: TextIndex, filters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The papers that pass each filter (query_id and the table's columns), and (query_id, blocks_read, blocks)."""
-    blocks = candidates(index, filters)
-    asked = blocks.join(filters.select("query_id", "texts", "any"), "query_id")
+    blocks = stored(candidates(index, filters), "blocks")
+    asked = stored(blocks.join(filters.select("query_id", "texts", "any"), "query_id"), "asked")
     met = index.papers.join(asked, "block").where(passes(F.col(index.text), F.col("texts"), F.col("any"), index.mode))
     total = index.papers.agg(F.count_distinct("block").alias("n")).scalar()
     read = filters.select("query_id").join(blocks.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")

@@ -59,3 +59,17 @@ def test_empty_table_and_unknown_mode(spark, tmp_path):
     assert T.search(T.build(papers, str(tmp_path / "e"), "title"), filters)[0].count() == 0
     with pytest.raises(ValueError, match="mode"):
         T.build(papers, str(tmp_path / "m"), "title", mode="fuzzy")
+
+
+def test_stored_bitmaps_take_room_by_their_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "PAPERS_PER_BLOCK", 0.1)
+    papers = spark.range(300).select(F.col("id").alias("paperId"), F.concat(F.lit("every w"), F.col("id").cast("string")).alias("title"))
+    index = T.build(papers, str(tmp_path / "packed"), "title", mode="token")
+    blocks = spark.read.parquet(str(tmp_path / "packed" / "papers")).select("block").distinct().count()
+    sizes = sorted(r["n"] for r in index.grams.select(F.length("bits").alias("n")).collect())
+    assert sizes == [2] * 300 + [2 * blocks] * 2  # 4,096 each before
+    wide = spark.range(9000).select(F.col("id").alias("paperId"), F.lit("every").alias("title"))
+    index = T.build(wide, str(tmp_path / "whole"), "title", mode="token")
+    assert {r["n"] for r in index.grams.select(F.length("bits").alias("n")).collect()} == {T.BITMAP_BYTES}
+    filters = spark.createDataFrame([(1, ["every"], True)], "query_id int, texts array<string>, any boolean")
+    assert T.search(index, filters)[0].count() == 9000
