@@ -46,6 +46,10 @@ GROUPS = 10_000
 FIRST = 4
 # Query blocks stand in so many copies, so that a join by shuffle spreads the papers of one query block.
 COPIES = 8
+# Where all papers meet all queries, query blocks are dealt into so many shares at most: a paper is shuffled once for each.
+SHARES = 32
+# Hits that a task holds at most before it passes on the best of them.
+HELD_HITS = 1 << 21
 HITS = "query_id string, paperId string, retrieval_score double, rerank_score double, topK int"
 
 
@@ -131,8 +135,46 @@ def _hopeful(cuts: pa.StructArray, asked: pa.StructArray, of_query: np.ndarray,
     return cuts.take(pa.array(at)), asked.take(pa.array(live)), spot
 
 
+def _kept(parts: list[pa.Table], keeps: dict[str, int]) -> pa.Table:
+    """Of some hits each cut's best ``keep`` papers, ties by id; further rows of a kept paper stay with it."""
+    hits = pa.concat_tables(parts).combine_chunks()
+    names, ids = (hits.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "paperId"))
+    wanted = np.array([keeps[n] for n in names.dictionary.to_pylist()], np.int64)
+    place = np.argsort(np.argsort(ids.dictionary.to_numpy(zero_copy_only=False).astype(str)))
+    name, paper = names.indices.to_numpy(), place[ids.indices.to_numpy()]
+    score = hits.column("retrieval_score").to_numpy()
+    order = np.lexsort((paper, -score, name))
+    name, paper, score = name[order], paper[order], score[order]
+    first = np.append(True, name[1:] != name[:-1])
+    new = first | np.append(True, (paper[1:] != paper[:-1]) | (score[1:] != score[:-1]))
+    nth = np.cumsum(new)
+    nth -= np.repeat(nth[first], np.diff(np.append(np.flatnonzero(first), len(name)))) - 1
+    return hits.take(pa.array(order[nth <= wanted[name]]))
+
+
+def _best_of_task(hits: Iterator[tuple[pa.RecordBatch, dict[str, int]]]) -> Iterator[pa.RecordBatch]:
+    """The hits of a task's blocks without those that others of the task push out of their cuts."""
+    parts, keeps, held = [], {}, 0
+    for batch, wanted in hits:
+        parts.append(pa.Table.from_batches([batch]))
+        for name, keep in wanted.items():
+            keeps[name] = max(keep, keeps.get(name, 0))
+        held += batch.num_rows
+        if held > HELD_HITS:
+            parts = [_kept(parts, keeps)]
+            held = parts[0].num_rows
+            if held > HELD_HITS // 2:
+                yield from parts[0].to_batches()
+                parts, keeps, held = [], {}, 0
+    if parts:
+        yield from _kept(parts, keeps).to_batches()
+
+
 def _scored(rerank: bool, decimals: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _best_of_task(hits(batches))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, int]]]:
         for batch in batches:
             who = batch.column("who") if "who" in batch.schema.names else None
             for row in range(batch.num_rows):
@@ -176,23 +218,36 @@ def _scored(rerank: bool, decimals: int) -> Callable:
                     close = max_sim_matrix(centred_rows(sub), starts, centred_rows(vectors), counts[used]) / sizes[:, None]
                     again = np.round(close[of, np.searchsorted(used, at)], decimals)
                 names = cuts.field("name").take(pa.array(of_cut))
-                yield pa.RecordBatch.from_arrays(
+                found = pa.RecordBatch.from_arrays(
                     [names, payload["paperId"].take(pa.array(at)), pa.array(scores[of, at]), pa.array(again), cuts.field("topK").take(pa.array(of_cut))],
                     names=["query_id", "paperId", "retrieval_score", "rerank_score", "topK"],
                 )
+                wanted = {}
+                for name, keep in zip(cuts.field("name").to_pylist(), cuts.field("keep").to_pylist()):
+                    wanted[name] = max(keep, wanted.get(name, 0))
+                yield found, wanted
 
     return run
 
 
-def meet(blocks: DataFrame, asked: DataFrame, rerank: bool, decimals: int = DECIMALS) -> DataFrame:
-    """The hits of blocks that carry the number of a query block (``qblock``) with its queries, under the names of their cuts."""
+def meet(blocks: DataFrame, asked: DataFrame, rerank: bool, decimals: int = DECIMALS, on: str = "qblock") -> DataFrame:
+    """The hits of blocks that carry the number of a query block (``on``) with its queries, under the names of their cuts."""
     copy = F.pmod(F.xxhash64(F.get("members", F.lit(0))["paperId"]), F.lit(COPIES)).cast("int")
     copies = asked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    met = blocks.withColumn("copy", copy).join(copies, ["qblock", "copy"])
+    # a task goes through its query blocks one by one and holds the papers' blocks beside them
+    met = copies.join(blocks.withColumn("copy", copy), [on, "copy"])
     wanted = [c for c in ("members", "queries", "who") if c in met.columns]
     return met.select(*wanted).mapInArrow(_scored(rerank, decimals), HITS)
 
 
+def meet_all(papers: DataFrame, rows: DataFrame, n_blocks, fields: Sequence[str], rerank: bool, decimals: int = DECIMALS) -> DataFrame:
+    """The hits of all papers with all query rows; a paper is shuffled ``SHARES`` times at most, however many the query blocks."""
+    blocks = paper_blocks(papers, fields).withColumn("last", F.least(n_blocks, F.lit(SHARES)) - 1)
+    each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("share"))
+    asked = query_blocks(rows, n_blocks).select((F.col("qblock") % SHARES).alias("share"), "queries")
+    return meet(each, asked, rerank, decimals, on="share")
+
+
 def best(hits: DataFrame, factor: int, excluded: DataFrame | None = None) -> DataFrame:
     """The ``factor * topK`` best hits of each query with their rank, without the (query_id, paperId) rows of ``excluded``."""
     if excluded is not None:

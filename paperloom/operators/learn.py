@@ -40,7 +40,7 @@ def seeded_rank(paper: Column, ref: Column, seed: int, ranks: int = NEAR_RANKS)
 def _mining_rows(
     meta: DataFrame, edges: DataFrame, papers: DataFrame, rank: Callable[[Column, Column], Column], months_before: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Query rows of the cited papers, with a cut for each paper that cites them, and the pairs (name, paperId, refId, rank).
+    """Query rows of the cited papers, with a cut for each paper that cites them, and the pairs (name, paperId, refId, rank, cites).
 
     A pair keeps as many papers as its rank and all that it cites could need. The pairs of a paper
     cited very often are dealt to several rows.
@@ -65,11 +65,10 @@ def _mining_rows(
     named = stored(named, "pairs")
     cut = F.struct("name", (F.col("rank") + F.col("cites") + 2).cast("long").alias("keep"), earlier.alias("filters"), F.lit(None).cast("int").alias("topK")).cast(C.CUT)
     cuts = named.groupBy("refId", "part").agg(F.collect_list(cut).alias("cuts"))
-    wide = F.transform("vectors", V.as_doubles)
     rows = cuts.join(known.withColumnRenamed("paperId", "refId"), "refId").select(
-        F.to_json(F.array("refId", F.col("part").cast("string"))).alias("query_id"), wide.alias("vectors"), "cuts"
+        F.to_json(F.array("refId", F.col("part").cast("string"))).alias("query_id"), "vectors", "cuts"
     )
-    return rows, named.select("name", "paperId", "refId", "rank")
+    return rows, named.select("name", "paperId", "refId", "rank", "cites")
 
 
 def mining_papers(meta: DataFrame, papers: DataFrame) -> DataFrame:
@@ -108,12 +107,13 @@ def mine_triplets(
     rows, pairs = _mining_rows(meta, edges, papers, rank, months_before)
     n_blocks = papers.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CITED_PER_BLOCK)).cast("int")).scalar()
     if index is None:
-        blocks = C.paper_blocks(mining_papers(meta, papers), ("publicationDate",)).withColumn("last", n_blocks - 1)
-        each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("qblock"))
-        hits = C.meet(each, C.query_blocks(rows, n_blocks), rerank=False)
+        hits = C.meet_all(mining_papers(meta, papers), rows, n_blocks, ("publicationDate",), rerank=False)
     else:
         hits, _ = C.search_cuts(index, rows, n_blocks)
     near = hits.select(F.col("query_id").alias("name"), F.col("paperId").alias("negative_id"), F.col("retrieval_score").alias("similarity")).join(pairs, "name")
+    # each task gave its best; those of all tasks are cut where the join has dealt them already
+    by_name = Window.partitionBy("name").orderBy(F.desc("similarity"), "negative_id")
+    near = near.withColumn("_n", F.dense_rank().over(by_name)).where(F.col("_n") <= F.col("rank") + F.col("cites") + 2).drop("_n", "name", "cites")
     cites = edges.withColumnRenamed("refId", "negative_id")
     free = near.where("negative_id <> paperId").join(cites, ["paperId", "negative_id"], "left_anti")
     nearest = Window.partitionBy("paperId", "refId").orderBy(F.desc("similarity"), "negative_id")

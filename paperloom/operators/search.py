@@ -69,9 +69,7 @@ def top_k(
     more = None if exclude is None else exclude.groupBy("query_id").agg(F.count("*").alias("more"))
     rows, n_blocks = C.query_rows(queries, factor, more, floors), C.block_count(queries)
     fields = KEYWORD_FIELDS + TEXT_FIELDS + RANGE_FIELDS + DATE_FIELDS if "filters" in queries.columns else ()
-    blocks = C.paper_blocks(papers, fields).withColumn("last", n_blocks - 1)
-    each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("qblock"))
-    return C.best(C.meet(each, C.query_blocks(rows, n_blocks), rerank, decimals), factor, exclude)
+    return C.best(C.meet_all(papers, rows, n_blocks, fields, rerank, decimals), factor, exclude)
 
 
 def rerank_and_sort(hits: DataFrame, truncate: str = "before", blended: Column | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,39 @@ def test_a_mean_without_weight_is_nan_and_leaves_the_other_groups(spark):
     got = {r["paperId"]: r["embedding"] for r in masked_mean(tokens, "paperId", "mask").collect()}
     assert got["a"] == [4.0, 3.5]
     assert len(got["b"]) == 2 and all(np.isnan(x) for x in got["b"])
+
+
+def test_a_task_passes_on_its_best_hits_only(spark):
+    rows = [(f"p{i:03d}", RNG.normal(size=(2, DIM)).tolist()) for i in range(320)]
+    known = {p: np.array(v) for p, v in rows}
+    papers = spark.createDataFrame(rows, "paperId string, vectors array<array<float>>").coalesce(1)
+    asked = [(q, i, v.tolist(), 3) for q, vs in QUERIES.items() for i, v in enumerate(vs)]
+    queries = spark.createDataFrame(asked, "query_id string, qi int, embedding array<float>, topK int")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "4")
+    try:
+        # seven query blocks in two shares, eighty blocks of papers
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(C, "SHARES", 2)
+            patch.setattr(C, "VECTORS_PER_BLOCK", 2)
+            hits = C.meet_all(papers, C.query_rows(queries), C.block_count(queries), (), rerank=False).collect()
+    finally:
+        spark.conf.set(size, "10000")
+    for q, vs in QUERIES.items():
+        mine = sorted((-r["retrieval_score"], r["paperId"]) for r in hits if r["query_id"] == q)
+        assert len(mine) <= 3 * C.COPIES  # 240 when each block passed on three
+        want = sorted((-round(score(vs, np.float32(d)), 6), p) for p, d in known.items())[:3]
+        assert [p for _, p in mine[:3]] == [p for _, p in want]
+
+
+def test_kept_hits_are_the_best_of_all_parts():
+    rows = [(f"q{RNG.integers(3)}", f"p{RNG.integers(40)}", float(RNG.integers(4)), 0.0, None) for _ in range(500)]
+    schema = pa.schema([("query_id", pa.string()), ("paperId", pa.string()), ("retrieval_score", pa.float64()), ("rerank_score", pa.float64()), ("topK", pa.int32())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[a : a + 60]], schema) for a in range(0, 500, 60)]
+    keeps = {"q0": 1, "q1": 7, "q2": 10_000}
+    got = [tuple(r.values())[:3] for b in C._best_of_task((b, keeps) for b in batches) for r in b.to_pylist()]
+    want = []
+    for q, keep in keeps.items():
+        best = sorted({(-s, p) for n, p, s, *_ in rows if n == q})[:keep]
+        want += [r[:3] for r in rows if r[0] == q and (-r[2], r[1]) in best]
+    assert sorted(got) == sorted(want)
