@@ -291,6 +291,7 @@ def build(
     spark = papers.sparkSession
     group = F.lit(0) if by is None else F.pmod(F.coalesce(by, F.lit(0)), F.lit(GROUPS))
     rows = papers.select("paperId", "vectors", *filter_payload(papers, [c for c in fields if c != "paperId"]), group.cast("int").alias("group"))
+    rows = stored(rows, "papers")
 
     def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +301,8 @@ def build(
             if len(mean):
                 yield pa.RecordBatch.from_arrays([vectors_column(mean)], names=["mean"])
 
-    means = rows.select("vectors").mapInArrow(middle, "mean array<double>")
+    # k-means zips its points with their norms: a task computes them twice at once, and of two equal merge joins the first to end frees the other's sorter
+    means = stored(rows.select("vectors").mapInArrow(middle, "mean array<double>"), "means")
     total = rows.agg(F.count("*").alias("n"), F.approx_count_distinct("group").alias("groups")).first()
     fit = min(math.isqrt(total["n"]), total["n"] // PAPERS_PER_CELL // max(1, total["groups"]))
     wanted = min(CELLS_MAX, cells or fit)

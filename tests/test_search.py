@@ -121,6 +121,21 @@ def test_queries_near_a_cell_leave_far_cells_unread(spark, tmp_path):
     assert len(shares) == 30 and np.median(shares) < 0.4
 
 
+def test_an_index_is_built_over_papers_of_a_sort_merge_join(spark, tmp_path):
+    # the first join of a task to end frees its sorters, and k-means reads its points twice in one task
+    rows = [(f"p{i}", RNG.normal(size=(2, DIM)).tolist()) for i in range(1500)]
+    vectors = spark.createDataFrame(rows, "paperId string, vectors array<array<float>>")
+    years = spark.createDataFrame([(p, 2000 + i % 9) for i, (p, _) in enumerate(rows)], "paperId string, publicationYear int")
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        index = C.build(vectors.join(years, "paperId"), str(tmp_path / "joined"), ("publicationYear",), by=F.col("publicationYear"))
+    finally:
+        spark.conf.set(size, before)
+    assert index.blocks.select(F.sum(F.size("members"))).first()[0] == 1500
+
+
 def test_bounds_hold(spark):
     rng = np.random.default_rng(9)
     for _ in range(20):
