@@ -13,7 +13,8 @@ with any vector of a cell is at most ``cos(angle to the centre - radius)``, so t
 vectors bounds the score of every paper of the cell. A query first visits the cells of largest bound
 that hold a few times the papers it keeps; the score of its last kept paper is then the floor, and of
 the other cells it visits those whose bound reaches it and whose values its filters can meet. The
-answer is that of reading every paper.
+answer is that of reading every paper. On the first visit the few queries of a cell go to its papers;
+on the second one papers go to shares of the query blocks, which a task holds while papers pass by.
 
 Cells larger than ``PAPERS_PER_BLOCK`` are several blocks. The header is one row of at most
 ``CELLS_MAX`` cells. Papers without a vector other than zero are a cell of their own, with bound 0.
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from paperloom.functions.matrices import centred_rows, listed, max_sim_matrix, starts_of, unit_rows, vector_matrix, vectors_column
-from paperloom.operators.filters import DATE_FIELDS, FILTERS, RANGE_FIELDS, comparable, filter_payload, payload_mask
+from paperloom.operators.filters import DATE_FIELDS, FILTERS, RANGE_FIELDS, FilterTable, comparable, filter_payload, payload_mask
 from paperloom.session import stored
 
 DECIMALS = 6
@@ -48,6 +49,12 @@ FIRST = 4
 COPIES = 8
 # Where all papers meet all queries, query blocks are dealt into so many shares at most: a paper is shuffled once for each.
 SHARES = 32
+# A second visit deals query blocks into so many shares, or more where a share would have more blocks than a task should hold.
+LATE_SHARES, HELD_BLOCKS = 16, 64
+# Queries of a cell in one row of the first visit, and cuts that are compared with a block of papers at once.
+QUERIES_PER_ROW, CUTS_AT_ONCE = 512, 1024
+# Cuts whose visits are packed into bits at once (a multiple of 8), and visited cells in one batch of the first visit.
+BITS, CELLS_AT_ONCE = 4096, 16
 # Hits that a task holds at most before it passes on the best of them.
 HELD_HITS = 1 << 21
 HITS = "query_id string, paperId string, retrieval_score double, rerank_score double, topK int"
@@ -135,8 +142,14 @@ def _hopeful(cuts: pa.StructArray, asked: pa.StructArray, of_query: np.ndarray,
     return cuts.take(pa.array(at)), asked.take(pa.array(live)), spot
 
 
-def _kept(parts: list[pa.Table], keeps: dict[str, int]) -> pa.Table:
-    """Of some hits each cut's best ``keep`` papers, ties by id; further rows of a kept paper stay with it."""
+class _Floors(dict):
+    """By name, the score of the last paper that a task keeps of a cut whose list is full; ``turn`` says how often they rose."""
+
+    turn = 0
+
+
+def _kept(parts: list[pa.Table], keeps: dict[str, int], floors: _Floors | None = None) -> pa.Table:
+    """Of some hits each cut's best ``keep`` papers, ties by id; further rows of a kept paper stay with it. Raises ``floors``."""
     hits = pa.concat_tables(parts).combine_chunks()
     names, ids = (hits.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "paperId"))
     wanted = np.array([keeps[n] for n in names.dictionary.to_pylist()], np.int64)
@@ -149,10 +162,15 @@ def _kept(parts: list[pa.Table], keeps: dict[str, int]) -> pa.Table:
     new = first | np.append(True, (paper[1:] != paper[:-1]) | (score[1:] != score[:-1]))
     nth = np.cumsum(new)
     nth -= np.repeat(nth[first], np.diff(np.append(np.flatnonzero(first), len(name)))) - 1
+    if floors is not None:
+        last = new & (nth == wanted[name])
+        for n, least in zip(names.dictionary.take(pa.array(name[last])).to_pylist(), score[last].tolist()):
+            floors[n] = max(least, floors.get(n, -np.inf))
+        floors.turn += 1
     return hits.take(pa.array(order[nth <= wanted[name]]))
 
 
-def _best_of_task(hits: Iterator[tuple[pa.RecordBatch, dict[str, int]]]) -> Iterator[pa.RecordBatch]:
+def _best_of_task(hits: Iterator[tuple[pa.RecordBatch, dict[str, int]]], floors: _Floors | None = None) -> Iterator[pa.RecordBatch]:
     """The hits of a task's blocks without those that others of the task push out of their cuts."""
     parts, keeps, held = [], {}, 0
     for batch, wanted in hits:
@@ -161,7 +179,7 @@ def _best_of_task(hits: Iterator[tuple[pa.RecordBatch, dict[str, int]]]) -> Iter
             keeps[name] = max(keep, keeps.get(name, 0))
         held += batch.num_rows
         if held > HELD_HITS:
-            parts = [_kept(parts, keeps)]
+            parts = [_kept(parts, keeps, floors)]
             held = parts[0].num_rows
             if held > HELD_HITS // 2:
                 yield from parts[0].to_batches()
@@ -176,14 +194,9 @@ def _scored(rerank: bool, decimals: int) -> Callable:
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, int]]]:
         for batch in batches:
-            who = batch.column("who") if "who" in batch.schema.names else None
             for row in range(batch.num_rows):
                 members, asked = batch.column("members")[row].values, batch.column("queries")[row].values
                 cuts, of_query = cut_rows(asked)
-                if who is not None:  # the cuts that visit, and their queries
-                    wanted = who[row].values
-                    live, of_query = np.unique(of_query[wanted.to_numpy()], return_inverse=True)
-                    cuts, asked = cuts.take(wanted), asked.take(pa.array(live))
                 payload = {f.name: members.field(i) for i, f in enumerate(members.type)}
                 if "floor" in cuts.type.names:
                     cuts, asked, of_query = _hopeful(cuts, asked, of_query, payload["vectors"])
@@ -230,14 +243,13 @@ def _scored(rerank: bool, decimals: int) -> Callable:
     return run
 
 
-def meet(blocks: DataFrame, asked: DataFrame, rerank: bool, decimals: int = DECIMALS, on: str = "qblock") -> DataFrame:
-    """The hits of blocks that carry the number of a query block (``on``) with its queries, under the names of their cuts."""
+def meet(blocks: DataFrame, asked: DataFrame, rerank: bool, decimals: int = DECIMALS, on: str = "share") -> DataFrame:
+    """The hits of blocks that carry the number of a query block or of a share (``on``) with its queries, under the names of their cuts."""
     copy = F.pmod(F.xxhash64(F.get("members", F.lit(0))["paperId"]), F.lit(COPIES)).cast("int")
     copies = asked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
     # a task goes through its query blocks one by one and holds the papers' blocks beside them
     met = copies.join(blocks.withColumn("copy", copy), [on, "copy"])
-    wanted = [c for c in ("members", "queries", "who") if c in met.columns]
-    return met.select(*wanted).mapInArrow(_scored(rerank, decimals), HITS)
+    return met.select("members", "queries").mapInArrow(_scored(rerank, decimals), HITS)
 
 
 def meet_all(papers: DataFrame, rows: DataFrame, n_blocks, fields: Sequence[str], rerank: bool, decimals: int = DECIMALS) -> DataFrame:
@@ -245,7 +257,7 @@ def meet_all(papers: DataFrame, rows: DataFrame, n_blocks, fields: Sequence[str]
     blocks = paper_blocks(papers, fields).withColumn("last", F.least(n_blocks, F.lit(SHARES)) - 1)
     each = blocks.select("members", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("share"))
     asked = query_blocks(rows, n_blocks).select((F.col("qblock") % SHARES).alias("share"), "queries")
-    return meet(each, asked, rerank, decimals, on="share")
+    return meet(each, asked, rerank, decimals)
 
 
 def best(hits: DataFrame, factor: int, excluded: DataFrame | None = None) -> DataFrame:
@@ -390,35 +402,159 @@ def _visits(first: bool) -> Callable:
                 if centres.shape[1] not in (0, sub.shape[1]):
                     raise ValueError("query and paper vectors differ in width")
                 most = bounds(sub, sizes, centres, radius) if centres.shape[1] else np.zeros((len(asked), len(cells)))
-                seen = []
                 cuts, of_query = cut_rows(asked)
                 floors = [None] * len(cuts) if first else cuts.field("floor").to_pylist()
-                for i, keep, filters, floor in zip(of_query, cuts.field("keep").to_pylist(), cuts.field("filters").to_pylist(), floors):
-                    order = np.argsort(-most[i], kind="stable")
-                    order = order[_can_pass(filters, numbers, low[order], high[order])]
-                    mine = order[np.cumsum(n[order]) - n[order] < FIRST * keep]
-                    if not first:
+                asks = zip(of_query, cuts.field("keep").to_pylist(), cuts.field("filters").to_pylist(), floors)
+                bits = []
+                for at in range(0, len(cuts), BITS):
+                    seen = np.zeros((min(BITS, len(cuts) - at), len(cells)), bool)
+                    for mine, (i, keep, filters, floor) in zip(seen, asks):
+                        order = np.argsort(-most[i], kind="stable")
+                        order = order[_can_pass(filters, numbers, low[order], high[order])]
+                        near = np.cumsum(n[order]) - n[order] < FIRST * keep
                         # scores are rounded, so a bound may lie half a unit below the score it bounds
-                        rest = np.setdiff1d(order, mine)
-                        mine = rest if floor is None else rest[most[i, rest] + 10.0**-DECIMALS >= floor]
-                    seen.append(mine)
-                of = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
-                at = np.concatenate(seen) if seen else np.zeros(0, int)
-                order = np.lexsort((of, at))
-                at, of = at[order], of[order]
-                visited, counts = np.unique(at, return_counts=True)
-                who = listed(pa.array(of.astype(np.int32)), counts)
-                block = pa.array(np.full(len(visited), batch.column("qblock")[row].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([cells.field("cell").take(pa.array(visited)), block, who], names=["cell", "qblock", "who"])
+                        mine[order[near if first else ~near if floor is None else ~near & (most[i, order] + 10.0**-DECIMALS >= floor)]] = True
+                    bits.append(np.packbits(seen.T, axis=1))
+                bits = np.concatenate(bits, axis=1) if bits else np.zeros((len(cells), 0), np.uint8)
+                visited = np.flatnonzero(bits.any(axis=1))
+                for some in np.array_split(visited, max(1, len(visited) // CELLS_AT_ONCE)):
+                    block = pa.array(np.full(len(some), batch.column("qblock")[row].as_py(), np.int32))
+                    out = [cells.field("cell").take(pa.array(some)), block, pa.array([b.tobytes() for b in bits[some]], pa.binary())]
+                    if first:
+                        out.append(_visitors(asked, cuts, of_query, [_spots(b, len(cuts)) for b in bits[some]]))
+                    yield pa.RecordBatch.from_arrays(out, names=["cell", "qblock", "who", "queries"][: len(out)])
 
     return run
 
 
+def _spots(bits: np.ndarray, n: int) -> np.ndarray:
+    """The cuts that a bitmap names."""
+    return np.flatnonzero(np.unpackbits(bits, count=n))
+
+
+def _visitors(asked: pa.StructArray, cuts: pa.StructArray, of_query: np.ndarray, spots: list[np.ndarray]) -> pa.ListArray:
+    """For each list of cuts, their queries with these cuts only."""
+    wanted, cell = np.concatenate([*spots, np.zeros(0, int)]), np.repeat(np.arange(len(spots)), [len(s) for s in spots])
+    query = of_query[wanted]
+    at = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (cell[1:] != cell[:-1]))[: len(query)])
+    mine, who = listed(cuts.take(pa.array(wanted)), np.diff(np.append(at, len(query)))), pa.array(query[at])
+    rows = pa.StructArray.from_arrays([asked.field("query_id").take(who), asked.field("vectors").take(who), mine], names=["query_id", "vectors", "cuts"])
+    return listed(rows, np.bincount(cell[at], minlength=len(spots)))
+
+
 def _visit(index: CellIndex, asked: DataFrame, first: bool) -> DataFrame:
-    """(cell, qblock, who): which cuts of a block's queries visit which cell."""
-    # the header is one row, so this is a join on a constant that meets each query block once
-    met = asked.withColumn("one", F.lit(1)).join(index.header.withColumn("one", F.lit(1)), "one")
-    return met.select("qblock", "queries", "cells", "numbers").mapInArrow(_visits(first), "cell int, qblock int, who array<int>")
+    """(cell, qblock, who): a bitmap of the cuts of a block's queries that visit a cell; on the first visit also their queries."""
+    # the header is one row, so this is a join on a constant that meets each query block once, where the block is
+    met = asked.withColumn("one", F.lit(1)).join(F.broadcast(index.header.withColumn("one", F.lit(1))), "one")
+    schema = StructType([*StructType.fromDDL("cell int, qblock int, who binary").fields, *([asked.schema["queries"]] if first else [])])
+    return met.select("qblock", "queries", "cells", "numbers").mapInArrow(_visits(first), schema)
+
+
+def _meet_first(blocks: DataFrame, early: DataFrame, rerank: bool) -> DataFrame:
+    """The hits of the queries that each cell's papers meet first; the queries of a cell are dealt into rows of like size."""
+    sizes = early.groupBy("cell").agg(F.ceil(F.sum(F.size("queries")) / QUERIES_PER_ROW).cast("int").alias("n_rows"))
+    nth = F.pmod(F.xxhash64("qblock"), "n_rows").cast("int")
+    asked = early.join(sizes, "cell").groupBy("cell", nth.alias("nth")).agg(F.flatten(F.collect_list("queries")).alias("queries"))
+    each = blocks.join(sizes, "cell").select("cell", "members", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("nth"))
+    return asked.join(each, ["cell", "nth"]).select("members", "queries").mapInArrow(_scored(rerank, DECIMALS), HITS)
+
+
+class _Held:
+    """A query block as a task of the second visit holds it."""
+
+    def __init__(self, asked: pa.StructArray, rerank: bool) -> None:
+        cuts, self.of_query = cut_rows(asked)
+        sub, self.sizes = vector_matrix(asked.field("vectors"))
+        self.units, self.centred = unit_rows(sub), centred_rows(sub) if rerank else None
+        self.names, self.top_k = cuts.field("name"), cuts.field("topK")
+        self.keep, self.filters = cuts.field("keep").to_numpy(), FilterTable(cuts.field("filters").to_pylist())
+        self.floors = np.array([-np.inf if f is None else f for f in cuts.field("floor").to_pylist()])
+        self.turn = 0
+
+    def raise_to(self, floors: _Floors) -> None:
+        if self.turn != floors.turn:
+            self.floors = np.maximum(self.floors, [floors.get(n, -np.inf) for n in self.names.to_pylist()])
+            self.turn = floors.turn
+
+
+def _passing(rerank: bool) -> Callable:
+    """Papers pass by the query blocks of their share, which come before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors = _Floors()
+        return _best_of_task(hits(batches, floors), floors)
+
+    def hits(batches: Iterator[pa.RecordBatch], floors: _Floors) -> Iterator[tuple[pa.RecordBatch, dict[str, int]]]:
+        at, held = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("share", "copy", "qblock"))))
+            for row, (*key, qblock) in enumerate(keys):
+                if key != at:
+                    at, held = key, {}
+                if qblock is not None:
+                    held[qblock] = _Held(batch.column("queries")[row].values, rerank)
+                    continue
+                members = batch.column("members")[row].values
+                payload = {f.name: members.field(i) for i, f in enumerate(members.type)}
+                raw, counts = vector_matrix(payload["vectors"])
+                units, ready = unit_rows(raw), comparable(payload)
+                for visit in batch.column("visits")[row].as_py():
+                    asked = held[visit["qblock"]]
+                    asked.raise_to(floors)
+                    if raw.shape[1] not in (0, asked.units.shape[1]):
+                        raise ValueError("query and paper vectors differ in width")
+                    wanted = _spots(np.frombuffer(visit["who"], np.uint8), len(asked.keep))
+                    live, of = np.unique(asked.of_query[wanted], return_inverse=True)
+                    rows, sizes = np.repeat(np.isin(np.arange(len(asked.sizes)), live), asked.sizes), asked.sizes[live]
+                    starts = starts_of(sizes)
+                    scores = np.round(max_sim_matrix(asked.units[rows], starts, units, counts) / sizes[:, None], DECIMALS)
+                    for start in range(0, len(wanted), CUTS_AT_ONCE):
+                        some, i = wanted[start : start + CUTS_AT_ONCE], of[start : start + CUTS_AT_ONCE]
+                        good = asked.filters.masks(some, ready, len(members)) & ~(scores[i] < asked.floors[some, None])
+                        cut, paper = np.nonzero(good)
+                        if not len(cut):
+                            continue
+                        again = np.zeros(len(cut))
+                        if rerank:
+                            used = np.unique(paper)
+                            vectors = raw[np.isin(np.repeat(np.arange(len(counts)), counts), used)]
+                            close = max_sim_matrix(asked.centred[rows], starts, centred_rows(vectors), counts[used]) / sizes[:, None]
+                            again = np.round(close[i[cut], np.searchsorted(used, paper)], DECIMALS)
+                        who = pa.array(some[cut])
+                        found = [asked.names.take(who), payload["paperId"].take(pa.array(paper)), pa.array(scores[i[cut], paper]), pa.array(again), asked.top_k.take(who)]
+                        busy = some[np.unique(cut)]
+                        keeps: dict[str, int] = {}
+                        for name, keep in zip(asked.names.take(pa.array(busy)).to_pylist(), asked.keep[busy].tolist()):
+                            keeps[name] = max(keep, keeps.get(name, 0))
+                        yield pa.RecordBatch.from_arrays(found, names=["query_id", "paperId", "retrieval_score", "rerank_score", "topK"]), keeps
+
+    return run
+
+
+def _meet_again(blocks: DataFrame, late: DataFrame, asked: DataFrame, rerank: bool) -> DataFrame:
+    """The hits of the second visit: a paper is shuffled once for each share that wants its cell, however many the query blocks."""
+    shares = asked.agg(F.greatest(F.lit(LATE_SHARES), F.ceil((F.max("qblock") + 1) / HELD_BLOCKS)).cast("int")).scalar()
+    share = F.pmod("qblock", shares).alias("share")
+    visits = late.select("cell", share, F.struct("qblock", "who").alias("visit")).groupBy("cell", "share").agg(F.collect_list("visit").alias("visits"))
+    copy = F.pmod(F.xxhash64("cell", "part"), F.lit(COPIES)).cast("int")
+    papers = blocks.join(visits, "cell").select("share", copy.alias("copy"), "members", "visits")
+    queries = asked.select(share, F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"), "qblock", "queries")
+    # query blocks first, so that a task holds those of one share while its papers pass by
+    dealt = queries.unionByName(papers, allowMissingColumns=True).repartition("share", "copy").sortWithinPartitions("share", "copy", F.col("qblock").isNull())
+    return dealt.mapInArrow(_passing(rerank), HITS)
+
+
+def _count_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many cells of a batch each cut visits."""
+    for batch in batches:
+        seen: dict[int, np.ndarray] = {}
+        for qblock, who in zip(*(batch.column(c).to_pylist() for c in ("qblock", "who"))):
+            bits = np.unpackbits(np.frombuffer(who, np.uint8)).astype(np.int64)
+            seen[qblock] = seen[qblock] + bits if qblock in seen else bits
+        for qblock, n in seen.items():
+            spots = np.flatnonzero(n)
+            out = [pa.array(np.full(len(spots), qblock, np.int32)), pa.array(spots.astype(np.int32)), pa.array(n[spots])]
+            yield pa.RecordBatch.from_arrays(out, names=["qblock", "spot", "n"])
 
 
 def search_cuts(index: CellIndex, rows: DataFrame, n_blocks, rerank: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -428,20 +564,23 @@ def search_cuts(index: CellIndex, rows: DataFrame, n_blocks, rerank: bool = Fals
     """
     asked = stored(query_blocks(rows, n_blocks), "asked")
     early = stored(_visit(index, asked, True), "early")
-    first = stored(meet(index.blocks.join(early, "cell"), asked, rerank), "first")
+    first = stored(_meet_first(index.blocks, early, rerank), "first")
     order = Window.partitionBy("query_id").orderBy(F.desc("retrieval_score"), "paperId")
     cuts = asked.select("qblock", F.posexplode("queries").alias("at", "q")).select("qblock", "at", F.posexplode("q.cuts").alias("nth", "cut"))
     keeps = cuts.select(F.col("cut.name").alias("query_id"), F.col("cut.keep").alias("keep"))
-    nth = first.withColumn("r", F.row_number().over(order)).join(keeps, "query_id").where("r = keep")
-    floors = cuts.join(nth.select(F.col("query_id").alias("name"), F.col("retrieval_score").alias("floor")), F.col("cut.name") == F.col("name"), "left")
+    nth = first.withColumn("r", F.dense_rank().over(order)).join(keeps, "query_id").where("r = keep")
+    nth = nth.groupBy(F.col("query_id").alias("name")).agg(F.max("retrieval_score").alias("floor"))
+    floors = cuts.join(nth, F.col("cut.name") == F.col("name"), "left")
     floored = floors.groupBy("qblock", "at").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("nth", F.struct("cut.name", "cut.keep", "cut.filters", "cut.topK", "floor").alias("cut")))), lambda c: c["cut"]).alias("cuts")
     )
     again = asked.select("qblock", F.posexplode("queries").alias("at", "q")).join(floored, ["qblock", "at"])
     rows_again = again.groupBy("qblock").agg(F.sort_array(F.collect_list(F.struct("at", "q.query_id", "q.vectors", "cuts"))).alias("queries"))
+    rows_again = stored(rows_again, "floored")
     late = stored(_visit(index, rows_again, False), "late")
-    hits = first.unionByName(meet(index.blocks.join(late, "cell"), asked, rerank))
-    visits = early.unionByName(late).select("qblock", F.explode("who").alias("spot")).groupBy("qblock", "spot").agg(F.count("*").alias("cells_read"))
+    hits = first.unionByName(_meet_again(index.blocks, late, rows_again, rerank))
+    counted = early.select("qblock", "who").unionByName(late.select("qblock", "who")).mapInArrow(_count_visits, "qblock int, spot int, n long")
+    visits = counted.groupBy("qblock", "spot").agg(F.sum("n").alias("cells_read"))
     order = Window.partitionBy("qblock").orderBy("at", "nth")
     names = cuts.select("qblock", (F.row_number().over(order) - 1).alias("spot"), "cut.name")
     total = index.header.select(F.size("cells").alias("cells")).scalar()

@@ -187,6 +187,38 @@ def payload_mask(filters: Sequence[dict], payload: Mapping[str, pa.Array | np.nd
     return mask
 
 
+class FilterTable:
+    """Many filter lists, so that one call says which papers pass which list. Lists of ranges that differ in their values only are compared at once."""
+
+    def __init__(self, lists: Sequence[Sequence[dict] | None]) -> None:
+        places: dict[object, list[int]] = {}
+        for i, filters in enumerate(lists):
+            ranges = all(f["field"] in RANGE_FIELDS + DATE_FIELDS and f["op"] in _ORDERED for f in filters or ())
+            places.setdefault(tuple((f["field"], f["op"]) for f in filters or ()) if ranges else repr(filters), []).append(i)
+        self.group, self.place = np.zeros(len(lists), int), np.zeros(len(lists), int)
+        self.filters, self.values = [], []
+        for g, (key, rows) in enumerate(places.items()):
+            self.group[rows], self.place[rows] = g, np.arange(len(rows))
+            self.filters.append(lists[rows[0]] or ())
+            given = [[lists[i][k]["values"][0] for i in rows] for k in range(len(key))] if isinstance(key, tuple) else []
+            days = [f["field"] in DATE_FIELDS for f in self.filters[g]]
+            self.values.append([np.array(v, "datetime64[D]") if day else np.array(list(map(float, v))) for v, day in zip(given, days)] if isinstance(key, tuple) else None)
+
+    def masks(self, some: np.ndarray, payload: Mapping[str, pa.Array | np.ndarray], n: int) -> np.ndarray:
+        """``payload_mask`` of ``some`` of the lists, shape (lists, papers)."""
+        out = np.ones((len(some), n), bool)
+        for g in np.unique(self.group[some]):
+            mine = np.flatnonzero(self.group[some] == g)
+            if self.values[g] is None:
+                out[mine] = payload_mask(self.filters[g], payload, n)
+                continue
+            for f, values in zip(self.filters[g], self.values[g]):
+                if f["field"] not in payload:
+                    raise ValueError(f"no payload field {f['field']!r}")
+                out[mine] &= _NUMPY[f["op"]](payload[f["field"]][None, :], values[self.place[some[mine]]][:, None])
+        return out
+
+
 def request_filter_rows(query: Column) -> Column:
     """The filters of a parsed query (a struct) as data; empty entries ask for nothing."""
     none, entry = F.array().cast(FILTERS), lambda name: query[name]

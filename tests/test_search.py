@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import cells as C
 from paperloom.operators import search as S
 from paperloom.operators.embed import embed_texts, hashed_words
-from paperloom.operators.filters import FILTERS, filter_row
+from paperloom.operators.filters import FILTERS, FilterTable, comparable, filter_row, payload_mask
 
 RNG = np.random.default_rng(5)
 DIM = 6
@@ -136,6 +136,64 @@ def test_an_index_is_built_over_papers_of_a_sort_merge_join(spark, tmp_path):
     assert index.blocks.select(F.sum(F.size("members"))).first()[0] == 1500
 
 
+def moved(df, column):
+    """Rows that the shuffles of an executed table wrote with a column."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        here = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" and column in plan.output().toString() else 0
+        return here + sum(walk(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_the_second_visit_shuffles_a_cell_once_for_each_share(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(f"p{i:03d}", rng.normal(size=(2, DIM)).tolist(), 2000 + i % 9) for i in range(600)]
+    known = {p: (np.float32(v).astype(float), y) for p, v, y in rows}
+    papers = spark.createDataFrame(rows, "paperId string, vectors array<array<float>>, publicationYear int")
+    vectors = {f"q{i:02d}": rng.normal(size=(2, DIM)) for i in range(80)}
+    asked = [(q, i, v.tolist(), 3, "lt", [str(2003 + int(q[1:]) % 7)]) for q, vs in vectors.items() for i, v in enumerate(vs)]
+    queries = spark.createDataFrame(asked, "query_id string, qi int, embedding array<double>, topK int, op string, value array<string>")
+    queries = queries.withColumn("filters", F.array(filter_row("publicationYear", "lt", F.col("value"))).cast(FILTERS))
+    index = C.build(papers, str(tmp_path / "cells"), ("publicationYear",), cells=100)
+    monkeypatch.setattr(C, "LATE_SHARES", 2)
+    monkeypatch.setattr(C, "VECTORS_PER_BLOCK", 4)
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        found, _ = C.search_cuts(index, C.query_rows(queries), C.block_count(queries))
+        hits = found.collect()
+    finally:
+        spark.conf.set(size, before)
+    # about 40 query blocks and 100 cells: a cell went to its join and to every query block before, now to its join and to two shares
+    assert index.blocks.count() > 80 and moved(found, "members") < 3 * index.blocks.count() + 41 * C.COPIES
+    for q, vs in vectors.items():
+        mine = sorted((-r["retrieval_score"], r["paperId"]) for r in hits if r["query_id"] == q)
+        assert len(mine) == len(set(mine))
+        want = sorted((-round(score(vs, d), 6), p) for p, (d, y) in known.items() if y < 2003 + int(q[1:]) % 7)[:3]
+        assert mine[:3] == want
+
+
+def test_a_table_of_filters_is_each_filter_of_its_own():
+    day = lambda op, v: {"field": "publicationDate", "op": op, "values": [v]}
+    count = lambda op, v: {"field": "citationCount", "op": op, "values": [v]}
+    venue = {"field": "venue", "op": "!=", "values": ["a", "b"]}
+    lists = [[day("lt", f"2020-0{m}-15")] for m in range(1, 9)] + [[day("lt", None)], [], None, [venue], [count("gte", "3"), day("gt", "2020-03-01")]]
+    lists += [[count("gte", "5"), day("gt", "2020-05-01")], [venue, count("lt", "4")], [venue]]
+    dates = [f"2020-0{1 + i % 9}-1{i % 7}" if i % 5 else None for i in range(40)]
+    payload = comparable({"publicationDate": pa.array(dates), "citationCount": pa.array([float(i % 8) if i % 6 else None for i in range(40)]), "venue": pa.array(["a", "c", None, "d"] * 10)})
+    some = np.array([0, 3, 7, 8, 9, 10, 11, 12, 13, 14, 15, 2])
+    got = FilterTable(lists).masks(some, payload, 40)
+    assert got.tolist() == [payload_mask(lists[i], payload, 40).tolist() for i in some]
+    assert got.any() and not got.all()
+
+
 def test_bounds_hold(spark):
     rng = np.random.default_rng(9)
     for _ in range(20):
@@ -261,3 +319,23 @@ def test_kept_hits_are_the_best_of_all_parts():
         best = sorted({(-s, p) for n, p, s, *_ in rows if n == q})[:keep]
         want += [r[:3] for r in rows if r[0] == q and (-r[2], r[1]) in best]
     assert sorted(got) == sorted(want)
+
+
+def test_floors_rise_to_the_last_kept_hit_while_a_task_goes_on(monkeypatch):
+    monkeypatch.setattr(C, "HELD_HITS", 100)
+    rng = np.random.default_rng(13)
+    rows = [(f"q{rng.integers(3)}", f"p{i}", round(float(rng.uniform()), 2), 0.0, None) for i in range(900)]
+    schema = pa.schema([("query_id", pa.string()), ("paperId", pa.string()), ("retrieval_score", pa.float64()), ("rerank_score", pa.float64()), ("topK", pa.int32())])
+    keeps, floors, sent = {"q0": 2, "q1": 9, "q2": 10_000}, C._Floors(), []
+
+    def batches():
+        for at in range(0, 900, 60):
+            live = [r for r in rows[at : at + 60] if r[2] >= floors.get(r[0], -1)]
+            sent.extend(live)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in live], schema), keeps
+
+    got = [tuple(r.values()) for b in C._best_of_task(batches(), floors) for r in b.to_pylist()]
+    best = lambda some, q: sorted((-r[2], r[1]) for r in some if r[0] == q)[: keeps[q]]
+    assert all(best(got, q) == best(rows, q) for q in keeps)
+    assert len(sent) < 900 and floors.turn > 2 and set(floors) == {"q0", "q1"}
+    assert all(floors[q] <= -best(rows, q)[-1][0] for q in floors)
